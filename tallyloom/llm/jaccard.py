@@ -162,7 +162,7 @@ def _links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
 def verified(members: DataFrame, threshold: float) -> DataFrame:
     """(node, other, links) from members (cluster, x, y, side, node, copies, shingles): links counts documents, other is a spanning edge or null."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         nodes, side, copies = table["node"].to_pylist(), table["side"].to_numpy(), table["copies"].to_numpy()
         sets = [np.asarray(s, np.int64).view(np.uint64) for s in table["shingles"].to_pylist()]
         left = np.flatnonzero(side == 0)
