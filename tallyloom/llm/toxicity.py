@@ -3,12 +3,13 @@
 Two bigram models, one of toxic and one of ordinary text, with absolute discounting and a backoff distribution of continuation counts that both share.
 A text's length-normalised log-likelihoods under both are compared. An expression (a word or a pair of words) whose counts in the classes don't differ
 beyond chance counts as rare: it takes the shared estimate in both models, so its two likelihoods cancel and only expressions with evidence are left in
-the difference. A logistic curve fitted to training rows turns the difference into a score from 0 to 1.
+the difference. A text counts an expression once, in training and in scoring, so a refrain within one text is no evidence of
+a class. A logistic curve fitted to training rows turns the difference into a score from 0 to 1.
 
 Labels are read only from rows whose crc32(doc_id as text) mod 5 isn't 0; of each class at most about SAMPLE rows, drawn by a hash of the id, are
 trained on (the documented bound of the fitted model; every document is scored in whole). Rows without a label, an id or a document don't train; a
-document labelled twice is toxic if any label says so; a text that stands under several ids trains once. Null and empty texts, and all texts where there
-is nothing to learn from, score the base rate of the training labels (0.0 without labels). Repeated rows and null ids are scored as they stand; an empty
+document labelled twice is toxic if any label says so; of texts with one and the same least shingle hash, which copies and most near copies share, one
+trains. Null and empty texts, and all texts where there is nothing to learn from, score the base rate of the training labels (0.0 without labels). Repeated rows and null ids are scored as they stand; an empty
 table gives no rows. Other columns are not read.
 """
 
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import documents, fold_of, staged, words_of
+from tallyloom.llm.common import documents, fold_of, mix64, staged, words_of
+from tallyloom.llm.jaccard import shingles_of
 
 #: Labelled rows of each class that train, at most (in expectation); words in the closed vocabulary; pooled count of a word in it; of a pair that is kept.
 SAMPLE, VOCABULARY, WORD_COUNT, PAIR_COUNT = 12_000, 60_000, 3, 4
 #: The discount, and the G statistic (one degree of freedom) from which a difference is beyond chance.
-DISCOUNT, EVIDENCE = 0.75, 16.0
+DISCOUNT, EVIDENCE = 0.75, 20.0
 RARE = "\0"
 
 
@@ -43,17 +45,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     # At most about 2 * sample ids of 12 bytes: a fixed bound, whatever the input.
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
     joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    return joined.groupBy(F.sha2("text", 256).alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"), (sizes.get(1, 0) / total if total else 0.0)
+
+    def sketch(batches):
+        for b in batches:
+            least = [int(x[0]) if len(x := mix64(shingles_of(t))) and not x.sort() else 0 for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(least, np.uint64).view(np.int64)), *b.columns], ["sketch", "toxic", "text"])
+
+    sketched = joined.select("toxic", "text").mapInArrow(sketch, "sketch long, toxic int, text string")
+    return sketched.groupBy("sketch").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"), (sizes.get(1, 0) / total if total else 0.0)
 
 
 def _counted(rows: DataFrame, keys) -> DataFrame:
-    """(key, tox, ord): how often each key that keys(words) gives stands in toxic and in ordinary rows."""
+    """(key, tox, ord): how many toxic and ordinary rows have each key that keys(words) gives."""
 
     def run(batches):
         for b in batches:
             by = (Counter(), Counter())
             for toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by[toxic].update(keys([w.decode("utf-8", "surrogatepass") for w in words_of(text)]))
+                by[toxic].update(set(keys([w.decode("utf-8", "surrogatepass") for w in words_of(text)])))
             for c in (0, 1):
                 if by[c]:
                     n = pa.array(list(by[c].values()), pa.int64())
@@ -79,14 +88,16 @@ class Ratios:
         self.second = {w for _, w in pairs}
 
     def total(self, words: list[bytes]) -> float:
-        """log P(text | toxic) - log P(text | ordinary)."""
+        """log P(text | toxic) - log P(text | ordinary), over distinct words, each after the word that says most of it."""
         if self.words.keys().isdisjoint(words) and self.second.isdisjoint(words):
             return 0.0
-        out, before = 0.0, b""
+        out, before, best = 0.0, b"", {}
         for w in words:
-            got = self.pairs.get((before, w)) if w in self.second else None
-            out += self.words.get(w, 0.0) if got is None else got
+            if w in self.second and (got := self.pairs.get((before, w))) is not None and abs(got) > abs(best.get(w, 0.0)):
+                best[w] = got
             before = w
+        for w in sorted(set(words)):
+            out += best.get(w, self.words.get(w, 0.0))
         return out
 
 
