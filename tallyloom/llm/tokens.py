@@ -8,15 +8,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable
 
-import numpy as np
-
 #: Units that a worker keeps; beyond that its cache starts anew. About 200 bytes a unit.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 500_000
 
 _TWO_SPACES = re.compile(r"\s\s")
-_MARK_RUN = re.compile(r"(?:[^\w\s]|_)[^\w\s]|[^\w\s]_")
 _SAFE_CUT = re.compile(r"(?<!\s)(?=[ \n]\S)")
 _tokenizers: dict[str, object] = {}
 _caches: dict[tuple, dict] = {}
@@ -41,12 +39,12 @@ def tokenizer(file: str):
 def space_units(text: str) -> list[str]:
     """For tokenizers that compose (NFC), lower-case and drop white space: what stands between spaces and line ends.
 
-    In usual texts the units are lowered and a comma or full stop before white space is a unit of its own, so that a cache has fewer of them. Usual:
-    composed already, without special strings or letters whose lower case depends on the context, and no two punctuation marks in a row.
+    In usual texts the units are lowered, so that a cache has fewer of them. Usual: composed already, without special strings or letters whose lower case
+    depends on the context.
     """
-    if "<|" in text or "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text) or _MARK_RUN.search(text):
+    if "<|" in text or "Σ" in text or "İ" in text or not unicodedata.is_normalized("NFC", text):
         return text.replace("\n", " ").split(" ")
-    return text.lower().replace("\n", " ").replace(", ", " , ").replace(". ", " . ").split(" ")
+    return text.lower().replace("\n", " ").split(" ")
 
 
 def leading_units(text: str) -> list[str]:
@@ -61,23 +59,50 @@ def leading_units(text: str) -> list[str]:
     return units if units[0] else units[1:]
 
 
+class _Known(dict):
+    """Unit to packed ids; a unit that it lacks is encoded and kept.
+
+    A sign after a word of letters is a pre-token of its own. Lower-case words of Latin letters are one pre-token each, so the library's model takes their
+    bytes (as the characters that stand for them) directly; all other units go through the whole tokenizer.
+    """
+
+    def __init__(self, tok, code: str):
+        super().__init__({"": b""})
+        self.encode, self.merge, self.code = tok.encode, tok.model.tokenize, code
+        letters = [c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c.islower()]
+        self.stands_for = str.maketrans({c: tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
+            self[unit] = packed = self[unit[:-1]] + self[unit[-1]]
+            return packed
+        if unit.isalpha() and unit.islower() and max(unit) < "\u0250" and not ("\x80" < max(unit) < "\xc0" or "\xaa" in unit or "\xb5" in unit or "\xba" in unit) and unicodedata.is_normalized("NFC", unit):
+            ids = [t.id for t in self.merge(unit if unit.isascii() else unit.translate(self.stands_for))]
+        else:
+            ids = self.encode(unit, add_special_tokens=False).ids
+        self[unit] = packed = array(self.code, ids).tobytes()
+        return packed
+
+
 class IdCache:
     """Unit to packed little-endian ids. One for each worker process and vocabulary."""
 
     def __init__(self, file: str, limit: int = CACHE_UNITS):
         self.tok, self.limit = tokenizer(file), limit
-        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known = _caches.setdefault((file, "ids"), {"": b""})
+        self.kind, self.code = ("<u2", "H") if self.tok.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        if (file, "ids") not in _caches:
+            _caches[file, "ids"] = _Known(self.tok, self.code)
+        self.known = _caches[file, "ids"]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        units = [space_units(t) for t in texts]
-        new = list(set().union(*units) - self.known.keys())
-        if len(self.known) + len(new) > self.limit:
-            self.known.clear()
-            new = list(set().union(*units))
-        self.known.update(zip(new, (np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(new, add_special_tokens=False)), strict=True))
-        return [b"".join(map(self.known.__getitem__, u)) for u in units]
+        out = []
+        for t in texts:
+            out.append(b"".join(map(self.known.__getitem__, space_units(t))))
+            if len(self.known) > self.limit:
+                self.known.clear()
+                self.known[""] = b""
+        return out
 
 
 class LengthCache:
