@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("ledger",)
+MODULES = ("ledger", "joining", "windows", "intervals", "graphs")
 
 
 def query(name: str, sql: str | None = None):
