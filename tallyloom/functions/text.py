@@ -102,3 +102,9 @@ def canonical_json(text: Column) -> Column:
         return s.map(lambda t: None if t is None else json.dumps(plain(json.loads(t)), ensure_ascii=False, separators=(",", ":")))
 
     return run(text)
+
+
+def without_comments(text: Column) -> Column:
+    """JSON with comments as plain JSON: comments outside strings and commas before a closing bracket go. Strings are matched first, so they stay whole."""
+    kept = F.regexp_replace(text, r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    return F.regexp_replace(kept, r'("(?:\\.|[^"\\])*")|,\s*(?=[}\]])', "$1")

@@ -318,3 +318,63 @@ def z33(spark, d):
     na, re = table(spark, d, "nation"), table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"))
     a = na.join(re, "n_regionkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_reference").alias("code"), "n")
     return a.unionByName(na.agg((F.count("*") - F.countDistinct("n_nationkey")).alias("n")).select(F.lit("duplicate_id").alias("code"), "n"))
+
+
+@query("x08_jsonc_strip", "select event_id, props as plain from events")
+def x08(spark, d):
+    e = table(spark, d, "events").select("event_id", F.concat(F.lit("/* note */ "), F.replace("props", F.lit("}"), F.lit(", } // end"))).alias("t"))
+    return e.select("event_id", F.trim(X.without_comments(F.col("t"))).alias("plain"))
+
+
+@query("x45_severity_lint", f"with {CA} select candidate_id, len(regexp_extract_all(coalesce(severity, '') || ' then HIGH, low', '(?i)(critical|high|medium|low)')) as named, len(list_distinct(list_transform(regexp_extract_all(coalesce(severity, '') || ' then HIGH, low', '(?i)(critical|high|medium|low)'), lambda x: upper(x)))) > 2 as inconsistent from candidates")
+def x45(spark, d):
+    found = F.regexp_extract_all(F.concat(F.coalesce("severity", F.lit("")), F.lit(" then HIGH, low")), F.lit("(?i)(critical|high|medium|low)"), F.lit(1))
+    return view(spark, d, "candidates").select("candidate_id", F.size(found).cast("long").alias("named"), (F.size(F.array_distinct(F.transform(found, F.upper))) > 2).alias("inconsistent"))
+
+
+@query("z06_followup_answers", "with q as (select conv_id, count(*) as asked from conversations where role = 'user' group by 1), a as (select conv_id, count(*) as given, count(*) filter (length(text) > 40) as proven from conversations where role = 'assistant' group by 1) select q.conv_id, asked, coalesce(given, 0) as given, case when coalesce(given, 0) <> asked then 'count' when proven < given then 'evidence' else 'ok' end as code from q left join a using (conv_id)")
+def z06(spark, d):
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(n("role = 'user'").alias("asked"), n("role = 'assistant'").alias("given"), n("role = 'assistant' and length(text) > 40").alias("proven")).where("asked > 0")
+    return g.select("conv_id", "asked", "given", F.when(F.col("given") != F.col("asked"), "count").when(F.col("proven") < F.col("given"), "evidence").otherwise("ok").alias("code"))
+
+
+@query("z07_reuse", f"with {FI}, h as (select unit, file_id, sha256(path || ':' || cast(bytes as varchar)) as identity from files), o as (select file_id, sha256(path || ':' || cast(bytes + case when file_id % 10 = 0 then 1 else 0 end as varchar)) as identity from files), gone as (select distinct l_partkey as file_id from lineitem where l_quantity = 50) select unit, h.file_id from h join o on o.file_id = h.file_id and o.identity = h.identity where h.file_id not in (select file_id from gone)")
+def z07(spark, d):
+    f = view(spark, d, "files")
+    ident = lambda size: F.sha2(F.concat("path", F.lit(":"), size.cast("string")), 256)
+    old = f.select("file_id", ident(F.col("bytes") + F.when(F.col("file_id") % 10 == 0, 1).otherwise(0)).alias("identity"))
+    gone = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("file_id"))
+    return f.select("unit", "file_id", ident(F.col("bytes")).alias("identity")).join(old, ["file_id", "identity"]).join(gone, "file_id", "left_anti").select("unit", "file_id")
+
+
+@query("z13_evaluation_classes", f"with {CA} select remediation_key, case when count(*) > 1 then 'MERGE' else 'KEEP' end as action, min(candidate_id) as representative, count(distinct root_cause_location) as locations from candidates group by 1")
+def z13(spark, d):
+    return view(spark, d, "candidates").groupBy("remediation_key").agg(F.when(F.count("*") > 1, "MERGE").otherwise("KEEP").alias("action"), F.min("candidate_id").alias("representative"), F.countDistinct("root_cause_location").alias("locations"))
+
+
+@query("z14_projection_equality", f"with {CA}, a as (select status, count(*) as n from candidates group by 1), b as (select status, count(*) as n from candidates where score_included is not false group by 1) select a.status, a.n as projected, coalesce(b.n, 0) as kept, a.n = coalesce(b.n, 0) as equal from a left join b on a.status is not distinct from b.status")
+def z14(spark, d):
+    return view(spark, d, "candidates").groupBy("status").agg(F.count("*").alias("projected"), n("score_included is null or score_included").alias("kept")).withColumn("equal", F.col("projected") == F.col("kept"))
+
+
+@query("z15_artifact_counts", f"with {CA}, k as (select cast(event_id * 2 as varchar) as id from events) select count(*) as ids, count(*) filter (c.candidate_id is null) as unknown, count(*) filter (k.id is null) as uncovered from candidates c full join k on k.id = c.candidate_id")
+def z15(spark, d):
+    k = view(spark, d, "classifications").select("candidate_id", F.lit(1).alias("k"))
+    j = view(spark, d, "candidates").select("candidate_id", F.lit(1).alias("c")).join(k, "candidate_id", "full")
+    return j.agg(F.count("*").alias("ids"), n("c is null").alias("unknown"), n("k is null").alias("uncovered"))
+
+
+@query("z21_represented_ids", "select item_id from benchmark b where not exists (select 1 from documents d where contains(d.text, b.text))")
+def z21(spark, d):
+    from tallyloom.operators.ledger import leaks
+
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    # leaks() finds pairs in any case by an equality join; those that stand exactly so are kept.
+    pairs = leaks(docs, b).join(docs.select("doc_id", F.col("text").alias("hay")), "doc_id").join(b.select("item_id", F.col("text").alias("needle")), "item_id")
+    return b.select("item_id").join(pairs.where(F.col("hay").contains(F.col("needle"))).select("item_id").distinct(), "item_id", "left_anti")
+
+
+@query("z30_note_append", f"with {EV}, f as (select run_id, attempt, min(seq) as first from run_events group by 1, 2) select e.run_id, count(*) filter (e.seq = f.first) as accepted, count(*) filter (e.seq <> f.first) as collisions from run_events e join f on f.run_id = e.run_id and f.attempt = e.attempt group by 1")
+def z30(spark, d):
+    g = view(spark, d, "run_events").groupBy("run_id", "attempt").agg(F.count("*").alias("m"))
+    return g.groupBy("run_id").agg(F.count("*").alias("accepted"), F.sum(F.col("m") - 1).alias("collisions"))
