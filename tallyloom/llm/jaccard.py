@@ -25,29 +25,37 @@ SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 7, 0.9999
 #: Nodes and shingles in a block of a cluster, at most (in expectation).
 BLOCK_NODES, BLOCK_SHINGLES = 128, 400_000
 
-_BASE = np.uint64(0x100000001B3)
-_word_hashes: dict[bytes, int] = {}
+#: Odd multipliers for a shingle's words and for a prefix's labels.
+_POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+class _Hashes(dict):
+    """Word to 64-bit hash, computed once for each worker."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_word_hashes = _Hashes()
 
 
 def shingles_of(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    import xxhash
-
     words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
-    known = _word_hashes
-    if len(known) > 300_000:
-        known.clear()
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in words], np.uint64)
+    if len(_word_hashes) > 300_000:
+        _word_hashes.clear()
+    h = np.array(list(map(_word_hashes.__getitem__, words)), np.uint64)
     k = min(k, len(h))
     n = len(h) - k + 1
     acc = np.full(n, np.uint64(k))
     for i in range(k):
-        acc = mix64(acc * _BASE + h[i : i + n])
-    return np.unique(acc)
+        acc += h[i : i + n] * _POWERS[i]
+    return np.unique(mix64(acc))
 
 
 def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int = TREES, full: int = DEPTH) -> int:
@@ -58,22 +66,33 @@ def depth_for(recall: float = RECALL, threshold: float = THRESHOLD, trees: int =
     return 1
 
 
-def prefixes_of(shingles: np.ndarray, seeds: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree a hash of its signature's first `depth` labels."""
-    least = np.empty(len(seeds), np.uint64)
-    least[:] = np.iinfo(np.uint64).max
-    with np.errstate(over="ignore"):
-        for i in range(0, len(shingles), 1024):
-            part = shingles[i : i + 1024]
-            h = (part[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            np.minimum(least, h.min(axis=1), out=least)
-        labels = least.reshape(trees, depth)
-        out = np.arange(1, trees + 1, dtype=np.uint64)
-        for d in range(depth):
-            out = mix64(out * _BASE + labels[:, d])
-    return out
+class Signer:
+    """Prefix hashes of shingle sets: `trees` signatures of `depth` labels, a label being the least of a * x + b (32 bits) over the set.
+
+    Products go to one buffer that is kept, some hundred shingles at a time: fresh arrays of this size would cost more than the sums.
+    """
+
+    def __init__(self, trees: int, depth: int, rows: int = 256):
+        n = trees * depth
+        self.shape = trees, depth
+        seeds = mix64(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
+        self.a, self.b = seeds[:n] | np.uint32(1), seeds[n:]
+        self.buffer, self.least = np.empty((rows, n), np.uint32), np.empty(n, np.uint32)
+        self.tree = mix64(np.arange(1, trees + 1, dtype=np.uint64))
+        self.by_label = _POWERS[:depth]
+
+    def prefixes(self, shingles: np.ndarray) -> np.ndarray:
+        """For each tree a hash of its signature's labels."""
+        x, rows = shingles.astype(np.uint32), len(self.buffer)
+        self.least.fill(0xFFFFFFFF)
+        for i in range(0, len(x), rows):
+            part = x[i : i + rows]
+            out = self.buffer[: len(part)]
+            np.multiply(part[:, None], self.a, out=out)
+            np.add(out, self.b, out=out)
+            np.minimum(self.least, out.min(axis=0), out=self.least)
+        labels = self.least.reshape(self.shape).astype(np.uint64)
+        return mix64(self.tree + (labels * self.by_label).sum(axis=1))
 
 
 def _set_id(shingles: np.ndarray) -> bytes:
@@ -84,11 +103,11 @@ def _set_id(shingles: np.ndarray) -> bytes:
 
 def signatures(docs: DataFrame, trees: int, depth: int, k: int = SHINGLE) -> DataFrame:
     """doc_id, row key, set id (null without words) with its first half, size and the trees' prefixes of each row, written once."""
-    seeds = mix64(np.arange(1, trees * depth + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        last: dict[bytes, tuple] = {}
+        last: dict[bytes, np.ndarray] = {}
+        signer = Signer(trees, depth)
         for b in batches:
             sets, short, size, prefixes = [], [], [], []
             for t in b.column(3).to_pylist():
@@ -100,7 +119,7 @@ def signatures(docs: DataFrame, trees: int, depth: int, k: int = SHINGLE) -> Dat
                 if i not in last:
                     if len(last) > 5000:
                         last.clear()
-                    last[i] = prefixes_of(s, seeds, trees, depth).view(np.int64)
+                    last[i] = signer.prefixes(s).view(np.int64)
                 sets.append(i), short.append(int.from_bytes(i[:8], "little", signed=True)), size.append(len(s)), prefixes.append(last[i])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary()), pa.array(short, pa.int64()), pa.array(size, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "row_a", "row_b", "node", "short", "size", "prefixes"])
 
