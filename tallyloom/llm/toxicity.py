@@ -52,7 +52,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
             yield pa.RecordBatch.from_arrays([pa.array(np.array(least, np.uint64).view(np.int64)), *b.columns], ["sketch", "toxic", "text"])
 
     sketched = joined.select("toxic", "text").mapInArrow(sketch, "sketch long, toxic int, text string")
-    return sketched.groupBy("sketch").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", "text"), (sizes.get(1, 0) / total if total else 0.0)
+    return sketched.groupBy("sketch").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), (sizes.get(1, 0) / total if total else 0.0)
 
 
 def _counted(rows: DataFrame, keys) -> DataFrame:
