@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tallyloom.plans import registry
@@ -17,10 +19,20 @@ def duck(tiny):
     return c
 
 
+def plain(v):
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return bool(v)
+    if isinstance(v, (int, float, np.number)):
+        f = round(float(v), 5)
+        return int(f) if f.is_integer() else f
+    return v
+
+
 def rows(frame):
     cols = sorted(frame.columns)
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else int(v) if type(v).__name__.startswith(("int", "uint")) else v
-    return cols, sorted((tuple(str(plain(v)) for v in r) for r in frame[cols].astype(object).where(frame[cols].notna(), None).itertuples(index=False)))
+    return cols, sorted(tuple(str(plain(v)) for v in r) for r in frame[cols].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
