@@ -102,7 +102,15 @@ def symbols_for(v: Vocabulary) -> _Symbols:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     """From the counted words and the number of training documents."""
-    frequent = [(r.word, r.c) for r in counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
+    # A histogram over classes of counts (some thousand at most) gives the least class of which all words fit; ordering all words isn't needed.
+    size_class = F.floor(F.log2("c") * 64)
+    sizes = sorted(((r.k, r.n) for r in counts.groupBy(size_class.alias("k")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = None, 0
+    for k, n in sizes:
+        if held + n > FREQUENT:
+            break
+        least, held = k, held + n
+    frequent = [] if least is None else sorted(((r.word, r.c) for r in counts.where(size_class >= least).collect()), key=lambda x: (-x[1], x[0].encode("utf-8", "surrogatepass")))
     rest = counts
     if frequent:
         word, c = frequent[:SYMBOLS][-1]
