@@ -73,6 +73,23 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
+#: Bits of a key bitmap: 4 MiB, whatever the input.
+KEY_BITS = 1 << 25
+
+
+def key_bitmap(keys: DataFrame, column: str, name: str) -> DataFrame:
+    """A bit for each key (a well-mixed long), as at most KEY_BITS / 32768 rows of 4 KiB."""
+    at = F.pmod(F.col(column), F.lit(KEY_BITS))
+    return staged(keys.select(F.expr(f"pmod({column}, {KEY_BITS}L) div 32768").alias("_bucket"), (at % 32768).cast("long").alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), name)
+
+
+def with_maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    """df with _maybe: false only where the key isn't in the bitmap. So rows that need no exact join don't move; a full bitmap moves all, and nothing else changes."""
+    out = df.withColumn("_bucket", F.expr(f"pmod({column}, {KEY_BITS}L) div 32768")).join(F.broadcast(bitmap), "_bucket", "left")
+    bit = F.expr(f"shiftright(cast(conv(hex(substr(_bits, cast((pmod({column}, {KEY_BITS}L) % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(pmod({column}, {KEY_BITS}L) % 8 as int)) & 1")
+    return out.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, unless the session has a setting of its own: texts can be long, and a batch is held whole."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

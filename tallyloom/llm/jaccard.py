@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import documents, mix64, staged, words_of
+from tallyloom.llm.common import documents, key_bitmap, mix64, staged, with_maybe, words_of
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 7, 0.9999
 #: Nodes and shingles in a block of a cluster, at most (in expectation).
@@ -226,9 +226,10 @@ def classified(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     clusters = components(edges, "clusters").withColumnRenamed("node", "short")
     placed = staged(clusters.join(nodes.select("short", "node", "size", "copies", "first"), "short"), "cluster-nodes")
     blocks = placed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    # The first row of each clustered node, found again by its key; the set id confirms it.
+    # The first row of each clustered node, found again by its key; the set id confirms it. Only texts whose key may be wanted move.
     wanted = placed.select(F.col("first.a").alias("row_a"), F.col("first.b").alias("row_b"), F.col("node").alias("wanted"))
-    texts = with_row_key(docs).join(wanted, ["row_a", "row_b"]).select("wanted", "text")
+    may = with_maybe(with_row_key(docs), "row_a", key_bitmap(wanted, "row_a", "wanted-keys")).where("_maybe")
+    texts = may.join(wanted, ["row_a", "row_b"]).select("wanted", "text")
 
     def again(batches):
         for b in batches:
@@ -265,8 +266,9 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     found = staged(classified(docs, **how).where("n_links > 0").select("row_a", "row_b", (F.col("row_a").eqNullSafe(F.col("first.a")) & F.col("row_b").eqNullSafe(F.col("first.b"))).alias("stays")), "classified")
     names = docs.columns
     keyed = docs.withColumn("_row_a", F.xxhash64("doc_id", "text")).withColumn("_row_b", F.xxhash64(F.lit(1), "doc_id", "text"))
-    gone = found.where("not stays").select(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).distinct()
-    left = keyed.join(gone, ["_row_a", "_row_b"], "left_anti")
+    gone = staged(found.where("not stays").select(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).distinct(), "gone")
+    marked = with_maybe(keyed, "_row_a", key_bitmap(gone, "_row_a", "gone-keys"))
+    left = marked.where("not _maybe").unionByName(marked.where("_maybe").join(gone, ["_row_a", "_row_b"], "left_anti"))
     repeated = staged(found.where("stays").groupBy(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     if not repeated.isEmpty():  # rows that repeat id and text: one of each is left
         once = left.join(repeated, ["_row_a", "_row_b"], "left_semi").dropDuplicates(["_row_a", "_row_b"])

@@ -60,3 +60,15 @@ def test_odd_rows(spark, odd, nothing):
 
 def test_depth_is_shortened_until_the_recall():
     assert depth_for(0.5, 0.8, 1, 7) == 3 and depth_for(0.9999, 0.8, 24, 7) == 5
+
+
+def test_a_key_bitmap_misses_no_key(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.llm.common import key_bitmap, with_maybe
+
+    keys = spark.range(2000).select(F.xxhash64("id").alias("k"))
+    other = spark.range(2000, 52_000).select(F.xxhash64("id").alias("k"))
+    bitmap = key_bitmap(keys, "k", "test-keys")
+    assert with_maybe(keys, "k", bitmap).where("not _maybe").count() == 0
+    assert with_maybe(other, "k", bitmap).where("_maybe").count() < 50
