@@ -107,21 +107,31 @@ def propagate_labels(table, sweeps: int = 5) -> dict:
     return label
 
 
-def communities(edges: DataFrame, group: str) -> DataFrame:
-    """Label propagation within each group (a repository, a unit): groups are bounded by what they are, and each is one task's work."""
-    import pandas as pd
-
-    kind = dict(edges.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["src", "dst"]).sort_values(["src", "dst"])
-        nodes = sorted(set(rows.src) | set(rows.dst))
-        near: dict = {n: [] for n in nodes}
-        for s, t in zip(rows.src, rows.dst, strict=True):
-            near[s].append(t)
-        for s, t in zip(rows.src, rows.dst, strict=True):
-            near[t].append(s)
-        label = propagate_labels(near)
-        return pd.DataFrame({group: [rows[group].iloc[0]] * len(nodes), "node": nodes, "label": [label[n] for n in nodes]})
-
-    return edges.select(group, "src", "dst").groupBy(group).applyInPandas(run, f"{group} {kind[group]}, node {kind['src']}, label {kind['src']}")
+def communities(edges: DataFrame, group: str, sweeps: int = 5) -> DataFrame:
+    """(group, node, label): propagate_labels within each group, with the same labels, but as joins, so no group has to fit a task.
+
+    In a sweep a node sees the new labels of the nodes before it and the old ones of itself and those behind it. What is before what has no cycle, so there
+    is just one such labelling, and it is reached by computing all nodes anew from the last guess until nothing changes.
+    """
+    e = edges.select(group, "src", "dst").distinct()
+    near = cut(
+        e.select(group, F.col("src").alias("node"), F.col("dst").alias("m"), F.lit(0).alias("side")).unionByName(e.select(group, F.col("dst").alias("node"), F.col("src").alias("m"), F.lit(1).alias("side"))),
+        "near",
+    )
+    old = cut(near.select(group, "node").distinct().withColumn("label", F.col("node")), "labels")
+    for _ in range(sweeps):
+        guess = old
+        while True:
+            known = old.withColumnRenamed("label", "was").join(guess.withColumnRenamed("label", "now"), [group, "node"]).withColumnRenamed("node", "m")
+            met = near.join(known, [group, "m"]).select(group, "node", F.when(F.col("m") < F.col("node"), F.col("now")).otherwise(F.col("was")).alias("label"), F.struct("side", "m").alias("at"))
+            votes = met.groupBy(group, "node", "label").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+            new = cut(votes.groupBy(group, "node").agg(F.min_by("label", F.struct(-F.col("n"), F.col("at"))).alias("label")), "labels")
+            differs = lambda a, b: not a.join(b.withColumnRenamed("label", "other"), [group, "node"]).where("label <> other").isEmpty()
+            settled = not differs(new, guess)
+            guess = new
+            if settled:
+                break
+        if not differs(guess, old):
+            break
+        old = guess
+    return guess

@@ -1,6 +1,7 @@
 """Order-dependent operators and edges on tables made by hand."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -138,3 +139,27 @@ def test_upsert_stream_is_latest_wins(spark, tiny, tmp_path):
     ST.upsert_stream(spark, str(tmp_path / "in"), schema, str(tmp_path / "c"), "user_id", "event_id", lambda: None, lambda df: held.update(rows=df.collect())).awaitTermination(120)
     want = {r.user_id: r.m for r in spark.read.parquet(f"{tiny}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("m")).collect()}
     assert {r.user_id: r.event_id for r in held["rows"]} == want
+
+
+def test_communities_as_joins_equal_the_sequential_order(spark):
+    r = random.Random(5)
+    rows = [(g, r.randrange(k), r.randrange(k)) for g, k, n in (("a", 12, 30), ("b", 40, 70), ("c", 3, 5)) for _ in range(n)]
+    got = {(x.repo, x.node): x.label for x in G.communities(spark.createDataFrame(rows, "repo string, src long, dst long").repartition(5), "repo").collect()}
+    want = {}
+    for g in "abc":
+        edges = sorted({(s, t) for h, s, t in rows if h == g})
+        near = {n: [t for s, t in edges if s == n] + [s for s, t in edges if t == n] for n in sorted({n for e in edges for n in e})}
+        want |= {(g, n): x for n, x in G.propagate_labels(near).items()}
+    assert got == want
+
+
+def test_graph_queries_see_all_edges(spark, tiny):
+    from tallyloom.plans.registry import QUERIES
+
+    e = {(r.l_suppkey, r.l_partkey % 100) for r in spark.read.parquet(f"{tiny}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
+    plan = QUERIES["g05_communities"](spark, tiny)
+    assert {r.node for r in plan.collect()} == {n for x in e for n in x}
+    got = {r.src: r.targets for r in QUERIES["g03_adjacency_all"](spark, tiny).collect()}
+    assert got == {s: ",".join(str(t) for t in sorted(b for a, b in e if a == s != b)) for s in {a for a, b in e if a != b}}
+    codes = {r.code: r.n for r in QUERIES["g02_graph_integrity_all"](spark, tiny).collect()}
+    assert codes["self_loop"] > 0 and codes["duplicate"] > 0
