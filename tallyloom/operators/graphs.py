@@ -67,6 +67,42 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, depth:
     return done
 
 
+def first_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, nodes: int = 8) -> DataFrame:
+    """(path): breadth first from each start, targets in ascending order; a node is passed once a start, a sink is reached by each edge and passed by none.
+
+    Paths have at most so many nodes before the sink. In each round a start's first path to a new node is the least of its paths, which is the queue's order.
+    """
+    edges = cut(edges.select("src", "dst").distinct(), "edges")
+    ends = sinks.select(F.col("node").alias("dst"), F.lit(True).alias("is_sink")).distinct()
+    open_ = cut(starts.select(F.col("node").alias("start"), F.col("node").alias("last"), F.array("node").alias("path")).distinct(), "paths")
+    seen, done = open_.select("start", F.col("last").alias("dst")), None
+    for _ in range(nodes):
+        step = cut(open_.join(edges, F.col("last") == F.col("src")).where("dst <> start").join(ends, "dst", "left").select("start", "dst", F.concat("path", F.array("dst")).alias("path"), F.coalesce("is_sink", F.lit(False)).alias("is_sink")), "paths")
+        hit = step.where("is_sink").select("path")
+        done = hit if done is None else done.unionByName(hit)
+        new = step.where("not is_sink").join(seen, ["start", "dst"], "left_anti").groupBy("start", "dst").agg(F.min("path").alias("path"))
+        open_ = cut(new.select("start", F.col("dst").alias("last"), "path"), "paths")
+        seen = seen.unionByName(open_.select("start", F.col("last").alias("dst")))
+    return done
+
+
+def terminals(edges: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
+    """(path, hops): each path of a start without a node twice, to where nothing goes on: no edge, only nodes that it has been through, or depth edges.
+
+    hops is twice the path's edges, as the reference counts it. The number of paths grows with the degree to the power of depth, so this is for sparse graphs.
+    """
+    edges = cut(edges.groupBy("src").agg(F.collect_set("dst").alias("next")), "edges")
+    open_ = cut(starts.select(F.array("node").alias("path"), F.col("node").alias("last")).distinct(), "paths")
+    done = None
+    for _ in range(depth):
+        step = open_.join(edges, F.col("last") == F.col("src"), "left").select("path", F.array_except(F.coalesce("next", F.array().cast(edges.schema["next"].dataType)), "path").alias("on"))
+        step = cut(step, "steps")
+        ended = step.where("size(on) = 0").select("path")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = cut(step.select("path", F.explode("on").alias("last")).select(F.concat("path", F.array("last")).alias("path"), "last"), "paths")
+    return done.unionByName(open_.select("path")).select("path", (2 * (F.size("path") - 1)).cast("long").alias("hops"))
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): Kahn's levels; nodes on or behind a cycle have none (null)."""
     edges = cut(edges.select("src", "dst").distinct(), "edges")

@@ -88,6 +88,15 @@ def g07(spark, d):
     return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query("g07_bounded_paths_all")
+def g07_all(spark, d):
+    """Breadth first over all edges from all starts; of up to 8 nodes before the sink."""
+    e = every(spark, d)
+    sinks = e.select(F.col("dst").alias("node")).distinct().where("node % 7 = 3")
+    p = G.first_paths(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), sinks)
+    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query("g09_taint_fixpoint", f"with recursive {SMALL}, t as (select cast(s_suppkey as bigint) as node from supplier where s_suppkey < 3 union select dst from t join e on src = node where dst % 4 <> 0) select node from t")
 def g09(spark, d):
     s = table(spark, d, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("node"))

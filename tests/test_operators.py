@@ -163,3 +163,32 @@ def test_graph_queries_see_all_edges(spark, tiny):
     assert got == {s: ",".join(str(t) for t in sorted(b for a, b in e if a == s != b)) for s in {a for a, b in e if a != b}}
     codes = {r.code: r.n for r in QUERIES["g02_graph_integrity_all"](spark, tiny).collect()}
     assert codes["self_loop"] > 0 and codes["duplicate"] > 0
+
+
+def test_paths_of_eight_nodes_equal_brute_force(spark):
+    r = random.Random(8)
+    edges = sorted({(r.randrange(14), r.randrange(14)) for _ in range(30)} | {(100 + k, 101 + k) for k in range(9)} | {(k, 99) for k in (100, 105, 107, 108)})
+    starts, sinks = [0, 1, 3, 100, 106], {5, 9, 99}
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    start = spark.createDataFrame([(s,) for s in starts], "node long")
+    want = []
+    for s in starts:
+        seen, queue = {s}, [[s]]
+        for p in queue:
+            for _, t in (e for e in edges if e[0] == p[-1] and e[1] != s):
+                if len(p) > 8:
+                    continue
+                if t in sinks:
+                    want.append([*p, t])
+                elif t not in seen:
+                    seen.add(t)
+                    queue.append([*p, t])
+    got = [x.path for x in G.first_paths(df, start, spark.createDataFrame([(s,) for s in sinks], "node long")).collect()]
+    assert sorted(got) == sorted(want) and [*range(100, 108), 99] in got and [*range(100, 109), 99] not in got
+
+    def walk(p):
+        on = [t for s, t in edges if s == p[-1] and t not in p] if len(p) <= 8 else []
+        return [x for t in on for x in walk([*p, t])] or [p]
+
+    got = sorted((x.path, x.hops) for x in G.terminals(df, start).collect())
+    assert got == sorted((p, 2 * (len(p) - 1)) for s in starts for p in walk([s])) and max(h for _, h in got) == 16
