@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
+from tallyloom.operators.graphs import cut
 
 
 def owned_once(files: DataFrame, owners: DataFrame, key: str) -> DataFrame:
@@ -92,3 +93,12 @@ def latest(rows: DataFrame, key: list[str], order: Column, value: str) -> DataFr
 
 def top_k(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with their place in the whole order, from 1: each range partition numbers its own rows, from the sum of the counts of those before it."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select("_range", (F.sum("n").over(W.orderBy("_range")) - F.col("n")).alias("before"))  # one row a partition
+    number = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_number", number).join(F.broadcast(before), "_range").withColumn("place", F.col("before") + F.col("_number")).drop("_range", "_number", "before")

@@ -9,7 +9,7 @@ from tallyloom.functions import text as X
 from tallyloom.operators import graphs as G
 from tallyloom.operators import joins as J
 from tallyloom.plans.bindings import cte, table, view
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import ORACLE_SQL, query
 from tallyloom.sources import files as R
 
 EV, CA, FI, ED = cte("run_events"), cte("candidates"), cte("files"), cte("edges")
@@ -88,6 +88,12 @@ def j11(spark, d):
     return f.where("file_id % 3 = 0").join(f.select("unit").distinct(), "unit", "left_semi").select("path", "unit", F.regexp_extract("path", "([^/]+)$", 1).alias("subpath"))
 
 
+@query("j11_workspace_package_all", ORACLE_SQL["j11_workspace_package"].replace(" where file_id % 3 = 0", ""))
+def j11_all(spark, d):
+    f = view(spark, d, "files")
+    return f.join(f.select("unit").distinct(), "unit", "left_semi").select("path", "unit", F.regexp_extract("path", "([^/]+)$", 1).alias("subpath"))
+
+
 @query("j21_receipts_required", "select o_orderkey as path, count(l_orderkey) as receipts, count(*) filter (l_linestatus = 'F') as current, count(*) filter (l_linestatus = 'F') > 0 as satisfied from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def j21(spark, d):
     l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.count("*").alias("r"), n("l_linestatus = 'F'").alias("c"))  # noqa: E741

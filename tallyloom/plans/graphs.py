@@ -75,8 +75,17 @@ def g05(spark, d):
 
 @query("g06_group_roles", f"with {cte('files')} select unit, case when bool_or(path like '%.tf') then 'infrastructure' when bool_or(path like '%.py') then 'service' else 'general' end as role from files where file_id % 9 = 0 group by 1")
 def g06(spark, d):
+    return roles(view(spark, d, "files").where("file_id % 9 = 0"))
+
+
+def roles(files):
     has = lambda e: F.bool_or(F.col("path").endswith(e))
-    return view(spark, d, "files").where("file_id % 9 = 0").groupBy("unit").agg(F.when(has(".tf"), "infrastructure").when(has(".py"), "service").otherwise("general").alias("role"))
+    return files.groupBy("unit").agg(F.when(has(".tf"), "infrastructure").when(has(".py"), "service").otherwise("general").alias("role"))
+
+
+@query("g06_group_roles_all", ORACLE_SQL["g06_group_roles"].replace(" where file_id % 9 = 0", ""))
+def g06_all(spark, d):
+    return roles(view(spark, d, "files"))
 
 
 @query("g07_bounded_paths", f"with recursive {SMALL}, thin as (select * from e where (src + dst) % 5 = 0), p as (select [cast(s_suppkey as bigint)] as path, s_suppkey as last, false as done from supplier where s_suppkey % 10 = 0 union all select list_append(path, dst), dst, dst % 7 = 3 from p join thin on src = last where not done and len(path) < 5 and not list_contains(path, dst)) select array_to_string(path, '>') as path from p where done")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import joins as J
 from tallyloom.plans.bindings import cte, table, view
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import ORACLE_SQL, query
 
 
 @query("j01_ownership", "select p_partkey as id, count(ps) as owners from part left join (select distinct l_partkey as ps, l_suppkey from lineitem where l_suppkey % 10 = 0) l on ps = p_partkey group by 1 having count(ps) <> 1")
@@ -231,6 +231,11 @@ def t07(spark, d):
     return table(spark, d, "part").where("p_partkey < 300").select("p_partkey", F.row_number().over(W.orderBy("p_name", "p_partkey")).alias("place"))
 
 
+@query("t07_codepoint_order_all", ORACLE_SQL["t07_codepoint_order"].replace(" where p_partkey < 300", ""))
+def t07_all(spark, d):
+    return J.places(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"]).select("p_partkey", "place")
+
+
 @query("t09_cap_flags", f"with {cte('files')} select unit, count(*) as n, count(*) >= 80 as truncated from files group by 1")
 def t09(spark, d):
     return view(spark, d, "files").groupBy("unit").agg(F.count("*").alias("n"), (F.count("*") >= 80).alias("truncated"))

@@ -192,3 +192,20 @@ def test_paths_of_eight_nodes_equal_brute_force(spark):
 
     got = sorted((x.path, x.hops) for x in G.terminals(df, start).collect())
     assert got == sorted((p, 2 * (len(p) - 1)) for s in starts for p in walk([s])) and max(h for _, h in got) == 16
+
+
+def test_places_across_range_partitions(spark):
+    r = random.Random(7)
+    rows = [(r.choice("äbcZé日") * r.randrange(3), k) for k in range(500)]
+    found = J.places(spark.createDataFrame(rows, "s string, k long").repartition(6), ["s", "k"])
+    want = {k: i for i, (_, k) in enumerate(sorted(rows, key=lambda x: (x[0].encode(), x[1])), 1)}
+    assert {x.k: x.place for x in found.collect()} == want
+
+
+def test_queries_of_all_parts(spark, tiny):
+    from tallyloom.plans.registry import QUERIES
+
+    n = spark.read.parquet(f"{tiny}/part.parquet").count()
+    assert QUERIES["j11_workspace_package_all"](spark, tiny).count() == n
+    assert sorted(x.place for x in QUERIES["t07_codepoint_order_all"](spark, tiny).collect()) == list(range(1, n + 1))
+    assert {x.unit for x in QUERIES["g06_group_roles_all"](spark, tiny).collect()} == {x.p_brand for x in spark.read.parquet(f"{tiny}/part.parquet").select("p_brand").collect()}
