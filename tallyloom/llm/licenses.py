@@ -1,9 +1,13 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-What is compared is each line of a text, each block (lines between blank ones) and the whole text, for a licence can stand in any of them. Normalising
-lowers A-Z and leaves words of ASCII letters and digits and of other characters, so case, signs and spacing don't count. The Dice coefficient of two
-sets is at most twice the smaller size over the sum of sizes, which bounds the sizes that a unit can have for each template: units outside all bounds,
-most of all text, are dropped before any comparison, and others meet only the templates whose bounds they keep.
+What is compared is each line of a text, each block (lines between blank ones) and the whole text, and then every run of words, for a licence can take
+several blocks of a longer text or share its line with other words. Normalising lowers A-Z and leaves words of ASCII letters and digits and of other
+characters, so case, signs and spacing don't count. The Dice coefficient of two sets is at most twice the smaller size over the sum of sizes, which bounds
+the sizes that a unit can have for each template: units outside all bounds, most of all text, are dropped before any comparison, and others meet only the
+templates whose bounds they keep. A template whose bigrams a text has too few of can't be reached by any of its runs, which spares nearly all texts the search.
+
+Of overlapping runs of a template the one with the greatest coefficient counts (the first of equal ones), of those of several templates the one with most
+bigrams in common; a run that overlaps a line, block or text which matches with as many bigrams in common is that match and counts no second time.
 
 Null and empty texts have no units and no licences. Of templates with equal coefficients for a unit the first name counts. A unit that repeats counts once
 for each time. Repeated rows and null ids stay; an empty table gives no rows. Other columns aren't read.
@@ -52,44 +56,92 @@ class Templates:
         self.most = max((s * (2 - threshold) / threshold for s in sizes), default=0)
         self.any = frozenset().union(*self.sets.values())
 
-    def best(self, unit: frozenset) -> tuple[str, float] | None:
+    def best(self, unit: frozenset) -> tuple[str, float, int] | None:
+        """Name, coefficient and number of common bigrams."""
         n, found = len(unit), None
         for name, s in self.sets.items():
             # 2 * min / sum >= threshold is needed before the sets are looked at.
             if s and 2 * min(n, len(s)) >= self.threshold * (n + len(s)):
-                d = 2 * len(unit & s) / (n + len(s))
+                c = len(unit & s)
+                d = 2 * c / (n + len(s))
                 if d >= self.threshold and (found is None or d > found[1]):
-                    found = name, d
+                    found = name, d, c
         return found
 
+    def runs(self, words: list[bytes]) -> list[tuple[str, float, int, int, int]]:
+        """Name, coefficient, common bigrams, first word and end of the runs of words that reach the threshold, none overlapping another."""
+        grams = list(pairwise(words))
+        present, found = self.any.intersection(grams), []
+        for name, s in self.sets.items():
+            # A run has at least its common bigrams, so 2 * c / (c + len(s)) bounds what c of them can reach.
+            if not s or 2 * len(present & s) < self.threshold * (len(present & s) + len(s)):
+                continue
+            each = []
+            for i, first in enumerate(grams):
+                # The best run begins and ends with a common bigram and has that first one only once.
+                if first not in s:
+                    continue
+                seen, c, best = set(), 0, None
+                for j in range(i, len(grams)):
+                    g = grams[j]
+                    if g in seen:
+                        if g == first:
+                            break
+                        continue
+                    seen.add(g)
+                    if self.threshold * (len(seen) + len(s)) > 2 * len(s):
+                        break
+                    if g in s:
+                        c += 1
+                        d = 2 * c / (len(seen) + len(s))
+                        if d >= self.threshold and (best is None or d > best[1]):
+                            best = name, d, c, i, j + 2
+                if best:
+                    each.append(best)
+            found += apart(sorted(each, key=lambda m: (-m[1], m[3])))
+        return apart(sorted(found, key=lambda m: (-m[2], -m[1], m[0], m[3])))
+
+
+def apart(runs: list[tuple]) -> list[tuple]:
+    """Those that overlap none before them."""
+    out: list[tuple] = []
+    for r in runs:
+        if all(r[4] <= o[3] or o[4] <= r[3] for o in out):
+            out.append(r)
+    return out
+
 
-def units_of(text: str) -> list[list[bytes]]:
-    """The words of each line, of each block of more than one line, and of the text if it has more than one block."""
-    lines = [words_of(line) for line in text.split("\n")]
-    blocks, block = [], []
-    for line in [*lines, []]:
+def units_of(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """The words, and from where to where each line, each block of more than one line, and the text if it has more than one block have them."""
+    words, lines, blocks, block = [], [], [], []
+    for line in [*(words_of(line) for line in text.split("\n")), []]:
         if line:
-            block.append(line)
+            block.append((len(words), len(words) + len(line)))
+            words += line
         elif block:
-            blocks.append(block)
+            lines += block
+            blocks.append((block[0][0], block[-1][1], len(block)))
             block = []
-    out = [line for line in lines if line]
-    out += [[w for line in b for w in line] for b in blocks if len(b) > 1]
+    out = lines + [(i, j) for i, j, n in blocks if n > 1]
     if len(blocks) > 1:
-        out.append([w for b in blocks for line in b for w in line])
-    return out
+        out.append((0, len(words)))
+    return words, out
 
 
 def matches(text: str | None, templates: Templates) -> list[tuple[str, float]]:
-    """The best template of each unit that reaches the threshold with one."""
+    """The best template of each unit that reaches the threshold with one, runs of words first."""
+    words, units = units_of(text or "")
+    if len(words) - 1 < templates.least or templates.any.isdisjoint(pairwise(words)):
+        return []
     out = []
-    for words in units_of(text or ""):
-        if len(words) - 1 < templates.least or templates.any.isdisjoint(pairwise(words)):
+    for i, j in units:
+        if j - i - 1 < templates.least or templates.any.isdisjoint(pairwise(words[i:j])):
             continue
-        unit = bigrams(words)
+        unit = bigrams(words[i:j])
         if templates.least <= len(unit) <= templates.most and (m := templates.best(unit)):
-            out.append(m)
-    return out
+            out.append((*m, i, j))
+    more = [r for r in templates.runs(words) if not any(m[2] >= r[2] and m[3] < r[4] and r[3] < m[4] for m in out)]
+    return [m[:2] for m in more + out]
 
 
 def scan_licenses(docs: DataFrame, texts: dict[str, str] | None = None, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,3 +58,17 @@ def test_licences(spark, odd, nothing):
     assert licenses.matches(None, t) == []
     assert {r.licenses for r in licenses.scan_licenses(odd).collect()} == {""}
     assert licenses.scan_licenses(nothing).collect() == []
+
+
+def test_licences_of_several_blocks_and_within_lines():
+    t = licenses.Templates(licenses.TEMPLATES, 0.8)
+    mit = licenses.TEMPLATES["MIT-text"]
+    cut = mit.replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    rest = "\n\n".join(f"paragraph {k} is of other things {k} such as w{k} x{k} y{k}" for k in range(100))
+    assert cut.count("\n\n") == 2
+    assert licenses.matches(f"Copyright (c) 2020 Someone\n\n{cut}\n\n{rest}", t) == [("MIT-text", 1.0)]
+    assert licenses.matches(f"{rest}\n\n{cut}\n\n{rest}\n{cut}", t) == [("MIT-text", 1.0)] * 2
+    header = licenses.TEMPLATES["Apache-2.0-header"].replace("LICENSE-2.0 Unless", "LICENSE-2.0\n\nUnless")
+    assert ("Apache-2.0-header", 1.0) in licenses.matches(f"{header}\n\n{rest}", t)
+    assert licenses.matches("Copyright 2020 Someone. Released under the MIT License. See LICENSE for the whole of it.", t) == [("MIT", 1.0)]
+    assert licenses.matches("Released under the MIT License.\nAnd so on, with some more words here", t) == [("MIT", 1.0)]
