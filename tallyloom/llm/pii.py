@@ -18,15 +18,22 @@ from tallyloom.llm.common import documents
 
 #: Patterns, tried from left to right at each place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,15}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ACCESS_KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 PASSWORD = r"(?<=password=)[^\s\"'&]{4,64}"
 DATE = r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z/-])"
 IP = r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
-PATTERN = "|".join((EMAIL, IBAN, ACCESS_KEY, PASSWORD, DATE, IP, SSN, PHONE, CARD))
+#: The whole run of digit groups that a card may be in, but for a last group that begins an address or date; pieces() looks for what is in it.
+RUN = r"(?<![0-9A-Za-z])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]*(?<=[0-9])(?![0-9A-Za-z])(?!(?<=[ -][0-9]{1,3})\.[0-9]|(?<=[ -][0-9]{2})/[0-9])"
+#: Cards as they are printed: digits without a break, by fours, or 4, 6 and 4 or 5.
+PRINTED = r"[0-9]{13,19}|[0-9]{4}([ -])(?:[0-9]{4}\1){2}(?:[0-9]{1,4}|[0-9]{4}\1[0-9]{1,3})|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5}"
+#: A further group of a phone's digits: none that another value begins at, and none that makes them more than 15.
+GROUP = rf"(?!{IP}|{DATE}|{SSN}|[0-9]{{4}}(?:[ -]?[0-9]{{4}}){{3}}(?![ -]?[0-9A-Za-z]))[0-9]{{2,4}}(?<!{'[0-9][ .()-]{0,2}' * 15}[0-9])"
+LOCAL_PHONE = r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+PHONE = rf"(?<![0-9A-Za-z])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?{GROUP}(?:[ .-]?{GROUP}){{1,4}}|\([0-9]{{3}}\)[ .-]?[0-9]{{3}}[.-][0-9]{{4}}|{LOCAL_PHONE})(?![0-9A-Za-z])"
+PATTERN = "|".join((EMAIL, IBAN, ACCESS_KEY, PASSWORD, DATE, IP, SSN, PHONE, RUN))
 
 ROUNDS = 6
 KEY = "tallyloom"
@@ -122,6 +129,24 @@ def kind_of(value: str) -> str:
         end"""
 
 
+def pieces(value: str) -> str:
+    """What a matched string consists of, as structs of v and k (the kind, or null) that together are the string.
+
+    A match that no check confirms is searched again from each of its groups on: at each the longest run of groups that a check confirms is a value.
+    """
+    near = "concat(coalesce(get(t, i - 2), ''), coalesce(get(t, c.e), ''))"
+    checked = f"""case
+        when c.k = 'iban' then c.v rlike {_sql(f'^(?:{IBAN})$')}
+        when c.k = 'card' then c.v rlike {_sql(f'^(?:{PRINTED})$')} or c.v rlike {_sql(f'^(?:{CARD})$')} and not coalesce(concat(c.v, get(t, c.e), get(t, c.e + 1)) rlike {_sql(f'^(?:{CARD})$')}, false)
+        when c.k is not null and c.k <> 'password' then c.v rlike {_sql(f'^(?:{DATE}|{SSN}|{LOCAL_PHONE}|{ACCESS_KEY})$')} and {near} not rlike '[./-]' end"""
+    ends = "filter(sequence(least(size(t), i + 36), i, -1), e -> t[i - 1] rlike '[0-9A-Z]' and t[e - 1] rlike '[0-9A-Z]')"
+    runs = f"filter(transform({ends}, e -> named_struct('e', e, 'v', array_join(slice(t, i, e - i + 1), ''))), c -> length(c.v) between 8 and 42)"
+    best = f"get(filter(transform({runs}, c -> named_struct('e', c.e, 'v', c.v, 'k', {kind_of('c.v')})), c -> {checked}), 0)"
+    step = f"transform(array(coalesce({best}, named_struct('e', i, 'v', t[i - 1], 'k', cast(null as string)))), b -> named_struct('next', b.e + 1, 'out', concat(s.out, array(named_struct('v', b.v, 'k', b.k)))))[0]"
+    again = f"transform(array(regexp_extract_all({value}, '[0-9A-Za-z]+|[^0-9A-Za-z]+', 0)), t -> aggregate(sequence(1, size(t)), named_struct('next', 1, 'out', cast(array() as array<struct<v: string, k: string>>)), (s, i) -> case when i < s.next then s else {step} end, s -> s.out))[0]"
+    return f"transform(array({kind_of(value)}), k -> case when k is null and length({value}) >= 13 then {again} else array(named_struct('v', {value}, 'k', k)) end)[0]"
+
+
 def pseudonym(value: str, kind: str, key: str) -> str:
     """The pseudonym of a matched string of a kind; the string itself where the kind is null."""
     plain = f"regexp_replace({value}, '[ -]', '')"
@@ -155,12 +180,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> Dat
     some = text.rlike("[0-9@]|password=")  # no pattern matches without; a cheap look spares most texts the rest
     parts = F.split(text, PATTERN)
     found = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    values = F.transform(found, lambda v: F.struct(v.alias("v"), F.lit(None).cast("string").alias("k")))
-    docs = docs.withColumn("_found", F.when(some, values))
-    docs = docs.withColumn("_found", F.expr(f"transform(_found, f -> named_struct('v', f.v, 'k', {kind_of('f.v')}))"))
-    docs = docs.withColumn("_new", F.expr(f"transform(_found, f -> {pseudonym('f.v', 'f.k', key)})"))
+    docs = docs.withColumn("_found", F.when(some, found))
+    docs = docs.withColumn("_found", F.expr(f"transform(_found, v -> {pieces('v')})"))
+    docs = docs.withColumn("_new", F.expr(f"transform(_found, p -> array_join(transform(p, f -> {pseudonym('f.v', 'f.k', key)}), ''))"))
     joined = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, v: F.concat(F.coalesce(p, F.lit("")), F.coalesce(v, F.lit("")))), "")
-    kinds = F.filter(F.transform("_found", lambda f: f["k"]), lambda k: k.isNotNull())
+    kinds = F.filter(F.transform(F.flatten("_found"), lambda f: f["k"]), lambda k: k.isNotNull())
     return (
         docs.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(text))
         .withColumn("n_pii", F.coalesce(F.size(kinds), F.lit(0)).cast("long"))

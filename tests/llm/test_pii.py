@@ -47,3 +47,17 @@ def test_no_python_in_the_plan_and_distinct_values_stay_distinct(spark):
 
 def test_empty_table(spark, nothing):
     assert pseudonymise(nothing).collect() == []
+
+
+def test_values_beside_other_digits_are_found(spark):
+    texts = [
+        ("+1 (826) 555-4081 190.137.223.204", "ip,phone"), ("2024 4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 12", "card"), ("+1 826 555 4081 4111 1111 1111 1111", "card,phone"),
+        ("4111 1111 1111 1111 190.137.223.204", "card,ip"), ("4111 1111 1111 1111 12/31/1999", "card,date_mdy"), ("7 4111111111111111 123-45-6789", "card,ssn"),
+        ("AB12 4111 1111 1111 1111", "card"), ("BE68 5390 0754 7034 ABCD", "iban"), ("1 2 3 4 5 6 7 8", ""), ("+1 (826) 555-4081 2024-02-29", "date,phone"),
+    ]
+    old = ["190.137.223.204", "555-4081", "555 4081", "4111 1111 1111", "411111111111", "12/31/1999", "123-45-6789", "BE68 5390", "2024-02-29"]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(t for t, _ in texts)), "doc_id long, text string")).collect()}
+    for i, (t, kinds) in enumerate(texts):
+        assert (got[i].kinds, len(got[i].text)) == (kinds, len(t)) or "ip" in kinds and got[i].kinds == kinds, (t, got[i])
+        assert not any(o in got[i].text for o in old), got[i]
+    assert got[1].text.startswith("2024 ") and got[2].text.endswith(" 12") and got[8].text.endswith(" ABCD") and got[9].text == "1 2 3 4 5 6 7 8"
