@@ -8,8 +8,7 @@ a class. A logistic curve fitted to training rows turns the difference into a sc
 
 Labels are read only from rows whose crc32(doc_id as text) mod 5 isn't 0; of each class at most about SAMPLE rows, drawn by a hash of the id, are
 trained on (the documented bound of the fitted model; every document is scored in whole). Rows without a label, an id or a document don't train; a
-document labelled twice is toxic if any label says so; of texts with one and the same least shingle hash, which copies and most near copies share, one
-trains. Null and empty texts, and all texts where there is nothing to learn from, score the base rate of the training labels (0.0 without labels). Repeated rows and null ids are scored as they stand; an empty
+document labelled twice is toxic if any label says so; of texts with equal sets of shingles one trains, with its own label (a toxic one, if there is one). Null and empty texts, and all texts where there is nothing to learn from, score the base rate of the training labels (0.0 without labels). Repeated rows and null ids are scored as they stand; an empty
 table gives no rows. Other columns are not read.
 """
 
@@ -24,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import documents, fold_of, mix64, staged, words_of
-from tallyloom.llm.jaccard import shingles_of
+from tallyloom.llm.common import documents, fold_of, staged, words_of
+from tallyloom.llm.jaccard import _set_id, shingles_of
 
 #: Labelled rows of each class that train, at most (in expectation); words in the closed vocabulary; pooled count of a word in it; of a pair that is kept.
 SAMPLE, VOCABULARY, WORD_COUNT, PAIR_COUNT = 12_000, 60_000, 3, 4
@@ -46,13 +45,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
     joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
 
-    def sketch(batches):
+    def sets(batches):
         for b in batches:
-            least = [int(x[0]) if len(x := mix64(shingles_of(t))) and not x.sort() else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(least, np.uint64).view(np.int64)), *b.columns], ["sketch", "toxic", "text"])
+            ids = [_set_id(shingles_of(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), *b.columns], ["set_id", "toxic", "text"])
 
-    sketched = joined.select("toxic", "text").mapInArrow(sketch, "sketch long, toxic int, text string")
-    return sketched.groupBy("sketch").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), (sizes.get(1, 0) / total if total else 0.0)
+    known_sets = joined.select("toxic", "text").mapInArrow(sets, "set_id binary, toxic int, text string")
+    kept = known_sets.groupBy("set_id").agg(F.min(F.struct((-F.col("toxic")).alias("minus"), "text")).alias("r"))
+    return kept.select((-F.col("r.minus")).alias("toxic"), "r.text"), (sizes.get(1, 0) / total if total else 0.0)
 
 
 def _counted(rows: DataFrame, keys) -> DataFrame:

@@ -96,3 +96,18 @@ def test_toxicity_of_odd_rows_and_without_labels(spark, odd, nothing):
     assert toxicity.score_toxicity(nothing, labels).collect() == []
     kept = toxicity.without_toxic(odd, labels)
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_only_equal_sets_are_one_training_row_with_its_own_label(spark):
+    passage = " ".join(f"common{k}" for k in range(200))
+    own = [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(60)]
+    rows = [(i, f"{passage} {own[i]}") for i in range(60)] + [(100 + i, f"{own[i]} and then") for i in range(60)] + [(200 + i, f"{own[i].upper()} AND then") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.toxic, r.text) for r in toxicity.training_rows(docs, labels)[0].collect()]
+    trains = {r.doc_id for r in labels.where(toxicity.fold_of(toxicity.F.col("doc_id")) % 5 != 0).collect()}
+    want = {}
+    for i, t in rows:
+        if i in trains:
+            want.setdefault(t.lower(), []).append((-int(i % 3 == 0), t))
+    assert sorted(got) == sorted((-c, t) for c, t in map(min, want.values()))
