@@ -1,8 +1,8 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
 Texts are sets of five-word shingles (64-bit hashes; a shorter text is one shingle). Texts with equal sets form one node, so copies cost a count and no
-pairs. Each of TREES trees keeps the nodes' signatures as paths of a prefix trie; the matched prefix is shortened, level by level from the full depth,
-until the trees together find a pair at the threshold with the target probability. Nodes that share such a prefix in any tree are linked to the least of
+pairs. Each of TREES trees is a band: its labels are one hash, and the band has as many as still let the trees together find a pair at the threshold with
+the target probability, a number that follows from the parameters alone. Nodes that share such a hash in any tree are linked to the least of
 them (a star, never all pairs), stars are joined to clusters, and every cluster is verified exactly: it is dealt into blocks of bounded size, each pair
 of blocks is one task's work, and what leaves a task is a count for each node and a spanning forest of the links, never the links themselves. Classes are
 the connected components of the verified links.
