@@ -326,6 +326,26 @@ def z33(spark, d):
     return a.unionByName(na.agg((F.count("*") - F.countDistinct("n_nationkey")).alias("n")).select(F.lit("duplicate_id").alias("code"), "n"))
 
 
+def contract_codes(ids, references, depends):
+    """(code, n): ids that repeat, references (node) to no id, and ids on or behind a cycle of depends (src before dst)."""
+    row = lambda code, df, m: df.agg(m.cast("long").alias("n")).select(F.lit(code).alias("code"), "n")
+    known = ids.select("node").distinct()
+    stuck = G.peel(known, depends.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")).where("level is null")
+    return (
+        row("unknown_reference", references.join(known, "node", "left_anti"), F.count("*"))
+        .unionByName(row("duplicate_id", ids, F.count("*") - F.countDistinct("node")))
+        .unionByName(row("cycle", stuck, F.count("*")))
+    )
+
+
+@query("z33_contract_validation_all")
+def z33_all(spark, d):
+    """Nations as the tasks of a contract, each after the one that half its key names (g13_levels)."""
+    ids = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    after = ids.where("node > 0").selectExpr("(node - 1) div 2 as src", "node as dst")
+    return contract_codes(ids, after.selectExpr("src as node"), after)
+
+
 @query("x08_jsonc_strip", "select event_id, props as plain from events")
 def x08(spark, d):
     e = table(spark, d, "events").select("event_id", F.concat(F.lit("/* note */ "), F.replace("props", F.lit("}"), F.lit(", } // end"))).alias("t"))

@@ -209,3 +209,11 @@ def test_queries_of_all_parts(spark, tiny):
     assert QUERIES["j11_workspace_package_all"](spark, tiny).count() == n
     assert sorted(x.place for x in QUERIES["t07_codepoint_order_all"](spark, tiny).collect()) == list(range(1, n + 1))
     assert {x.unit for x in QUERIES["g06_group_roles_all"](spark, tiny).collect()} == {x.p_brand for x in spark.read.parquet(f"{tiny}/part.parquet").select("p_brand").collect()}
+
+
+def test_contract_codes_name_cycles(spark):
+    from tallyloom.plans.assessment import contract_codes
+
+    ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (5,)], "node long")
+    after = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (1, 5), (9, 5)], "src long, dst long")
+    assert {r.code: r.n for r in contract_codes(ids, after.selectExpr("src as node"), after).collect()} == {"unknown_reference": 1, "duplicate_id": 1, "cycle": 3}
