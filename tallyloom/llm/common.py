@@ -20,24 +20,42 @@ _roots: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset (tests, one machine) a temporary one."""
+    """A folder of this session that the driver and all executors share, below spark.checkpoint.dir.
+
+    Where that is unset a local master takes a temporary folder; on a cluster that would lose data, so it's an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            base = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         _roots[app] = f"{base.rstrip('/')}/tallyloom-{uuid.uuid4().hex}"
         atexit.register(release, spark)
     return _roots[app]
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes what this session has staged; results that still read it can't be computed any more."""
-    try:
-        root = _roots.pop(spark.sparkContext.applicationId, None)
-        if root:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session has already stopped
-        pass
+    """Deletes what this session has staged; results that still read it can't be computed any more. To be called before the session stops."""
+    context = spark.sparkContext
+    if context._jsc is None:  # it has stopped: its folder has to be deleted by hand
+        return
+    root = _roots.pop(context.applicationId, None)
+    if root:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column has it (Spark compares names without case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

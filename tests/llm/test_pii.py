@@ -61,3 +61,43 @@ def test_values_beside_other_digits_are_found(spark):
         assert (got[i].kinds, len(got[i].text)) == (kinds, len(t)) or "ip" in kinds and got[i].kinds == kinds, (t, got[i])
         assert not any(o in got[i].text for o in old), got[i]
     assert got[1].text.startswith("2024 ") and got[2].text.endswith(" 12") and got[8].text.endswith(" ABCD") and got[9].text == "1 2 3 4 5 6 7 8"
+
+
+SECRETS = [
+    "password=12345678", "password=AB12CDEF99", "password=p@ssw0rd", "password=" + "aB3" * 24, "login password=x1 and Password='quoted9' then", "pwd=4111111111111111&user=bob", "password=joe@example.com ok",
+    "password=+12025550123", "password=", "ask +12025550123 or +1 202 555 0123 or (202) 555-0123 or 202-555-0123 or +44 20 7946 0958", "666-12-3456 899-99-9999 001-01-0001 665-10-1000 667-10-1000",
+]
+
+
+def test_results_equal_plain_python(spark, tiny, odd):
+    from brute_pii import pseudonymised
+
+    rows = [(i, t) for i, t in enumerate(SECRETS + [t for _, t in TEXTS])]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (made, odd.select("doc_id", "text"), spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")):
+        texts = {(r.doc_id, r.text) for r in df.collect()}
+        want = sorted((d or 0, *(x or "" for x in pseudonymised(t))) for d, t in texts)
+        assert sorted((r.doc_id or 0, r.text or "", r.n_pii or "", r.kinds) for r in pseudonymise(df.distinct()).collect()) == want
+
+
+def test_passwords_phones_and_numbers(spark):
+    got = [r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for old in ("12345678", "AB12CDEF99", "ssw0rd", "aB3aB3", "x1", "quoted9", "4111111111111111", "joe@example", "2025550123", "202 555 0123", "555-0123"):
+        assert not any(old in t for t in got), old
+    assert re.fullmatch("password=[A-Za-z0-9]{72}", got[3]) and got[5].endswith("&user=bob") and got[8] == "password="
+    a, b, c, d, e = re.fullmatch(r"ask \+1(\d{10}) or \+1 (\d{3} \d{3} \d{4}) or (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4}) or \+44 (.*)", got[9]).groups()
+    assert len({re.sub("[^0-9]", "", x) for x in (a, b, c, d)}) == 1 and e != "20 7946 0958"
+    assert got[10].startswith("666-12-3456 ")
+
+
+def test_valid_numbers_stay_valid_and_apart(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "concat(lpad(case when id % 899 + 1 = 666 then 1 else id % 899 + 1 end, 3, '0'), '-', lpad(id % 99 + 1, 2, '0'), '-', lpad(id % 9999 + 1, 4, '0')) as text").dropDuplicates(["text"])
+    got = [r.text for r in pseudonymise(df).collect()]
+    assert len(set(got)) == len(got) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", t) for t in got)
+
+
+def test_columns_of_the_same_names_stay_and_long_secrets_end(spark):
+    df = spark.createDataFrame([(1, "password=" + "Zz9" * 40_000, "k", 5, "f")], "doc_id long, text string, kinds string, N_PII int, _found string")
+    r = pseudonymise(df).first()
+    assert pseudonymise(df).columns == ["doc_id", "text", "kinds", "N_PII", "_found", "n_pii_", "kinds_"]
+    assert (r.kinds, r.N_PII, r["_found"], r["n_pii_"], r["kinds_"]) == ("k", 5, "f", 1, "password") and len(r.text) == 120_009 and "Zz9Zz9Zz9" not in r.text
