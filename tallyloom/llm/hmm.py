@@ -1,12 +1,15 @@
 """Scores of a hidden Markov language model, trained by Baum-Welch over all training documents.
 
 Symbols are the corpus's most frequent words (each its own), buckets for all other words, and the end. A state emits a symbol; a word in a bucket is then
-drawn by its smoothed share of the bucket's training tokens. Expected counts are gathered partition by partition with the scaled forward-backward
-recursion, merged in a tree of tasks, and give the next model. The first rounds see a small share of the partitions' documents to part the states, the
-last ones all training documents. A text's score is the exact log10 probability by the scaled forward recursion, times its bucketed words' shares.
+drawn by its smoothed share of the bucket's training tokens. Every round gathers the expected counts of all training documents, partition by partition
+with the scaled forward-backward recursion, in doubles, merges them in a tree of tasks in the order of the partitions, and gives the next model. Training
+ends when a round has raised the log-likelihood by less than GAIN of itself, or after ROUNDS rounds. A text's score is the exact log10 probability by
+the scaled forward recursion, times its bucketed words' shares. So the scores follow from the table's rows alone (another partitioning changes the order
+of additions, far behind the sixth place).
 
 Word counts, and so c, N and V of the base score, come from all training documents. The FREQUENT most common words (a fixed number) go to all workers; the
-others, a small part of the tokens, are joined with their counts.
+others, a small part of the tokens, are joined with their counts. A text of any length is recursed over in segments: only the states at their borders
+are kept, and a segment's own are computed again when its turn comes on the way back.
 
 Training rows are those whose crc32(doc_id as text) mod 5 isn't 1. Null and empty texts are the end alone. Repeated rows train and are scored as often as
 they stand; null ids have the remainder 0. An empty table gives no rows. Without training rows all counts are 0 and both scores come from the smoothing
@@ -18,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import fold_of, staged
 
-#: Words that every worker holds; symbols among them; buckets for the rest; states; rounds on the first share of documents and on all; blobs a task merges.
-FREQUENT, SYMBOLS, BUCKETS, STATES = 150_000, 20_000, 64, 8
-EARLY_ROUNDS, EARLY_SHARE, FULL_ROUNDS, FAN_IN = 6, 0.03, 2, 16
-#: Tokens that are recursed over together; added to expected counts of transitions and of symbols.
-BATCH_TOKENS, SMOOTH = 400_000, (0.1, 0.01)
+#: Words that every worker holds; symbols among them; buckets for the rest; states; blobs that a task merges.
+FREQUENT, SYMBOLS, BUCKETS, STATES, FAN_IN = 150_000, 20_000, 64, 8, 16
+#: Rounds at most; the least relative gain of the log-likelihood that is worth another round.
+ROUNDS, GAIN = 8, 1e-3
+#: Tokens that are recursed over together, and that keep their states; added to expected counts of transitions and of symbols.
+BATCH_TOKENS, SMOOTH = 200_000, (0.1, 0.01)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,39 +70,40 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """What all workers know: the frequent words' counts and symbols, and the buckets' sizes; FREQUENT words at most."""
+    """What all workers know: the frequent words' counts and symbols, and the buckets' sizes; FREQUENT words at most.
+
+    The arrays are by a word's number in `index`; their last entry, which -1 finds too, is for the words that aren't in it.
+    """
 
     def __init__(self, frequent: list[tuple[str, int]], total: int, distinct: int, ends: int, bucket_tokens: np.ndarray, bucket_types: np.ndarray):
         self.total, self.distinct, self.ends = total, distinct, ends
         self.log_den = math.log10(total + 0.5 * (distinct + 1))
         words = [w.encode("utf-8", "surrogatepass") for w, _ in frequent]
-        self.count = dict(zip(words, (c for _, c in frequent), strict=True))
+        self.index = {w: i for i, w in enumerate(words)}
         self.n_own = min(SYMBOLS, len(words))
         self.end = self.n_own + BUCKETS
         self.size = self.end + 1
         self.log_bucket = np.log10(bucket_tokens + 0.5 * (bucket_types + 1))
-        self.symbol, self.log_count, self.log_share = {}, {}, {}
-        for i, (w, (_, c)) in enumerate(zip(words, frequent, strict=True)):
-            self.symbol[w] = i if i < SYMBOLS else self.n_own + bucket_of(w)
-            self.log_count[w] = math.log10(c + 0.5)
-            if i >= SYMBOLS:
-                self.log_share[w] = math.log10(c + 0.5) - float(self.log_bucket[bucket_of(w)])
+        self.own_counts = np.array([c for _, c in frequent[: self.n_own]], float)
+        bucket = np.array([bucket_of(w) for w in words[self.n_own :]], np.int64)
+        self.symbol = np.concatenate((np.arange(self.n_own), self.n_own + bucket, [0])).astype("<u2")
+        self.log_count = np.append(np.log10(np.array([c for _, c in frequent], float) + 0.5), 0.0)
+        self.log_share = np.zeros(len(words) + 1)
+        self.log_share[self.n_own : -1] = self.log_count[self.n_own : -1] - self.log_bucket[bucket]
         self.log_end = math.log10(ends + 0.5)
 
-
-class _Symbols(dict):
-    """The frequent words' symbols; another word's is its bucket's, and isn't kept."""
-
-    base: int
-
-    def __missing__(self, word: bytes) -> int:
-        return self.base + bucket_of(word)
-
-
-def symbols_for(v: Vocabulary) -> _Symbols:
-    s = _Symbols(v.symbol)
-    s.base = v.n_own
-    return s
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes], float, float]:
+        """The symbols with the end, the words that aren't frequent, and the sums of the others' logs of counts and of shares."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        ids = np.append(self.symbol[at], self.end).astype("<u2")
+        rare = np.flatnonzero(at < 0)
+        others = [words[i] for i in rare.tolist()]
+        share = float(self.log_share[at].sum())
+        if others:
+            buckets = np.array([bucket_of(w) for w in others])
+            ids[rare] = self.n_own + buckets
+            share -= float(self.log_bucket[buckets].sum())
+        return ids, others, float(self.log_count[at].sum()) + self.log_end, share
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
@@ -138,12 +144,8 @@ class Model:
 
     @staticmethod
     def first(v: Vocabulary, states: int = STATES) -> Model:
-        """Near uniform moves; emissions are the corpus's, tilted by a hash so that the states can part."""
-        share = np.empty(v.size)
-        own = list(v.count.values())[: v.n_own]
-        share[: v.n_own] = np.array(own, float) + 0.5
-        share[v.n_own : v.end] = 10**v.log_bucket
-        share[v.end] = v.ends + 0.5
+        """Near uniform moves; emissions are the corpus's, tilted by fixed random numbers so that the states can part."""
+        share = np.concatenate((v.own_counts + 0.5, 10**v.log_bucket, [v.ends + 0.5]))
         tilt = np.random.default_rng(17).random((states, v.size)) + 0.5
         emit = share * tilt
         move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
@@ -165,107 +167,149 @@ def length_batches(lengths: np.ndarray, tokens: int = BATCH_TOKENS):
         i += n
 
 
-def forward(m: Model, by_symbol: np.ndarray, ids: np.ndarray, live: np.ndarray, keep: bool):
-    """Scaled forward recursion over padded rows (time first), longest first: log10 likelihoods, and if asked the scaled states and scales.
-
-    live[t]: how many rows still run at t.
-    """
-    steps, rows = ids.shape
-    log = np.zeros(rows)
-    a = m.start[None, :] * by_symbol[ids[0]]
-    alphas, scales = ([], []) if keep else (None, None)
-    for t in range(steps):
-        n = live[t]
-        if t:
-            a = (a[:n] @ m.move) * by_symbol[ids[t, :n]]
-        c = a.sum(1)
-        a = a / c[:, None]
-        log[:n] += np.log10(c)
-        if keep:
-            alphas.append(a)
-            scales.append(c)
-    return log, alphas, scales
-
-
-def padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences (longest first) as columns, and how many still run at each time."""
-    lengths = np.array([len(s) for s in seqs])
-    ids = np.zeros((lengths[0], len(seqs)), np.int64)
-    for k, s in enumerate(seqs):
-        ids[: len(s), k] = s
-    return ids, np.searchsorted(-lengths, -np.arange(lengths[0]), "left")
-
-
-def expected(m: Model, by_symbol: np.ndarray, seqs: list[np.ndarray], start, move, emit) -> float:
-    """Adds the expected counts of some sequences (longest first); gives their log10 likelihood."""
-    ids, live = padded(seqs)
-    log, alphas, scales = forward(m, by_symbol, ids, live, True)
-    steps, states = len(alphas), len(m.start)
-    beta = np.ones((live[-1], states))
-    gammas = [None] * steps
-    for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if n > len(beta):  # rows that end here
-            beta = np.vstack((beta, np.ones((n - len(beta), states))))
-        gammas[t] = alphas[t] * beta
-        if t:
-            w = by_symbol[ids[t, :n]] * beta / scales[t][:, None]
-            move += alphas[t - 1][:n].T @ w * m.move
-            beta = w @ m.move.T
-    start += gammas[0].sum(0)
-    flat = np.concatenate([ids[t, : live[t]] for t in range(steps)])
-    gamma = np.vstack(gammas)
-    for s in range(states):
-        emit[s] += np.bincount(flat, gamma[:, s], emit.shape[1])
-    return float(log.sum())
-
-
-def train(sequences: DataFrame, v: Vocabulary, states: int = STATES, early: int = EARLY_ROUNDS, share: float = EARLY_SHARE, full: int = FULL_ROUNDS) -> Model:
-    """Baum-Welch; sequences: `ids` (packed symbols) and `key` (any hash of the row)."""
+class Rows:
+    """Sequences (longest first) time by time: `flat` has the symbols of time 0, then of time 1, and so on; at[t] is where time t begins."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        lengths = np.array([len(s) for s in seqs])
+        self.n, steps = len(seqs), int(lengths[0])
+        self.live = np.searchsorted(-lengths, -np.arange(steps), "left")  # how many still run at each time
+        self.at = np.concatenate(([0], np.cumsum(self.live)))
+        self.flat, self.row = np.empty(int(self.at[-1]), "<u2"), np.empty(int(self.at[-1]), np.int64)
+        for k, s in enumerate(seqs):
+            places = self.at[: len(s)] + k
+            self.flat[places], self.row[places] = s, k
+
+    def segments(self, tokens: int) -> list[tuple[int, int]]:
+        """Spans of times of about so many tokens."""
+        cuts = [0, *(np.flatnonzero(np.diff((self.at[1:] - 1) // tokens)) + 1).tolist(), len(self.live)]
+        return list(zip(cuts, cuts[1:], strict=False))
+
+
+def forward(m: Model, by_symbol: np.ndarray, rows: Rows, span: tuple[int, int], a: np.ndarray | None):
+    """Scaled forward recursion over a span of times from the states `a` before it: emissions, scaled states, scales, and the states at the end."""
+    at = (rows.at[span[0] : span[1] + 1] - rows.at[span[0]]).tolist()
+    emitted = by_symbol[rows.flat[rows.at[span[0]] : rows.at[span[1]]]]
+    states, scales, ones = np.empty_like(emitted), np.empty(len(emitted)), np.ones(len(m.start))
+    for x, y in zip(at, at[1:], strict=False):
+        part = states[x:y]
+        if a is None:
+            part[:] = m.start
+        else:
+            np.dot(a[: y - x], m.move, out=part)
+        part *= emitted[x:y]
+        c = np.dot(part, ones, out=scales[x:y])
+        part /= c[:, None]
+        a = part
+    return emitted, states, scales, a
+
+
+def likelihoods(m: Model, by_symbol: np.ndarray, seqs: list[np.ndarray], tokens: int = BATCH_TOKENS) -> np.ndarray:
+    """The log10 probability of each sequence (longest first)."""
+    rows, a = Rows(seqs), None
+    log = np.zeros(rows.n)
+    for span in rows.segments(tokens):
+        _, _, scales, a = forward(m, by_symbol, rows, span, a)
+        log += np.bincount(rows.row[rows.at[span[0]] : rows.at[span[1]]], np.log10(scales), rows.n)
+    return log
+
+
+def expected(m: Model, by_symbol: np.ndarray, seqs: list[np.ndarray], start, move, emit, tokens: int = BATCH_TOKENS) -> float:
+    """Adds the expected counts of some sequences (longest first) to start, move and emit (symbols, states); gives their log10 likelihood."""
+    rows = Rows(seqs)
+    spans, borders, a, log = rows.segments(tokens), [], None, 0.0
+    for span in spans[:-1]:
+        borders.append(a)
+        a = forward(m, by_symbol, rows, span, a)[3].copy()
+    borders.append(a)
+    n_states, later = len(m.start), None
+    back = np.ascontiguousarray(m.move.T)
+    for span in reversed(spans):
+        before = borders.pop()
+        emitted, states, scales, _ = forward(m, by_symbol, rows, span, before)
+        log += float(np.log10(scales).sum())
+        lo, hi = int(rows.at[span[0]]), int(rows.at[span[1]])
+        at = (rows.at[span[0] : span[1] + 1] - lo).tolist()
+        beta = np.ones((len(emitted), n_states))
+        emitted /= scales[:, None]
+        if later is not None:
+            beta[at[-2] : at[-2] + len(later)] = later
+        for t in range(len(at) - 2, 0, -1):
+            x, y = at[t], at[t + 1]
+            emitted[x:y] *= beta[x:y]
+            np.dot(emitted[x:y], back, out=beta[at[t - 1] : at[t - 1] + y - x])
+        emitted[: at[1]] *= beta[: at[1]]
+        later = emitted[: at[1]] @ back
+        gamma = np.multiply(states, beta, out=beta)
+        if before is None:
+            start += gamma[: at[1]].sum(0)
+        else:
+            move += before[: at[1]].T @ emitted[: at[1]] * m.move
+        # What stands a time before each token: as far from its time's beginning, one time earlier.
+        t = np.repeat(np.arange(1, len(at) - 1), np.diff(at)[1:])
+        earlier = np.arange(at[1], hi - lo) - np.array(at)[t] + np.array(at)[t - 1]
+        move += states[earlier].T @ emitted[at[1] :] * m.move
+        place = rows.flat[lo:hi].astype(np.int64)[:, None] * n_states + np.arange(n_states)
+        emit += np.bincount(place.ravel(), gamma.ravel(), emit.size).reshape(emit.shape)
+    return log
+
+
+def train(sequences: DataFrame, v: Vocabulary, states: int = STATES, rounds: int = ROUNDS, gain: float = GAIN) -> Model:
+    """Baum-Welch over all sequences: `ids` (packed symbols)."""
     sc = sequences.sparkSession.sparkContext
     m = Model.first(v, states)
-    base = m.emit.mean(0)
-    some = sequences.where(F.pmod("key", F.lit(1000)) < int(1000 * share))
-    if early and some.isEmpty():
-        some = sequences
-    for k in range(early + full):
+    base, size, before = m.emit.mean(0), v.size, None
+    sequences = sequences.select("ids")
+    tasks = sequences.rdd.getNumPartitions()
+    for _ in range(rounds):
         given = sc.broadcast(m)  # of fixed size: states and symbols are parameters
 
         def run(batches, given=given):
             m = given.value
             by_symbol = np.ascontiguousarray(m.emit.T)
-            start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, v_size))
+            start, move, emit, log = np.zeros(states), np.zeros((states, states)), np.zeros((size, states)), 0.0
             seen = False
             for seqs in gathered(batches, 0):
                 seen = True
-                lengths = np.array([len(s) for s in seqs])
-                for rows in length_batches(lengths, BATCH_TOKENS // 4):
-                    expected(m, by_symbol, [seqs[i] for i in rows], start, move, emit)
+                for rows in length_batches(np.array([len(s) for s in seqs])):
+                    log += expected(m, by_symbol, [seqs[i] for i in rows], start, move, emit)
             if seen:
-                blob = zlib.compress(np.concatenate((start, move.ravel(), emit.ravel())).astype(np.float32).tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([blob], pa.binary())], ["part", "blob"])
-
-        v_size = v.size
-        rows = (some if k < early else sequences).select("ids")
-        level = rows.mapInArrow(run, "part long, blob binary")
-        n = rows.rdd.getNumPartitions()
-        while n > 8:
+                yield _blob(TaskContext.get().partitionId(), np.concatenate(([log], start, move.ravel(), emit.ravel())))
+
+        level, n = sequences.mapInArrow(run, _BLOB), tasks
+        while n > FAN_IN:
             n = -(-n // FAN_IN)
-            level = level.repartition(n).mapInArrow(merged, "part long, blob binary")
-        total = sum((np.frombuffer(zlib.decompress(r.blob), np.float32).astype(float) for r in level.collect()), np.zeros(states + states * states + states * v.size))
-        m = Model.from_counts(total[:states], total[states : states + states * states].reshape(states, states), total[states + states * states :].reshape(states, v.size), base)
+            level = level.repartition(n, F.expr(f"part div {FAN_IN}")).mapInArrow(merged, _BLOB)
+        total = np.zeros(1 + states + states * states + states * size)
+        for r in sorted(level.collect(), key=lambda r: r.part):
+            total += np.frombuffer(zlib.decompress(r.blob))
         given.unpersist()
+        log, start, move, emit = total[0], total[1 : states + 1], total[states + 1 : states + 1 + states * states], total[states + 1 + states * states :]
+        m = Model.from_counts(start, move.reshape(states, states), emit.reshape(size, states).T, base)
+        if before is not None and log - before < gain * abs(before):
+            break
+        before = log
     return m
 
 
+_BLOB = "part long, blob binary"
+
+
+def _blob(part: int, numbers: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(numbers.tobytes(), 1)], pa.binary())], ["part", "blob"])
+
+
 def merged(batches):
-    total, part = None, 0
+    """The sums of each FAN_IN parts, added in their order."""
+    groups: dict[int, list] = {}
     for b in batches:
         for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(zlib.decompress(blob), np.float32).astype(float)
-            total, part = x if total is None else total + x, p
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([zlib.compress(total.astype(np.float32).tobytes(), 1)], pa.binary())], ["part", "blob"])
+            groups.setdefault(p // FAN_IN, []).append((p, blob))
+    for group in sorted(groups):
+        total = 0.0
+        for _, blob in sorted(groups[group]):
+            total = total + np.frombuffer(zlib.decompress(blob))
+        yield _blob(group, total)
 
 
 def gathered(batches, column: int, most: int = 4_000_000):
@@ -293,30 +337,25 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def encode(batches):
         v = known.value
-        symbol = symbols_for(v)
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
             keys, ids, n_tokens, n_known, base, share, rare = [], [], [], [], [], [], []
             for t in b.column(2).to_pylist():
                 words = words_of(t)
-                ids.append(np.array([*map(symbol.__getitem__, words), v.end], "<u2").tobytes())
-                logs = list(map(v.log_count.get, words))
-                missing = [w for w, x in zip(words, logs, strict=True) if x is None]
+                symbols, others, logs, shares = v.encode(words)
+                ids.append(symbols.tobytes()), base.append(logs), share.append(shares)
                 n_tokens.append(len(words) + 1)
-                n_known.append(len(words) - len(missing) + (1 if v.ends else 0))
-                base.append(math.fsum(x for x in logs if x is not None) + v.log_end)
-                share.append(math.fsum(map(v.log_share.get, words, [0.0] * len(words))) - math.fsum(float(v.log_bucket[bucket_of(w)]) for w in missing))
-                rare.append([w.decode("utf-8", "surrogatepass") for w in missing])
+                n_known.append(len(words) - len(others) + (1 if v.ends else 0))
+                rare.append([w.decode("utf-8", "surrogatepass") for w in others])
                 keys.append((part << 40) | row)
                 row += 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(share, pa.float64()), pa.array(rare, pa.list_(pa.string()))],
-                ["doc_id", "held_out", "row", "ids", "n_tokens", "n_known", "base", "share", "rare"],
-            )
+            longs, doubles = [pa.array(x, pa.int64()) for x in (n_tokens, n_known)], [pa.array(x, pa.float64()) for x in (base, share)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(ids, pa.binary()), *longs, *doubles, pa.array(rare, pa.list_(pa.string()))], names)
 
+    names = ["doc_id", "held_out", "row", "ids", "n_tokens", "n_known", "base", "share", "rare"]
+    facts = f"doc_id {id_type}, held_out boolean, row long, n_tokens long, n_known long, base double, share double"
     coded = staged(rows.select("doc_id", "held_out", "text").mapInArrow(encode, f"doc_id {id_type}, held_out boolean, row long, ids binary, n_tokens long, n_known long, base double, share double, rare array<string>"), "coded")
-    m = train(coded.where("not held_out").select("ids", F.xxhash64("row").alias("key")), v)
-    model = sc.broadcast(m)
+    model = sc.broadcast(train(coded.where("not held_out"), v))
 
     def run(batches):
         m = model.value
@@ -328,8 +367,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             seqs = [np.frombuffer(x, "<u2") for x in table["ids"].to_pylist()]
             out = np.zeros(len(seqs))
             for rows in length_batches(np.array([len(s) for s in seqs])):
-                ids, live = padded([seqs[i] for i in rows])
-                out[rows] = forward(m, by_symbol, ids, live, False)[0]
+                out[rows] = likelihoods(m, by_symbol, [seqs[i] for i in rows])
             return table.drop_columns(["ids"]).append_column("log", pa.array(out)).to_batches()
 
         for b in batches:
@@ -343,7 +381,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     # Rare words meet their counts; a sum for each document comes back.
     words = coded.select("row", F.explode("rare").alias("word"))
     sums = words.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum((F.coalesce("c", F.lit(0)) > 0).cast("long")).alias("met"))
-    logs = coded.drop("rare").select("doc_id", "held_out", "row", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(run, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, n_known long, base double, share double, log double")
+    logs = coded.select("doc_id", "held_out", "row", "n_tokens", "n_known", "base", "share", "ids").mapInArrow(run, f"{facts}, log double")
     extra = F.coalesce("logs", F.lit(0.0))
     return logs.join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),

@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,31 +14,104 @@ def model(states=2, symbols=3):
     return hmm.Model(norm(rng.random(states)), norm(rng.random((states, states))), norm(rng.random((states, symbols))))
 
 
-def test_forward_equals_the_sum_over_all_paths():
+def paths(m, s):
+    """Each path of states with its probability together with the symbols."""
+    for path in itertools.product(range(len(m.start)), repeat=len(s)):
+        yield path, m.start[path[0]] * m.emit[path[0], s[0]] * math.prod(m.move[a, b] * m.emit[b, x] for a, b, x in zip(path, path[1:], s[1:], strict=False))
+
+
+@pytest.mark.parametrize("tokens", [1, 3, 100])
+def test_forward_equals_the_sum_over_all_paths(tokens):
     m = model()
-    seqs = [np.array([0, 1, 2, 2]), np.array([1, 0]), np.array([2])]
-    ids, live = hmm.padded(seqs)
-    got = hmm.forward(m, np.ascontiguousarray(m.emit.T), ids, live, False)[0]
-    for s, g in zip(seqs, got, strict=True):
-        p = sum(m.start[path[0]] * m.emit[path[0], s[0]] * math.prod(m.move[a, b] * m.emit[b, x] for a, b, x in zip(path, path[1:], s[1:], strict=False)) for path in itertools.product(range(2), repeat=len(s)))
-        assert g == pytest.approx(math.log10(p))
-
-
-def test_expected_counts_equal_the_sum_over_all_paths():
-    m, s = model(), np.array([0, 2, 1])
-    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3))
-    hmm.expected(m, np.ascontiguousarray(m.emit.T), [s], start, move, emit)
-    w_start, w_move, w_emit, total = np.zeros(2), np.zeros((2, 2)), np.zeros((2, 3)), 0.0
-    for path in itertools.product(range(2), repeat=3):
-        p = m.start[path[0]] * m.emit[path[0], s[0]] * math.prod(m.move[a, b] * m.emit[b, x] for a, b, x in zip(path, path[1:], s[1:], strict=False))
-        total += p
-        w_start[path[0]] += p
-        for a, b in itertools.pairwise(path):
-            w_move[a, b] += p
-        for a, x in zip(path, s, strict=True):
-            w_emit[a, x] += p
+    seqs = [np.array([0, 1, 2, 2, 0]), np.array([1, 0]), np.array([2])]
+    got = hmm.likelihoods(m, np.ascontiguousarray(m.emit.T), seqs, tokens)
+    assert got == pytest.approx([math.log10(sum(p for _, p in paths(m, s))) for s in seqs])
+
+
+@pytest.mark.parametrize("tokens", [1, 3, 100])
+def test_expected_counts_equal_the_sum_over_all_paths(tokens):
+    m, seqs = model(), [np.array([0, 2, 1, 1, 0]), np.array([2, 2, 1]), np.array([1])]
+    start, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2))
+    log = hmm.expected(m, np.ascontiguousarray(m.emit.T), seqs, start, move, emit, tokens)
+    w_start, w_move, w_emit, w_log = np.zeros(2), np.zeros((2, 2)), np.zeros((3, 2)), 0.0
+    for s in seqs:
+        total = sum(p for _, p in paths(m, s))
+        w_log += math.log10(total)
+        for path, p in paths(m, s):
+            w_start[path[0]] += p / total
+            for a, b in itertools.pairwise(path):
+                w_move[a, b] += p / total
+            for a, x in zip(path, s, strict=True):
+                w_emit[x, a] += p / total
+    assert log == pytest.approx(w_log)
     for got, want in ((start, w_start), (move, w_move), (emit, w_emit)):
-        assert np.allclose(got, want / total)
+        assert np.allclose(got, want)
+
+
+def brute_scores(rows, symbols):
+    """Each row's score by plain loops: counts, symbols, Baum-Welch of one sequence and one time after the other, and the forward sum."""
+    import zlib
+
+    trains = [(zlib.crc32(str(d).encode()) if d is not None else 0) % 5 != 1 for d, _ in rows]
+    texts = [(t or "").encode().lower().split() for _, t in rows]
+    counts = Counter(w for words, t in zip(texts, trains, strict=True) if t for w in words)
+    own = sorted(counts, key=lambda w: (-counts[w], w))[:symbols]
+    bucket = lambda w: zlib.crc32(w[-2:]) % hmm.BUCKETS
+    tokens, types = [0] * hmm.BUCKETS, [0] * hmm.BUCKETS
+    for w in counts.keys() - set(own):
+        tokens[bucket(w)] += counts[w]
+        types[bucket(w)] += 1
+    mass = [n + 0.5 * (k + 1) for n, k in zip(tokens, types, strict=True)]
+    seqs = [[*(own.index(w) if w in own else len(own) + bucket(w) for w in words), len(own) + hmm.BUCKETS] for words in texts]
+    size, n = len(own) + hmm.BUCKETS + 1, hmm.STATES
+    share = np.array([*(counts[w] + 0.5 for w in own), *mass, sum(trains) + 0.5])
+    emit = share * (np.random.default_rng(17).random((n, size)) + 0.5)
+    emit /= emit.sum(1, keepdims=True)
+    base, start, move, last = emit.mean(0), np.full(n, 1 / n), np.full((n, n), 0.2 / n) + 0.8 * np.eye(n), None
+    for _ in range(hmm.ROUNDS):
+        c_start, c_move, c_emit, log = np.full(n, hmm.SMOOTH[0]), np.full((n, n), hmm.SMOOTH[0]), np.tile(hmm.SMOOTH[1] * size * base, (n, 1)), 0.0
+        for s in (s for s, t in zip(seqs, trains, strict=True) if t):
+            f = [start * emit[:, s[0]]]
+            for x in s[1:]:
+                f.append(f[-1] / f[-1].sum() @ move * emit[:, x])
+            log += sum(math.log10(x.sum()) for x in f)
+            b = [np.ones(n)]
+            for x in reversed(s[1:]):
+                y = move @ (emit[:, x] * b[0])
+                b.insert(0, y / y.sum())
+            post = [x * y / (x @ y) for x, y in zip(f, b, strict=True)]
+            c_start += post[0]
+            for t, x in enumerate(s):
+                c_emit[:, x] += post[t]
+                if t:
+                    pair = f[t - 1][:, None] * move * (emit[:, x] * b[t])[None, :]
+                    c_move += pair / pair.sum()
+        start, move, emit = c_start / c_start.sum(), c_move / c_move.sum(1, keepdims=True), c_emit / c_emit.sum(1, keepdims=True)
+        if last is not None and log - last < hmm.GAIN * abs(last):
+            break
+        last = log
+    out = []
+    for s, words in zip(seqs, texts, strict=True):
+        a, log = start * emit[:, s[0]], 0.0
+        for x in s[1:]:
+            log += math.log10(a.sum())
+            a = a / a.sum() @ move * emit[:, x]
+        out.append(log + math.log10(a.sum()) + sum(math.log10((counts[w] + 0.5) / mass[bucket(w)]) for w in words if w not in own))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [150_000, 40])
+def test_scores_equal_brute_force_at_any_partitioning(spark, monkeypatch, frequent):
+    monkeypatch.setattr(hmm, "SYMBOLS", 25)
+    monkeypatch.setattr(hmm, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[k % 2]}{min(int(rng.zipf(1.4)), 300)}" for k in range(int(rng.integers(0, 60))))) for i in range(60)] + [(None, "Alone there"), (3, None), (4, "")]
+    want = sorted(zip([i or 0 for i, _ in rows], brute_scores(rows, 25), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 7):
+        got = sorted((r.doc_id or 0, r.score) for r in hmm.score_texts(df.repartition(parts)).collect())
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert [x for _, x in got] == pytest.approx([x for _, x in want], abs=1e-6)
 
 
 def test_base_score_equals_brute_force(spark, odd, nothing):
