@@ -1,7 +1,12 @@
+import itertools
 import random
 
-from tallyloom.llm.common import words_of
-from tallyloom.llm.jaccard import depth_for, one_of_each, similar_classes
+import numpy as np
+import pytest
+
+from tallyloom.llm import jaccard
+from tallyloom.llm.common import KEY_BITS, words_of
+from tallyloom.llm.jaccard import chance, depth_for, forest, one_of_each, rarest, shortened, similar_classes
 
 
 def brute(rows, k=5, threshold=0.8):
@@ -58,8 +63,60 @@ def test_odd_rows(spark, odd, nothing):
     assert similar_classes(nothing).collect() == [] and one_of_each(nothing).collect() == []
 
 
-def test_depth_is_shortened_until_the_recall():
+def test_depth_is_shortened_by_what_was_found():
     assert depth_for(0.5, 0.8, 1, 7) == 3 and depth_for(0.9999, 0.8, 24, 7) == 5
+    assert shortened({}, 7) == 5  # the imagined link alone
+    assert shortened({0: 1000}, 7) == 5 and shortened({19: 100_000}, 7) == 7 and shortened({19: 100_000, 0: 4000}, 7) == 6
+    assert [d for d in range(7, 0, -1) if chance(0.8, d) >= 0.9999][0] == 5
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_the_forest_connects_what_shares_a_prefix_and_nothing_else(spark, monkeypatch, partitions):
+    rng, trees, depth, least = np.random.default_rng(9), 3, 4, 2
+    labels = rng.integers(0, 3, (120, trees, depth))
+    nodes = spark.createDataFrame([(int(i) * 7 - 300, x.astype(">u2").tobytes()) for i, x in enumerate(labels)], "short long, signature binary")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        edges = [(r.a, r.b, r.level) for r in forest(nodes, trees, depth, least).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    at = {int(i) * 7 - 300: x for i, x in enumerate(labels)}
+    assert len(edges) <= trees * len(at)
+    for level in range(least, depth + 1):
+        for a, b, n in edges:
+            assert n < level or any((at[a][t, :level] == at[b][t, :level]).all() for t in range(trees))
+        up = {i: i for i in at}
+
+        def top(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for a, b, n in edges:
+            if n >= level:
+                up[top(a)] = top(b)
+        for a, b in itertools.combinations(at, 2):
+            if any((at[a][t, :level] == at[b][t, :level]).all() for t in range(trees)):
+                assert top(a) == top(b)
+
+
+def test_rarest_shingles_meet_wherever_sets_are_similar():
+    rng, common = np.random.default_rng(4), np.zeros(KEY_BITS // 8, np.uint8)
+    common[rng.integers(0, len(common), len(common) // 2)] = 255
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 60)), dtype=np.uint64))
+        b = a[rng.random(len(a)) > 0.12]
+        if len(b) and len(b) >= 0.8 * len(a):
+            assert set(rarest(a, common, 0.8).tolist()) & set(rarest(b, common, 0.8).tolist())
+
+
+def test_large_clusters_are_parted_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
+    rows = corpus(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows += [(1000 + i, " ".join(passage + [f"own{i}x{k}" for k in range(20)])) for i in range(40)]  # a passage in common, and no link
+    got = sorted(map(tuple, similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows)
 
 
 def test_a_key_bitmap_misses_no_key(spark):
