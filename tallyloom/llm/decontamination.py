@@ -1,40 +1,61 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a bounded batch of documents as word numbers. Words that no benchmark text has can't lie in an occurrence, so the shard's text is reduced,
-without loss, to the stretches of benchmark words that are long enough for a window. Over it stand the Burrows-Wheeler transform from a suffix array,
-a wavelet matrix that answers ranks, and sampled suffix positions. All test windows are searched backwards at once; their occurrences are located by
-walking to a sampled position, and become removal spans, which are merged for each document.
+A shard is a run of a partition's documents of about SHARD_WORDS words, as word numbers. Words that no benchmark text has can't lie in an occurrence, so
+its text is reduced, without loss, to the stretches of benchmark words that are long enough for a window. Over it stand the Burrows-Wheeler transform from
+a suffix array, a wavelet matrix of bit vectors that answers ranks, and every SAMPLE_EVERYth suffix position; the suffix array itself isn't kept. All test
+windows are searched backwards at once; their occurrences are located by walking to a sampled position, and become removal spans, which are merged for
+each document.
 
 Null and empty texts have no words, spans or items. A benchmark row without words (null, empty) has no window. Repeated rows and null ids keep their rows; a
-benchmark item without an id counts as the empty id; an empty table of documents gives no rows, and an empty benchmark no spans. Other columns of
-either table are not read.
+benchmark item without an id counts as the empty id; an empty table of documents gives no rows, and an empty benchmark no spans. Other columns are
+handed on as they are, also those that have the name of an added one, which then has underscores behind its name.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import documents, staged, words_of
+from tallyloom.llm.common import documents, fresh, staged, words_of
 
 #: Words in a window; words of documents in a shard; benchmark words in a block that is broadcast (larger benchmarks take more passes).
 WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE_EVERY = 13, 2_000_000, 4_000_000, 4
 
 
+class Bits:
+    """A bit vector with ranks: words of 64 bits and a count of ones before each."""
+
+    def __init__(self, bits: np.ndarray):
+        n = len(bits) // 64 + 1
+        packed = np.zeros(8 * n, np.uint8)
+        packed[: -(-len(bits) // 8)] = np.packbits(bits.astype(bool), bitorder="little")
+        self.words = packed.view("<u8")
+        counts = np.bitwise_count(self.words)
+        self.before = np.cumsum(counts, dtype=np.int64) - counts
+
+    def rank(self, end: np.ndarray) -> np.ndarray:
+        """How many ones stand before end, elementwise."""
+        at = end >> 6
+        return self.before[at] + np.bitwise_count(self.words[at] & ((np.uint64(1) << (end & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class WaveletMatrix:
-    """Ranks over numbers below 2**bits: a level for each bit, with a running count of ones."""
+    """Ranks and values of numbers below 2**bits: a bit vector for each bit."""
 
     def __init__(self, values: np.ndarray, bits: int):
         self.bits, self.ones, self.zeros = bits, [], []
         for level in range(bits - 1, -1, -1):
             bit = (values >> level) & 1
-            self.ones.append(np.concatenate(([0], np.cumsum(bit, dtype=np.int32))))
-            self.zeros.append(len(values) - int(self.ones[-1][-1]))
+            self.ones.append(Bits(bit))
+            self.zeros.append(int(len(values) - bit.sum()))
             values = np.concatenate((values[bit == 0], values[bit == 1]))
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -42,10 +63,19 @@ class WaveletMatrix:
         lo, hi = np.zeros_like(end), end.copy()
         for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
             one = ((symbol >> (self.bits - 1 - k)) & 1).astype(bool)
-            a, b = ones[lo], ones[hi]
+            a, b = ones.rank(lo), ones.rank(hi)
             lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
         return hi - lo
 
+    def value(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at some places."""
+        out = np.zeros_like(at)
+        for ones, zeros in zip(self.ones, self.zeros, strict=True):
+            one, before = ones.get(at), ones.rank(at)
+            out = out * 2 + one
+            at = np.where(one, zeros + before, at - before)
+        return out
+
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """By prefix doubling; ends as soon as all suffixes differ."""
@@ -72,12 +102,11 @@ class FMIndex:
         n_ends = int(ends.sum())
         distinct = np.where(ends, np.cumsum(ends) - 1, text.astype(np.int64) + n_ends)  # each end differs, so a common prefix is within a stretch
         sa = suffix_array(distinct)
-        self.bwt = text[sa - 1].astype(np.int64)
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=vocabulary + 1))))
-        self.tree = WaveletMatrix(self.bwt, max(1, int(vocabulary).bit_length()))
+        self.tree = WaveletMatrix(text[sa - 1].astype(np.int64), max(1, int(vocabulary).bit_length()))
         first = np.concatenate(([True], ends[:-1]))  # a walk must not pass a stretch's start
-        self.sampled = ((sa % every) == 0) | first[sa]
-        self.position = sa
+        sampled = ((sa % every) == 0) | first[sa]
+        self.sampled, self.position = Bits(sampled), sa[sampled]
 
     def ranges(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of suffixes that begin with each pattern (patterns: one length)."""
@@ -95,11 +124,11 @@ class FMIndex:
         at, steps, out = rows.copy(), np.zeros(len(rows), np.int64), np.empty(len(rows), np.int64)
         open_ = np.arange(len(rows))
         while len(open_):
-            done = self.sampled[at[open_]]
+            done = self.sampled.get(at[open_])
             hit = open_[done]
-            out[hit] = self.position[at[hit]] + steps[hit]
+            out[hit] = self.position[self.sampled.rank(at[hit])] + steps[hit]
             open_ = open_[~done]
-            c = self.bwt[at[open_]]
+            c = self.tree.value(at[open_])
             at[open_] = self.before[c] + self.tree.rank(c, at[open_])
             steps[open_] += 1
         return out
@@ -121,25 +150,23 @@ class Windows:
             self.by_length[n] = (np.array(keys, np.int64), [sorted(owners[k]) for k in keys])
         self.shortest = min(self.by_length, default=0)
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Words as numbers, 0 for those that no item has."""
+        return np.fromiter(map(self.number.get, words, repeat(0)), np.int32, len(words))
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
 
-
-def search_shard(texts: list[list[bytes]], windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
-    """For each document: its words that are hit, its merged spans (from, to) in words, and the items whose windows occur."""
+def search_shard(texts: list[np.ndarray], windows: Windows) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+    """For each document (its words' numbers): its words that are hit, its merged spans (from, to) in words, and the items whose windows occur."""
     n_docs = len(texts)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     items: list[set[str]] = [set() for _ in texts]
     sizes = np.array([len(w) for w in texts], np.int64)
     if not windows.shortest or not sizes.sum():
         return [0] * n_docs, spans, items
-    number = _Numbers(windows.number)
     ids = np.zeros(int(sizes.sum()) + n_docs, np.int64)  # a 0 after each document
     starts = np.cumsum(sizes + 1) - sizes - 1
     for s, w in zip(starts.tolist(), texts, strict=True):
-        ids[s : s + len(w)] = list(map(number.__getitem__, w))
+        ids[s : s + len(w)] = w
     edge = np.diff(np.concatenate(([0], (ids != 0).astype(np.int8), [0])))
     lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = hi - lo >= windows.shortest
@@ -181,59 +208,77 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield [(r.item, r.text) for r in table.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
 
 
+#: What find_spans adds.
+ADDED = ("n_words", "n_hit", "items", "spans")
+
+
 def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of docs with n_words, n_hit, items and spans (word offsets) beside its own columns."""
+    """Every row of docs with n_words, n_hit, items and spans (word offsets) behind its own columns; fresh(docs.columns, *ADDED) gives their names."""
     sc = docs.sparkSession.sparkContext
-    added = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    n_words, n_hit, items, spans, row, more_items, more_spans = fresh(docs.columns, *ADDED, "_row", "_items", "_spans")
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def search(rows: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
-        block = sc.broadcast(Windows(items, window))
-        names, at = rows.columns, rows.columns.index("text")
+    def search(rows: DataFrame, texts: list[tuple[str, str]]) -> DataFrame:
+        block = sc.broadcast(Windows(texts, window))  # at most block_words words or so
+        at, names = rows.columns.index("text"), [*rows.columns, n_words, n_hit, items, spans]
 
         def run(batches):
-            for b in batches:
-                words = [words_of(t) for t in b.column(at).to_pylist()]
+            held, shard, total = [], [], 0
+
+            def flush():
+                hits, found, owners = search_shard(shard, block.value)
                 i = 0
-                while i < len(words):
-                    j, total = i, 0
-                    while j < len(words) and (j == i or total + len(words[j]) <= shard_words):
-                        total += len(words[j])
-                        j += 1
-                    n_hit, spans, found = search_shard(words[i:j], block.value)
-                    yield pa.RecordBatch.from_arrays(
-                        [*b.slice(i, j - i).columns, pa.array([len(w) for w in words[i:j]], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in found], pa.list_(pa.string())),
-                         pa.array([[{"start": x, "end": y} for x, y in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                        [*names, "n_words", "n_hit", "items", "spans"],
-                    )
+                for b in held:
+                    j = i + len(b)
+                    counts = [pa.array([len(w) for w in shard[i:j]], pa.int64()), pa.array(hits[i:j], pa.int64()), pa.array([sorted(x) for x in owners[i:j]], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *counts, pa.array([[{"start": x, "end": y} for x, y in s] for s in found[i:j]], span)], names)
                     i = j
 
-        return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", " + added)
+            for b in batches:
+                held.append(b)
+                for t in b.column(at).to_pylist():
+                    shard.append(block.value.numbers(words_of(t)))
+                    total += len(shard[-1])
+                if total >= shard_words:
+                    yield from flush()
+                    held, shard, total = [], [], 0
+            yield from flush()
+
+        own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+        return rows.mapInArrow(run, ", ".join([*own, f"{n_words} long, {n_hit} long, {items} array<string>, {spans} array<struct<start:long,end:long>>"]))
 
     blocks = benchmark_blocks(benchmark, block_words)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
         return search(docs, first)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontamination-rows")
     out = search(rows, first)
+    no_items, no_spans = F.array().cast("array<string>"), F.expr("cast(array() as array<struct<start:long,end:long>>)")
     while second is not None:  # each further block adds its spans and items to the rows, in one more pass
-        more = staged(search(rows, second).where("n_hit > 0").select(F.col("_row"), F.col("items").alias("_items"), F.col("spans").alias("_spans")), "decontamination-block")
-        out = out.join(more, "_row", "left").withColumn("items", F.array_sort(F.array_union("items", F.coalesce("_items", F.array().cast("array<string>"))))).withColumn("spans", F.concat("spans", F.coalesce("_spans", F.expr("cast(array() as array<struct<start:long,end:long>>)")))).drop("_items", "_spans")
+        found = search(rows, second).where(F.col(n_hit) > 0).select(F.col(row), F.col(items).alias(more_items), F.col(spans).alias(more_spans))
+        out = out.join(staged(found, "decontamination-block"), row, "left")
+        out = out.withColumn(items, F.array_sort(F.array_union(items, F.coalesce(more_items, no_items)))).withColumn(spans, F.concat(spans, F.coalesce(more_spans, no_spans))).drop(more_items, more_spans)
         second = next(blocks, None)
-    merged = F.expr("""aggregate(array_sort(spans), cast(array() as array<struct<start:long,end:long>>), (acc, s) -> case
-        when size(acc) > 0 and element_at(acc, -1).end >= s.start then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))
+    merged = F.expr(f"""aggregate(array_sort({spans}), cast(array() as array<struct<start:long,end:long>>), (acc, s) -> case
+        when size(acc) > 0 and element_at(acc, -1).end >= s.start
+        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, s.end))))
         else concat(acc, array(named_struct('start', s.start, 'end', s.end))) end)""")
-    return out.withColumn("spans", merged).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")).drop("_row")
+    whole = out.withColumn(spans, merged).withColumn(n_hit, F.expr(f"aggregate({spans}, 0L, (n, s) -> n + s.end - s.start)"))
+    return whole.select(*(f"`{c}`" for c in docs.columns), n_words, n_hit, items, spans)
 
 
-CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
+def contaminated(n_words: str = "n_words", n_hit: str = "n_hit") -> F.Column:
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
-def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"))
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows that benchmark windows contaminate."""
+    n_words, n_hit, items, spans = fresh(docs.columns, *ADDED)
+    return find_spans(docs, benchmark).where(~contaminated(n_words, n_hit)).drop(n_words, n_hit, items, spans)
 
 
-def sha_of_items(items) -> str:
-    """What the query gives as items_sha256."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, contaminated().alias("contaminated"))

@@ -432,8 +432,8 @@ def similar_classes(docs: DataFrame, **how) -> DataFrame:
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs with the first row of each class (by id, null ids last); rows that are similar to none stay."""
     found = staged(classified(docs, **how).where("n_links > 0").select("row_a", "row_b", (F.col("row_a").eqNullSafe(F.col("first.a")) & F.col("row_b").eqNullSafe(F.col("first.b"))).alias("stays")), "classified")
-    names = docs.columns
-    keyed = docs.withColumn("_row_a", F.xxhash64("doc_id", "text")).withColumn("_row_b", F.xxhash64(F.lit(1), "doc_id", "text"))
+    whole = F.struct(*(f"`{c}`" for c in docs.columns)).alias("whole")  # so no name of docs can clash
+    keyed = docs.select(whole, F.xxhash64("doc_id", "text").alias("_row_a"), F.xxhash64(F.lit(1), "doc_id", "text").alias("_row_b"))
     gone = staged(found.where("not stays").select(F.col("row_a").alias("_row_a"), F.col("row_b").alias("_row_b")).distinct(), "gone")
     marked = with_maybe(keyed, "_row_a", key_bitmap(gone, "_row_a", "gone-keys"))
     left = marked.where("not _maybe").unionByName(marked.where("_maybe").join(gone, ["_row_a", "_row_b"], "left_anti"))
@@ -441,7 +441,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     if not repeated.isEmpty():  # rows that repeat id and text: one of each is left
         once = left.join(repeated, ["_row_a", "_row_b"], "left_semi").dropDuplicates(["_row_a", "_row_b"])
         left = left.join(repeated, ["_row_a", "_row_b"], "left_anti").unionByName(once)
-    return left.select(names)
+    return left.select("whole.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm.common import words_of
-from tallyloom.llm.decontamination import FMIndex, WaveletMatrix, Windows, find_spans, search_shard
+from tallyloom.llm.decontamination import SAMPLE_EVERY, FMIndex, WaveletMatrix, Windows, find_spans, search_shard, without_contaminated
 
 
 def brute(text, items, window=13):
@@ -24,6 +24,12 @@ def test_ranks():
     ends = np.arange(201)
     for s in range(11):
         assert t.rank(np.full(201, s), ends).tolist() == [int((v[:e] == s).sum()) for e in ends]
+    assert t.value(np.arange(200)).tolist() == v.tolist()
+
+
+def test_only_sampled_positions_are_kept():
+    index = FMIndex(np.append(np.random.default_rng(6).integers(1, 9, 999), 0), 8)
+    assert len(index.position) <= 1000 // SAMPLE_EVERY + 2 and not any(len(x) >= 1000 for x in vars(index).values() if isinstance(x, np.ndarray))
 
 
 def test_backward_search_finds_all_places():
@@ -43,7 +49,8 @@ ITEMS = [("b", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda
 
 def test_spans_equal_brute_force():
     texts = ["x " + ITEMS[0][1] + " y short, ITEM! z short item", "alpha beta gamma", "", "short item short item", (ITEMS[0][1] + " ") * 3]
-    n_hit, spans, items = search_shard([words_of(t) for t in texts], Windows(ITEMS, 13))
+    windows = Windows(ITEMS, 13)
+    n_hit, spans, items = search_shard([windows.numbers(words_of(t)) for t in texts], windows)
     for t, h, s, i in zip(texts, n_hit, spans, items, strict=True):
         assert (len(words_of(t)), h, sorted(i)) == brute(t, ITEMS)
         assert sum(e - b for b, e in s) == h and all(a[1] < b[0] for a, b in zip(s, s[1:], strict=False))
@@ -61,3 +68,17 @@ def test_blocks_of_a_large_benchmark_say_the_same(spark, odd, nothing, block_wor
 def test_empty_benchmark(spark, odd):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in find_spans(odd.select("doc_id", "text"), bench).collect()} == {0}
+
+
+@pytest.mark.parametrize(("shard_words", "block_words"), [(1, 4_000_000), (10_000_000, 2)])
+def test_shards_of_any_size_and_clashing_columns(spark, odd, shard_words, block_words):
+    bench = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog and runs far away from"), (2, "one two")], "item_id long, text string")
+    items = [("1", "The quick brown fox jumps over the lazy dog and runs far away from"), ("2", "one two")]
+    docs = odd.selectExpr("*", "doc_id as `n_words`", "'x' as spans", "array(1) as `items`", "-1 as N_HIT", "2 as _row", "3 as `_items`", "4 as `a b`")
+    got = find_spans(docs, bench, shard_words=shard_words, block_words=block_words)
+    assert got.columns == [*docs.columns, "n_words_", "n_hit_", "items_", "spans_"]
+    rows = got.collect()
+    assert all((r["n_words"], r["spans"], r["items"], r["N_HIT"], r["_row"], r["_items"]) == (r.doc_id, "x", [1], -1, 2, 3) for r in rows)
+    assert sorted((r["n_words_"], r["n_hit_"], r["items_"]) for r in rows) == sorted(brute(r.text, items) for r in odd.collect())
+    kept = without_contaminated(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in odd.collect() if not (h := brute(r.text, items))[1] or 20 * h[1] < h[0])
