@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import bounded_batches, documents, staged
-from tallyloom.llm.decontamination import CONTAMINATED, find_spans
+from tallyloom.llm.common import bounded_batches, documents, fresh, staged
+from tallyloom.llm.decontamination import without_contaminated
 from tallyloom.llm.jaccard import one_of_each
 from tallyloom.llm.packing import op1_packing
 from tallyloom.llm.pii import pseudonymise
@@ -32,16 +32,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated by benchmark windows."""
     bounded_batches(spark)
-    found = find_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~F.expr(CONTAMINATED)).select(docs.columns)
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced within its format; n_chars is of the new text."""
-    out = pseudonymise(docs)
+    count, kinds = fresh(docs.columns, "n_pii", "kinds")
+    out = pseudonymise(docs, count_col=count, kinds_col=kinds)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_pii") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop(count, kinds)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
