@@ -172,12 +172,99 @@ def test_toxicity_of_odd_rows_and_without_labels(spark, odd, nothing):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+def brute_models(rows):
+    """P(word | head) under both models and the texts' log-likelihoods, with dictionaries and sums over the whole vocabulary."""
+    D = toxicity.DISCOUNT
+    sets = [(t, set(hmm.words_of(x))) for t, x in rows]
+    seen = Counter(w for _, ws in sets for w in ws)
+    vocabulary = {w for w, n in seen.items() if n >= toxicity.WORD_COUNT}
+    coded = [(t, [w if w in vocabulary else None for w in hmm.words_of(x)]) for t, x in rows]
+    pairs = Counter((t, *p) for t, ws in coded for p in set(zip([None, *ws], ws, strict=False)))
+    n = lambda c, h, w: sum(pairs[t, h, w] for t in ((1, 0) if c is None else (c,)))
+    every = sorted({(h or b"", w or b"") for _, h, w in pairs})
+    every = [(h or None, w or None) for h, w in every]
+    symbols = sorted({w for _, w in every}, key=lambda w: w or b"")
+    heads = {h for h, _ in every}
+    below = {w: sum(1 for _, x in every if x == w) / len(every) for w in symbols}
+    total = {(c, h): sum(n(c, h, w) for w in symbols) for c in (0, 1, None) for h in [*heads, *symbols]}
+    types = {(c, h): sum(n(c, h, w) > 0 for w in symbols) for c in (0, 1) for h in heads}
+    word = {(c, w): sum(n(c, h, w) for h in heads) for c in (0, 1, None) for w in symbols}
+    size = {c: sum(word[c, w] for w in symbols) for c in (0, 1, None)}
+
+    def shared(h, w):
+        kept = [x for x in symbols if n(None, h, x) >= toxicity.PAIR_COUNT]
+        whole = max(total[None, h], 1)
+        left = 1 - sum(n(None, h, x) - D for x in kept) / whole
+        return (n(None, h, w) - D) / whole * (w in kept) + left * below[w]
+
+    def kn(count, whole, kinds, rest):
+        return (max(count - D, 0) + D * kinds * rest) / whole if whole else rest
+
+    def tells(a, b, na, nb):
+        rate = (a + b) / max(na + nb, 1)
+        return 2 * sum(x * math.log(x / (rate * m)) for x, m in ((a, na), (b, nb)) if x) >= toxicity.EVIDENCE
+
+    own = {(c, w): kn(word[c, w], size[c], sum(word[c, x] > 0 for x in symbols), below[w]) for c in (0, 1, None) for w in symbols}
+    sure = {w for w in symbols if w is not None and tells(word[1, w], word[0, w], size[1], size[0])}
+    of_word = {(c, w): own[c, w] / own[None, w] if w in sure else 1.0 for c in (0, 1) for w in symbols}
+    p = {}
+    for h in heads:
+        factors = {}
+        for w in symbols:
+            f = {c: of_word[c, w] for c in (0, 1)}
+            if h is not None and w is not None and n(None, h, w) >= toxicity.PAIR_COUNT and total[1, h] and total[0, h] and tells(n(1, h, w), n(0, h, w), total[1, h], total[0, h]):
+                g = {c: kn(n(c, h, w), total[c, h], types[c, h], own[c, w] if w in sure else below[w]) / shared(h, w) for c in (0, 1)}
+                if abs(math.log(g[1] / g[0])) >= abs(math.log(f[1] / f[0])):
+                    f = g
+            factors[w] = f
+        for c in (0, 1):
+            whole = sum(factors[w][c] * shared(h, w) for w in symbols)
+            for w in symbols:
+                p[c, h, w] = factors[w][c] * shared(h, w) / whole
+    logs = [tuple(sum(math.log(p[c, h, w]) for h, w in zip([None, *ws], ws, strict=False)) / len(ws) for c in (1, 0)) for _, ws in coded]
+    return vocabulary, heads, p, logs, sure
+
+
+def test_both_models_equal_brute_force_and_sum_to_one(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        words = [f"w{int(k)}" for k in rng.zipf(1.6, 25) if k < 40]
+        at = int(rng.integers(len(words)))
+        words[at : at + 1] = ["vile", str(rng.choice(["toad", "w1"]))] if toxic else ["kind", str(rng.choice(["toad", "w1"]))] if i % 3 else ["toad"]
+        rows.append((int(toxic), " ".join(words)))
+    vocabulary, heads, p, logs, sure = brute_models(rows)
+    assert {b"vile", b"kind"} <= sure and len(sure) < 8
+    models = toxicity.train_models(spark.createDataFrame(rows, "toxic int, text string").repartition(3))
+    assert set(models.numbers.number) == vocabulary and len(models.telling) > 0
+    assert np.allclose([models.log_likelihoods(hmm.words_of(t)) for _, t in rows], logs)
+    name = {i: w for w, i in models.numbers.number.items()}
+    size = models.numbers.size
+    for h in range(size):
+        keys = h * size + np.arange(size)
+        at = toxicity._find(models.telling, keys)
+        for c, one in ((1, "tox"), (0, "ord")):
+            factor = np.where(at >= 0, models.log_pair[one][at], models.log_word[one])
+            got = models.shared(keys) * np.exp(factor - models.log_scale[one][h])
+            assert got.sum() == pytest.approx(1)
+            if name.get(h) in heads:
+                assert got == pytest.approx([p[c, name.get(h), name.get(w)] for w in range(size)])
+
+
+def test_scores_do_not_depend_on_the_partitioning(spark):
+    docs, labels = corpus(spark)
+    one, seven = (sorted((r.doc_id, r.score) for r in toxicity.score_toxicity(docs.repartition(n), labels).collect()) for n in (1, 7))
+    assert [d for d, _ in one] == [d for d, _ in seven] and [x for _, x in one] == pytest.approx([x for _, x in seven])
+
+
 def test_only_equal_sets_are_one_training_row_with_its_own_label(spark):
     passage = " ".join(f"common{k}" for k in range(200))
     own = [" ".join(f"own{i}x{k}" for k in range(30)) for i in range(60)]
     rows = [(i, f"{passage} {own[i]}") for i in range(60)] + [(100 + i, f"{own[i]} and then") for i in range(60)] + [(200 + i, f"{own[i].upper()} AND then") for i in range(60)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = labels.union(spark.createDataFrame([(0, 2), (1, -1), (2, None)], "doc_id long, toxic int"))  # no labels
     got = [(r.toxic, r.text) for r in toxicity.training_rows(docs, labels)[0].collect()]
     trains = {r.doc_id for r in labels.where(toxicity.fold_of(toxicity.F.col("doc_id")) % 5 != 0).collect()}
     want = {}
