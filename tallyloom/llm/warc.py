@@ -2,34 +2,37 @@
 
 Pages become WARC/1.1 records in archive files that Spark's text writer puts into the shared folder (a record is one line of it, ended by the CRLF that a
 record ends with, so the files are plain concatenated records, gzip-compressed). Of records with equal payloads of at least MIN_REVISIT bytes the one
-with the largest page_id is the response and the others are revisits that refer to it. Reading parses each archive by its content lengths, checks each
-payload's digest, and gives a capture run: the archive's records sorted by URL key, timestamp and page. Runs are dealt by key ranges, and each range
-merges its runs with a loser tree of as many leaves as it has runs, which gives globally ordered capture histories.
+with the largest page_id is the response and the others are revisits that refer to it; payloads move between machines only where a bitmap of the copied
+digests says that they may be copies, and those of the most frequent digests not at all. Reading streams each archive line by line, a record in memory at a
+time, and checks each payload's digest. It gives capture runs: RUN_ROWS captures, sorted by URL key, timestamp and page, written to the shared folder. Runs
+are dealt by ranges of the key, as many as keep a range near RANGE_ROWS captures (also those of one URL are split), and each range merges the slices of
+its runs, which arrive in order, with a loser tree that has a leaf for each slice. That gives globally ordered capture histories.
 
 Null and empty html is an empty payload. A null url has the empty URL key. Pages without an id, and repeated rows, get records of their own; of copies a
 null id is never the response unless all are null, and repeated rows with the largest id are all responses. Equal keys are ordered by page and then by
-archive and place. An empty table gives no rows. Other columns aren't read.
+archive and place (the byte in the uncompressed archive). A page's time is its id in seconds after EPOCH, modulo DATES. An empty table gives no rows. Other
+columns aren't read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import io
 import uuid
-import zlib
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import shared_dir
+from tallyloom.llm.common import key_bitmap, shared_dir, staged, with_maybe
 
 MIN_REVISIT = 1000
-#: Records in an archive file, at most.
-ARCHIVE_RECORDS = 4000
-#: Captures without a date of their own: this time and the page's id as seconds after it.
-EPOCH = "2024-01-01T00:00:00Z"
+#: Records in an archive file, at most; captures that a task sorts at once; captures in a range, in expectation; digests that are sent to all, at most.
+ARCHIVE_RECORDS, RUN_ROWS, RANGE_ROWS, HOT_DIGESTS = 4000, 20_000, 20_000, 10_000
+#: Captures without a date of their own: this time and the page's id as seconds after it, within so many that the year has four digits.
+EPOCH, DATES = "2024-01-01T00:00:00Z", 200_000_000_000
 CRLF = "\r\n"
 
 
@@ -51,8 +54,16 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to: what is written for each page."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload")).withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
     # Counted before it is joined: of a payload with many copies one row for each task moves.
-    keepers = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("copied"), "keeper")
-    joined = rows.join(keepers, (F.col("digest") == F.col("copied")) & (F.col("size") >= MIN_REVISIT), "left")
+    large = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    keepers = staged(large.select(F.xxhash64("digest").alias("key"), F.col("digest").alias("copied"), "keeper", "n"), "keepers")
+    marked = with_maybe(rows.withColumn("key", F.xxhash64("digest")), "key", key_bitmap(keepers, "key", "keeper-keys")).withColumn("_maybe", F.col("_maybe") & (F.col("size") >= MIN_REVISIT)).drop("key")
+    # Digests of more than a HOT_DIGESTS-th of all copies are fewer than HOT_DIGESTS.
+    copies = keepers.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keepers.where(F.col("n") * HOT_DIGESTS > copies).select("copied", "keeper"))
+    cold = keepers.where(F.col("n") * HOT_DIGESTS <= copies).select("copied", "keeper")
+    maybe, same = marked.where("_maybe"), F.col("digest") == F.col("copied")
+    none = marked.where("not _maybe").withColumn("copied", F.lit(None).cast("string")).withColumn("keeper", F.lit(None).cast(pages.schema["page_id"].dataType))
+    joined = none.unionByName(maybe.join(hot, same)).unionByName(maybe.join(hot.select(F.col("copied").alias("hot")), F.col("digest") == F.col("hot"), "left_anti").join(cold, same, "left"))
     revisit = F.col("copied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select("page_id", "url", "payload", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
@@ -65,7 +76,7 @@ def record_text(rows: DataFrame) -> DataFrame:
     headers = [
         F.concat(F.lit("WARC/1.1"), F.lit(CRLF), F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), safe(F.col("page_id")), F.lit(">")),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.expr(f"timestamp_seconds(unix_seconds(timestamp'{EPOCH}') + coalesce(try_cast(page_id as bigint), 0))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), F.date_format(F.expr(f"timestamp_seconds(unix_seconds(timestamp'{EPOCH}') + pmod(coalesce(try_cast(page_id as bigint), 0L), {DATES}L))"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), safe(F.col("url"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), safe(F.col("refers_to")), F.lit(">"), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Payload-Length: "), F.col("size").cast("string"))),
@@ -109,27 +120,71 @@ def _name(head: dict, field: str) -> str | None:
     return value.removeprefix("<urn:page:").removesuffix(">") if value is not None else None
 
 
+def records(lines):
+    """(archive, offset, headers, block) of each record, from (archive, line) in order; what isn't a record is an error."""
+    lines = iter(lines)
+    now, at = None, 0
+    for archive, line in lines:
+        if archive != now:
+            now, at = archive, 0
+        if line != "WARC/1.1":
+            raise ValueError(f"no WARC record at byte {at} of {archive}")
+        begun, at, head = at, at + 10, {}
+        for _, line in lines:
+            at += len(line.encode()) + 2
+            if not line:
+                break
+            field, _, value = line.partition(": ")
+            head[field] = value
+        size, parts, got = int(head["Content-Length"]), [], -2
+        while got < size:  # a block's own line ends have split it
+            archive, line = next(lines, (None, ""))
+            if archive != now:
+                raise ValueError(f"the record at byte {begun} of {now} has no end")
+            parts.append(line.encode())
+            got += len(parts[-1]) + 2
+        if got != size or next(lines, (None, None)) != (now, ""):
+            raise ValueError(f"the record at byte {begun} of {now} doesn't end where it says")
+        at += size + 4
+        yield now, begun, head, b"\r\n".join(parts)
+
+
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+
 def capture_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of each archive, sorted within it, every payload checked against its digest."""
+    """Sorted runs of the captures in all archives, each with its run's name, written once; every payload is checked against its digest."""
 
     def run(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                data = zlib.decompressobj(31).decompress(content.as_py()) if name.endswith(".gz") else content.as_py()
-                rows = []
-                for offset, head, block in parse(data):
-                    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
-                        raise ValueError(f"{name} at {offset}: the payload isn't what its digest says")
-                    page = _name(head, "WARC-Record-ID")
-                    order = int(page) if page and page.lstrip("-").isdigit() else -1
-                    size = len(block) if kind == "response" else int(head["WARC-Payload-Length"])
-                    rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], page, order, name, offset, size, digest, kind, _name(head, "WARC-Refers-To")))
-                rows.sort(key=lambda r: [r[i] for i in _KEY])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(_TYPES), _TYPES, strict=True)], _NAMES)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, _RUN)
+        part, k, rows = TaskContext.get().partitionId(), 0, []
+
+        def flush():
+            rows.sort(key=_key)
+            return _batch([(f"{part}-{k}", *r) for r in rows], ["run", *_NAMES], [pa.string(), *_TYPES])
+
+        lines = ((a, t) for b in batches for a, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for archive, offset, head, block in records(lines):
+            digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
+            if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
+                raise ValueError(f"{archive} at {offset}: the payload isn't what its digest says")
+            page = _name(head, "WARC-Record-ID")
+            order = int(page) if page and page.lstrip("-").isdigit() else -1
+            size = len(block) if kind == "response" else int(head["WARC-Payload-Length"])
+            rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], page, order, archive, offset, size, digest, kind, _name(head, "WARC-Refers-To")))
+            if len(rows) == RUN_ROWS:
+                yield flush()
+                rows, k = [], k + 1
+        if rows:
+            yield flush()
+
+    # A compressed archive is one split, so its lines come in order.
+    lines = spark.read.option("lineSep", CRLF).option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*.gz").text(path)
+    return staged(lines.select(F.col("_metadata.file_name").alias("archive"), "value").mapInArrow(run, f"run string, {_RUN}"), "capture-runs")
+
+
+def _key(row: tuple) -> tuple:
+    return tuple(row[i] for i in _KEY)
 
 
 class LoserTree:
@@ -178,27 +233,33 @@ class LoserTree:
             self.losers[0] = w
 
 
+def natural_runs(rows) -> list[list[tuple]]:
+    """(run, row) dealt to lists that ascend: a run's rows as they come, and a further list where a run doesn't go on upwards (it was read in two parts)."""
+    out, now = [], {}
+    for run, row in rows:
+        if run in now and _key(now[run][-1]) <= _key(row):
+            now[run].append(row)
+        else:
+            now[run] = [row]
+            out.append(now[run])
+    return out
+
+
 def merged_histories(runs: DataFrame) -> DataFrame:
-    """All captures in the order of URL key, timestamp and page: partitions are ranges of it, each merged from its runs."""
+    """All captures in the order of URL key, timestamp and page: partitions are ranges of it, each merged from the slices of its runs."""
 
     def run(batches):
-        by_archive: dict[str, list] = {}
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                by_archive.setdefault(row[4], []).append(row)
-        key = lambda r: [r[i] for i in _KEY]
-        for r in by_archive.values():  # a shuffle may bring a run's blocks in any order; a sorted list costs one look
-            r.sort(key=key)
         out: list = []
-        for row in LoserTree([by_archive[a] for a in sorted(by_archive)], key):
+        for row in LoserTree(natural_runs((r[0], r[1:]) for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), _key):
             out.append(row)
             if len(out) == 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+                yield _batch(out, _NAMES, _TYPES)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+            yield _batch(out, _NAMES, _TYPES)
 
-    return runs.repartitionByRange("url_key", "timestamp", "page_order", "page", "archive", "offset").mapInArrow(run, _RUN)
+    ranges = max(1, -(-runs.count() // RANGE_ROWS))
+    return runs.repartitionByRange(ranges, "url_key", "timestamp", "page_order", "page", "archive", "offset").mapInArrow(run, _RUN)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +271,5 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_archive(data: bytes) -> list[tuple[int, dict, bytes]]:
-    """The records of one archive file, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        import gzip
-
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    return list(parse(data))
+    """The records of one archive file, compressed (in any number of members) or not."""
+    return list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))

@@ -1,5 +1,10 @@
+import gzip
 import hashlib
+import itertools
 import random
+import re
+
+import pytest
 
 from tallyloom.llm import licenses, warc
 
@@ -18,7 +23,8 @@ def test_url_keys_sort_sites_together():
 
 def pages(spark):
     big, tricky = "<p>é" + "x" * 1200, "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb" * 40
-    rows = [(1, "http://a.com/", big, 1), (2, "http://b.com/", big, 1), (3, None, None, 1), (4, "u", "", 1), (5, "http://a.com/", tricky, 1), (6, "x\r\ny", tricky, 1), (7, "s", "small", 1), (8, "s", "small", 1), (None, "n", big, 1)]
+    ends = "\r\n" + "\r" * 1100 + "\n\r\n\r\n"
+    rows = [(9_000_000_000_000_000_000, "far", "é\r", 1), (300_000_000_000, "http://a.com/", ends, 1), (-5, "y", ends, 1), (1, "http://a.com/", big, 1), (2, "http://b.com/", big, 1), (3, None, None, 1), (4, "u", "", 1), (5, "http://a.com/", tricky, 1), (6, "x\r\ny", tricky, 1), (7, "s", "small", 1), (8, "s", "small", 1), (None, "n", big, 1)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, offset int")
 
 
@@ -34,13 +40,51 @@ def test_archives_round_trip(spark, tmp_path):
         want.add((str(r.page_id or ""), len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", str(max(keep)) if revisit else None))
     assert got == want
     records = [x for f in (tmp_path / "w").glob("part-*.gz") for x in warc.read_archive(f.read_bytes())]
-    assert len(records) == 9
+    assert len(records) == 12
+    assert all(re.fullmatch(r"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f"WARC-Date: {head['WARC-Date']}") for _, head, _ in records)
+    data = [f.read_bytes() for f in sorted((tmp_path / "w").glob("part-*.gz"))]
+    assert [x for d in data for x in warc.read_archive(d)] and len(warc.read_archive(data[0] + data[0])) == 2 * len(warc.read_archive(data[0]))
+    # The stream of lines gives the same records, places included.
+    for d in data:
+        text = gzip.decompress(d).decode()
+        got = list(warc.records(("a", line) for line in text.split("\r\n")[:-1]))
+        assert [x[1:] for x in got] == warc.read_archive(d)
+
+
+def test_damaged_archives_are_errors():
+    head = "WARC/1.1\r\nContent-Length: 3\r\n\r\n"
+    for text in ("x\r\n", head + "ab\r\n\r\n", head + "abcd\r\n\r\n", head + "abc\r\nx\r\n", head + "abc"):
+        with pytest.raises(ValueError):
+            list(warc.records(("a", line) for line in text.split("\r\n")[:-1]))
+    with pytest.raises(ValueError):
+        list(warc.records([("a", "WARC/1.1"), ("a", "Content-Length: 3"), ("a", ""), ("b", "abc")]))
 
 
 def test_histories_are_in_global_order(spark, tiny):
     runs = warc.capture_runs(spark, warc.write_archives(spark.read.parquet(f"{tiny}/pages.parquet").repartition(5)))
     rows = [(r.url_key, r.timestamp, r.page_order) for r in warc.merged_histories(runs).collect()]
-    assert rows == sorted(rows) and len(rows) > 0
+    assert rows == sorted(rows) and len(rows) == spark.read.parquet(f"{tiny}/pages.parquet").count()
+
+
+def test_small_runs_and_ranges_give_the_same_histories(spark, tiny, monkeypatch):
+    pages = spark.read.parquet(f"{tiny}/pages.parquet").repartition(3)
+    folder = warc.write_archives(pages)
+    want = [tuple(r) for r in warc.merged_histories(warc.capture_runs(spark, folder)).collect()]
+    monkeypatch.setattr(warc, "RUN_ROWS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    runs = warc.capture_runs(spark, folder)
+    merged = warc.merged_histories(runs)
+    assert [tuple(r) for r in merged.collect()] == want and merged.rdd.getNumPartitions() > 1
+    for name, rows in itertools.groupby(runs.collect(), lambda r: r.run):
+        keys = [warc._key(tuple(r)[1:]) for r in rows]
+        assert keys == sorted(keys) and len(keys) <= 7 or name is None
+
+
+def test_runs_that_do_not_ascend_are_several_leaves():
+    row = lambda k: (k, "", "", 0, "", 0, 0, "", "", None)
+    lists = warc.natural_runs([("a", row("1")), ("b", row("0")), ("a", row("3")), ("a", row("2")), ("b", row("0"))])
+    assert [[r[0] for r in x] for x in lists] == [["1", "3"], ["0", "0"], ["2"]]
+    assert [r[0] for r in warc.LoserTree(lists, warc._key)] == ["0", "0", "1", "2", "3"]
 
 
 def test_no_pages(spark):
