@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -91,23 +92,59 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
 
-#: Bits of a key bitmap: 4 MiB, whatever the input.
-KEY_BITS = 1 << 25
+#: A key bitmap has 16 bits a key or more, but from 512 KiB to 32 MiB whatever the input.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 28
 
 
-def key_bitmap(keys: DataFrame, column: str, name: str) -> DataFrame:
-    """A bit for each key (a well-mixed long), as at most KEY_BITS / 32768 rows of 4 KiB."""
-    at = F.pmod(F.col(column), F.lit(KEY_BITS))
-    return staged(keys.select(F.expr(f"pmod({column}, {KEY_BITS}L) div 32768").alias("_bucket"), (at % 32768).cast("long").alias("_at")).groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), name)
+class KeyBitmap(NamedTuple):
+    """`bits` bits (a power of two) in rows (_bucket, _bits) of 4 KiB."""
 
+    rows: DataFrame
+    bits: int
 
-def with_maybe(df: DataFrame, column: str, bitmap: DataFrame) -> DataFrame:
+    def array(self) -> np.ndarray:
+        """All of it on the driver, for a broadcast: MOST_BITS / 8 bytes at most."""
+        out = np.zeros(self.bits // 8, np.uint8)
+        for r in self.rows.collect():
+            out[r["_bucket"] * 4096 : r["_bucket"] * 4096 + len(r["_bits"])] = np.frombuffer(r["_bits"], np.uint8)
+        return out
+
+
+def key_bitmap(keys: DataFrame, column: str, name: str) -> KeyBitmap:
+    """A bit for each key (a well-mixed long)."""
+    keys = staged(keys.select(F.col(column).alias("key")), f"{name}-listed")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()))
+    at = F.pmod("key", F.lit(bits))
+    places = keys.select(F.expr(f"pmod(key, {bits}L) div 32768").alias("_bucket"), (at % 32768).cast("long").alias("_at"))
+    return KeyBitmap(staged(places.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), name), bits)
+
+
+def with_maybe(df: DataFrame, column: str, bitmap: KeyBitmap) -> DataFrame:
     """df with _maybe: false only where the key isn't in the bitmap. So rows that need no exact join don't move; a full bitmap moves all, and nothing else changes."""
-    out = df.withColumn("_bucket", F.expr(f"pmod({column}, {KEY_BITS}L) div 32768")).join(F.broadcast(bitmap), "_bucket", "left")
-    bit = F.expr(f"shiftright(cast(conv(hex(substr(_bits, cast((pmod({column}, {KEY_BITS}L) % 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(pmod({column}, {KEY_BITS}L) % 8 as int)) & 1")
+    at = f"pmod({column}, {bitmap.bits}L)"
+    out = df.withColumn("_bucket", F.expr(f"{at} div 32768")).join(F.broadcast(bitmap.rows), "_bucket", "left")
+    byte = f"cast(conv(hex(substr(_bits, cast(({at} % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"shiftright({byte}, cast({at} % 8 as int)) & 1")
     return out.withColumn("_maybe", F.coalesce(bit == 1, F.lit(False))).drop("_bucket", "_bits")
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: int) -> DataFrame:
+    """rows left join facts, one row of which a key has; `weight` tells how many rows have it.
+
+    The keys with more than a most-th of the whole weight, fewer than `most`, go to all tasks, so no task gets more than such a share of the rows; rows with
+    a null key are joined with nothing and don't move.
+    """
+    facts = staged(facts, f"facts-by-{key}")
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot, cold = F.broadcast(facts.where(F.col(weight) * most > total)), facts.where(F.col(weight) * most <= total)
+    none, some = rows.where(F.col(key).isNull()), rows.where(F.col(key).isNotNull())
+    for f in facts.schema:
+        if f.name != key:
+            none = none.withColumn(f.name, F.lit(None).cast(f.dataType))
+    others = some.join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    return some.join(hot, key).unionByName(others).unionByName(none)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most so many rows, unless the session has a setting of its own: texts can be long, and a batch is held whole."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import KEY_BITS, documents, key_bitmap, mix64, staged, with_maybe, words_of
+from tallyloom.llm.common import documents, join_facts, key_bitmap, mix64, staged, with_maybe, words_of
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 7, 0.9999
 #: Bins of similarity between the threshold and 1; documents with a shingle from which on it isn't rare; sets of equal texts that are sent to all, at most.
@@ -311,7 +311,7 @@ def with_blocks(placed: DataFrame) -> DataFrame:
 def rarest(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
     """The shingles of which a set at the threshold must have one: as many as it can lack and one more, those that aren't common first, then by value."""
     n = len(shingles) - int(np.ceil(threshold * len(shingles) - 1e-6)) + 1
-    at = (shingles % np.uint64(KEY_BITS)).astype(np.int64)
+    at = (shingles & np.uint64(8 * len(common) - 1)).astype(np.int64)
     often = common[at >> 3] >> (at & 7).astype(np.uint8) & 1
     return shingles[np.lexsort((shingles, often))[:n]]
 
@@ -320,10 +320,7 @@ def parted(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """large (root, node, short, ...) with the roots of the parts that share rarest shingles; nodes that share none have no link and go."""
     members = large.select("root", "short", "node").join(sets, "node").select("root", "short", "shingles")
     often = members.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    bits = np.zeros(KEY_BITS // 8, np.uint8)
-    for r in key_bitmap(often, "shingle", "common-shingles").collect():  # KEY_BITS / 8 bytes at any size; a full one only makes the order poorer
-        bits[r["_bucket"] * 4096 : r["_bucket"] * 4096 + len(r["_bits"])] = np.frombuffer(r["_bits"], np.uint8)
-    common = large.sparkSession.sparkContext.broadcast(bits)
+    common = large.sparkSession.sparkContext.broadcast(key_bitmap(often, "shingle", "common-shingles").array())  # a full one only makes the order poorer
 
     def run(batches):
         for b in batches:
@@ -370,19 +367,6 @@ def found_again(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return staged(texts.mapInArrow(again, "node binary, shingles array<long>"), "sets")
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, n_rows: int) -> DataFrame:
-    """rows with the facts of their node, left join. The sets with more than one HOT_SETS-th of all rows, fewer than HOT_SETS, go to all tasks."""
-    facts = staged(facts, "facts")
-    hot = F.broadcast(facts.where(F.col("copies") * HOT_SETS > n_rows))
-    none = rows.where("node is null")
-    for f in facts.schema:
-        if f.name != "node":
-            none = none.withColumn(f.name, F.lit(None).cast(f.dataType))
-    some = rows.where("node is not null")
-    cold = some.join(hot.select("node"), "node", "left_anti").join(facts.where(F.col("copies") * HOT_SETS <= n_rows), "node", "left")
-    return some.join(hot, "node").unionByName(cold).unionByName(none)
-
-
 def classified(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, full_depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """doc_id, row_a, row_b, class_id, n_links and the class's first row (first.id, first.a, first.b) for each row of docs."""
     docs = docs.select("doc_id", "text")
@@ -418,8 +402,7 @@ def classified(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     linked = staged(classes.join(firsts, "root").join(counts, "node").select("node", "class_first", "links"), "linked")
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     facts = nodes.select("node", "copies", "first").join(linked, "node", "left").select("node", "copies", n_links, F.coalesce("class_first", "first").alias("first"))
-    n_rows = rows.count()
-    found = with_facts(rows.select("doc_id", "row_a", "row_b", "node"), facts, n_rows)
+    found = join_facts(rows.select("doc_id", "row_a", "row_b", "node"), facts, "node", "copies", HOT_SETS)
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id")
     return found.select("doc_id", "row_a", "row_b", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first")
 

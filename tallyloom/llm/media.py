@@ -1,12 +1,14 @@
 """Media columns by content-defined chunking.
 
 A text's payload (UTF-8, padded with 255 to whole blocks) is cut where a rolling gear hash of the last bytes has its low bits clear, so equal passages
-give equal chunks wherever they stand. Chunk digests are counted and joined in Spark: a chunk that occurs once is stored with its document, one that
-occurs more often is stored once for all. A document is an ordered list of chunk digests; reading joins the chunks back, checks each digest, and computes
-features of the samples that were read. Documents with one and the same list are read once.
+give equal chunks wherever they stand. A chunk is stored as its length and its 8-bit samples. Chunk digests are counted in Spark: a chunk that occurs once
+is stored with its document, one that occurs more often is stored once for all, in a table by digest. A document is a header and an ordered list of
+chunk digests; reading joins the chunks back by digest, checks each, and computes features of the samples that were read. Its stored form is the header
+and its stored chunks, in order and as they lie in the store. Documents with one and the same list are read once.
 
-Which chunks occur more than once is told to the scan by a bitmap of fixed size: a false hit stores a single chunk in the shared part, which changes where
-it lies and nothing else. So payload bytes move between machines only for shared chunks.
+Which chunks occur more than once is told to the scans by a bitmap sized by their number: a false hit stores a single chunk in the shared table, which
+changes where it lies and nothing else. So payload bytes move between machines only for shared chunks, once for each task that has them; chunks that very
+many lists ask for, and lists that very many documents have, go to all tasks instead of one.
 
 Null and empty texts are one block of 255. Repeated rows and null ids are kept as they stand; an empty table gives no rows. Other columns aren't read.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import crc, mix64, staged
+from tallyloom.llm.common import crc, join_facts, key_bitmap, mix64, staged
 
 BLOCK, PAD = 576, b"\xff"
-#: Bytes of a chunk at least and at most; a cut where this many low bits are clear (2 KiB between cuts); bits of the bitmap (4 MiB).
-LEAST, MOST, CUT_BITS, BITMAP_BITS = 512, 16_384, 11, 1 << 25
+#: Bytes of a chunk at least and at most; a cut where this many low bits are clear (2 KiB between cuts).
+LEAST, MOST, CUT_BITS = 512, 16_384, 11
+#: Chunks (16 MiB) and lists that go to all tasks, at most: those with more than such a part of what is asked for.
+HOT_CHUNKS, HOT_LISTS = 1000, 10_000
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
@@ -74,9 +79,13 @@ def digest_of(chunk: bytes) -> bytes:
     return hashlib.sha256(chunk).digest()
 
 
-def stored_form(chunks: list[bytes]) -> bytes:
-    """A document's media as it is served: a header, then each chunk of 8-bit samples behind its length."""
-    return b"TLMC" + struct.pack("<I", len(chunks)) + b"".join(struct.pack("<I", len(c)) + c for c in chunks)
+def header_of(n_chunks: int) -> bytes:
+    return b"TLMC" + struct.pack("<I", n_chunks)
+
+
+def stored_chunk(samples: bytes) -> bytes:
+    """As a chunk lies in the store: its length and its 8-bit samples."""
+    return struct.pack("<I", len(samples)) + samples
 
 
 def feature_of(samples: np.ndarray, n_chunks: int) -> str:
@@ -86,77 +95,88 @@ def feature_of(samples: np.ndarray, n_chunks: int) -> str:
     return f"chunks={n_chunks};n={len(s)};sum={int(s.sum())};sq={int((s * s).sum())};steps={int(np.abs(np.diff(s)).sum())};hist=" + ",".join(map(str, bins.tolist()))
 
 
-def _position(digest: bytes) -> int:
-    return int.from_bytes(digest[:4], "little") % BITMAP_BITS
+def _key_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:7], "big")
+
 
+class Media(NamedTuple):
+    """documents: doc_id, row, n_bytes, payload_bytes, header, digests (ordered) and own (the chunks that are stored here); chunks: digest, bytes of all others."""
 
-def manifests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The chunk digests of each row, in order."""
+    documents: DataFrame
+    chunks: DataFrame
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Media:
+    """Writes the media tables. The text is cut anew in each of three scans, which is cheaper than to keep every copy of a chunk in between."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def run(batches):
+    def digests(batches):
         for b in batches:
             lists = [[digest_of(c) for c in chunks_of(payload_of(t)[0])] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.binary()))], ["digests"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digests array<binary>")
+    met = rows.select("text").mapInArrow(digests, "digests array<binary>").select(F.explode("digests").alias("digest"))
+    often = met.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.expr("cast(conv(hex(substr(digest, 1, 7)), 16, 10) as bigint)").alias("key"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(key_bitmap(often, "key", "shared-chunks").array())
 
+    def shared(digest: bytes) -> int:
+        at = _key_of(digest) & (8 * len(bitmap.value) - 1)
+        return bitmap.value[at >> 3] >> (at & 7) & 1
 
-def shared_bitmap(docs: DataFrame, id_col: str, text_col: str) -> bytes:
-    """A bit for each digest that occurs more than once: at most BITMAP_BITS / 8 bytes come to the driver."""
-    often = manifests(docs, id_col, text_col).select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    # The first four bytes, little-endian, as _position takes them.
-    place = F.expr(f"pmod(conv(hex(reverse(substr(digest, 1, 1))), 16, 10) + conv(hex(substr(digest, 2, 1)), 16, 10) * 256L + conv(hex(substr(digest, 3, 1)), 16, 10) * 65536L + conv(hex(substr(digest, 4, 1)), 16, 10) * 16777216L, {BITMAP_BITS}L)".replace("reverse(substr(digest, 1, 1))", "substr(digest, 1, 1)")).cast("long")
-    rows = often.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("bucket")).agg(F.bitmap_construct_agg((F.col("p") % 32768).cast("long")).alias("bits")).collect()
-    bitmap = bytearray(BITMAP_BITS // 8)
-    for r in rows:
-        bitmap[r.bucket * 4096 : r.bucket * 4096 + len(r.bits)] = r.bits
-    return bytes(bitmap)
-
+    def lend(batches):
+        seen = set()  # digests of this task's shared chunks
+        for b in batches:
+            found = []
+            for t in b.column(0).to_pylist():
+                for c in chunks_of(payload_of(t)[0]):
+                    d = digest_of(c)
+                    if shared(d) and d not in seen:
+                        seen.add(d)
+                        found.append((d, stored_chunk(c)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["digest", "bytes"])
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The media table: a row for each document with its ordered digests, its own chunks, and the shared chunks that this task met first."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(shared_bitmap(docs, id_col, text_col))  # always BITMAP_BITS / 8 bytes
-    id_type = docs.schema[id_col].dataType.simpleString()
+    lent = rows.select("text").mapInArrow(lend, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    chunks = staged(lent, "media-chunks")
     chunk_type = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
+    names = ["doc_id", "row", "n_bytes", "payload_bytes", "header", "digests", "own"]
 
-    def run(batches):
-        bits, seen, part, row = bitmap.value, set(), TaskContext.get().partitionId(), 0
+    def keep(batches):
+        part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            keys, sizes, payloads, lists, own, lent = [], [], [], [], [], []
+            sizes, lists, own = [], [], []
             for t in b.column(1).to_pylist():
                 payload, n = payload_of(t)
-                chunks = chunks_of(payload)
-                digests = [digest_of(c) for c in chunks]
-                mine, shared = [], []
-                for c, d in zip(chunks, digests, strict=True):
-                    p = _position(d)
-                    if not bits[p >> 3] >> (p & 7) & 1:
-                        mine.append({"digest": d, "bytes": c})
-                    elif d not in seen:
-                        seen.add(d)
-                        shared.append({"digest": d, "bytes": c})
-                keys.append((part << 40) | row), sizes.append(n), payloads.append(len(payload)), lists.append(digests), own.append(mine), lent.append(shared)
-                row += 1
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payloads, pa.int64()), pa.array(lists, pa.list_(pa.binary())), pa.array(own, chunk_type), pa.array(lent, chunk_type)],
-                ["doc_id", "row", "n_bytes", "payload_bytes", "digests", "own", "lent"],
-            )
+                cut = [(digest_of(c), c) for c in chunks_of(payload)]
+                sizes.append((n, len(payload)))
+                lists.append([d for d, _ in cut])
+                own.append([{"digest": d, "bytes": stored_chunk(c)} for d, c in cut if not shared(d)])
+            keys = pa.array([(part << 40) | (row + i) for i in range(len(sizes))], pa.int64())
+            row += len(sizes)
+            longs = [pa.array([x[k] for x in sizes], pa.int64()) for k in (0, 1)]
+            headers = pa.array([header_of(len(x)) for x in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, *longs, headers, pa.array(lists, pa.list_(pa.binary())), pa.array(own, chunk_type)], names)
 
-    chunk = "array<struct<digest:binary,bytes:binary>>"
-    table = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, row long, n_bytes long, payload_bytes long, digests array<binary>, own {chunk}, lent {chunk}")
-    return staged(table, "media")
+    schema = f"doc_id {id_type}, row long, n_bytes long, payload_bytes long, header binary, digests array<binary>, own array<struct<digest:binary,bytes:binary>>"
+    return Media(staged(rows.mapInArrow(keep, schema), "media-documents"), chunks)
 
 
 _FACTS = "payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _facts(digests: list[bytes], chunks: dict[bytes, bytes]) -> tuple:
+def _facts(header: bytes, digests: list[bytes], chunks: dict[bytes, bytes]) -> tuple:
+    """From the stored header and the stored chunks of a document."""
+    ordered, form = [], [header]
     for d in digests:
-        if d not in chunks or digest_of(chunks[d]) != d:
+        stored = chunks.get(d)
+        if stored is None or stored[:4] != struct.pack("<I", len(stored) - 4) or digest_of(stored[4:]) != d:
             raise ValueError(f"chunk {d.hex()} is missing from the media store or damaged")
-    ordered = [chunks[d] for d in digests]
-    payload, form = b"".join(ordered), stored_form(ordered)
-    return hashlib.sha256(payload).hexdigest(), crc(payload[-32:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(np.frombuffer(payload, np.uint8), len(ordered))
+        ordered.append(stored[4:])
+        form.append(stored)
+    if header != header_of(len(digests)):
+        raise ValueError("the header isn't that of its list")
+    payload, media = b"".join(ordered), b"".join(form)
+    return hashlib.sha256(payload).hexdigest(), crc(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(np.frombuffer(payload, np.uint8), len(ordered))
 
 
 def _fact_arrays(rows: list[tuple]) -> list[pa.Array]:
@@ -164,38 +184,39 @@ def _fact_arrays(rows: list[tuple]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes and the facts of what was read back, for each row of the media table."""
-    id_type = media.schema["doc_id"].dataType.simpleString()
+def read_media(media: Media) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes and the facts of what was read back, for each document."""
+    docs = media.documents
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     whole = F.size("own") == F.size("digests")
     names = [f.split()[0] for f in _FACTS.split(", ")]
 
     # Documents that hold all their chunks themselves need no other machine.
     def alone(batches):
         for b in batches:
-            rows = [_facts(d, {c["digest"]: c["bytes"] for c in own}) for d, own in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            rows = [_facts(h, d, {c["digest"]: c["bytes"] for c in own}) for h, d, own in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *_fact_arrays(rows)], ["doc_id", "n_bytes", "payload_bytes", *names])
 
-    first = media.where(whole).select("doc_id", "n_bytes", "payload_bytes", "digests", "own").mapInArrow(alone, f"doc_id {id_type}, n_bytes long, payload_bytes long, {_FACTS}")
+    first = docs.where(whole).select("doc_id", "n_bytes", "payload_bytes", "header", "digests", "own").mapInArrow(alone, f"doc_id {id_type}, n_bytes long, payload_bytes long, {_FACTS}")
 
     # The others: one row for each distinct list fetches its chunks.
-    rest = media.where(~whole).withColumn("list", F.expr("sha2(array_join(transform(digests, d -> hex(d)), ''), 256)"))
-    readers = rest.groupBy("list").agg(F.min("row").alias("row"))
-    chosen = rest.select("row", "list", "digests", "own").join(readers.select("row"), "row")
+    rest = docs.where(~whole).withColumn("list", F.expr("sha2(array_join(transform(digests, d -> hex(d)), ''), 256)"))
+    readers = staged(rest.groupBy("list").agg(F.min("row").alias("row"), F.count("*").alias("n")), "media-lists")
+    chosen = rest.select("row", "header", "digests", "own").join(readers, "row")
     pieces = chosen.select("list", F.explode("own").alias("c")).select("list", "c.digest", "c.bytes")
-    asked = rest.select("row", "digests", "own").join(readers, "row").select("list", F.explode(F.array_except("digests", F.transform("own", lambda c: c["digest"]))).alias("digest"))
-    lent = media.select(F.explode("lent").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
-    fetched = asked.join(lent, "digest", "left").select("list", "digest", "bytes")
-    orders = rest.select("row", "digests").join(readers, "row").select("list", "digests")
+    asked = staged(chosen.select("list", F.explode(F.array_except("digests", F.transform("own", lambda c: c["digest"]))).alias("digest")), "media-asked")
+    wanted = media.chunks.join(asked.groupBy("digest").agg(F.count("*").alias("asked")), "digest")
+    fetched = join_facts(asked, wanted, "digest", "asked", HOT_CHUNKS).select("list", "digest", "bytes")
+    orders = chosen.select("list", "header", "digests", "n")
     gathered = pieces.unionByName(fetched).groupBy("list").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks")).join(orders, "list")
 
     def together(batches):
         for b in batches:
-            rows = [_facts(d, {c["digest"]: c["bytes"] for c in chunks}) for chunks, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *_fact_arrays(rows)], ["list", *names])
+            rows = [_facts(h, d, {c["digest"]: c["bytes"] for c in chunks}) for h, d, chunks in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_fact_arrays(rows)], ["list", "n", *names])
 
-    facts = gathered.select("list", "chunks", "digests").mapInArrow(together, f"list string, {_FACTS}")
-    second = rest.select("doc_id", "n_bytes", "payload_bytes", "list").join(facts, "list").drop("list")
+    facts = gathered.select("list", "n", "header", "digests", "chunks").mapInArrow(together, f"list string, n long, {_FACTS}")
+    second = join_facts(rest.select("doc_id", "n_bytes", "payload_bytes", "list"), facts, "list", "n", HOT_LISTS).drop("list", "n")
     return first.unionByName(second)
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import key_bitmap, shared_dir, staged, with_maybe
+from tallyloom.llm.common import join_facts, key_bitmap, shared_dir, staged, with_maybe
 
 MIN_REVISIT = 1000
 #: Records in an archive file, at most; captures that a task sorts at once; captures in a range, in expectation; digests that are sent to all, at most.
@@ -56,15 +56,10 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     # Counted before it is joined: of a payload with many copies one row for each task moves.
     large = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
     keepers = staged(large.select(F.xxhash64("digest").alias("key"), F.col("digest").alias("copied"), "keeper", "n"), "keepers")
-    marked = with_maybe(rows.withColumn("key", F.xxhash64("digest")), "key", key_bitmap(keepers, "key", "keeper-keys")).withColumn("_maybe", F.col("_maybe") & (F.col("size") >= MIN_REVISIT)).drop("key")
-    # Digests of more than a HOT_DIGESTS-th of all copies are fewer than HOT_DIGESTS.
-    copies = keepers.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(keepers.where(F.col("n") * HOT_DIGESTS > copies).select("copied", "keeper"))
-    cold = keepers.where(F.col("n") * HOT_DIGESTS <= copies).select("copied", "keeper")
-    maybe, same = marked.where("_maybe"), F.col("digest") == F.col("copied")
-    none = marked.where("not _maybe").withColumn("copied", F.lit(None).cast("string")).withColumn("keeper", F.lit(None).cast(pages.schema["page_id"].dataType))
-    joined = none.unionByName(maybe.join(hot, same)).unionByName(maybe.join(hot.select(F.col("copied").alias("hot")), F.col("digest") == F.col("hot"), "left_anti").join(cold, same, "left"))
-    revisit = F.col("copied").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    marked = with_maybe(rows.withColumn("key", F.xxhash64("digest")), "key", key_bitmap(keepers, "key", "keeper-keys"))
+    copied = F.when(F.col("_maybe") & (F.col("size") >= MIN_REVISIT), F.col("digest")).alias("copied")  # null: certainly no copy, and the row doesn't move
+    joined = join_facts(marked.select("page_id", "url", "payload", "digest", "size", copied), keepers.drop("key"), "copied", "n", HOT_DIGESTS)
+    revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select("page_id", "url", "payload", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to"))
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tallyloom.llm import jaccard
-from tallyloom.llm.common import KEY_BITS, words_of
+from tallyloom.llm.common import LEAST_BITS, words_of
 from tallyloom.llm.jaccard import chance, depth_for, forest, one_of_each, rarest, shortened, similar_classes
 
 
@@ -101,7 +101,7 @@ def test_the_forest_connects_what_shares_a_prefix_and_nothing_else(spark, monkey
 
 
 def test_rarest_shingles_meet_wherever_sets_are_similar():
-    rng, common = np.random.default_rng(4), np.zeros(KEY_BITS // 8, np.uint8)
+    rng, common = np.random.default_rng(4), np.zeros(LEAST_BITS // 8, np.uint8)
     common[rng.integers(0, len(common), len(common) // 2)] = 255
     for _ in range(300):
         a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 60)), dtype=np.uint64))
@@ -128,4 +128,16 @@ def test_a_key_bitmap_misses_no_key(spark):
     other = spark.range(2000, 52_000).select(F.xxhash64("id").alias("k"))
     bitmap = key_bitmap(keys, "k", "test-keys")
     assert with_maybe(keys, "k", bitmap).where("not _maybe").count() == 0
-    assert with_maybe(other, "k", bitmap).where("_maybe").count() < 50
+    assert with_maybe(other, "k", bitmap).where("_maybe").count() < 100
+    bits, at = bitmap.array(), [r.k % bitmap.bits for r in keys.collect()]
+    assert all(bits[i >> 3] >> (i & 7) & 1 for i in at) and int(np.unpackbits(bits).sum()) == len(set(at))
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_facts_of_frequent_keys_are_joined_alike(spark, most):
+    from tallyloom.llm.common import join_facts
+
+    rows = [("a",)] * 50 + [("b",)] * 5 + [("c",)] + [(None,)] * 3 + [("x",)]
+    facts = spark.createDataFrame([("a", 50), ("b", 5), ("c", 1), ("d", 9)], "k string, n int")
+    got = join_facts(spark.createDataFrame(rows, "k string"), facts, "k", "n", most).collect()
+    assert sorted((r.k or "", r.n or 0) for r in got) == [("", 0)] * 3 + [("a", 50)] * 50 + [("b", 5)] * 5 + [("c", 1), ("x", 0)]
