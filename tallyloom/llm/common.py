@@ -132,7 +132,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: i
     """rows left join facts, one row of which a key has; `weight` tells how many rows have it.
 
     The keys with more than a most-th of the whole weight, fewer than `most`, go to all tasks, so no task gets more than such a share of the rows; rows with
-    a null key are joined with nothing and don't move.
+    a null key are joined with nothing and don't move. The others are joined by sorting at any size.
     """
     facts = staged(facts, f"facts-by-{key}")
     total = facts.agg(F.sum(weight)).first()[0] or 0
@@ -141,7 +141,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, most: i
     for f in facts.schema:
         if f.name != key:
             none = none.withColumn(f.name, F.lit(None).cast(f.dataType))
-    others = some.join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    others = some.join(hot.select(key), key, "left_anti").join(cold.hint("merge"), key, "left")
     return some.join(hot, key).unionByName(others).unionByName(none)
 
 

@@ -8,7 +8,7 @@ the links verified so far, each weighed by the chance that the trees had to find
 reaches the target is taken (one imagined link at the threshold keeps the estimate modest where little was found). That never goes below the depth
 at which the trees find a pair at the threshold with the target probability.
 
-Nodes that runs link are a cluster. A cluster too large for one block is parted first without loss: two sets at the threshold must share one of the
+Nodes that runs link are a cluster. A cluster of more than WHOLE_BLOCKS blocks is parted first without loss: two sets at the threshold must share one of the
 rarest few shingles of each, so only nodes connected by those stay together, and common passages alone hold nothing together. Each part is verified
 exactly: it is dealt into blocks of bounded size, each pair of blocks is one task's work, and what leaves a task is a count for each node and a spanning
 forest of the links, never the links themselves. Classes are the connected components of the verified links.
@@ -31,8 +31,8 @@ from tallyloom.llm.common import documents, join_facts, key_bitmap, mix64, stage
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 24, 7, 0.9999
 #: Bins of similarity between the threshold and 1; documents with a shingle from which on it isn't rare; sets of equal texts that are sent to all, at most.
 BINS, COMMON, HOT_SETS = 20, 16, 10_000
-#: Nodes and shingles in a block of a cluster, at most (in expectation).
-BLOCK_NODES, BLOCK_SHINGLES = 128, 400_000
+#: Nodes and shingles in a block of a cluster, at most (in expectation); blocks up to which a cluster is compared whole rather than parted first.
+BLOCK_NODES, BLOCK_SHINGLES, WHOLE_BLOCKS = 128, 400_000, 16
 
 #: Odd multipliers for a shingle's words and for a prefix's labels.
 _POWERS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -311,20 +311,29 @@ def with_blocks(placed: DataFrame) -> DataFrame:
 def rarest(shingles: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
     """The shingles of which a set at the threshold must have one: as many as it can lack and one more, those that aren't common first, then by value."""
     n = len(shingles) - int(np.ceil(threshold * len(shingles) - 1e-6)) + 1
-    at = (shingles & np.uint64(8 * len(common) - 1)).astype(np.int64)
-    often = common[at >> 3] >> (at & 7).astype(np.uint8) & 1
-    return shingles[np.lexsort((shingles, often))[:n]]
+    return shingles[np.lexsort((shingles, _in(common, shingles)))[:n]]
+
+
+def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1
 
 
 def parted(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """large (root, node, short, ...) with the roots of the parts that share rarest shingles; nodes that share none have no link and go."""
     members = large.select("root", "short", "node").join(sets, "node").select("root", "short", "shingles")
-    often = members.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    common = large.sparkSession.sparkContext.broadcast(key_bitmap(often, "shingle", "common-shingles").array())  # a full one only makes the order poorer
+    counted = staged(members.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "met-shingles")
+    sc = large.sparkSession.sparkContext
+    # Full bitmaps would only make the order poorer and the keys more.
+    met = sc.broadcast(key_bitmap(counted, "shingle", "met-twice").array())
+    common = sc.broadcast(key_bitmap(counted.where(F.col("n") >= COMMON), "shingle", "common-shingles").array())
 
     def run(batches):
         for b in batches:
-            kept = [rarest(np.asarray(s, np.int64).view(np.uint64), common.value, threshold).view(np.int64) for s in b.column(2).to_pylist()]
+            kept = []
+            for s in b.column(2).to_pylist():
+                found = rarest(np.asarray(s, np.int64).view(np.uint64), common.value, threshold)
+                kept.append(found[_in(met.value, found) > 0].view(np.int64))  # what no other set has links nothing
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.list_(pa.int64()))], ["root", "short", "shingles"])
 
     keys = staged(members.mapInArrow(run, "root long, short long, shingles array<long>"), "rarest").select("root", "short", F.explode("shingles").alias("shingle"))
@@ -337,14 +346,14 @@ def parted(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def cluster_links(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """What verified() gives for the clusters of placed, with `root`, the cluster as it came."""
     sized = staged(with_blocks(placed), "sized")
-    large = sized.where("blocks > 1")
+    large = sized.where(F.col("blocks") > WHOLE_BLOCKS)
     dealt = sized
     if not large.isEmpty():
-        dealt = staged(sized.where("blocks = 1").unionByName(with_blocks(parted(large, sets, threshold))), "parted")
+        dealt = staged(sized.where(F.col("blocks") <= WHOLE_BLOCKS).unionByName(with_blocks(parted(large, sets, threshold))), "parted")
     # Block b meets every block from itself on: as side 0 the later ones, as side 1 the earlier ones.
     meets = F.expr("concat(transform(sequence(block, blocks - 1), y -> named_struct('x', block, 'y', y, 'side', 0)), filter(transform(sequence(0, block), x -> named_struct('x', x, 'y', block, 'side', 1)), m -> m.x < block))")
     dealt = dealt.select("root", "node", "copies", "blocks").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = sets.join(dealt, "node").select(F.col("root").alias("cluster"), F.explode(meets).alias("m"), "node", "copies", "shingles")
+    members = sets.join(dealt.hint("merge"), "node").select(F.col("root").alias("cluster"), F.explode(meets).alias("m"), "node", "copies", "shingles")
     return staged(verified(members.select("cluster", "m.x", "m.y", "m.side", "node", "copies", "shingles"), threshold), "links")
 
 
@@ -353,7 +362,7 @@ def found_again(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     wanted = nodes.select(F.col("first.a").alias("row_a"), F.col("first.b").alias("row_b"), F.col("node").alias("wanted"))
     may = with_maybe(with_row_key(docs), "row_a", key_bitmap(wanted, "row_a", "wanted-keys")).where("_maybe")
     once = may.groupBy("row_a", "row_b").agg(F.first("text").alias("text"))  # repeated rows have one key
-    texts = once.join(wanted, ["row_a", "row_b"]).select("wanted", "text")
+    texts = once.join(wanted.hint("merge"), ["row_a", "row_b"]).select("wanted", "text")
 
     def again(batches):
         for b in batches:
@@ -377,12 +386,13 @@ def classified(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     # Half of a set id names a node here: should two agree, their clusters are one, and verification still parts them.
     trie = staged(forest(nodes, trees, full_depth, depth_for(recall, threshold, trees, full_depth)), "trie")
     near = trie.select(F.col("a").alias("short")).union(trie.select("b")).distinct()
-    own = staged(nodes.select("short", "node", "size", "copies", "first").join(near, "short"), "cluster-nodes")
+    # What grows with the documents is joined by sorting at any size (merge), so that a plan that holds on small tables is the one of large tables.
+    own = staged(nodes.select("short", "node", "size", "copies", "first").join(near.hint("merge"), "short"), "cluster-nodes")
     sets = found_again(docs, own, k)
     depth, links, old = full_depth, None, None
     while True:
         clusters = components(trie.where(F.col("level") >= depth).select("a", "b"), f"clusters-{depth}").withColumnRenamed("node", "short")
-        placed = staged(clusters.join(own.drop("first"), "short"), "placed")
+        placed = staged(clusters.join(own.drop("first").hint("merge"), "short"), "placed")
         sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
         if old is None:
             links = cluster_links(placed, sets, threshold)
@@ -401,7 +411,7 @@ def classified(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
     firsts = classes.join(own.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("class_first"))
     linked = staged(classes.join(firsts, "root").join(counts, "node").select("node", "class_first", "links"), "linked")
     n_links = (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
-    facts = nodes.select("node", "copies", "first").join(linked, "node", "left").select("node", "copies", n_links, F.coalesce("class_first", "first").alias("first"))
+    facts = nodes.select("node", "copies", "first").join(linked.hint("merge"), "node", "left").select("node", "copies", n_links, F.coalesce("class_first", "first").alias("first"))
     found = join_facts(rows.select("doc_id", "row_a", "row_b", "node"), facts, "node", "copies", HOT_SETS)
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id")
     return found.select("doc_id", "row_a", "row_b", class_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "first")

@@ -110,8 +110,10 @@ def test_rarest_shingles_meet_wherever_sets_are_similar():
             assert set(rarest(a, common, 0.8).tolist()) & set(rarest(b, common, 0.8).tolist())
 
 
-def test_large_clusters_are_parted_without_loss(spark, monkeypatch):
+@pytest.mark.parametrize("whole", [1, 3])
+def test_large_clusters_are_parted_without_loss(spark, monkeypatch, whole):
     monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
+    monkeypatch.setattr(jaccard, "WHOLE_BLOCKS", whole)
     rows = corpus(11)
     passage = [f"p{i}" for i in range(60)]
     rows += [(1000 + i, " ".join(passage + [f"own{i}x{k}" for k in range(20)])) for i in range(40)]  # a passage in common, and no link
