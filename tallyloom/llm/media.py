@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import crc, join_facts, key_bitmap, mix64, staged
+from tallyloom.llm.common import crc, join_facts, key_bitmap, mix64, staged, with_maybe
 
 BLOCK, PAD = 576, b"\xff"
 #: Bytes of a chunk at least and at most; a cut where this many low bits are clear (2 KiB between cuts).
@@ -199,23 +199,23 @@ def read_media(media: Media) -> DataFrame:
 
     first = docs.where(whole).select("doc_id", "n_bytes", "payload_bytes", "header", "digests", "own").mapInArrow(alone, f"doc_id {id_type}, n_bytes long, payload_bytes long, {_FACTS}")
 
-    # The others: one row for each distinct list fetches its chunks.
-    rest = docs.where(~whole).withColumn("list", F.expr("sha2(array_join(transform(digests, d -> hex(d)), ''), 256)"))
-    readers = staged(rest.groupBy("list").agg(F.min("row").alias("row"), F.count("*").alias("n")), "media-lists")
-    chosen = rest.select("row", "header", "digests", "own").join(readers, "row")
-    pieces = chosen.select("list", F.explode("own").alias("c")).select("list", "c.digest", "c.bytes")
-    asked = staged(chosen.select("list", F.explode(F.array_except("digests", F.transform("own", lambda c: c["digest"]))).alias("digest")), "media-asked")
-    wanted = media.chunks.join(asked.groupBy("digest").agg(F.count("*").alias("asked")), "digest")
-    fetched = join_facts(asked, wanted, "digest", "asked", HOT_CHUNKS).select("list", "digest", "bytes")
-    orders = chosen.select("list", "header", "digests", "n")
-    gathered = pieces.unionByName(fetched).groupBy("list").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks")).join(orders, "list")
+    # The others: one row for each distinct list fetches its chunks. A bitmap of those rows finds them in the scan; a false hit reads a list once more.
+    rest = docs.where(~whole).withColumn("list", F.expr("sha2(array_join(transform(digests, d -> hex(d)), ''), 256)")).withColumn("row_key", F.xxhash64("row"))
+    lists = rest.groupBy("list").agg(F.min("row").alias("row"), F.count("*").alias("n")).select("list", "n", F.xxhash64("row").alias("row_key"))
+    lists = staged(lists, "media-lists")
+    chosen = with_maybe(rest, "row_key", key_bitmap(lists, "row_key", "media-readers")).where("_maybe")
+    asked = staged(chosen.select("row_key", F.explode(F.array_except("digests", F.transform("own", lambda c: c["digest"]))).alias("digest")), "media-asked")
+    wanted = media.chunks.join(asked.groupBy("digest").agg(F.count("*").alias("asked")).hint("merge"), "digest")
+    fetched = join_facts(asked, wanted, "digest", "asked", HOT_CHUNKS).groupBy("row_key").agg(F.collect_list(F.struct("digest", "bytes")).alias("lent"))
+    gathered = chosen.select("row_key", "list", "header", "digests", "own").join(fetched.hint("merge"), "row_key")
 
     def together(batches):
         for b in batches:
-            rows = [_facts(h, d, {c["digest"]: c["bytes"] for c in chunks}) for h, d, chunks in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_fact_arrays(rows)], ["list", "n", *names])
+            rows = [_facts(h, d, {c["digest"]: c["bytes"] for c in own + lent}) for h, d, own, lent in zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *_fact_arrays(rows)], ["list", *names])
 
-    facts = gathered.select("list", "n", "header", "digests", "chunks").mapInArrow(together, f"list string, n long, {_FACTS}")
+    found = gathered.select("list", "header", "digests", "own", "lent").mapInArrow(together, f"list string, {_FACTS}")
+    facts = found.groupBy("list").agg(*(F.first(n).alias(n) for n in names)).join(lists.select("list", "n").hint("merge"), "list")
     second = join_facts(rest.select("doc_id", "n_bytes", "payload_bytes", "list"), facts, "list", "n", HOT_LISTS).drop("list", "n")
     return first.unionByName(second)
 
