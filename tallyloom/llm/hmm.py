@@ -276,10 +276,12 @@ def train(sequences: DataFrame, v: Vocabulary, states: int = STATES, rounds: int
             if seen:
                 yield _blob(TaskContext.get().partitionId(), np.concatenate(([log], start, move.ravel(), emit.ravel())))
 
-        level, n = sequences.mapInArrow(run, _BLOB), tasks
-        while n > FAN_IN:
+        level, n = sequences.mapInArrow(run, _BLOB), max(1, tasks)
+        while True:  # by one level at least and down to one task: the driver gets one sum at any size
             n = -(-n // FAN_IN)
             level = level.repartition(n, F.expr(f"part div {FAN_IN}")).mapInArrow(merged, _BLOB)
+            if n == 1:
+                break
         total = np.zeros(1 + states + states * states + states * size)
         for r in sorted(level.collect(), key=lambda r: r.part):
             total += np.frombuffer(zlib.decompress(r.blob))
