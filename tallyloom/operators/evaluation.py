@@ -44,7 +44,7 @@ def percentile(ordered: list[float], p: float) -> float:
 def bootstrap(values: list[float], samples: int, alpha: float, seed: int) -> tuple[float, float, float]:
     """Mean and interval of resampled case means; draws are one after the other, so results repeat."""
     if not values:
-        return math.nan, math.nan, math.nan
+        return 0.0, 0.0, 0.0
     rng, n = Xorshift32(seed), len(values)
     means = sorted(sum(values[int(rng.next() * n)] for _ in range(n)) / n for _ in range(samples))
     return sum(values) / n, percentile(means, alpha / 2), percentile(means, 1 - alpha / 2)
@@ -64,9 +64,34 @@ def bootstrap_by(rows: DataFrame, key: str, value: str, order: str, samples: int
     return rows.select(key, value, order).groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
 
 
-def claim(low, high, margin: float) -> F.Column:
-    """From an interval: better, no worse, worse, or open."""
-    return F.when(low > margin, "superior").when(low > -margin, "non_inferior").when(high < -margin, "inferior").otherwise("inconclusive")
+def claim(rows: DataFrame, evidence_margin: float, false_positive_margin: float, least_cases: int) -> DataFrame:
+    """decision for each row with cases, baseline_failures, candidate_failures (hard gates) and low and high ends of primary, evidence and false_positive.
+
+    A baseline that fails a hard gate or too few cases leave it open; a candidate that fails one is inferior. Superior needs a primary gain beyond doubt
+    and neither evidence nor false positives worse by their margin; inferior follows from any of the three being worse beyond doubt.
+    """
+    end = lambda metric, which: F.col(f"{metric}_{which}")
+    no_worse = (end("evidence", "low") >= -evidence_margin) & (end("false_positive", "high") <= false_positive_margin)
+    worse = (end("evidence", "high") < -evidence_margin) | (end("false_positive", "low") > false_positive_margin) | (end("primary", "high") < 0)
+    decision = (
+        F.when(F.col("baseline_failures") > 0, "inconclusive").when(F.col("candidate_failures") > 0, "inferior").when(F.col("cases") < least_cases, "inconclusive")
+        .when(no_worse & (end("primary", "low") > 0), "superior").when(worse, "inferior").when(no_worse, "non-inferior").otherwise("inconclusive")
+    )
+    return rows.withColumn("decision", decision)
+
+
+def shuffled_by(rows: DataFrame, key: str, value: str, seed: int) -> DataFrame:
+    """(key, place, value): the distinct values of each key, a bounded few, in an order drawn from the seed and the key."""
+    import pandas as pd
+
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf[key].iloc[0]
+        order = shuffled(sorted(pdf[value]), seed + int(k))
+        return pd.DataFrame({key: [k] * len(order), "place": range(len(order)), value: order})
+
+    return rows.select(key, value).distinct().groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, place int, {value} {kinds[value]}")
 
 
 def shuffled(items: list, seed: int) -> list:

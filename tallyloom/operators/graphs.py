@@ -12,10 +12,12 @@ _temporary: dict[str, str] = {}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a round's rows to the shared folder of spark.checkpoint.dir (a temporary one where that is unset) and reads them back."""
+    """Writes a round's rows to the shared folder of spark.checkpoint.dir and reads them back; a local master may do without and gets a temporary one."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = _temporary.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='rounds-')}")
     path = f"{base.rstrip('/')}/rounds-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)

@@ -71,9 +71,9 @@ def unique_suffix(names: DataFrame, full: DataFrame) -> DataFrame:
     return names.select("name").distinct().join(hit.where("n = 1").select("name", "id"), "name", "left")
 
 
-def paired(observations: DataFrame, candidate: str, baseline: str, least: int) -> DataFrame:
+def paired(observations: DataFrame, candidate: str, baseline: str, least: int, metric: str = "value") -> DataFrame:
     """Mean difference of candidate and baseline for each case with `least` paired repetitions: pairs meet in one aggregate, not in a join."""
-    value = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("value")))
+    value = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col(metric)))
     pairs = observations.where(F.col("arm").isin(candidate, baseline)).groupBy("case_id", "repetition").agg((value(candidate) - value(baseline)).alias("difference")).where("difference is not null")
     return pairs.groupBy("case_id").agg(F.count("*").alias("pairs"), F.avg("difference").alias("difference")).where(F.col("pairs") >= least)
 

@@ -79,7 +79,9 @@ def leaks(texts: DataFrame, sealed: DataFrame) -> DataFrame:
     short = anchored.where("anchor = ''").select("item_id", "needle")
     long = anchored.where("anchor <> ''").select("item_id", "needle", "anchor")
     hay = texts.select("doc_id", F.lower("text").alias("hay"))
-    found = hay.select("doc_id", "hay", F.explode(F.array_distinct(words(F.col("hay")))).alias("anchor")).join(long, "anchor").where(F.col("hay").contains(F.col("needle")))
+    # Only ids and words meet the anchors; a text moves once for each needle whose anchor it has.
+    met = hay.select("doc_id", F.explode(F.array_distinct(words(F.col("hay")))).alias("anchor")).join(long, "anchor").select(F.col("doc_id").alias("met"), "item_id", "needle").distinct()
+    found = hay.join(met, F.col("doc_id").eqNullSafe(F.col("met"))).where(F.col("hay").contains(F.col("needle")))
     return found.select("doc_id", "item_id").unionByName(hay.join(short, F.col("hay").contains(F.col("needle"))).select("doc_id", "item_id"))
 
 
@@ -108,10 +110,11 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *(by("status", v).alias(k) for k, v in status.items()), *(by("severity", v).alias(k) for k, v in sev.items()), (by("status", "UNCLASSIFIED") == 0).alias("publishable"))
 
 
-def score_counts(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Counts by severity of the rows that score; a missing status scores as confirmed."""
+def score_counts(rows: DataFrame, keys: list[str] | None = None, with_cvss: bool = False) -> DataFrame:
+    """Counts by severity of the rows that score, and if asked their greatest CVSS score; a missing status scores as confirmed."""
     scoring = rows.where(S.scored(F.col("score_status"), F.col("severity"), F.col("score_included")))
-    return scoring.groupBy(*(keys or [])).agg(*(_count(F.col("severity") == s.upper()).alias(s) for s in ("critical", "high", "medium", "low")))
+    cvss = [F.max("cvss").alias("max_cvss")] if with_cvss else []
+    return scoring.groupBy(*(keys or [])).agg(*(_count(F.col("severity") == s.upper()).alias(s) for s in ("critical", "high", "medium", "low")), *cvss)
 
 
 def with_score(counts: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
@@ -119,8 +122,14 @@ def with_score(counts: DataFrame, weights: dict[str, int] | None = None) -> Data
     return counts.withColumn("score", F.greatest(F.lit(0).cast("long"), F.lit(100).cast("long") - sum((F.col(k) * v for k, v in w.items()), F.lit(0).cast("long"))))
 
 
-def decide(scores: DataFrame, most_high: int = 3, least: int = 70) -> DataFrame:
-    return scores.withColumn("passes", (F.col("critical") == 0) & (F.col("high") <= most_high) & (F.col("score") >= least))
+def decide(scores: DataFrame, most_high: int = 2, least: int = 70, none_of: tuple[str, ...] = ("critical",), cvss_gate: float = 9.0) -> DataFrame:
+    """passes: no finding of the zero-tolerance severities, few high ones, no CVSS score at the gate (column max_cvss, if there is one), and enough points."""
+    passes = (F.col("high") <= most_high) & (F.col("score") >= least)
+    for severity in none_of:
+        passes = passes & (F.col(severity) == 0)
+    if "max_cvss" in scores.columns:
+        passes = passes & F.coalesce(F.col("max_cvss") < cvss_gate, F.lit(True))
+    return scores.withColumn("passes", passes)
 
 
 
@@ -171,7 +180,7 @@ def consensus(judgments: DataFrame) -> DataFrame:
 
 
 def circuit_breaker(events: DataFrame) -> DataFrame:
-    """Opened by any pressure signal, or by three failures at the end; the last three are kept by an aggregate of bounded size."""
+    """Opened by any pressure signal, or by three failures at the end of a run's events in order."""
     last = W.partitionBy("run_id").orderBy(F.col("seq").desc())
     r = events.withColumn("rn", F.row_number().over(last))
     tail = F.col("rn") <= 3
@@ -179,10 +188,16 @@ def circuit_breaker(events: DataFrame) -> DataFrame:
 
 
 def equivalence_clusters(rows: DataFrame) -> DataFrame:
-    """Tier 1: a root cause with two rows or more; tier 2: a target under two root causes or more."""
-    one = rows.groupBy("root_key").agg(F.count("*").alias("members")).where("members >= 2").select(F.lit(1).alias("tier"), F.col("root_key").alias("key"), "members")
-    two = rows.where("target is not null").groupBy("target").agg(F.count("*").alias("members"), F.countDistinct("root_key").alias("causes")).where("causes >= 2")
-    return one.unionByName(two.select(F.lit(2).alias("tier"), F.col("target").alias("key"), "members"))
+    """Tier 1: a root cause with two rows or more; tier 2: a target under two root causes or more whose ids aren't all in one group of tier 1."""
+    one = rows.groupBy("root_key").agg(F.count("*").alias("members")).where("members >= 2")
+    targets = rows.where("target is not null").groupBy("target").agg(F.count("*").alias("members"), F.countDistinct("root_key").alias("causes"), F.countDistinct("candidate_id").alias("ids"))
+    two = targets.where("causes >= 2")
+    # How many of a target's ids each group of tier 1 has: ids meet their groups by a join on the id.
+    in_one = rows.join(one.select("root_key"), "root_key").select("candidate_id", F.col("root_key").alias("group")).distinct()
+    met = rows.where("target is not null").select("target", "candidate_id").distinct().join(in_one, "candidate_id").groupBy("target", "group").agg(F.count("*").alias("met"))
+    most = met.groupBy("target").agg(F.max("met").alias("met"))
+    two = two.join(most, "target", "left").where("met is null or met < ids")
+    return one.select(F.lit(1).alias("tier"), F.col("root_key").alias("key"), "members").unionByName(two.select(F.lit(2).alias("tier"), F.col("target").alias("key"), "members"))
 
 
 def set_compare(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:

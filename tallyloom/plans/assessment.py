@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import text as X
 from tallyloom.operators import graphs as G
 from tallyloom.operators import joins as J
+from tallyloom.operators import revisions as V
 from tallyloom.plans.bindings import cte, table, view
 from tallyloom.plans.registry import ORACLE_SQL, query
 from tallyloom.sources import files as R
@@ -226,11 +227,14 @@ def x29(spark, d):
     return view(spark, d, "candidates").select("candidate_id", F.when((s == "false positive") & (F.col("ord") % 2 == 0), "DISPUTED").when((s == "CONFIRMED") & (F.col("evidence") == ""), "CANDIDATE").otherwise(F.coalesce(s, F.lit("NONE"))).alias("status"))
 
 
-@query("x37_change_kind", "select p_partkey, case when p_partkey % 4 = 0 then 'identical' when p_partkey % 4 = 1 then 'format-only' else 'relevant' end as kind from part")
+_PLAIN = "case when ends_with({0}, chr(10)) then left({0}, length({0}) - 1) else {0} end"
+
+
+@query("x37_change_kind", f"""with {cte('revised')}, p as (select doc_id, before, after, replace(before, chr(13) || chr(10), chr(10)) as b, replace(after, chr(13) || chr(10), chr(10)) as a from revised)
+    select doc_id, case when before is null or after is null then 'unknown' when before = after then 'identical' when {_PLAIN.format('b')} <> {_PLAIN.format('a')} then 'analysis-relevant'
+        when contains(a || chr(10) || b, chr(13)) or contains(a || chr(10) || b, chr(65279)) or contains(a || chr(10) || b, '`') or contains(a || chr(10) || b, chr(92) || chr(10)) then 'unknown' else 'supported-format-only' end as kind from p""")
 def x37(spark, d):
-    p = table(spark, d, "part").withColumn("after", F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.replace("p_name", F.lit(" "), F.lit("  "))).otherwise(F.concat("p_name", F.lit("!"))))
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    return p.select("p_partkey", F.when(F.col("p_name") == F.col("after"), "identical").when(bare("p_name") == bare("after"), "format-only").otherwise("relevant").alias("kind"))
+    return view(spark, d, "revised").select("doc_id", V.change_kind(F.col("before"), F.col("after")).alias("kind"))
 
 
 @query("x44_obligations", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents), s as (select * from (values ('licence', '[Ll]icense'), ('mail', '@'), ('secret', 'password|AKIA')) as t(seed, pattern)) select doc_id, seed, no as line from l join s on regexp_matches(line, pattern) qualify row_number() over (partition by doc_id, seed order by no) <= 3")
@@ -283,9 +287,11 @@ def z05(spark, d):
     return view(spark, d, "files").select("file_id").join(a, "file_id", "left").select("file_id", F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("ok").alias("code"))
 
 
-@query("z09_resume_receipts", "select doc_id, strlen(text) as bytes, sha256(text) = sha256(text || '') as intact from documents")
+@query("z09_resume_receipts", f"with {cte('revised')} select doc_id, strlen(before) as bytes, coalesce(strlen(before) = strlen(after) and sha256(before) = sha256(after), false) as intact from revised")
 def z09(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), (F.sha2("text", 256) == F.sha2(F.concat("text", F.lit("")), 256)).alias("intact"))
+    """Receipts were taken of the earlier revision; the later one resumes only where bytes and digest still agree."""
+    same = (F.octet_length("before") == F.octet_length("after")) & (F.sha2("before", 256) == F.sha2("after", 256))
+    return view(spark, d, "revised").select("doc_id", F.octet_length("before").cast("long").alias("bytes"), F.coalesce(same, F.lit(False)).alias("intact"))
 
 
 @query("z17_shared_page", "with m as (select p_partkey, substr(p_name, 1, 6) as summary from part where list_contains(string_split(p_name, ' '), 'red') and p_type = 'PROMO') select p_partkey, summary, (select count(*) from m) as total, case when (select count(*) from m) > 5 then 5 end as next_offset from m order by p_partkey limit 5")

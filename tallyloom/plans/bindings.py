@@ -24,6 +24,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
             "target": "case when event_id % 10 = 0 then null else 't' || cast(event_id % 97 as string) end",
             "route": "case when event_id % 6 = 0 then null else 'r' || cast(event_id % 53 as string) end",
             "needs_test": "event_id % 2 = 0",
+            "cvss": "least(value, 100) / 10",
         },
     ),
     "classifications": (
@@ -62,7 +63,17 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "revisions": ("orders", {"cve_id": "o_custkey", "revision": "o_orderkey", "modified": "o_orderdate", "state": "o_orderstatus", "title": "o_orderpriority", "amount": "o_totalprice"}),
     "observations": (
         "lineitem",
-        {"case_id": "l_partkey % 200", "repetition": "l_orderkey % 5", "arm": "l_returnflag", "value": "l_discount", "fpr": "l_tax", "gate": "l_linenumber % 7", "corpus": "l_suppkey % 3"},
+        {"case_id": "l_partkey % 200", "repetition": "l_orderkey % 5", "arm": "l_returnflag", "value": "l_discount", "fpr": "l_tax", "gate": "l_linenumber % 7", "corpus": "l_suppkey % 3", "evidence": "1 - l_tax / 2"},
+    ),
+    "revised": (
+        "documents",
+        {
+            "doc_id": "doc_id",
+            "before": "text",
+            "after": "case doc_id % 5 when 0 then text when 1 then replace(text, chr(10), chr(13) || chr(10)) when 2 then text || chr(10) when 3 then replace(text, 'e', 'o') else substr(text, 1, 400) end",
+            "line_from": "1 + doc_id % 3",
+            "line_to": "1 + doc_id % 3 + doc_id % 2",
+        },
     ),
     "predictions": (
         "labels",

@@ -52,7 +52,16 @@ def a11(spark, d):
 
 @query("a12_claim_decision")
 def a12(spark, d):
-    return a11(spark, d).select("capability", E.claim(F.col("low"), F.col("high"), 0.01).alias("decision"))
+    seen = view(spark, d, "observations")
+    out = None
+    for metric, column in (("primary", "value"), ("evidence", "evidence"), ("false_positive", "fpr")):
+        pairs = J.paired(seen, "A", "N", 3, column).withColumn("capability", F.lit("recall"))
+        ends = E.bootstrap_by(pairs, "capability", "difference", "case_id", 500, 0.05 / 3, 17).select("capability", F.col("low").alias(f"{metric}_low"), F.col("high").alias(f"{metric}_high"))
+        cases = pairs.groupBy("capability").agg(F.count("*").alias("cases"))
+        out = ends.join(cases, "capability") if out is None else out.join(ends, "capability")
+    failures = lambda arm: F.count(F.when((F.col("arm") == arm) & (F.col("gate") != 0), 1))
+    gates = seen.agg(failures("N").alias("baseline_failures"), failures("A").alias("candidate_failures")).withColumn("capability", F.lit("recall"))
+    return E.claim(out.join(gates, "capability"), 0.02, 0.02, 10).select("capability", "cases", "baseline_failures", "candidate_failures", "decision")
 
 
 @query("a13_arm_averages", f"with {cte('observations')} select arm, round(avg(value), 8) as value, round(avg(fpr), 8) as fpr, round(avg(case when gate = 0 then 1e0 else 0e0 end), 8) as gate_rate, count(*) as n from observations group by 1")
@@ -70,8 +79,7 @@ def j19(spark, d):
 
 @query("t08_arm_order")
 def t08(spark, d):
-    rows = [(r, i, a) for r in range(5) for i, a in enumerate(E.shuffled(["A", "N", "R"], 17 + r))]
-    return spark.createDataFrame(rows, "repetition int, place int, arm string")
+    return E.shuffled_by(view(spark, d, "observations"), "repetition", "arm", 17)
 
 
 @query("z10_provenance", f"with {cte('observations')} select case_id, count(distinct corpus) as corpora, count(distinct corpus) = 1 as consistent from observations group by 1")

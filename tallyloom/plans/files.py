@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars as S
 from tallyloom.operators import joins as J
+from tallyloom.operators import revisions as V
 from tallyloom.plans.bindings import cte, table, view
 from tallyloom.plans.registry import query
 from tallyloom.sources import files as R
@@ -31,11 +32,14 @@ def s05(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"), S.line_count(F.col("text")).alias("loc"))
 
 
-@query("s06_snapshot_recheck", "select count(*) as files, 0 as changed from documents")
+@query("s06_snapshot_recheck", f"""with {cte('revised')}, a as (select doc_id, strlen(before) as bytes, sha256(before) as digest from revised where doc_id % 11 <> 0),
+    b as (select doc_id, strlen(after) as bytes, sha256(after) as digest from revised where doc_id % 13 <> 0)
+    select coalesce(a.doc_id, b.doc_id) as doc_id, case when b.doc_id is null then 'missing' when a.doc_id is null then 'added'
+        when a.bytes is not distinct from b.bytes and a.digest is not distinct from b.digest then 'same' else 'changed' end as kind from a full join b on a.doc_id = b.doc_id""")
 def s06(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    a, b = R.manifest(docs, "doc_id"), R.manifest(docs, "doc_id").withColumnRenamed("digest", "again")
-    return a.join(b, "doc_id").agg(F.count("*").alias("files"), F.coalesce(F.sum((F.col("digest") != F.col("again")).cast("int")), F.lit(0)).cast("int").alias("changed"))
+    """A snapshot's manifest against the workspace's: files have gone (every 13th), come (every 11th) and changed."""
+    manifest = lambda c: view(spark, d, "revised").select("doc_id", F.octet_length(c).cast("long").alias("bytes"), F.sha2(c, 256).alias("digest"))
+    return V.snapshot_diff(manifest("before").where("doc_id % 11 <> 0"), manifest("after").where("doc_id % 13 <> 0"), "doc_id")
 
 
 @query("s07_iac_manifest", f"with {cte('files')} select case when ends_with(path, '.tf') then 'terraform' when ends_with(path, '.lock') then 'dependency' else 'none' end as class, count(*) as n from files group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import intervals as I
+from tallyloom.operators import revisions as V
 from tallyloom.plans.bindings import cte, table, view
 from tallyloom.plans.registry import query
 
@@ -24,9 +25,13 @@ def iv02(spark, d):
     return I.delivered(need, view(spark, d, "ranges"), "path")
 
 
-@query("iv04_line_remap", "with a as (select conv_id, turn, trim(text) as t from conversations), b as (select conv_id, turn - turn % 2 as grp, bool_and(length(t) > 30) as same, count(*) as n from a group by 1, 2) select conv_id, grp, same, n from b")
+@query("iv04_line_remap", f"""with {cte('revised')}, s as (select *, string_split(replace(before, chr(13) || chr(10), chr(10)), chr(10)) as o, string_split(replace(after, chr(13) || chr(10), chr(10)), chr(10)) as n from revised),
+    h as (select *, coalesce(line_to <= len(o) and line_to <= len(n) and o[line_from:line_to] = n[line_from:line_to], false) as holds,
+        strlen(array_to_string(o[1:line_from - 1], '')) + line_from - 1 as x, strlen(array_to_string(n[1:line_from - 1], '')) + line_from - 1 as y,
+        strlen(array_to_string(o[line_from:line_to], chr(10))) as size from s)
+    select doc_id, line_from, line_to, case when holds then x end as previous_from, case when holds then x + size end as previous_to, case when holds then y end as current_from, case when holds then y + size end as current_to from h""")
 def iv04(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id", (F.col("turn") - F.col("turn") % 2).alias("grp")).agg(F.bool_and(F.length(F.trim("text")) > 30).alias("same"), F.count("*").alias("n"))
+    return V.remapped_lines(view(spark, d, "revised")).select("doc_id", "line_from", "line_to", "previous_from", "previous_to", "current_from", "current_to")
 
 
 def _chunks(max_items: int, max_size: int, size: str) -> str:

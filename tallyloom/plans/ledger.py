@@ -142,10 +142,10 @@ _FOLDED = f"""{NORMAL}, ranked as (select *, row_number() over (partition by roo
     kept as (select root_key, sev from ranked where rn = 1), counts as (select {_COUNTS} from kept), s as (select *, greatest(0, 100 - (25 * critical + 10 * high + 3 * medium + low)) as score from counts)"""
 
 
-@query("a04_pass_decision", f"with {_FOLDED} select critical, high, medium, low, score, critical = 0 and high <= 3 and score >= 70 as passes from s")
+@query("a04_pass_decision", f"with {_FOLDED}, c as (select max(cvss) as max_cvss from ranked where rn = 1) select critical, high, medium, low, max_cvss, score, critical = 0 and high <= 2 and coalesce(max_cvss < 9, true) and score >= 70 as passes from s, c")
 def a04(spark, d):
     kept = L.deduplicate(ledger(spark, d).where("included")).where("representative")
-    return L.decide(L.with_score(L.score_counts(kept))).select("critical", "high", "medium", "low", "score", "passes")
+    return L.decide(L.with_score(L.score_counts(kept, with_cvss=True))).select("critical", "high", "medium", "low", "max_cvss", "score", "passes")
 
 
 @query("a05_score_consistency", f"with {_FOLDED} select score, 100 as reported, score = 100 as consistent from s")
@@ -279,7 +279,10 @@ def d02(spark, d):
     return L.deduplicate(ledger(spark, d)).select("candidate_id", F.when(F.col("representative"), F.col("status")).otherwise("FOLDED_INTO").alias("status"), F.when(~F.col("representative"), F.col("rep")).alias("folded_into"), (F.col("representative") & F.col("included")).alias("score_included"))
 
 
-@query("d03_equivalence_clusters", f"with {NORMAL}, t1 as (select 1 as tier, root_key as key, count(*) as members from scored group by root_key having count(*) >= 2), t2 as (select 2 as tier, target as key, count(*) as members from scored where target is not null group by target having count(distinct root_key) >= 2) select * from t1 union all select * from t2")
+@query("d03_equivalence_clusters", f"""with {NORMAL}, t1 as (select 1 as tier, root_key as key, count(*) as members from scored group by root_key having count(*) >= 2), t2 as (select 2 as tier, target as key, count(*) as members from scored where target is not null group by target having count(distinct root_key) >= 2),
+    inside as (select distinct a.target, b.root_key from (select distinct target, candidate_id from scored where target is not null) a join scored b on b.candidate_id = a.candidate_id join t1 on t1.key = b.root_key
+        group by a.target, b.root_key having count(distinct a.candidate_id) = (select count(distinct candidate_id) from scored c where c.target = a.target))
+    select * from t1 union all select * from t2 where key not in (select target from inside)""")
 def d03(spark, d):
     return L.equivalence_clusters(ledger(spark, d))
 

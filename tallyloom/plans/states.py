@@ -118,10 +118,10 @@ def z19(spark, d):
     return view(spark, d, "candidates").groupBy("status", "route").agg(F.count("*").alias("n"))
 
 
-@query("z20_objection_reconcile", f"with {EV} select run_id, count(*) filter (type = 'error') as host, count(*) filter (type = 'error' and attempt > 0) as declared, count(*) filter (type = 'error') = count(*) filter (type = 'error' and attempt > 0) as equal from run_events group by 1")
+@query("z20_objection_reconcile", f"with {EV} select run_id, count(*) filter (type = 'error') as host, count(*) filter (type = 'error' and attempt > 0) as declared, count(*) filter (type = 'error') as objections, count(*) filter (type = 'error') = count(*) filter (type = 'error' and attempt > 0) as equal from run_events group by 1")
 def z20(spark, d):
     host, declared = F.count(F.when(F.col("type") == "error", 1)), F.count(F.when((F.col("type") == "error") & (F.col("attempt") > 0), 1))
-    return view(spark, d, "run_events").groupBy("run_id").agg(host.alias("host"), declared.alias("declared"), (host == declared).alias("equal"))
+    return view(spark, d, "run_events").groupBy("run_id").agg(host.alias("host"), declared.alias("declared"), host.alias("objections"), (host == declared).alias("equal"))
 
 
 @query("z22_sources_and_sinks", "select distinct 'source' as kind, user_id as id from events where event_type = 'click' union all select distinct 'sink', user_id from events where event_type = 'error'")

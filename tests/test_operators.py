@@ -63,7 +63,7 @@ def test_reach_least_hops(spark):
 def test_bootstrap_repeats_and_percentile_is_not_interpolated():
     assert E.bootstrap([0.1, 0.3, 0.2], 100, 0.05, 17) == E.bootstrap([0.1, 0.3, 0.2], 100, 0.05, 17)
     assert E.percentile([1, 2, 3, 4], 0.5) == 3 and E.percentile([1, 2], 1.0) == 2
-    assert math.isnan(E.bootstrap([], 10, 0.05, 1)[0])
+    assert E.bootstrap([], 10, 0.05, 1) == (0.0, 0.0, 0.0)
     assert sorted(E.shuffled(list("abcd"), 3)) == list("abcd")
 
 
@@ -217,3 +217,50 @@ def test_contract_codes_name_cycles(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (5,)], "node long")
     after = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (1, 5), (9, 5)], "src long, dst long")
     assert {r.code: r.n for r in contract_codes(ids, after.selectExpr("src as node"), after).collect()} == {"unknown_reference": 1, "duplicate_id": 1, "cycle": 3}
+
+
+def test_claims_follow_from_three_intervals_and_the_gates(spark):
+    from tallyloom.operators import evaluation as E
+
+    names = ["cases", "baseline_failures", "candidate_failures", "primary_low", "primary_high", "evidence_low", "evidence_high", "false_positive_low", "false_positive_high"]
+    cases = [
+        ((10, 0, 0, 0.01, 0.2, -0.01, 0.1, -0.1, 0.01), "superior"), ((10, 0, 0, -0.01, 0.2, -0.01, 0.1, -0.1, 0.01), "non-inferior"),
+        ((10, 0, 0, 0.01, 0.2, -0.05, 0.1, -0.1, 0.01), "inconclusive"), ((10, 0, 0, 0.01, 0.2, -0.2, -0.03, -0.1, 0.01), "inferior"),
+        ((10, 0, 0, 0.01, 0.2, 0.0, 0.1, 0.03, 0.1), "inferior"), ((10, 0, 0, -0.2, -0.1, 0.0, 0.1, 0.0, 0.0), "inferior"),
+        ((9, 0, 0, 0.01, 0.2, 0.0, 0.1, 0.0, 0.0), "inconclusive"), ((10, 1, 1, 0.01, 0.2, 0.0, 0.1, 0.0, 0.0), "inconclusive"), ((10, 0, 1, 0.01, 0.2, 0.0, 0.1, 0.0, 0.0), "inferior"),
+    ]
+    df = spark.createDataFrame([(*map(float, c), i) for i, (c, _) in enumerate(cases)], [*names, "i"])
+    assert [r.decision for r in E.claim(df, 0.02, 0.02, 10).orderBy("i").collect()] == [d for _, d in cases]
+
+
+def test_decision_gates(spark):
+    from tallyloom.operators import ledger as L
+
+    rows = [(0, 2, 70, 8.9), (0, 3, 70, 1.0), (1, 0, 99, 1.0), (0, 0, 69, None), (0, 0, 70, 9.0), (0, 0, 70, None)]
+    df = spark.createDataFrame(rows, "critical int, high int, score int, max_cvss double")
+    assert [r.passes for r in L.decide(df).collect()] == [True, False, False, False, False, True]
+    assert L.decide(df.drop("max_cvss"), none_of=("high",)).where("passes").count() == 3
+
+
+def test_groups_within_a_root_cause_are_no_second_tier(spark):
+    from tallyloom.operators import ledger as L
+
+    rows = [("a", "k1", "t1"), ("b", "k1", "t2"), ("a", "k2", "t1"), ("c", "k3", "t2")]
+    got = {tuple(r) for r in L.equivalence_clusters(spark.createDataFrame(rows, "candidate_id string, root_key string, target string")).collect()}
+    assert got == {(1, "k1", 2), (2, "t2", 2)}  # t1 has one id, which is in k1's group
+
+
+def test_revisions(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import revisions as V
+
+    rows = [
+        ("a\nb\n", "a\nb\n", 1, 2, "identical", (0, 3, 0, 3)), ("a\nbé\nc", "a\r\nbé\r\nc\n", 2, 2, "supported-format-only", (2, 5, 2, 5)), ("a\nb", "x\nb", 2, 2, "analysis-relevant", (2, 3, 2, 3)),
+        ("aa\nb", "x\nb", 2, 2, "analysis-relevant", (3, 4, 2, 3)), ("a\nb", "x\nb", 1, 2, "analysis-relevant", None), ("`a\n", "`a", 1, 1, "unknown", (0, 2, 0, 2)), ("a", None, 1, 1, "unknown", None),
+        ("a", "a", 2, 2, "identical", None), ("a", "a", 1, 0, "identical", None), ("a", "a", 0, 1, "identical", None), ("", "", 1, 1, "identical", (0, 0, 0, 0)),
+    ]
+    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, before string, after string, line_from int, line_to int")
+    got = V.remapped_lines(df.withColumn("kind", V.change_kind(F.col("before"), F.col("after")))).orderBy("i").collect()
+    for r, (*_, kind, span) in zip(got, rows, strict=True):
+        assert (r.kind, (r.previous_from, r.previous_to, r.current_from, r.current_to)) == (kind, span or (None,) * 4), r
