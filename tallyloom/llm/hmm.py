@@ -35,8 +35,10 @@ from tallyloom.llm.common import fold_of, staged
 FREQUENT, SYMBOLS, BUCKETS, STATES, FAN_IN = 150_000, 20_000, 64, 8, 16
 #: Rounds at most; the least relative gain of the log-likelihood that is worth another round.
 ROUNDS, GAIN = 8, 1e-3
-#: Tokens that are recursed over together, and that keep their states; added to expected counts of transitions and of symbols.
-BATCH_TOKENS, SMOOTH = 200_000, (0.1, 0.01)
+#: Tokens that are recursed over together, and that keep their states; times between two scalings (their product stays far within a double).
+BATCH_TOKENS, SCALE_EVERY = 200_000, 8
+#: Added to expected counts of transitions and of symbols.
+SMOOTH = (0.1, 0.01)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -175,6 +177,7 @@ class Rows:
         self.n, steps = len(seqs), int(lengths[0])
         self.live = np.searchsorted(-lengths, -np.arange(steps), "left")  # how many still run at each time
         self.at = np.concatenate(([0], np.cumsum(self.live)))
+        self.ends = self.at[lengths - 1] + np.arange(self.n)  # where each row's last token stands
         self.flat, self.row = np.empty(int(self.at[-1]), "<u2"), np.empty(int(self.at[-1]), np.int64)
         for k, s in enumerate(seqs):
             places = self.at[: len(s)] + k
@@ -187,19 +190,22 @@ class Rows:
 
 
 def forward(m: Model, by_symbol: np.ndarray, rows: Rows, span: tuple[int, int], a: np.ndarray | None):
-    """Scaled forward recursion over a span of times from the states `a` before it: emissions, scaled states, scales, and the states at the end."""
+    """Scaled forward recursion over a span of times from the states `a` before it: emissions, scaled states, scales, and the states at the end.
+
+    Every SCALE_EVERYth time is scaled to the sum 1; the scales of the others are 1.
+    """
     at = (rows.at[span[0] : span[1] + 1] - rows.at[span[0]]).tolist()
     emitted = by_symbol[rows.flat[rows.at[span[0]] : rows.at[span[1]]]]
-    states, scales, ones = np.empty_like(emitted), np.empty(len(emitted)), np.ones(len(m.start))
-    for x, y in zip(at, at[1:], strict=False):
+    states, scales, ones = np.empty_like(emitted), np.ones(len(emitted)), np.ones(len(m.start))
+    for t, (x, y) in enumerate(zip(at, at[1:], strict=False), span[0] + 1):
         part = states[x:y]
         if a is None:
             part[:] = m.start
         else:
             np.dot(a[: y - x], m.move, out=part)
         part *= emitted[x:y]
-        c = np.dot(part, ones, out=scales[x:y])
-        part /= c[:, None]
+        if t % SCALE_EVERY == 0:
+            part /= np.dot(part, ones, out=scales[x:y])[:, None]
         a = part
     return emitted, states, scales, a
 
@@ -209,8 +215,11 @@ def likelihoods(m: Model, by_symbol: np.ndarray, seqs: list[np.ndarray], tokens:
     rows, a = Rows(seqs), None
     log = np.zeros(rows.n)
     for span in rows.segments(tokens):
-        _, _, scales, a = forward(m, by_symbol, rows, span, a)
-        log += np.bincount(rows.row[rows.at[span[0]] : rows.at[span[1]]], np.log10(scales), rows.n)
+        _, states, scales, a = forward(m, by_symbol, rows, span, a)
+        lo, hi = rows.at[span[0]], rows.at[span[1]]
+        log += np.bincount(rows.row[lo:hi], np.log10(scales), rows.n)
+        ending = (rows.ends >= lo) & (rows.ends < hi)
+        log[ending] += np.log10(states[rows.ends[ending] - lo].sum(1))
     return log
 
 
@@ -227,11 +236,15 @@ def expected(m: Model, by_symbol: np.ndarray, seqs: list[np.ndarray], start, mov
     for span in reversed(spans):
         before = borders.pop()
         emitted, states, scales, _ = forward(m, by_symbol, rows, span, before)
-        log += float(np.log10(scales).sum())
         lo, hi = int(rows.at[span[0]]), int(rows.at[span[1]])
         at = (rows.at[span[0] : span[1] + 1] - lo).tolist()
-        beta = np.ones((len(emitted), n_states))
-        emitted /= scales[:, None]
+        ends = rows.ends[(rows.ends >= lo) & (rows.ends < hi)] - lo
+        last = states[ends].sum(1)
+        log += float(np.log10(scales).sum() + np.log10(last).sum())
+        beta = np.empty((len(emitted), n_states))
+        beta[ends] = 1 / last[:, None]
+        for t in range(SCALE_EVERY - 1 - span[0] % SCALE_EVERY, len(at) - 1, SCALE_EVERY):
+            emitted[at[t] : at[t + 1]] /= scales[at[t] : at[t + 1], None]
         if later is not None:
             beta[at[-2] : at[-2] + len(later)] = later
         for t in range(len(at) - 2, 0, -1):
