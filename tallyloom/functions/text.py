@@ -108,3 +108,25 @@ def without_comments(text: Column) -> Column:
     """JSON with comments as plain JSON: comments outside strings and commas before a closing bracket go. Strings are matched first, so they stay whole."""
     kept = F.regexp_replace(text, r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
     return F.regexp_replace(kept, r'("(?:\\.|[^"\\])*")|,\s*(?=[}\]])', "$1")
+
+
+#: Expressions that bring in what a user or the environment controls.
+SOURCE_EXPRESSIONS = (
+    r"(?i:\b(req|request)\.(body|query|params|headers|cookies)\b)",
+    r"(?i:\b(ctx|context)\.(request|query|params|headers|cookies)\b)",
+    r"(?i:\bevent\.(body|queryStringParameters|pathParameters|headers)\b)",
+    r"(?i:\b(input|stdin|argv|process\.argv)\b)",
+    r"\$_(GET|POST|REQUEST|COOKIE|SERVER)\b",
+    r"\b(request|self\.request)\.(form|args|json|values|files|data|GET|POST)\b",
+    r"\bparams\[",
+    r"@(RequestBody|RequestParam|PathVariable|RequestHeader)\b",
+    r"\br\.(FormValue|PostFormValue|Form|URL\.Query)\b",
+    r"\bmux\.Vars\b",
+    r"\bprocess\.env\b",
+    r"\bos\.environ\b",
+)
+
+
+def is_source_expression(text: Column) -> Column:
+    """Whether a text has any of the source expressions; null for null."""
+    return text.rlike("|".join(SOURCE_EXPRESSIONS))

@@ -42,7 +42,7 @@ simple("x15_version", "customer", "c_custkey", "c_nationkey > 3 or (c_nationkey
 simple("x18_packet_id", "candidates", "candidate_id", "substr(sha256('salt:run:' || candidate_id || ':' || coalesce(target, '')), 1, 24)", lambda: F.substring(F.sha2(F.concat(F.lit("salt:run:"), c("candidate_id"), F.lit(":"), F.coalesce("target", F.lit(""))), 256), 1, 24))
 simple("x19_callee_match", "files", "file_id", "path like '%.ts' or ends_with(path, '/none')", lambda: c("path").endswith(".ts") | c("path").endswith("/none"))
 simple("x22_tainted_overlap", "part", "p_partkey", "len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'steel'])) > 0", lambda: F.arrays_overlap(F.split("p_name", " "), F.array(F.lit("red"), F.lit("ring"), F.lit("steel"))))
-simple("x23_source_patterns", "documents", "doc_id", "regexp_matches(text, 'password=|AKIA|@mail')", lambda: c("text").rlike("password=|AKIA|@mail"))
+simple("x23_source_patterns", "documents", "doc_id", f"regexp_matches(text, '{'|'.join(X.SOURCE_EXPRESSIONS)}')", lambda: X.is_source_expression(c("text")))
 simple("x25_path_line", "files", "file_id", "path || ':' || cast(loc as varchar)", lambda: F.concat_ws(":", F.regexp_extract(F.concat(c("path"), F.lit(":"), c("loc").cast("string"), F.lit(" x")), "^(.*):([0-9]+) ", 1), F.regexp_extract(F.concat(c("path"), F.lit(":"), c("loc").cast("string"), F.lit(" x")), "^(.*):([0-9]+) ", 2)))
 simple("x28_signature_seen", "documents", "doc_id", "contains(text, 'License')", lambda: c("text").contains("License"))
 simple("x30_redaction", "documents", "doc_id", "sha256(regexp_replace(regexp_replace(text, '(AKIA|ASIA)[A-Z0-9]{16}', '[REDACTED]', 'g'), '(?i)(password[ \\t\\n]*[=:][ \\t\\n]*)[^ \\t\\n\\r\\f\\v]+', '\\1[REDACTED]', 'g'))", lambda: F.sha2(X.redacted(c("text")), 256))

@@ -44,15 +44,37 @@ def w06(spark, d):
     return c.where(F.col("turn") != F.coalesce(F.col("p") + 1, F.lit(0))).select("conv_id", "turn")
 
 
-@query("w07_hash_chain", "with h as (select conv_id, turn, sha256(cast(turn as varchar) || ':' || coalesce(text, '')) as digest from conversations) select conv_id, turn, digest, coalesce(lag(digest) over (partition by conv_id order by turn), '') as previous from h")
+#: A journal as it lies in a store: every 17th entry was changed after its digest was taken, and every 23rd names another predecessor.
+_JOURNAL = """h as (select conv_id, turn, coalesce(text, '') as body, sha256(cast(turn as varchar) || ':' || coalesce(text, '')) as digest from conversations),
+    j as (select conv_id, turn, case when (conv_id + turn) % 17 = 0 then body || '!' else body end as body, digest,
+        case when (conv_id + turn) % 23 = 0 then 'x' else coalesce(lag(digest) over (partition by conv_id order by turn), '') end as previous from h)"""
+
+
+def journal(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    h = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"), F.sha2(F.concat(F.col("turn").cast("string"), F.lit(":"), text), 256).alias("digest"))
+    k = F.col("conv_id") + F.col("turn")
+    before = F.coalesce(F.lag("digest").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    body = F.when(k % 17 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return h.select("conv_id", "turn", body.alias("body"), "digest", F.when(k % 23 == 0, "x").otherwise(before).alias("previous"))
+
+
+@query("w07_hash_chain", f"with {_JOURNAL} select conv_id, turn, sha256(cast(turn as varchar) || ':' || body) = digest as digest_holds, previous = coalesce(lag(digest) over (partition by conv_id order by turn), '') as previous_holds from j")
 def w07(spark, d):
-    h = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.col("turn").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256).alias("digest"))
-    return h.withColumn("previous", F.coalesce(F.lag("digest").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")))
+    """Each entry's digest is computed again, and its predecessor's digest is compared with the one that it names."""
+    again = F.sha2(F.concat(F.col("turn").cast("string"), F.lit(":"), F.col("body")), 256)
+    before = F.coalesce(F.lag("digest").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return journal(spark, d).select("conv_id", "turn", (again == F.col("digest")).alias("digest_holds"), (F.col("previous") == before).alias("previous_holds"))
 
 
-@query("w08_revision_continuity", f"with {cte('revisions')} select cve_id, revision, lag(revision) over (partition by cve_id order by revision) as previous from revisions")
+@query("w08_revision_continuity", f"with {cte('revisions')}, r as (select *, row_number() over (partition by cve_id order by revision) as n from revisions), s as (select cve_id, revision, case when revision % 19 = 0 then n - 2 else n - 1 end as expected, n from r) select cve_id, revision, expected, coalesce(lag(n) over (partition by cve_id order by revision), 0) as found, expected = coalesce(lag(n) over (partition by cve_id order by revision), 0) as continuous from s")
 def w08(spark, d):
-    return view(spark, d, "revisions").select("cve_id", "revision", F.lag("revision").over(W.partitionBy("cve_id").orderBy("revision")).alias("previous"))
+    """Each revision says after which number it was written (every 19th key one too early); it continues only the one that is there."""
+    order = W.partitionBy("cve_id").orderBy("revision")
+    r = view(spark, d, "revisions").select("cve_id", "revision", F.row_number().over(order).cast("long").alias("n"))
+    s = r.select("cve_id", "revision", "n", F.when(F.col("revision") % 19 == 0, F.col("n") - 2).otherwise(F.col("n") - 1).alias("expected"))
+    found = F.coalesce(F.lag("n").over(order), F.lit(0))
+    return s.select("cve_id", "revision", "expected", found.alias("found"), (F.col("expected") == found).alias("continuous"))
 
 
 @query("w09_round_robin", f"with {cte('files')}, r as (select unit, path, row_number() over (partition by unit order by path) as rn from files) select unit, path, (rn - 1) % 4 as assignee, lpad(cast((rn - 1) // 10 as varchar), 3, '0') as packet from r")

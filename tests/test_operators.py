@@ -264,3 +264,14 @@ def test_revisions(spark):
     got = V.remapped_lines(df.withColumn("kind", V.change_kind(F.col("before"), F.col("after")))).orderBy("i").collect()
     for r, (*_, kind, span) in zip(got, rows, strict=True):
         assert (r.kind, (r.previous_from, r.previous_to, r.current_from, r.current_to)) == (kind, span or (None,) * 4), r
+
+
+def test_source_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions import text as X
+
+    yes = ["req.Body", "ctx.query", "event.queryStringParameters", "STDIN", "$_GET['a']", "self.request.form", "params[:id]", "@RequestBody x", "r.FormValue(1)", "mux.Vars(r)", "process.env.A", "os.environ"]
+    no = ["requests.bodyguard", "inputs", "$_FILES", "params", "@RequestBodyX", "or.Formal", "Process.env"]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string").orderBy("i").select(X.is_source_expression(F.col("t")).alias("s")).collect()]
+    assert got == [True] * len(yes) + [False] * len(no)
