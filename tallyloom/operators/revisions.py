@@ -28,6 +28,31 @@ def snapshot_diff(snapshot: DataFrame, workspace: DataFrame, key: str) -> DataFr
     return both.select(F.coalesce(key, "_key").alias(key), kind.alias("kind"))
 
 
+def logical_lines(text: Column) -> Column:
+    return F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
+
+
+def cited(lines: Column, first: Column, last: Column) -> Column:
+    """Lines first to last as one text."""
+    return F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), "\n")
+
+
+def evidence_status(rows: DataFrame, whole: bool = True) -> DataFrame:
+    """rows (text, quote, line_from, line_to, in_scope) with status: reversed, outside (the scope), beyond (the text's end), holds or differs.
+
+    whole: the quote is all of the cited lines, white space at its ends aside; otherwise it need only stand in them. A missing text or quote differs.
+    """
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    lines = logical_lines(F.col("text"))
+    seen = cited(lines, F.col("line_from"), F.col("line_to"))
+    holds = bare(seen) == bare(F.col("quote")) if whole else seen.contains(F.col("quote"))
+    status = (
+        F.when(F.col("line_to") < F.col("line_from"), "reversed").when(~F.col("in_scope"), "outside").when((F.col("line_from") < 1) | (F.col("line_to") > F.size(lines)), "beyond")
+        .when(F.coalesce(holds, F.lit(False)), "holds").otherwise("differs")
+    )
+    return rows.withColumn("status", status)
+
+
 def remapped_lines(rows: DataFrame) -> DataFrame:
     """rows (before, after, line_from, line_to) with byte spans of the cited lines in both revisions; null unless every cited line is the same in both.
 

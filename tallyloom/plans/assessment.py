@@ -48,20 +48,29 @@ def f04(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(F.col("url").rlike("/de/"), "german").when(head.contains("<script"), "script").when(head.contains("<style"), "style").otherwise("plain").alias("class"))
 
 
-_LINES = "l as (select doc_id, string_split(text, chr(10)) as ls from documents)"
+#: Quotes of the earlier revision are held against the later one: whole cited lines (F12), or a part of the first (F13); every 29th range is reversed.
+_EVIDENCE = f"""{cte('revised')}, s as (select doc_id, line_from, case when doc_id % 29 = 0 then line_from - 1 else line_to end as line_to, doc_id % 7 <> 0 as in_scope,
+    string_split(replace(before, chr(13) || chr(10), chr(10)), chr(10)) as o, string_split(replace(after, chr(13) || chr(10), chr(10)), chr(10)) as n from revised),
+    q as (select *, array_to_string(n[line_from:line_to], chr(10)) as seen, array_to_string(o[line_from:line_to], chr(10)) as quoted from s),
+    e as (select *, regexp_replace(seen, '^\\s+|\\s+$', '', 'g') = regexp_replace(quoted, '^\\s+|\\s+$', '', 'g') as is_whole, contains(seen, substr(quoted, 3, 25)) as is_part from q)"""
+_STATUS = "select doc_id, case when line_to < line_from then 'reversed' when not in_scope then 'outside' when line_to > len(n) then 'beyond' when coalesce({0}, false) then 'holds' else 'differs' end as status from e"
 
 
-@query("f12_evidence_equality", f"with {_LINES} select doc_id, coalesce(trim(ls[1]) = trim(ls[2]), false) as equal, trim(array_to_string(ls[1:2], chr(10))) = trim(coalesce(ls[1], '') || chr(10) || coalesce(ls[2], '')) as quoted from l")
+def evidence(spark, d, part: bool):
+    last = F.when(F.col("doc_id") % 29 == 0, F.col("line_from") - 1).otherwise(F.col("line_to"))
+    rows = view(spark, d, "revised").withColumn("line_to", last).withColumn("in_scope", F.col("doc_id") % 7 != 0).withColumnRenamed("after", "text")
+    quote = V.cited(V.logical_lines(F.col("before")), F.col("line_from"), F.col("line_to"))
+    return rows.withColumn("quote", F.substring(quote, 3, 25) if part else quote)
+
+
+@query("f12_evidence_equality", f"with {_EVIDENCE} {_STATUS.format('is_whole')}")
 def f12(spark, d):
-    ls = F.split("text", "\n")
-    one = lambda k: F.get(ls, F.lit(k))
-    quote = F.concat(F.coalesce(one(0), F.lit("")), F.lit("\n"), F.coalesce(one(1), F.lit("")))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(F.trim(one(0)) == F.trim(one(1)), F.lit(False)).alias("equal"), (F.trim(F.array_join(F.slice(ls, 1, 2), "\n")) == F.trim(quote)).alias("quoted"))
+    return V.evidence_status(evidence(spark, d, False)).select("doc_id", "status")
 
 
-@query("f13_evidence_containment", "select d.doc_id, contains(d.text, substr(d.text, 11, 20)) as contained, contains(substr(d.text, 1, 50), substr(d.text, 101, 20)) as early from documents d")
+@query("f13_evidence_containment", f"with {_EVIDENCE} {_STATUS.format('is_part')}")
 def f13(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").contains(F.substring("text", 11, 20)).alias("contained"), F.substring("text", 1, 50).contains(F.substring("text", 101, 20)).alias("early"))
+    return V.evidence_status(evidence(spark, d, True), whole=False).select("doc_id", "status")
 
 
 @query("f16_unit_scope", f"with {ED}, {FI} select unit, e.flag, count(*) as touching from edges e join files on file_id = e.dst group by 1, 2")

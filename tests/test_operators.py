@@ -275,3 +275,14 @@ def test_source_expressions(spark):
     no = ["requests.bodyguard", "inputs", "$_FILES", "params", "@RequestBodyX", "or.Formal", "Process.env"]
     got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(yes + no)], "i int, t string").orderBy("i").select(X.is_source_expression(F.col("t")).alias("s")).collect()]
     assert got == [True] * len(yes) + [False] * len(no)
+
+
+def test_evidence_is_held_against_its_lines(spark):
+    from tallyloom.operators import revisions as V
+
+    text = "one\r\n  two \nthree"
+    rows = [("two", 2, 2, True, "holds", "holds"), ("one\n  two", 1, 2, True, "holds", "holds"), ("hre", 3, 3, True, "differs", "holds"), ("three", 3, 4, True, "beyond", "beyond"), ("one", 2, 1, True, "reversed", "reversed"),
+            ("one", 1, 1, False, "outside", "outside"), ("four", 1, 3, True, "differs", "differs"), (None, 1, 1, True, "differs", "differs"), ("one", 0, 1, True, "beyond", "beyond")]
+    df = spark.createDataFrame([(i, text, *r[:4]) for i, r in enumerate(rows)], "i int, text string, quote string, line_from int, line_to int, in_scope boolean")
+    for k, whole in ((4, True), (5, False)):
+        assert [r.status for r in V.evidence_status(df, whole).orderBy("i").collect()] == [r[k] for r in rows]
