@@ -38,19 +38,39 @@ def codes(rows: DataFrame, rules: dict[str, Column], key: str = "candidate_id")
     return rows.select(key, F.explode(F.array_compact(F.array(*(F.when(c, name) for name, c in rules.items())))).alias("code"))
 
 
+#: The final statuses, and of some the code of a row that has none of the fields which its status demands.
+STATUSES = ("CANDIDATE", "CONFIRMED", "DOWNGRADED", "FOLDED_INTO", "BACKLOG", "EXCLUDED", "PENDING_PENTEST", "PENDING_EXTERNAL", "FALSE_POSITIVE", "OUT_OF_SCOPE", "DISPUTED", "UNCLASSIFIED")
+DEMANDS = {
+    "DOWNGRADED": ("DOWNGRADE_REASON_MISSING", ("downgrade_reason", "severity_rationale")),
+    "BACKLOG": ("BACKLOG_REASON_MISSING", ("backlog_reason", "rationale", "next_step")),
+    "EXCLUDED": ("EXCLUSION_REASON_MISSING", ("exclusion_reason", "excluded_category", "rationale", "reason")),
+    "PENDING_EXTERNAL": ("PENDING_EXTERNAL_CONTEXT_MISSING", ("required_access", "external_system")),
+    "PENDING_PENTEST": ("PENDING_PENTEST_ROUTE_MISSING", ("pentest_route",)),
+    "FOLDED_INTO": ("FOLDED_TARGET_MISSING", ("folded_into",)),
+    "FALSE_POSITIVE": ("FALSE_POSITIVE_COUNTER_EVIDENCE_MISSING", ("counter_evidence", "exclusion_reason")),
+    "OUT_OF_SCOPE": ("OUT_OF_SCOPE_REASON_MISSING", ("scope_reason", "exclusion_reason")),
+    "DISPUTED": ("DISPUTE_REASON_MISSING", ("dispute_reason", "decision_needed")),
+}
+EVIDENCE_FIELDS, VALIDITY_FIELDS = ("evidence", "evidence_ref", "file", "location"), ("reachable", "business_relevance", "exploit_path")
+
+
+def _has_any(rows: DataFrame, fields: tuple[str, ...]) -> Column:
+    """Some of the fields that the rows have has content."""
+    return F.coalesce(*(F.when(S.has_content(F.col(f)), True) for f in fields if f in rows.columns), F.lit(False))
+
+
 def violations(rows: DataFrame) -> DataFrame:
-    """What each status demands."""
-    status, no_reason = F.col("status"), ~S.has_content(F.col("reason"))
+    """What each status demands: a row for each code that a candidate (in normal form) breaks. A field that the rows don't have is missing in all."""
+    status = F.col("status")
+    none_valid = ~_has_any(rows, VALIDITY_FIELDS)
     return codes(
         rows,
         {
-            "UNCLASSIFIED": status == "UNCLASSIFIED",
-            "CONFIRMED_WITHOUT_EVIDENCE": (status == "CONFIRMED") & ~S.has_content(F.col("evidence")),
-            "PENDING_WITHOUT_CONTEXT": (status == "PENDING_EXTERNAL") & no_reason,
-            "FALSE_POSITIVE_WITHOUT_REASON": (status == "FALSE_POSITIVE") & no_reason,
-            "DOWNGRADED_WITHOUT_REASON": (status == "DOWNGRADED") & no_reason,
-            "FOLDED_BUT_NOT_MARKED": F.col("folded_into").isNotNull() & (status != "FOLDED_INTO"),
-            "SCORED_WITHOUT_TARGET": F.col("included") & F.col("target").isNull(),
+            "INVALID_STATUS": ~status.isin(*STATUSES),
+            "CANDIDATE_UNCLASSIFIED": status.isin("UNCLASSIFIED", "CANDIDATE"),
+            "MISSING_EVIDENCE": status.isin("CONFIRMED", "DOWNGRADED") & ~_has_any(rows, EVIDENCE_FIELDS),
+            **{code: (status == s) & ~_has_any(rows, fields) for s, (code, fields) in DEMANDS.items()},
+            "CONFIRMED_VALIDITY_MISSING": (status == "CONFIRMED") & F.col("severity").isin("CRITICAL", "HIGH") & none_valid,
         },
     )
 

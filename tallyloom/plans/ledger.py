@@ -62,19 +62,33 @@ def f08(spark, d):
     return ledger(spark, d).where("included").select("candidate_id", "status", "severity")
 
 
-_VIOLATIONS_SQL = """select candidate_id, unnest(list_filter([
-    case when st = 'UNCLASSIFIED' then 'UNCLASSIFIED' end,
-    case when st = 'CONFIRMED' and length(trim(evidence)) = 0 then 'CONFIRMED_WITHOUT_EVIDENCE' end,
-    case when st = 'PENDING_EXTERNAL' and coalesce(length(trim(reason)) = 0, true) then 'PENDING_WITHOUT_CONTEXT' end,
-    case when st = 'FALSE_POSITIVE' and coalesce(length(trim(reason)) = 0, true) then 'FALSE_POSITIVE_WITHOUT_REASON' end,
-    case when st = 'DOWNGRADED' and coalesce(length(trim(reason)) = 0, true) then 'DOWNGRADED_WITHOUT_REASON' end,
-    case when folded_into is not null and st not in ('FOLDED_INTO') then 'FOLDED_BUT_NOT_MARKED' end,
-    case when inc and target is null then 'SCORED_WITHOUT_TARGET' end], lambda x: x is not null)) as code from scored"""
-
-
-@query("f09_candidate_violations", f"with {NORMAL} {_VIOLATIONS_SQL}")
+#: Candidates in every status in turn (and an unknown one), whose reasons and contexts stand in the columns that the statuses demand.
+_STATUSES = (*L.STATUSES, "OPEN")
+_CLASSIFIED = f"""classified as (select candidate_id, ord, sev, root_key, inc, [{', '.join(f"'{s}'" for s in _STATUSES)}][ord % {len(_STATUSES)} + 1] as st, evidence, reason, folded_into,
+    reason as downgrade_reason, reason as backlog_reason, route as required_access, target as pentest_route, evidence as counter_evidence, reason as scope_reason, target as dispute_reason,
+    target as reachable, route as exploit_path from scored)"""
+_HAS = "coalesce(length(trim({0})) > 0, false)"
+_LACKS = {
+    "MISSING_EVIDENCE": "st in ('CONFIRMED', 'DOWNGRADED') and not " + _HAS.format("evidence"), "DOWNGRADE_REASON_MISSING": "st = 'DOWNGRADED' and not " + _HAS.format("downgrade_reason"),
+    "BACKLOG_REASON_MISSING": "st = 'BACKLOG' and not " + _HAS.format("backlog_reason"), "EXCLUSION_REASON_MISSING": "st = 'EXCLUDED' and not " + _HAS.format("reason"),
+    "PENDING_EXTERNAL_CONTEXT_MISSING": "st = 'PENDING_EXTERNAL' and not " + _HAS.format("required_access"), "PENDING_PENTEST_ROUTE_MISSING": "st = 'PENDING_PENTEST' and not " + _HAS.format("pentest_route"),
+    "FOLDED_TARGET_MISSING": "st = 'FOLDED_INTO' and not " + _HAS.format("folded_into"), "FALSE_POSITIVE_COUNTER_EVIDENCE_MISSING": "st = 'FALSE_POSITIVE' and not " + _HAS.format("counter_evidence"),
+    "OUT_OF_SCOPE_REASON_MISSING": "st = 'OUT_OF_SCOPE' and not " + _HAS.format("scope_reason"), "DISPUTE_REASON_MISSING": "st = 'DISPUTED' and not " + _HAS.format("dispute_reason"),
+    "INVALID_STATUS": "st = 'OPEN'", "CANDIDATE_UNCLASSIFIED": "st in ('UNCLASSIFIED', 'CANDIDATE')",
+    "CONFIRMED_VALIDITY_MISSING": f"st = 'CONFIRMED' and sev in ('CRITICAL', 'HIGH') and not {_HAS.format('reachable')} and not {_HAS.format('exploit_path')}",
+}
+_VIOLATIONS_SQL = f"select candidate_id, unnest(list_filter([{', '.join(f"case when {c} then '{n}' end" for n, c in _LACKS.items())}], lambda x: x is not null)) as code from classified"
+
+
+def classified(spark, d):
+    status = F.element_at(F.array(*map(F.lit, _STATUSES)), (F.col("ord") % len(_STATUSES) + 1).cast("int"))
+    given = {"downgrade_reason": "reason", "backlog_reason": "reason", "required_access": "route", "pentest_route": "target", "counter_evidence": "evidence", "scope_reason": "reason", "dispute_reason": "target", "reachable": "target", "exploit_path": "route"}
+    return ledger(spark, d).withColumn("status", status).withColumns({k: F.col(v) for k, v in given.items()})
+
+
+@query("f09_candidate_violations", f"with {NORMAL}, {_CLASSIFIED} {_VIOLATIONS_SQL}")
 def f09(spark, d):
-    return L.violations(ledger(spark, d))
+    return L.violations(classified(spark, d))
 
 
 @query("f10_validity_appraisal", f"with {NORMAL}, m as (select *, (case when target is null then 1 else 0 end) + (case when route is null then 1 else 0 end) + (case when coalesce(length(trim(reason)) = 0, true) then 1 else 0 end) as missing from scored) select candidate_id, cast(missing as bigint) as missing, case when missing = 3 and sev in ('CRITICAL', 'HIGH') then 'error' when missing > 0 then 'warning' else 'ok' end as level from m")
@@ -185,9 +199,9 @@ def a19(spark, d):
     return u.withColumn("violation", F.col("coverage") < 0.7)
 
 
-@query("a20_violation_summary", f"with {NORMAL}, v as ({_VIOLATIONS_SQL}) select code, count(*) as n from v group by 1")
+@query("a20_violation_summary", f"with {NORMAL}, {_CLASSIFIED}, v as ({_VIOLATIONS_SQL}) select code, count(*) as n from v group by 1")
 def a20(spark, d):
-    return L.violations(ledger(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
+    return L.violations(classified(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("a21_excluded_sources", f"with {cte('files')}, x as (select * from (values ('promo'), ('economy'), ('none')) as t(prefix)) select prefix, count(path) as n from x left join files on starts_with(path, prefix || '/') and regexp_matches(path, '\\.(ts|py)$') group by 1")
@@ -329,8 +343,8 @@ def d12(spark, d):
     return g.where("scored >= 2 and open and not distinct_all").select("root_key", "scored")
 
 
-@query("d13_publication_gate", f"with {NORMAL}, v as ({_VIOLATIONS_SQL}) select 'violations' as gate, count(*) as n, count(*) = 0 as ok from v union all select 'duplicates', count(*), count(*) = 0 from (select root_key from scored where inc group by 1 having count(*) > 1)")
+@query("d13_publication_gate", f"with {NORMAL}, {_CLASSIFIED}, v as ({_VIOLATIONS_SQL}) select 'violations' as gate, count(*) as n, count(*) = 0 as ok from v union all select 'duplicates', count(*), count(*) = 0 from (select root_key from scored where inc group by 1 having count(*) > 1)")
 def d13(spark, d):
     rows = ledger(spark, d)
     gate = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("gate"), "n", (F.col("n") == 0).alias("ok"))
-    return gate("violations", L.violations(rows)).unionByName(gate("duplicates", L.repeated(rows.where("included"), "root_key")))
+    return gate("violations", L.violations(classified(spark, d))).unionByName(gate("duplicates", L.repeated(rows.where("included"), "root_key")))

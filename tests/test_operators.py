@@ -286,3 +286,16 @@ def test_evidence_is_held_against_its_lines(spark):
     df = spark.createDataFrame([(i, text, *r[:4]) for i, r in enumerate(rows)], "i int, text string, quote string, line_from int, line_to int, in_scope boolean")
     for k, whole in ((4, True), (5, False)):
         assert [r.status for r in V.evidence_status(df, whole).orderBy("i").collect()] == [r[k] for r in rows]
+
+
+def test_every_status_demands_its_fields(spark):
+    from tallyloom.operators import ledger as L
+
+    fields = {"downgrade_reason": "DOWNGRADED", "backlog_reason": "BACKLOG", "reason": "EXCLUDED", "required_access": "PENDING_EXTERNAL", "pentest_route": "PENDING_PENTEST", "folded_into": "FOLDED_INTO",
+              "counter_evidence": "FALSE_POSITIVE", "scope_reason": "OUT_OF_SCOPE", "dispute_reason": "DISPUTED"}
+    names = ["candidate_id", "status", "severity", "evidence", "reachable", "exploit_path", *fields]
+    rows = [(f"{s}-bare", s, "HIGH", " ", None, "", *[None] * len(fields)) for s in (*L.STATUSES, "OPEN")] + [(f"{s}-full", s, "HIGH", "e", None, "p", *["x" if fields[f] == s else "" for f in fields]) for s in (*L.STATUSES, "OPEN")]
+    got = {(r.candidate_id, r.code) for r in L.violations(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))).collect()}
+    want = {(f"{s}-bare", code) for s, (code, _) in L.DEMANDS.items()} | {(f"{s}-bare", "MISSING_EVIDENCE") for s in ("CONFIRMED", "DOWNGRADED")} | {("CONFIRMED-bare", "CONFIRMED_VALIDITY_MISSING")}
+    want |= {(f"{s}-{k}", "CANDIDATE_UNCLASSIFIED") for s in ("CANDIDATE", "UNCLASSIFIED") for k in ("bare", "full")} | {(f"OPEN-{k}", "INVALID_STATUS") for k in ("bare", "full")}
+    assert got == want
