@@ -130,3 +130,38 @@ SOURCE_EXPRESSIONS = (
 def is_source_expression(text: Column) -> Column:
     """Whether a text has any of the source expressions; null for null."""
     return text.rlike("|".join(SOURCE_EXPRESSIONS))
+
+
+#: Messages that tell of pressure, that may be tried again, and that must not be.
+PRESSURE = r"\b(429|503|529|ENOMEM|EMFILE|ENFILE|EAGAIN)\b|(?i:rate.?limit|overload)"
+TRANSIENT = r"(?i:ECONNRESET|ETIMEDOUT|ECONNREFUSED|EHOSTUNREACH|socket|network|stream.*(disconnect|fail)|went to sleep mid-response)"
+FORBIDDEN = r"(?i:permission|policy refusal|not authorized|invalid.api.key)|\b(401|403)\b"
+#: Fixed value: the form of a record's time.
+RECORD_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T(2[0-3]|[01][0-9]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
+def pressure(status: Column, message: Column) -> Column:
+    return F.coalesce(status.isin(429, 503, 529), F.lit(False)) | F.coalesce(message.rlike(PRESSURE), F.lit(False))
+
+
+def retryable(status: Column, message: Column) -> Column:
+    """Pressure and broken connections may be tried again, refusals never."""
+    text = F.coalesce(message, F.lit(""))
+    return ~text.rlike(FORBIDDEN) & (pressure(status, message) | text.rlike(TRANSIENT))
+
+
+def retry_delay(retry_after: Column, now: Column) -> Column:
+    """Milliseconds from a header of seconds or of a date (never below 0); null without one, or if it is neither."""
+    seconds = F.when(retry_after.rlike(r"^[0-9]+(\.[0-9]+)?$"), retry_after.cast("double") * 1000)
+    until = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(retry_after, "^[A-Za-z]{3}, ", ""), " GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.coalesce(seconds, F.when(until.isNotNull(), F.greatest(F.lit(0.0), (F.unix_millis(until) - F.unix_millis(now)).cast("double"))))
+
+
+def record_time(text: Column) -> Column:
+    """The time with its offset, Z where it has none; null if its form or its day is wrong, or its offset beyond a day."""
+    day = F.substring(text, 1, 10)
+    real = F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "yyyy-MM-dd") == day
+    offset = F.regexp_extract(text, r"([+-])([0-9]{2}):([0-9]{2})$", 2)
+    minutes = F.regexp_extract(text, r"([+-])([0-9]{2}):([0-9]{2})$", 3)
+    in_range = (offset == "") | ((offset <= "23") & (minutes <= "59"))
+    return F.when(text.rlike(RECORD_TIME) & F.coalesce(real, F.lit(False)) & in_range, F.when(text.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$"), text).otherwise(F.concat(text, F.lit("Z"))))

@@ -49,8 +49,28 @@ simple("x30_redaction", "documents", "doc_id", "sha256(regexp_replace(regexp_rep
 simple("x31_numeric_parse", "events", "event_id", "try_cast(nullif(regexp_extract(props, '([0-9]+)', 1), '') as double)", lambda: F.expr("try_cast(nullif(regexp_extract(props, '([0-9]+)', 1), '') as double)"))
 simple("x32_line_count", "documents", "doc_id", "case when text = '' then 0 else cast(len(string_split_regex(text, '\\r\\n|\\r|\\n')) as bigint) - case when regexp_matches(text, '[\\r\\n]$') then 1 else 0 end end", lambda: S.line_count(c("text")))
 simple("x33_token_estimate", "files", "file_id", "cast(ceil(bytes / 4e0) as bigint)", lambda: S.estimated_tokens(c("bytes")))
-simple("x34_dates", "orders", "o_orderkey", "try_strptime(cast(o_orderkey % 40 as varchar) || '/02/2024', '%d/%m/%Y') is not null", lambda: F.expr("try_to_timestamp(concat(o_orderkey % 40, '/02/2024'), 'd/MM/yyyy') is not null"))
-simple("x35_retry", "events", "event_id", "case when event_type = 'error' and value > 20 then 'pressure' when event_type = 'error' then 'retryable' else 'final' end", lambda: F.when((c("event_type") == "error") & (c("value") > 20), "pressure").when(c("event_type") == "error", "retryable").otherwise("final"))
+_TIME = "'2024-0' || cast(o_orderkey % 4 as varchar) || '-' || cast(26 + o_orderkey % 7 as varchar) || case o_orderkey % 3 when 0 then 'T' else ' ' end || cast(18 + o_orderkey % 8 as varchar) || ':30:00' || case o_orderkey % 5 when 0 then '' when 1 then 'Z' when 2 then '.25+02:00' when 3 then '-05:30' else '+99:00' end"
+_TIME_IS = f"case when regexp_matches(t, '{X.RECORD_TIME}') and try_cast(substr(t, 1, 10) as date) is not null and not ends_with(t, '+99:00') then case when regexp_matches(t, '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') then t else t || 'Z' end end"
+
+
+@query("x34_dates", f"with t as (select o_orderkey, {_TIME} as t from orders) select o_orderkey, {_TIME_IS} as out from t")
+def x34(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.record_time(F.expr(_TIME.replace("varchar", "string"))).alias("out"))
+
+
+_FAILURE = "case event_id % 9 when 0 then 'HTTP 429' when 1 then 'Rate limit reached' when 2 then 'socket hang up' when 3 then 'stream failed: disconnect' when 4 then '401 from proxy, network' when 5 then 'Permission denied' when 6 then 'EMFILE' when 7 then null else event_type end"
+_CODE = "case when event_id % 11 = 0 then 503 when event_id % 11 = 1 then 500 else null end"
+
+
+@query("x35_retry", f"""with t as (select event_id, {_FAILURE} as m, {_CODE} as s, case when event_id % 4 = 0 then cast(event_id % 13 as varchar) when event_id % 4 = 1 then 'soon' else null end as h from events),
+    p as (select *, coalesce(s in (429, 503, 529), false) or coalesce(regexp_matches(m, '{X.PRESSURE}'), false) as pressure from t)
+    select event_id, pressure, not coalesce(regexp_matches(m, '{X.FORBIDDEN}'), false) and (pressure or coalesce(regexp_matches(m, '{X.TRANSIENT}'), false)) as retryable, try_cast(h as double) * 1000 as delay_ms from p""")
+def x35(spark, d):
+    header = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 13).cast("string")).when(F.col("event_id") % 4 == 1, "soon")
+    status, message = F.expr(_CODE), F.expr(_FAILURE)
+    return table(spark, d, "events").select("event_id", X.pressure(status, message).alias("pressure"), X.retryable(status, message).alias("retryable"), X.retry_delay(header, F.col("ts").cast("timestamp")).alias("delay_ms"))
+
+
 simple("x38_text_search", "part", "p_partkey", "list_contains(string_split(p_name, ' '), 'red') and not list_contains(string_split(p_name, ' '), 'ring')", lambda: X.matches_query(X.search_tokens(c("p_name")), c("p_name"), "red -ring"))
 simple("x39_substring_search", "documents", "doc_id", "contains(lower(text), 'license')", lambda: F.lower("text").contains("license"))
 simple("x40_dropped_fields", "candidates", "candidate_id", "substr(coalesce(reason, ''), 1, 6)", lambda: F.left(F.coalesce("reason", F.lit("")), F.lit(6)))

@@ -299,3 +299,18 @@ def test_every_status_demands_its_fields(spark):
     want = {(f"{s}-bare", code) for s, (code, _) in L.DEMANDS.items()} | {(f"{s}-bare", "MISSING_EVIDENCE") for s in ("CONFIRMED", "DOWNGRADED")} | {("CONFIRMED-bare", "CONFIRMED_VALIDITY_MISSING")}
     want |= {(f"{s}-{k}", "CANDIDATE_UNCLASSIFIED") for s in ("CANDIDATE", "UNCLASSIFIED") for k in ("bare", "full")} | {(f"OPEN-{k}", "INVALID_STATUS") for k in ("bare", "full")}
     assert got == want
+
+
+def test_times_and_retries(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions import text as X
+
+    times = {"2024-02-29T10:00:00": "2024-02-29T10:00:00Z", "2024-02-29T23:59:59.5+02:00": "2024-02-29T23:59:59.5+02:00", "2023-02-29T10:00:00Z": None, "2024-02-29T24:00:00Z": None, "2024-02-29 10:00:00": None, "2024-13-01T10:00:00": None}
+    got = spark.createDataFrame([(t,) for t in times], "t string").select("t", X.record_time(F.col("t")).alias("out")).collect()
+    assert {r.t: r.out for r in got} == times
+    rows = [(429, "x", None, True, True, None), (None, "overloaded", "2.5", True, True, 2500.0), (503, "not authorized", None, True, False, None), (None, "network down", "Thu, 01 Jan 1970 00:00:10 GMT", False, True, 5000.0),
+            (None, None, "later", False, False, None), (None, "ETIMEDOUT", "Thu, 01 Jan 1970 00:00:01 GMT", False, True, 0.0), (500, "bad", "0", False, False, 0.0)]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, s int, m string, h string").withColumn("now", F.expr("timestamp_seconds(5)")).orderBy("i")
+    s, m = F.col("s"), F.col("m")
+    assert [tuple(r) for r in df.select(X.pressure(s, m), X.retryable(s, m), X.retry_delay(F.col("h"), F.col("now"))).collect()] == [r[3:] for r in rows]
