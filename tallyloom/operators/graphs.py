@@ -54,21 +54,6 @@ def follow(links: DataFrame, most: int = 64) -> DataFrame:
     return step.join(on, "end", "left").select("node", F.when(F.col("goes_on").isNull(), F.col("end")).alias("end"))
 
 
-def bounded_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, depth: int) -> DataFrame:
-    """(path) of at most depth edges from a start to a sink, no node twice; a path goes on past no sink."""
-    edges = cut(edges.select("src", "dst").distinct(), "edges")
-    ends = sinks.select(F.col("node").alias("dst"), F.lit(True).alias("is_sink"))
-    open_ = cut(starts.select(F.array("node").alias("path"), F.col("node").alias("last")), "paths")
-    done = None
-    for _ in range(depth):
-        longer = open_.join(edges, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst")).join(ends, "dst", "left")
-        longer = cut(longer.select("path", F.col("dst").alias("last"), F.coalesce("is_sink", F.lit(False)).alias("is_sink")), "paths")
-        hit = longer.where("is_sink").select("path")
-        done = hit if done is None else done.unionByName(hit)
-        open_ = longer.where("not is_sink").select("path", "last")
-    return done
-
-
 def first_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, nodes: int = 8) -> DataFrame:
     """(path): breadth first from each start, targets in ascending order; a node is passed once a start, a sink is reached by each edge and passed by none.
 

@@ -10,7 +10,7 @@ from tallyloom.operators import graphs as G
 from tallyloom.operators import joins as J
 from tallyloom.operators import revisions as V
 from tallyloom.plans.bindings import cte, table, view
-from tallyloom.plans.registry import ORACLE_SQL, query
+from tallyloom.plans.registry import query
 from tallyloom.sources import files as R
 
 EV, CA, FI, ED = cte("run_events"), cte("candidates"), cte("files"), cte("edges")
@@ -92,14 +92,8 @@ def j10(spark, d):
     return J.longest_prefix(f.where(F.col("path").endswith(".go")), roots)
 
 
-@query("j11_workspace_package", f"with {FI}, w as (select distinct unit from files) select path, unit, regexp_extract(path, '([^/]+)$', 1) as subpath from files join w using (unit) where file_id % 3 = 0")
+@query("j11_workspace_package", f"with {FI}, w as (select distinct unit from files) select path, unit, regexp_extract(path, '([^/]+)$', 1) as subpath from files join w using (unit)")
 def j11(spark, d):
-    f = view(spark, d, "files")
-    return f.where("file_id % 3 = 0").join(f.select("unit").distinct(), "unit", "left_semi").select("path", "unit", F.regexp_extract("path", "([^/]+)$", 1).alias("subpath"))
-
-
-@query("j11_workspace_package_all", ORACLE_SQL["j11_workspace_package"].replace(" where file_id % 3 = 0", ""))
-def j11_all(spark, d):
     f = view(spark, d, "files")
     return f.join(f.select("unit").distinct(), "unit", "left_semi").select("path", "unit", F.regexp_extract("path", "([^/]+)$", 1).alias("subpath"))
 
@@ -173,16 +167,17 @@ def pk06(spark, d):
     return view(spark, d, "edges").join(f, "dst").groupBy("src").agg(F.min_by("unit", "dst").alias("owner"), F.count("*").alias("flows"))
 
 
-_G8 = f"with recursive {ED}, e as (select distinct src, dst from edges where flag = 'A' and ord % 97 = 0 and src <> dst and (src + dst) % 3 = 0), p as (select [cast(s_suppkey as bigint)] as path, cast(s_suppkey as bigint) as last from supplier where s_suppkey % 20 = 0 union all select list_append(path, dst), dst from p join e on src = last where len(path) <= 3 and not list_contains(path, dst))"
+#: Customers as a heap, each leading to the two whose keys halve to its own, and every seventh also back: a sparse graph with cycles.
+HEAP = "e as (select a.c_custkey as src, b.c_custkey as dst from customer a join customer b on b.c_custkey in (2 * a.c_custkey, 2 * a.c_custkey + 1) or (a.c_custkey % 7 = 0 and b.c_custkey = a.c_custkey // 2))"
 
 
-@query("g08_terminals", f"{_G8} select array_to_string(path, '>') as path, cast(2 * (len(path) - 1) as bigint) as hops from p where len(path) > 1 and last not in (select src from e)")
+@query("g08_terminals", f"with recursive {HEAP}, p as (select [c_custkey] as path, c_custkey as last from customer union all select list_append(path, dst), dst from p join e on src = last where len(path) <= 8 and not list_contains(path, dst)) select array_to_string(path, '>') as path, cast(2 * (len(path) - 1) as bigint) as hops from p where len(path) = 9 or not exists (select 1 from e where src = last and not list_contains(path, dst))")
 def g08(spark, d):
-    e = view(spark, d, "edges").where("flag = 'A' and ord % 97 = 0 and src <> dst and (src + dst) % 3 = 0").select("src", "dst").distinct()
-    starts = table(spark, d, "supplier").where("s_suppkey % 20 = 0").select(F.col("s_suppkey").alias("node"))
-    ends = e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")), "node", "left_anti")
-    p = G.bounded_paths(e, starts, ends, 3)
-    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (2 * (F.size("path") - 1)).cast("long").alias("hops"))
+    """All paths of up to 8 edges from every customer to where nothing goes on."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("node"))
+    out = F.array(2 * F.col("node"), 2 * F.col("node") + 1, F.when(F.col("node") % 7 == 0, F.expr("node div 2")))
+    e = c.select(F.col("node").alias("src"), F.explode(out).alias("dst")).where("dst is not null").join(c.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return G.terminals(e, c).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "hops")
 
 
 @query("g10_path_scores", f"with {ED} select src, dst, case when count(*) > 2 then 'strong' when bool_or(flag = 'A') then 'likely' else 'weak' end as class, count(*) as via from edges group by 1, 2")
@@ -334,13 +329,6 @@ def z32(spark, d):
     return u.select("unit", F.when(F.col("n") > 85, 8).when(F.col("loc") > 26000, 4).otherwise(1).alias("agents"))
 
 
-@query("z33_contract_validation", "select 'unknown_reference' as code, count(*) as n from nation where n_regionkey not in (select r_regionkey from region) union all select 'duplicate_id', count(*) - count(distinct n_nationkey) from nation")
-def z33(spark, d):
-    na, re = table(spark, d, "nation"), table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"))
-    a = na.join(re, "n_regionkey", "left_anti").agg(F.count("*").alias("n")).select(F.lit("unknown_reference").alias("code"), "n")
-    return a.unionByName(na.agg((F.count("*") - F.countDistinct("n_nationkey")).alias("n")).select(F.lit("duplicate_id").alias("code"), "n"))
-
-
 def contract_codes(ids, references, depends):
     """(code, n): ids that repeat, references (node) to no id, and ids on or behind a cycle of depends (src before dst)."""
     row = lambda code, df, m: df.agg(m.cast("long").alias("n")).select(F.lit(code).alias("code"), "n")
@@ -353,8 +341,8 @@ def contract_codes(ids, references, depends):
     )
 
 
-@query("z33_contract_validation_all")
-def z33_all(spark, d):
+@query("z33_contract_validation")
+def z33(spark, d):
     """Nations as the tasks of a contract, each after the one that half its key names (g13_levels)."""
     ids = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
     after = ids.where("node > 0").selectExpr("(node - 1) div 2 as src", "node as dst")

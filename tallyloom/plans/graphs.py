@@ -6,47 +6,24 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import graphs as G
 from tallyloom.plans.bindings import cte, table, view
-from tallyloom.plans.registry import ORACLE_SQL, query
+from tallyloom.plans.registry import query
 
-#: Suppliers lead to parts modulo 100, which share their numbers: one graph of some hundred nodes.
-SMALL = f"{cte('edges')}, e as (select distinct src, dst from edges where flag = 'A' and ord % 23 = 0 and src <> dst)"
+#: Suppliers lead to parts modulo 100, which share their numbers; every edge but self-loops.
+EDGES = f"{cte('edges')}, e as (select distinct src, dst from edges where src <> dst)"
 
 
-def small(spark, d):
-    return view(spark, d, "edges").where("flag = 'A' and ord % 23 = 0 and src <> dst").select("src", "dst").distinct()
-
-
-#: All edges, for the queries whose names end in _all; the others keep the few edges that their given SQL is of.
-EVERY = f"{cte('edges')}, e as (select distinct src, dst from edges where src <> dst)"
-
-
-def every(spark, d):
+def edges(spark, d):
     return view(spark, d, "edges").where("src <> dst").select("src", "dst").distinct()
 
 
-def on_all_edges(f):
-    """Registers f, a query of small(), once more on all edges, and its SQL likewise."""
-    name = next(n for n in ORACLE_SQL if n.startswith(f"{f.__name__}_"))
-    query(f"{name}_all", ORACLE_SQL[name].replace(SMALL, EVERY))(lambda spark, d: f(spark, d, every))
-    return f
-
-
 @query("g01_page_links", "select page_id, count(*) as links, count(*) filter (not starts_with(h, '/')) as other from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from pages) group by 1")
 def g01(spark, d):
     h = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
     return h.groupBy("page_id").agg(F.count("*").alias("links"), F.count(F.when(~F.col("h").startswith("/"), 1)).alias("other"))
 
 
-@query("g02_graph_integrity", f"with {SMALL} select 'open_target' as code, count(*) as n from e where dst not in (select s_suppkey from supplier) union all select 'self_loop', count(*) from e where src = dst union all select 'duplicate', count(*) - count(distinct src * 1000000 + dst) from e")
+@query("g02_graph_integrity", f"with {cte('edges')} select 'open_target' as code, count(*) as n from (select distinct src, dst from edges) where dst not in (select s_suppkey from supplier) union all select 'self_loop', count(*) from edges where src = dst union all select 'duplicate', (select count(*) from edges) - (select count(*) from (select distinct src, dst from edges))")
 def g02(spark, d):
-    e, s = small(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"))
-    row = lambda code, df: df.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), "n")
-    twice = e.groupBy("src", "dst").agg((F.count("*") - 1).alias("m")).agg(F.sum("m").cast("long").alias("n")).select(F.lit("duplicate").alias("code"), "n")
-    return row("open_target", e.join(s, "dst", "left_anti")).unionByName(row("self_loop", e.where("src = dst"))).unionByName(twice)
-
-
-@query("g02_graph_integrity_all", f"with {cte('edges')} select 'open_target' as code, count(*) as n from (select distinct src, dst from edges) where dst not in (select s_suppkey from supplier) union all select 'self_loop', count(*) from edges where src = dst union all select 'duplicate', (select count(*) from edges) - (select count(*) from (select distinct src, dst from edges))")
-def g02_all(spark, d):
     """The raw edges, before self-loops and duplicates are taken out."""
     raw, s = view(spark, d, "edges").select("src", "dst"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"))
     e = raw.groupBy("src", "dst").agg(F.count("*").alias("m"))
@@ -54,16 +31,14 @@ def g02_all(spark, d):
     return row("open_target", e.join(s, "dst", "left_anti"), F.count("*")).unionByName(row("self_loop", e.where("src = dst"), F.sum("m"))).unionByName(row("duplicate", e, F.sum(F.col("m") - 1)))
 
 
-@on_all_edges
-@query("g03_adjacency", f"with {SMALL} select src, string_agg(cast(dst as varchar), ',' order by dst) as targets from e group by 1")
-def g03(spark, d, edges=small):
+@query("g03_adjacency", f"with {EDGES} select src, string_agg(cast(dst as varchar), ',' order by dst) as targets from e group by 1")
+def g03(spark, d):
     a = edges(spark, d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("t"))
     return a.select("src", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("targets"))
 
 
-@on_all_edges
-@query("g04_centrality", f"with {SMALL}, n as (select dst, count(distinct src) as n from e group by 1) select dst as node, n, cast(n as double) / (select max(n) from n) as centrality from n")
-def g04(spark, d, edges=small):
+@query("g04_centrality", f"with {EDGES}, n as (select dst, count(distinct src) as n from e group by 1) select dst as node, n, cast(n as double) / (select max(n) from n) as centrality from n")
+def g04(spark, d):
     n = edges(spark, d).groupBy("dst").agg(F.countDistinct("src").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.max("n").alias("m")))).select(F.col("dst").alias("node"), "n", (F.col("n") / F.col("m")).alias("centrality"))  # one row
 
@@ -73,53 +48,28 @@ def g05(spark, d):
     return G.communities(view(spark, d, "edges").withColumn("repo", F.col("flag")), "repo")
 
 
-@query("g06_group_roles", f"with {cte('files')} select unit, case when bool_or(path like '%.tf') then 'infrastructure' when bool_or(path like '%.py') then 'service' else 'general' end as role from files where file_id % 9 = 0 group by 1")
+@query("g06_group_roles", f"with {cte('files')} select unit, case when bool_or(path like '%.tf') then 'infrastructure' when bool_or(path like '%.py') then 'service' else 'general' end as role from files group by 1")
 def g06(spark, d):
-    return roles(view(spark, d, "files").where("file_id % 9 = 0"))
-
-
-def roles(files):
     has = lambda e: F.bool_or(F.col("path").endswith(e))
-    return files.groupBy("unit").agg(F.when(has(".tf"), "infrastructure").when(has(".py"), "service").otherwise("general").alias("role"))
+    return view(spark, d, "files").groupBy("unit").agg(F.when(has(".tf"), "infrastructure").when(has(".py"), "service").otherwise("general").alias("role"))
 
 
-@query("g06_group_roles_all", ORACLE_SQL["g06_group_roles"].replace(" where file_id % 9 = 0", ""))
-def g06_all(spark, d):
-    return roles(view(spark, d, "files"))
-
-
-@query("g07_bounded_paths", f"with recursive {SMALL}, thin as (select * from e where (src + dst) % 5 = 0), p as (select [cast(s_suppkey as bigint)] as path, s_suppkey as last, false as done from supplier where s_suppkey % 10 = 0 union all select list_append(path, dst), dst, dst % 7 = 3 from p join thin on src = last where not done and len(path) < 5 and not list_contains(path, dst)) select array_to_string(path, '>') as path from p where done")
+@query("g07_bounded_paths")
 def g07(spark, d):
-    e = small(spark, d).where("(src + dst) % 5 = 0")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    sinks = e.select(F.col("dst").alias("node")).distinct().where("node % 7 = 3")
-    p = G.bounded_paths(e, s.where("node % 10 = 0"), sinks, 4)
-    return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
-@query("g07_bounded_paths_all")
-def g07_all(spark, d):
     """Breadth first over all edges from all starts; of up to 8 nodes before the sink."""
-    e = every(spark, d)
+    e = edges(spark, d)
     sinks = e.select(F.col("dst").alias("node")).distinct().where("node % 7 = 3")
     p = G.first_paths(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("node")), sinks)
     return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("g09_taint_fixpoint", f"with recursive {SMALL}, t as (select cast(s_suppkey as bigint) as node from supplier where s_suppkey < 3 union select dst from t join e on src = node where dst % 4 <> 0) select node from t")
+@query("g09_taint_fixpoint", f"with recursive {EDGES}, t as (select cast(s_suppkey as bigint) as node from supplier union select dst from t join e on src = node) select node from t")
 def g09(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey < 3").select(F.col("s_suppkey").alias("node"))
-    return G.reach(small(spark, d).where("dst % 4 <> 0"), s).select("node")
-
-
-@query("g09_taint_fixpoint_all", f"with recursive {EVERY}, t as (select cast(s_suppkey as bigint) as node from supplier union select dst from t join e on src = node) select node from t")
-def g09_all(spark, d):
-    return G.reach(every(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))).select("node")
+    return G.reach(edges(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))).select("node")
 
 
-@on_all_edges
-@query("g11_reverse_closure", f"with recursive {SMALL}, t as (select cast(p_partkey as bigint) as node from part where p_partkey in (5, 6) union select src from t join e on dst = node) select node from t")
-def g11(spark, d, edges=small):
+@query("g11_reverse_closure", f"with recursive {EDGES}, t as (select cast(p_partkey as bigint) as node from part where p_partkey in (5, 6) union select src from t join e on dst = node) select node from t")
+def g11(spark, d):
     s = table(spark, d, "part").where("p_partkey in (5, 6)").select(F.col("p_partkey").alias("node"))
     return G.reach(edges(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst")), s).select("node")
 
@@ -143,9 +93,8 @@ def g16(spark, d):
     return f.groupBy("base").agg(F.min("path").alias("first_file"), F.count("*").alias("n"))
 
 
-@on_all_edges
-@query("g18_context_map", f"with {SMALL}, o as (select src as node, count(*) as imports from e group by 1), i as (select dst as node, count(*) as imported_by from e group by 1) select coalesce(o.node, i.node) as node, coalesce(imports, 0) as imports, coalesce(imported_by, 0) as imported_by from o full join i on o.node = i.node")
-def g18(spark, d, edges=small):
+@query("g18_context_map", f"with {EDGES}, o as (select src as node, count(*) as imports from e group by 1), i as (select dst as node, count(*) as imported_by from e group by 1) select coalesce(o.node, i.node) as node, coalesce(imports, 0) as imports, coalesce(imported_by, 0) as imported_by from o full join i on o.node = i.node")
+def g18(spark, d):
     e = edges(spark, d)
     both = e.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("dst", F.lit(0), F.lit(1)))
     return both.groupBy("node").agg(F.sum("o").cast("long").alias("imports"), F.sum("i").cast("long").alias("imported_by"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import joins as J
 from tallyloom.plans.bindings import cte, table, view
-from tallyloom.plans.registry import ORACLE_SQL, query
+from tallyloom.plans.registry import query
 
 
 @query("j01_ownership", "select p_partkey as id, count(ps) as owners from part left join (select distinct l_partkey as ps, l_suppkey from lineitem where l_suppkey % 10 = 0) l on ps = p_partkey group by 1 having count(ps) <> 1")
@@ -223,16 +223,8 @@ def t06(spark, d):
     return J.top_k(o, "o_custkey", ["o_orderpriority", "o_orderkey"], 3).select("o_custkey", "o_orderkey").join(n, "o_custkey")
 
 
-@query("t07_codepoint_order", "select p_partkey, row_number() over (order by p_name, p_partkey) as place from part where p_partkey < 300")
+@query("t07_codepoint_order", "select p_partkey, row_number() over (order by p_name, p_partkey) as place from part")
 def t07(spark, d):
-    from pyspark.sql import Window as W
-
-    # A global place needs one ordered pass; it is asked of a bounded report.
-    return table(spark, d, "part").where("p_partkey < 300").select("p_partkey", F.row_number().over(W.orderBy("p_name", "p_partkey")).alias("place"))
-
-
-@query("t07_codepoint_order_all", ORACLE_SQL["t07_codepoint_order"].replace(" where p_partkey < 300", ""))
-def t07_all(spark, d):
     return J.places(table(spark, d, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"]).select("p_partkey", "place")
 
 

@@ -159,9 +159,9 @@ def test_graph_queries_see_all_edges(spark, tiny):
     e = {(r.l_suppkey, r.l_partkey % 100) for r in spark.read.parquet(f"{tiny}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()}
     plan = QUERIES["g05_communities"](spark, tiny)
     assert {r.node for r in plan.collect()} == {n for x in e for n in x}
-    got = {r.src: r.targets for r in QUERIES["g03_adjacency_all"](spark, tiny).collect()}
+    got = {r.src: r.targets for r in QUERIES["g03_adjacency"](spark, tiny).collect()}
     assert got == {s: ",".join(str(t) for t in sorted(b for a, b in e if a == s != b)) for s in {a for a, b in e if a != b}}
-    codes = {r.code: r.n for r in QUERIES["g02_graph_integrity_all"](spark, tiny).collect()}
+    codes = {r.code: r.n for r in QUERIES["g02_graph_integrity"](spark, tiny).collect()}
     assert codes["self_loop"] > 0 and codes["duplicate"] > 0
 
 
@@ -206,9 +206,9 @@ def test_queries_of_all_parts(spark, tiny):
     from tallyloom.plans.registry import QUERIES
 
     n = spark.read.parquet(f"{tiny}/part.parquet").count()
-    assert QUERIES["j11_workspace_package_all"](spark, tiny).count() == n
-    assert sorted(x.place for x in QUERIES["t07_codepoint_order_all"](spark, tiny).collect()) == list(range(1, n + 1))
-    assert {x.unit for x in QUERIES["g06_group_roles_all"](spark, tiny).collect()} == {x.p_brand for x in spark.read.parquet(f"{tiny}/part.parquet").select("p_brand").collect()}
+    assert QUERIES["j11_workspace_package"](spark, tiny).count() == n
+    assert sorted(x.place for x in QUERIES["t07_codepoint_order"](spark, tiny).collect()) == list(range(1, n + 1))
+    assert {x.unit for x in QUERIES["g06_group_roles"](spark, tiny).collect()} == {x.p_brand for x in spark.read.parquet(f"{tiny}/part.parquet").select("p_brand").collect()}
 
 
 def test_contract_codes_name_cycles(spark):
