@@ -79,25 +79,6 @@ def f16(spark, d):
     return view(spark, d, "edges").join(f, "dst").groupBy("unit", "flag").agg(F.count("*").alias("touching"))
 
 
-@query("j09_wildcard_paths", f"with {FI} select path, regexp_extract(path, '^economy/(.*)\\.ts$', 1) as captured, 'lib/' || regexp_extract(path, '^economy/(.*)\\.ts$', 1) as target from files where path like 'economy/%.ts'")
-def j09(spark, d):
-    got = F.regexp_extract("path", r"^economy/(.*)\.ts$", 1)
-    return view(spark, d, "files").where(F.col("path").like("economy/%.ts")).select("path", got.alias("captured"), F.concat(F.lit("lib/"), got).alias("target"))
-
-
-@query("j10_nearest_module", f"with {FI}, m as (select distinct regexp_extract(path, '^(.*)/[^/]+$', 1) as root from files where ends_with(path, '.lock')) select path, coalesce((select arg_max(root, length(root)) from m where starts_with(path, root || '/')), '.') as root from files where ends_with(path, '.go')")
-def j10(spark, d):
-    f = view(spark, d, "files")
-    roots = f.where(F.col("path").endswith(".lock")).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("root"))
-    return J.longest_prefix(f.where(F.col("path").endswith(".go")), roots)
-
-
-@query("j11_workspace_package", f"with {FI}, w as (select distinct unit from files) select path, unit, regexp_extract(path, '([^/]+)$', 1) as subpath from files join w using (unit)")
-def j11(spark, d):
-    f = view(spark, d, "files")
-    return f.join(f.select("unit").distinct(), "unit", "left_semi").select("path", "unit", F.regexp_extract("path", "([^/]+)$", 1).alias("subpath"))
-
-
 @query("j21_receipts_required", "select o_orderkey as path, count(l_orderkey) as receipts, count(*) filter (l_linestatus = 'F') as current, count(*) filter (l_linestatus = 'F') > 0 as satisfied from orders left join lineitem on l_orderkey = o_orderkey group by 1")
 def j21(spark, d):
     l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.count("*").alias("r"), n("l_linestatus = 'F'").alias("c"))  # noqa: E741

@@ -82,6 +82,38 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+#: Whose turn it is of the four languages: keys that differ by a multiple of twelve have the same one, and the same repository.
+_TURN = "cast(floor(p_partkey / 3) as bigint) % 4"
+_SIXTY = "cast(floor(p_partkey / 60) as bigint)"
+
+
+def _place(n: int, between: str = "/") -> str:
+    """Folder and name of the source n keys further on."""
+    return f"'d' || cast((p_partkey + {n}) % 5 as string) || '{between}m' || cast(p_partkey + {n} as string)"
+
+
+def _source_path() -> str:
+    last = lambda rest, one, other: f"case when p_partkey % 10 = {rest} then '{one}' else '{other}' end"
+    return f"""case when p_partkey in (3, 4) then 'pkg/__init__.py' when {_TURN} = 0 then 'src/' || {_place(0)} || {last(0, "/index.js", ".ts")}
+      when {_TURN} = 1 then 'pkg/' || {_place(0)} || {last(1, "/__init__.py", ".py")} when {_TURN} = 2 then 'src/' || {_place(0)} || {last(2, "/mod.rs", ".rs")}
+      else 'svc/p' || cast({_SIXTY} as string) || '/m' || cast(p_partkey as string) || {last(3, "_test.go", ".go")} end"""
+
+
+def _source_text() -> str:
+    script = f"""'import {{ a,' || chr(10) || ' b }} from "../' || {_place(12)} || '";' || chr(10) || 'const c = require( "./m' || cast(p_partkey + 60 as string) || '" );' || chr(10)
+      || 'const d = import("@lib/' || {_place(24)} || '");' || chr(10) || 'export * from "kit/' || {_place(60)} || '";' || chr(10)
+      || 'import "left-pad"; import k from "kit"; import l from "kit/built"; require("left-pad")'"""
+    python = f"""'from ..' || {_place(12, ".")} || ' import f' || chr(10) || '  import pkg.' || {_place(60, ".")} || chr(10) || 'import os'"""
+    rust = f"""'use crate::' || {_place(12, "::")} || '::Thing;' || chr(10) || 'use super::{{m' || cast(p_partkey + 60 as string) || ' as z, nothing}};' || chr(10)
+      || 'use std::fmt;' || chr(10) || '  mod m' || cast(p_partkey + 60 as string) || ' ;'"""
+    go = f"""'import (' || chr(10) || ' "fmt"' || chr(10) || ' z "example.com/r/svc/p' || cast({_SIXTY} + 1 as string) || '"' || chr(10) || ')' || chr(10) || 'import root "example.com/r"'"""
+    return f"case {_TURN} when 0 then {script} when 1 then {python} when 2 then {rust} else {go} end"
+
+
+#: Parts as source files of three repositories in four languages, which import one another.
+VIEWS["sources"] = ("part", {"repo": "'r' || cast(p_partkey % 3 as string)", "k": "p_partkey", "path": _source_path(), "text": _source_text()})
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     table, columns = VIEWS[name]
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*(f"{e} as `{c}`" for c, e in columns.items()))

@@ -16,12 +16,6 @@ def edges(spark, d):
     return view(spark, d, "edges").where("src <> dst").select("src", "dst").distinct()
 
 
-@query("g01_page_links", "select page_id, count(*) as links, count(*) filter (not starts_with(h, '/')) as other from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as h from pages) group by 1")
-def g01(spark, d):
-    h = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("h"))
-    return h.groupBy("page_id").agg(F.count("*").alias("links"), F.count(F.when(~F.col("h").startswith("/"), 1)).alias("other"))
-
-
 @query("g02_graph_integrity", f"with {cte('edges')} select 'open_target' as code, count(*) as n from (select distinct src, dst from edges) where dst not in (select s_suppkey from supplier) union all select 'self_loop', count(*) from edges where src = dst union all select 'duplicate', (select count(*) from edges) - (select count(*) from (select distinct src, dst from edges))")
 def g02(spark, d):
     """The raw edges, before self-loops and duplicates are taken out."""
@@ -87,12 +81,6 @@ def g13(spark, d):
     return G.peel(n, e)
 
 
-@query("g16_import_edges", f"with {cte('files')}, b as (select distinct regexp_extract(path, '^([^/]+/[^/]+)/', 1) as base from files) select base, min(path) as first_file, count(*) as n from b join files on starts_with(path, base || '/') group by 1")
-def g16(spark, d):
-    f = view(spark, d, "files").withColumn("base", F.regexp_extract("path", "^([^/]+/[^/]+)/", 1))
-    return f.groupBy("base").agg(F.min("path").alias("first_file"), F.count("*").alias("n"))
-
-
 @query("g18_context_map", f"with {EDGES}, o as (select src as node, count(*) as imports from e group by 1), i as (select dst as node, count(*) as imported_by from e group by 1) select coalesce(o.node, i.node) as node, coalesce(imports, 0) as imports, coalesce(imported_by, 0) as imported_by from o full join i on o.node = i.node")
 def g18(spark, d):
     e = edges(spark, d)

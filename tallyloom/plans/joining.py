@@ -58,13 +58,6 @@ def j07(spark, d):
     return J.longest_prefix(f, roots)
 
 
-@query("j08_relative_import", f"with {cte('files')}, w as (select path, regexp_replace(path, '\\.[^./]+$', '') as stem from files), c as (select path, unnest([stem || '.ts', stem || '.js', stem || '.py']) as target, unnest([0, 1, 2]) as rank from w) select c.path, arg_min(target, rank) as target from c join (select path as p from files) on p = target group by 1")
-def j08(spark, d):
-    f = view(spark, d, "files")
-    stem = F.regexp_replace("path", r"\.[^./]+$", "")
-    return J.first_candidate(f, F.array(*(F.concat(stem, F.lit(e)) for e in (".ts", ".js", ".py"))), f.select(F.col("path").alias("target")), "path", "target")
-
-
 @query("j12_call_target", f"with {cte('files')}, n as (select unit, file_id, p_name as name from files join part on p_partkey = file_id) select a.file_id, coalesce(min(case when b.unit = a.unit and b.file_id <> a.file_id then b.file_id end), min(case when b.unit <> a.unit then b.file_id end)) as target from n a left join n b on a.name = b.name group by 1")
 def j12(spark, d):
     n = view(spark, d, "files").join(table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.col("p_name").alias("name")), "file_id").select("unit", "file_id", "name")

@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("ledger", "joining", "windows", "intervals", "graphs", "evaluation", "text", "states", "files", "assessment")
+MODULES = ("ledger", "joining", "windows", "intervals", "graphs", "imports", "evaluation", "text", "states", "files", "assessment")
 
 
 def query(name: str, sql: str | None = None):

@@ -35,7 +35,6 @@ simple("x05_normal_path", "files", "file_id", "path || '/x'", lambda: S.normal_p
 simple("x06_safe_path", "pages", "page_id", "len(list_filter(string_split(regexp_replace(url, '^http://', ''), '/'), lambda s: s in ('', '.', '..'))) = 0", lambda: S.safe_relative(F.regexp_replace("url", "^http://", "")))
 simple("x07_glob", "files", "file_id", "regexp_full_match(path, 'economy/.*/[^/]*\\.ts')", lambda: c("path").rlike(r"^economy/.*/[^/]*\.ts$"))
 simple("x09_package", "files", "file_id", "case when file_id % 2 = 0 then '@' || regexp_extract(path, '^([^/]+/[^/]+)', 1) else regexp_extract(path, '^([^/]+)', 1) end", lambda: X.package_of(F.when(c("file_id") % 2 == 0, F.concat(F.lit("@"), c("path"))).otherwise(c("path"))))
-simple("x10_specifiers", "pages", "page_id", "array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))), '|')", lambda: F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))), "|"))
 simple("x13_display_id", "candidates", "candidate_id", "'F-' || lpad(cast(cast('0x' || substr(sha256(candidate_id), 1, 15) as bigint) % 1000000000000 as varchar), 12, '0')", lambda: S.display_id(F.sha2("candidate_id", 256)))
 simple("x14_record_name", "candidates", "candidate_id", "sha256(candidate_id || chr(0) || coalesce(status, '') || chr(0) || cast(ord as varchar))", lambda: S.record_name(c("candidate_id"), c("status"), c("ord")))
 simple("x15_version", "customer", "c_custkey", "c_nationkey > 3 or (c_nationkey = 3 and c_custkey % 10 >= 4)", lambda: S.version_at_least(F.concat_ws(".", c("c_nationkey").cast("string"), (c("c_custkey") % 10).cast("string"), F.lit("0")), (3, 4, 0)))
