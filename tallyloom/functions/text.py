@@ -1,4 +1,4 @@
-"""Text functions: import specifiers, citations, full-text matching, redaction, Unicode forms, canonical JSON."""
+"""Text functions: citations, full-text matching, redaction, Unicode forms, canonical JSON."""
 
 import json
 import unicodedata
@@ -11,12 +11,6 @@ def cwes(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)CWE-([0-9]+)"), F.lit(1)), lambda n: F.concat(F.lit("CWE-"), n)))
 
 
-def specifiers(text: Column) -> Column:
-    """Module names in import, export-from and require forms."""
-    one = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    return F.array_distinct(F.concat(one(r"""from\s+['"]([^'"]+)['"]"""), one(r"""require\(\s*['"]([^'"]+)['"]\s*\)"""), one(r"""import\s+['"]([^'"]+)['"]""")))
-
-
 def package_of(specifier: Column) -> Column:
     """The package of a bare specifier: scope and name, or name."""
     return F.when(specifier.startswith("@"), F.regexp_extract(specifier, r"^(@[^/]+/[^/]+)", 1)).otherwise(F.regexp_extract(specifier, r"^([^/]+)", 1))

@@ -33,7 +33,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> Data
         k += 1
         found = new.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         new = cut(found.join(seen, "node", "left_anti").select("node", F.lit(k).alias("hops")), "new")
-        seen = cut(seen.unionByName(new), "seen")
+        seen = seen.unionByName(new)
+        if k % 16 == 0:  # what was found is written once more only now and then, so that the plan stays short
+            seen = cut(seen, "seen")
     return seen
 
 

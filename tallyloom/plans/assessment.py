@@ -184,17 +184,6 @@ def x12(spark, d):
     return view(spark, d, "candidates").select("candidate_id", F.sha2(F.to_json(F.struct(F.coalesce("target", F.lit("")).alias("target"), (F.col("ord") % 5).alias("ordinal"))), 256).alias("fingerprint"))
 
 
-@query("x20_word_boundary", "select p_partkey, regexp_matches(p_name, '(^|[^a-z])red($|[^a-z])') as hit from part")
-def x20(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.col("p_name").rlike("(^|[^a-z])red($|[^a-z])").alias("hit"))
-
-
-@query("x24_route_registration", f"with {FI} select path, case when starts_with(path, 'promo/') then false when regexp_matches(path, '^(economy|standard)/') then true else null end as is_route from files")
-def x24(spark, d):
-    p = F.col("path")
-    return view(spark, d, "files").select("path", F.when(p.startswith("promo/"), False).when(p.rlike("^(economy|standard)/"), True).alias("is_route"))
-
-
 @query("x26_citation_tokens", "select page_id, len(list_distinct(list_filter(regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_.]*[A-Za-z0-9_])', 1), lambda w: length(w) >= 4 and regexp_matches(w, '_|\\.|[a-z][A-Z]')))) as tokens from pages")
 def x26(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(X.citation_tokens(F.col("html"))).cast("long").alias("tokens"))

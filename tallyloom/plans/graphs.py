@@ -57,11 +57,6 @@ def g07(spark, d):
     return p.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("g09_taint_fixpoint", f"with recursive {EDGES}, t as (select cast(s_suppkey as bigint) as node from supplier union select dst from t join e on src = node) select node from t")
-def g09(spark, d):
-    return G.reach(edges(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))).select("node")
-
-
 @query("g11_reverse_closure", f"with recursive {EDGES}, t as (select cast(p_partkey as bigint) as node from part where p_partkey in (5, 6) union select src from t join e on dst = node) select node from t")
 def g11(spark, d):
     s = table(spark, d, "part").where("p_partkey in (5, 6)").select(F.col("p_partkey").alias("node"))

@@ -79,11 +79,6 @@ simple("x11_normal_forms", "documents", "doc_id", "", lambda: X.nfkc_lower(c("te
 simple("x16_canonical_json", "events", "event_id", "replace(props, ' ', '')", lambda: X.canonical_json(c("props")))
 
 
-@query("x21_confidence", "select l_orderkey, l_linenumber, greatest(0e0, least(1e0, floor((0.85e0 - 0.08e0 * least(l_linenumber, 5) - 0.25e0 * least(cast(l_quantity as bigint) % 4, 3)) * 100 + 0.5e0) / 100)) as confidence from lineitem")
-def x21(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("greatest(0e0, least(1e0, floor((0.85e0 - 0.08e0 * least(l_linenumber, 5) - 0.25e0 * least(cast(l_quantity as bigint) % 4, 3)) * 100 + 0.5e0) / 100e0))").alias("confidence"))
-
-
 @query("x36_backoff", f"with {cte('run_events')} select seq, cast(floor(250 * power(2e0, attempt - 1)) as bigint) as delay from run_events")
 def x36(spark, d):
     return view(spark, d, "run_events").select("seq", S.backoff(250, F.col("attempt")).alias("delay"))
