@@ -69,7 +69,8 @@ def tainted(assignments: DataFrame, calls: DataFrame, functions: DataFrame, roun
 
     assignments (file, ord, name, expr), calls (file, ord, callee, args), functions (name, file, params). A round goes through the assignments in order, each
     seeing what those before it found in its file, then through the calls, which taint the parameters of all functions of the callee's last name by position.
-    So a variable is reached at a time (round, calls or not, place), and earlier is never worse: the least times are found by joins of what last improved.
+    So a variable is reached at a time (round, calls or not, place), and earlier is never worse: the least times are found by joins of what last improved;
+    there are as many of them as steps on the longest chain.
     Rows without a file or name, and empty expressions, taint nothing.
     """
     ids = lambda e: F.array_distinct(F.regexp_extract_all(e, F.lit(f"({IDENTIFIER})"), F.lit(1)))
@@ -81,11 +82,14 @@ def tainted(assignments: DataFrame, calls: DataFrame, functions: DataFrame, roun
     arrows = cut(ways.select("file", F.explode(ids(F.col("expr"))).alias("name"), "to_file", "to", "at").distinct(), "arrows")
     first = lambda df: df.groupBy(F.col("to_file").alias("file"), F.col("to").alias("name")).agg(F.min("time").alias("time"))
     new = cut(first(ways.where(X.is_source_expression(F.col("expr"))).withColumn("time", F.struct(F.lit(1).alias("round"), "at"))), "times")
-    seen = new
+    seen, k = new, 0
     while not new.isEmpty():
+        k += 1
         step = new.join(arrows, ["file", "name"]).withColumn("round", F.col("time.round") + F.when(F.col("time.at") < F.col("at"), 0).otherwise(1)).where(F.col("round") <= rounds)
         best = first(step.select("to_file", "to", F.struct("round", "at").alias("time")))
         known = seen.groupBy("file", "name").agg(F.min("time").alias("known"))
         new = cut(best.join(known, ["file", "name"], "left").where("known is null or time < known").drop("known"), "times")
         seen = seen.unionByName(new)
+        if k % 8 == 0:  # one table again, so that the plan stays short
+            seen = cut(seen.groupBy("file", "name").agg(F.min("time").alias("time")), "times")
     return seen.groupBy("file", "name").agg(F.min("time.round").alias("round"))
