@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +19,7 @@ WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 o
 #: The same word class for JVM and RE2 regular expressions, after A-Z were lowered.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_GAP = re.compile(rb"[ \t-\r]")
 _roots: dict[str, str] = {}
 
 
@@ -155,3 +158,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices_of(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """`data` in pieces of about `size` bytes that begin and end at white space, so that no word is cut and a very long text is never held as words at once."""
+    at = 0
+    while at < len(data):
+        end = len(data)
+        if at + size < end and (gap := _GAP.search(data, at + size)):
+            end = gap.start()
+        yield data[at:end]
+        at = end
