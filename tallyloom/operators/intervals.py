@@ -1,4 +1,4 @@
-"""Intervals and packing: islands by running maxima, and folds over one unit's sorted list where a running sum can't say it."""
+"""Intervals: islands by running maxima, and texts in byte ranges that end at lines."""
 
 from __future__ import annotations
 
@@ -16,38 +16,6 @@ def islands(ranges: DataFrame, key: str, start: str, stop: str, touch: int = 1)
     return grouped.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_island")
 
 
-def delivered(required: DataFrame, receipts: DataFrame, key: str) -> DataFrame:
-    """Whether a half-open range lies in one island of what was delivered."""
-    merged = islands(receipts, key, "start", "stop", 0).select(key, F.col("start").alias("s"), F.col("stop").alias("e"))
-    hit = required.join(merged, key, "left").groupBy(*required.columns).agg(F.max(F.coalesce((F.col("s") <= F.col("need_from")) & (F.col("e") >= F.col("need_to")), F.lit(False))).alias("covered"))
-    return hit
-
-
-def sequential_chunks(rows: DataFrame, unit: str, item: str, size: str, max_items: int, max_size: int) -> DataFrame:
-    """Items of each unit in order; a chunk closes before the item that would overflow it. One fold over each unit's list."""
-    listed = rows.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(F.col(item).alias("i"), F.col(size).cast("long").alias("z")))).alias("l"))
-    fold = F.expr(f"""aggregate(l, named_struct('n', 0L, 'z', 0L, 'k', 0L, 'out', cast(array() as array<struct<i:{dict(rows.dtypes)[item]},chunk:bigint>>)), (a, x) -> case
-        when a.n > 0 and (a.n + 1 > {max_items} or a.z + x.z > {max_size}) then named_struct('n', 1L, 'z', x.z, 'k', a.k + 1, 'out', concat(a.out, array(named_struct('i', x.i, 'chunk', a.k + 1))))
-        else named_struct('n', a.n + 1, 'z', a.z + x.z, 'k', a.k, 'out', concat(a.out, array(named_struct('i', x.i, 'chunk', a.k)))) end, a -> a.out)""")
-    return listed.select(unit, F.explode(fold).alias("o")).select(unit, F.col("o.i").alias(item), F.col("o.chunk").alias("chunk"))
-
-
-def budget_selection(candidates: DataFrame, unit: str, order: list[str], item: str, size: str, max_items: int, max_size: int) -> DataFrame:
-    """Candidates of each unit by rank; one is taken if both caps hold, and misfits are passed over. Omissions say which cap, items first."""
-    types = dict(candidates.dtypes)
-    listed = candidates.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(*(F.expr(o).alias(f"o{k}") for k, o in enumerate(order)), F.col(item).alias("i"), F.col(size).cast("long").alias("z")))).alias("l"))
-    fold = F.expr(f"""aggregate(l, named_struct('n', 0L, 'z', 0L, 'out', cast(array() as array<struct<i:{types[item]},taken:string>>)), (a, x) -> case
-        when a.n + 1 > {max_items} then named_struct('n', a.n, 'z', a.z, 'out', concat(a.out, array(named_struct('i', x.i, 'taken', 'file-cap'))))
-        when a.z + x.z > {max_size} then named_struct('n', a.n, 'z', a.z, 'out', concat(a.out, array(named_struct('i', x.i, 'taken', 'token-cap'))))
-        else named_struct('n', a.n + 1, 'z', a.z + x.z, 'out', concat(a.out, array(named_struct('i', x.i, 'taken', 'selected')))) end, a -> a.out)""")
-    return listed.select(unit, F.explode(fold).alias("o")).select(unit, F.col("o.i").alias(item), F.col("o.taken").alias("outcome"))
-
-
-def isolate_oversize(rows: DataFrame, unit: str, item: str, size: str, max_items: int, max_size: int) -> DataFrame:
-    """Sequential chunks in which an item over the cap is always alone."""
-    return sequential_chunks(rows, unit, item, size, max_items, max_size)
-
-
 def newline_parts(text: bytes, most: int) -> list[tuple[int, int]]:
     """Byte ranges of at most `most` bytes that end after a line end where there is one, and else before a whole UTF-8 character."""
     out, at = [], 0

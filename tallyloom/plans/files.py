@@ -104,9 +104,9 @@ def s23(spark, d):
     return view(spark, d, "run_events").where("attempt = 0 or phase = 'p1'").groupBy("phase").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("kinds"))
 
 
-@query("s24_ordered_events", f"with {cte('run_events')} select run_id, seq, type from run_events where run_id = 3")
+@query("s24_ordered_events", f"with {cte('run_events')} select run_id, seq, type from run_events")
 def s24(spark, d):
-    return view(spark, d, "run_events").where("run_id = 3").select("run_id", "seq", "type").orderBy("seq")
+    return view(spark, d, "run_events").select("run_id", "seq", "type").orderBy("run_id", "seq")
 
 
 @query("s26_scope_rejects", "select count(*) filter (l_partkey in (select p_partkey from part where p_size > 10)) as kept, count(*) filter (l_partkey not in (select p_partkey from part where p_size > 10)) as rejected from lineitem")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyloom.operators import replay as P
+from tallyloom.operators.scans import prefix_scan
 from tallyloom.plans.bindings import cte, table, view
 from tallyloom.plans.registry import query
 from tallyloom.streaming import runs as R
@@ -16,6 +18,44 @@ def st01(spark, d):
     return R.replay(view(spark, d, "run_events"))
 
 
+#: A run's script by its turn k, of twelve events for each attempt a; phases and rounds change from attempt to attempt, and every tenth or so is off.
+_PHASE = "element_at(array('scan', 'plan', 'evaluate', 'report'), cast(1 + {a} % 4 as int)) || case when {a} % 3 = 0 then ':r1:' else ':-:' end || cast({a} as string)"
+_SCRIPT = {
+    "log": "cast(run_id as string)", "pos": "n", "run_id": "case when seq % 401 = 0 then 'another' else 'run' || cast(run_id as string) end", "seq": "n + 1 + case when seq % 211 = 0 then 1 else 0 end",
+    "event_id": "case when seq % 223 < 2 then 'again' else cast(seq as string) end",
+    "type": """case when n = 0 then 'run.created' when n = 1 then 'input.recorded' when seq % 307 = 0 then 'phase.completed' when type = 'purchase' and seq % 40 = 0 and k <> 0 then 'run.blocked' else element_at(array('phase.started', 'budget.reserved',
+        'attempt.received', 'phase.context-compacted', 'phase.result-identity-bound', case type when 'error' then 'phase.failed' else 'phase.completed' end, 'budget.settled', 'usage.reconciled',
+        element_at(array('analysis.checkpoint', 'coverage.finalized', 'run.budget-increased', case when a = 3 then 'publication.completed' else 'coverage.finalized' end, 'analysis.revised', 'evaluation.reopened'), cast(1 + a % 6 as int)),
+        'run.awaiting-input', 'input.revised', 'run.resumed'), cast(k + 1 as int)) end""",
+    "domain": "case when run_id % 4 = 0 then 'journal' else 'other' end", "budget": "cast(case when n = 0 then 10 else 11 + cast(floor(a / 6) as bigint) end as double)", "previous_budget": "cast(10 + cast(floor(a / 6) as bigint) as double)",
+    "input_revision": "case when n = 1 then 0 else a end", "manifest_sha": "'m' || cast(case when n = 1 then 0 else a end as string)", "parent_manifest_sha": "case when n > 1 then 'm' || cast(a - 1 as string) end", "parent_trigger_sha": "case when n > 1 then 't' || cast(a as string) end",
+    "phase": "element_at(array('scan', 'plan', 'evaluate', 'report'), cast(1 + a % 4 as int))", "round": "case when a % 3 = 0 then 'r1' end", "attempt": "a", "cost": "cast(a as double) / 4", "complete": "true", "receipt_id": "cast(n as string)", "resources": "case when seq % 503 = 0 then 'other' end",
+    "attempt_key": _PHASE.format(a="a"), "amount": "cast(1 as double)", "recovered": "false", "charged": "value", "stage": "case when seq % 9 = 0 then 'review' else 'units' end", "revision": "1 + cast(floor(a / 6) as bigint)",
+    "invalidated": f"transform(filter(sequence(1, greatest(a, 1)), i -> a % 6 = 4 or i % 4 in (2, 3)), i -> {_PHASE.format(a='i')})", "preserve": "a % 2 = 0", "reason": "'because'", "artifact_sha": "'t' || cast(a as string)", "role": "case when seq % 7 = 0 then 'model' else 'host' end",
+}
+
+
+def ledger(spark, d):
+    """Each user's events as the ledger of a run, in the columns of replay.EVENT."""
+    e = prefix_scan(view(spark, d, "run_events").withColumn("one", F.lit(1)), ["run_id"], ["seq"], total={"n": "one"}, name="turns")
+    turns = e.drop("phase", "attempt").withColumn("k", F.expr("case when n < 2 then 0 else (n - 2) % 12 end")).withColumn("a", F.expr("case when n < 2 then 0 else 1 + cast(floor((n - 2) / 12) as bigint) end"))
+    return turns.selectExpr(*(f"{x} as {c}" for c, x in _SCRIPT.items()))
+
+
+@query("st01_run_snapshots")
+def st01_snapshots(spark, d):
+    """All event types; a sequential fold is its test."""
+    return P.replayed(ledger(spark, d), ("journal",))
+
+
+@query("s24_ordered_replay")
+def s24(spark, d):
+    """Where each run stands after its ordered events were read and replayed, with its phases completed."""
+    events = ledger(spark, d)
+    done = P.completed_phases(events).groupBy("log").agg(F.count("*").alias("completed"))
+    return P.replayed(events, ("journal",)).where("error is null").join(done, "log", "left").select("log", "status", "last_seq", "total_cost", F.coalesce("completed", F.lit(0)).alias("completed"))
+
+
 @query("st02_idempotent_append", f"with {cte('candidates')}, f as (select remediation_key, arg_min(status, ord) filter (status is not null) as kept from candidates where status is not null group by 1) select c.remediation_key, kept, count(*) filter (status = kept) - 1 as repeats, count(*) filter (status <> kept) as conflicts from candidates c join f using (remediation_key) where status is not null group by 1, 2")
 def st02(spark, d):
     return R.append_outcomes(view(spark, d, "candidates").where("status is not null"), "remediation_key", "status", "ord")

@@ -12,6 +12,7 @@ from tallyloom.operators import graphs as G
 from tallyloom.operators import intervals as I
 from tallyloom.operators import joins as J
 from tallyloom.operators import ledger as L
+from tallyloom.operators import packing as P
 from tallyloom.sources import files as R
 from tallyloom.streaming import runs as ST
 
@@ -24,13 +25,13 @@ def test_islands_touch_and_gap(spark):
 
 def test_budget_goes_on_past_misfits(spark):
     r = spark.createDataFrame([("u", 5, 1), ("u", 9, 2), ("u", 2, 3)], "u string, z long, i long")
-    got = {x.i: x.outcome for x in I.budget_selection(r, "u", ["i"], "i", "z", 5, 8).collect()}
+    got = {x.i: x.outcome for x in P.budget_selection(r, "u", ["i"], "i", "z", 5, 8).collect()}
     assert got == {1: "selected", 2: "token-cap", 3: "selected"}
 
 
 def test_chunks_flush_before_overflow_and_isolate_oversize(spark):
     r = spark.createDataFrame([("u", 3, 1), ("u", 99, 2), ("u", 3, 3), ("u", 3, 4)], "u string, z long, i long")
-    assert {x.i: x.chunk for x in I.sequential_chunks(r, "u", "i", "z", 2, 10).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
+    assert {x.i: x.chunk for x in P.sequential_chunks(r, "u", "i", "z", 2, 10).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
 def test_text_parts_end_at_lines_and_whole_characters():
@@ -235,6 +236,7 @@ def test_claims_follow_from_three_intervals_and_the_gates(spark):
 
 def test_decision_gates(spark):
     from tallyloom.operators import ledger as L
+from tallyloom.operators import packing as P
 
     rows = [(0, 2, 70, 8.9), (0, 3, 70, 1.0), (1, 0, 99, 1.0), (0, 0, 69, None), (0, 0, 70, 9.0), (0, 0, 70, None)]
     df = spark.createDataFrame(rows, "critical int, high int, score int, max_cvss double")
@@ -244,6 +246,7 @@ def test_decision_gates(spark):
 
 def test_groups_within_a_root_cause_are_no_second_tier(spark):
     from tallyloom.operators import ledger as L
+from tallyloom.operators import packing as P
 
     rows = [("a", "k1", "t1"), ("b", "k1", "t2"), ("a", "k2", "t1"), ("c", "k3", "t2")]
     got = {tuple(r) for r in L.equivalence_clusters(spark.createDataFrame(rows, "candidate_id string, root_key string, target string")).collect()}
@@ -290,6 +293,7 @@ def test_evidence_is_held_against_its_lines(spark):
 
 def test_every_status_demands_its_fields(spark):
     from tallyloom.operators import ledger as L
+from tallyloom.operators import packing as P
 
     fields = {"downgrade_reason": "DOWNGRADED", "backlog_reason": "BACKLOG", "reason": "EXCLUDED", "required_access": "PENDING_EXTERNAL", "pentest_route": "PENDING_PENTEST", "folded_into": "FOLDED_INTO",
               "counter_evidence": "FALSE_POSITIVE", "scope_reason": "OUT_OF_SCOPE", "dispute_reason": "DISPUTED"}
