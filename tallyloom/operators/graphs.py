@@ -5,23 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _temporary: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a round's rows to the shared folder of spark.checkpoint.dir and reads them back; a local master may do without and gets a temporary one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors share; a local master may do without and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = _temporary.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='rounds-')}")
-    path = f"{base.rstrip('/')}/rounds-{name}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes a round's rows to the shared folder and reads them back."""
+    path = f"{shared_folder(df.sparkSession)}/rounds-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -39,21 +43,24 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> Data
     return seen
 
 
-def follow(links: DataFrame, most: int = 64) -> DataFrame:
-    """(node, end): where each chain of node -> next ends; null where it runs into a cycle. Pointers double, so rounds are few."""
-    step = cut(links.select("node", F.col("next").alias("end")).distinct(), "links")
-    first = step
-    k = 1
-    while k < most:
-        further = step.select(F.col("node").alias("m"), F.col("end").alias("beyond"))
-        nxt = cut(step.join(further, F.col("end") == F.col("m"), "left").select("node", F.coalesce("beyond", "end").alias("end"), F.col("beyond").isNotNull().alias("moved")), "links")
-        more = not nxt.where("moved").isEmpty()
-        step = nxt.drop("moved")
-        k *= 2
-        if not more:
-            break
-    on = first.select(F.col("node").alias("end"), F.lit(True).alias("goes_on"))
-    return step.join(on, "end", "left").select("node", F.when(F.col("goes_on").isNull(), F.col("end")).alias("end"))
+def follow(links: DataFrame) -> DataFrame:
+    """(node, end): where each chain of node -> next ends; null where it runs into a cycle. Pointers double, so the rounds are the logarithm of the longest chain.
+
+    Only chains that go on are doubled again. A chain has no more links than there are nodes, so what goes on after as many rounds as double that far runs in a cycle.
+    """
+    links = cut(links.select("node", F.col("next").alias("end")).distinct(), "links")
+    step, done, reach, nodes = links, None, 1, links.count()
+    while reach <= nodes:
+        further = step if done is None else step.unionByName(done)
+        nxt = cut(step.join(further.select(F.col("node").alias("m"), F.col("end").alias("beyond")), F.col("end") == F.col("m"), "left").select("node", F.coalesce("beyond", "end").alias("end"), F.col("beyond").isNull().alias("ended")), "links")
+        ended, step = nxt.where("ended").drop("ended"), nxt.where("not ended").drop("ended")
+        done = ended if done is None else done.unionByName(ended)
+        if step.isEmpty():
+            return done
+        reach *= 2
+        if reach % 1024 == 0:  # so that the plan stays short
+            done = cut(done, "ends")
+    return done.unionByName(step.select("node", F.lit(None).cast(links.schema["end"].dataType).alias("end")))
 
 
 def first_paths(edges: DataFrame, starts: DataFrame, sinks: DataFrame, nodes: int = 8) -> DataFrame:

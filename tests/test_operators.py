@@ -47,6 +47,9 @@ def test_label_propagation_takes_the_first_of_ties():
 def test_fold_chain_and_cycle(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (8, 7)], "node long, next long")
     assert {x.node: x.end for x in G.follow(links).collect()} == {1: 3, 2: 3, 7: None, 8: None}
+    for n in (65, 1000):
+        chain = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(-1, -2), (-2, -3), (-3, -1), (-9, -1)], "node long, next long")
+        assert {x.node: x.end for x in G.follow(chain).collect()} == {i: n for i in range(n)} | dict.fromkeys((-1, -2, -3, -9))
 
 
 def test_peel_leaves_cycles_without_level(spark):
@@ -236,7 +239,6 @@ def test_claims_follow_from_three_intervals_and_the_gates(spark):
 
 def test_decision_gates(spark):
     from tallyloom.operators import ledger as L
-from tallyloom.operators import packing as P
 
     rows = [(0, 2, 70, 8.9), (0, 3, 70, 1.0), (1, 0, 99, 1.0), (0, 0, 69, None), (0, 0, 70, 9.0), (0, 0, 70, None)]
     df = spark.createDataFrame(rows, "critical int, high int, score int, max_cvss double")
@@ -246,7 +248,6 @@ from tallyloom.operators import packing as P
 
 def test_groups_within_a_root_cause_are_no_second_tier(spark):
     from tallyloom.operators import ledger as L
-from tallyloom.operators import packing as P
 
     rows = [("a", "k1", "t1"), ("b", "k1", "t2"), ("a", "k2", "t1"), ("c", "k3", "t2")]
     got = {tuple(r) for r in L.equivalence_clusters(spark.createDataFrame(rows, "candidate_id string, root_key string, target string")).collect()}
@@ -293,7 +294,6 @@ def test_evidence_is_held_against_its_lines(spark):
 
 def test_every_status_demands_its_fields(spark):
     from tallyloom.operators import ledger as L
-from tallyloom.operators import packing as P
 
     fields = {"downgrade_reason": "DOWNGRADED", "backlog_reason": "BACKLOG", "reason": "EXCLUDED", "required_access": "PENDING_EXTERNAL", "pentest_route": "PENDING_PENTEST", "folded_into": "FOLDED_INTO",
               "counter_evidence": "FALSE_POSITIVE", "scope_reason": "OUT_OF_SCOPE", "dispute_reason": "DISPUTED"}
