@@ -50,7 +50,7 @@ def follow(links: DataFrame) -> DataFrame:
     """
     links = cut(links.select("node", F.col("next").alias("end")).distinct(), "links")
     step, done, reach, nodes = links, None, 1, links.count()
-    while reach <= nodes:
+    while reach <= 4 * nodes:  # the last pointer reaches its end one round before it is known to have ended
         further = step if done is None else step.unionByName(done)
         nxt = cut(step.join(further.select(F.col("node").alias("m"), F.col("end").alias("beyond")), F.col("end") == F.col("m"), "left").select("node", F.coalesce("beyond", "end").alias("end"), F.col("beyond").isNull().alias("ended")), "links")
         ended, step = nxt.where("ended").drop("ended"), nxt.where("not ended").drop("ended")

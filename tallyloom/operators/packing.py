@@ -32,7 +32,7 @@ def sequential_chunks(rows: DataFrame, unit: str, item: str, size: str, max_item
         new = cut(reached, "reached")
         if new.isEmpty():
             break
-        begun = cut(begun.unionByName(new), "begun")
+        begun = begun.unionByName(new)  # one table more in each round
         onward = jump.select(unit, F.col("_at").alias("_to"), F.col("_to").alias("_beyond"))
         jump = cut(jump.join(onward, [unit, "_to"]).select(unit, "_at", F.col("_beyond").alias("_to")), "pointers")
     marked = placed.select(unit, item, "_at", "_z").join(begun.withColumn("_begins", F.lit(1).cast("long")), [unit, "_at"], "left")
@@ -53,22 +53,24 @@ def chunk_summary(chunks: DataFrame, unit: str, size: DataFrame | None = None) -
 def budget_selection(candidates: DataFrame, unit: str, order: list[str], item: str, size: str, max_items: int, max_size: int) -> DataFrame:
     """unit, item, outcome: candidates of each unit by rank; one is taken if both caps hold, and misfits are passed over.
 
-    outcome: selected, file-cap (as many as allowed were taken before it) or token-cap (its size is over what is left at its turn). In a round each unit takes its
-    first candidate behind the last one taken that fits what is left, a minimum that is reduced before it moves; so there are max_items rounds at most,
-    and a unit's candidates are never in one place. Null sizes are 0.
+    outcome: selected, file-cap (as many as allowed were taken before it) or token-cap (its size is over what is left at its turn). What doesn't fit what is left now never
+    will. So in a round the candidates behind the last one taken that fit by themselves are summed in their order, and all up to the first whose sum is
+    over what is left are taken; that one is then larger than what is left. Every round takes one of a unit at least, so there are max_items rounds at
+    most and usually few, and a unit's candidates are never in one place. Null sizes are 0.
     """
     rank = F.struct(*(F.expr(o).alias(f"o{k}") for k, o in enumerate(order)), F.col(item).alias("i"))
-    ranked = cut(candidates.select(unit, item, rank.alias("_rank"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_z")), "ranked")
+    ranked = cut(candidates.select(unit, item, rank.alias("_rank"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_z"), F.lit(1).cast("long").alias("_one")), "ranked")
     state = cut(ranked.select(unit).distinct().select(unit, F.lit(0).cast("long").alias("_n"), F.lit(max_size).cast("long").alias("_left"), F.lit(None).cast(ranked.schema["_rank"].dataType).alias("_last")), "state")
     taken = None
-    for _ in range(max_items):
-        fits = ranked.join(state, unit).where((F.col("_z") <= F.col("_left")) & (F.col("_last").isNull() | (F.col("_rank") > F.col("_last"))))
-        first = cut(fits.groupBy(unit).agg(F.min(F.struct("_rank", "_z")).alias("_first")).select(unit, F.col("_first._rank").alias("_rank"), F.col("_first._z").alias("_z")), "taken")
-        if first.isEmpty():
+    while True:
+        fits = ranked.join(state, unit).where((F.col("_n") < max_items) & (F.col("_z") <= F.col("_left")) & (F.col("_last").isNull() | (F.col("_rank") > F.col("_last"))))
+        summed = prefix_scan(fits, [unit], ["_rank"], total={"_before": "_one", "_sum": "_z"}, name="sums")
+        new = cut(summed.where((F.col("_n") + F.col("_before") < max_items) & (F.col("_sum") + F.col("_z") <= F.col("_left"))).select(unit, "_rank", "_z"), "taken")
+        if new.isEmpty():
             break
-        taken = first if taken is None else taken.unionByName(first)
-        step = first.select(unit, F.col("_rank").alias("_new"), F.col("_z").alias("_size"))
-        state = cut(state.join(step, unit, "left").select(unit, (F.col("_n") + F.col("_new").isNotNull().cast("long")).alias("_n"), (F.col("_left") - F.coalesce("_size", F.lit(0))).alias("_left"), F.coalesce("_new", "_last").alias("_last")), "state")
+        taken = new if taken is None else taken.unionByName(new)
+        step = new.groupBy(unit).agg(F.count("*").alias("_more"), F.sum("_z").alias("_size"), F.max("_rank").alias("_new"))
+        state = cut(state.join(step, unit, "left").select(unit, (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("_n"), (F.col("_left") - F.coalesce("_size", F.lit(0))).alias("_left"), F.coalesce("_new", "_last").alias("_last")), "state")
     if taken is None:
         return ranked.select(unit, item, F.lit("file-cap" if max_items <= 0 else "token-cap").alias("outcome"))
     picked = taken.select(unit, F.col("_rank.i").alias(item), F.lit(True).alias("_taken"))

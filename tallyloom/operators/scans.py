@@ -82,10 +82,10 @@ class _Fold:
 def _composed(parts: list, last: dict, total: dict, most: dict) -> list[tuple]:
     """For each partition that goes on with the key before it: its number and the folds that it begins with."""
     out, before = [], None
-    for r in sorted(parts, key=lambda r: r["_part"]):
+    for r in sorted(parts, key=lambda r: r["_scan_part"]):
         came = before[1] if before is not None and before[0] == r["first"] else None
         if came is not None:
-            out.append((r["_part"], *(came[n] for n in (*last, *total, *most))))
+            out.append((r["_scan_part"], *(came[n] for n in (*last, *total, *most))))
         now = {n: r[f"now_{n}"]["v"] for n in (*last, *total, *most)}
         if came is not None and r["single"]:
             now |= {n: came[n] for n in last if now[n] is None}
@@ -100,7 +100,7 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], last: dict[s
 
     last: new column to the column whose last value that isn't null is wanted; total: to the column (long, int or double) to be summed, nulls as 0; most: to the
     long column whose greatest value is wanted. Without rows before it, a row has null, and 0 for sums. Null keys are a key of their own. Names that
-    begin with _part, _place and _first are taken. The result is a written table, and so is sure to be the same at each use.
+    begin with _scan_ are taken. The result is a written table, and so is sure to be the same at each use.
     """
     last, total, most = last or {}, total or {}, most or {}
     if total:  # sums of one width
@@ -111,7 +111,7 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], last: dict[s
     places, key_places = (at(last), at(total), at(most)), [names.index(k) for k in keys]
     kind = {f.name: f.dataType for f in rows.schema}
     added = [T.StructField(n, kind[c]) for n, c in {**last, **total}.items()] + [T.StructField(n, T.LongType()) for n in most]
-    own = [T.StructField("_part", T.LongType()), T.StructField("_place", T.LongType()), T.StructField("_first", T.BooleanType())]
+    own = [T.StructField("_scan_part", T.LongType()), T.StructField("_scan_place", T.LongType()), T.StructField("_scan_first", T.BooleanType())]
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema] + added + own
 
     def run(batches):
@@ -128,14 +128,14 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], last: dict[s
     done = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, T.StructType(fields)), name)
     now = {n: F.coalesce(c, n) for n, c in last.items()} | {n: F.col(n) + F.coalesce(c, F.lit(0)) for n, c in total.items()} | {n: F.greatest(n, c) for n, c in most.items()}
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    ends = [F.min_by(key, "_place").alias("first"), F.max_by(key, "_place").alias("last"), F.max_by("_first", "_place").alias("single")]
-    folds = [F.max_by(F.struct(v.alias("v")), "_place").alias(f"now_{n}") for n, v in now.items()]
-    carried = _composed(done.groupBy("_part").agg(*ends, *folds).collect(), last, total, most)  # a row for each partition
+    ends = [F.min_by(key, "_scan_place").alias("first"), F.max_by(key, "_scan_place").alias("last"), F.max_by("_scan_first", "_scan_place").alias("single")]
+    folds = [F.max_by(F.struct(v.alias("v")), "_scan_place").alias(f"now_{n}") for n, v in now.items()]
+    carried = _composed(done.groupBy("_scan_part").agg(*ends, *folds).collect(), last, total, most)  # a row for each partition
     out = done
     if carried:
-        schema = T.StructType([own[0], *(T.StructField(f"_came_{f.name}", f.dataType) for f in added)])
-        out = done.join(F.broadcast(done.sparkSession.createDataFrame(carried, schema)), "_part", "left")
-        came = lambda n: F.when(F.col("_first"), F.col(f"_came_{n}"))
+        schema = T.StructType([own[0], *(T.StructField(f"_scan_came_{f.name}", f.dataType) for f in added)])
+        out = done.join(F.broadcast(done.sparkSession.createDataFrame(carried, schema)), "_scan_part", "left")
+        came = lambda n: F.when(F.col("_scan_first"), F.col(f"_scan_came_{n}"))
         folded = {n: F.coalesce(n, came(n)) for n in last} | {n: F.col(n) + F.coalesce(came(n), F.lit(0)) for n in total} | {n: F.greatest(F.col(n), came(n)) for n in most}
         out = out.withColumns(folded)
     return out.select(*names, *(f.name for f in added))
