@@ -127,7 +127,7 @@ def is_source_expression(text: Column) -> Column:
 
 
 #: Messages that tell of pressure, that may be tried again, and that must not be.
-PRESSURE = r"\b(429|503|529|ENOMEM|EMFILE|ENFILE|EAGAIN)\b|(?i:rate.?limit|overload)"
+PRESSURE = r"(?i:\b(429|503|529|ENOMEM|EMFILE|ENFILE|EAGAIN)\b|rate.?limit|overload)"
 TRANSIENT = r"(?i:ECONNRESET|ETIMEDOUT|ECONNREFUSED|EHOSTUNREACH|socket|network|stream.*(disconnect|fail)|went to sleep mid-response)"
 FORBIDDEN = r"(?i:permission|policy refusal|not authorized|invalid.api.key)|\b(401|403)\b"
 #: Fixed value: the form of a record's time.

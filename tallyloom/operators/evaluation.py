@@ -50,18 +50,105 @@ def bootstrap(values: list[float], samples: int, alpha: float, seed: int) -> tup
     return sum(values) / n, percentile(means, alpha / 2), percentile(means, 1 - alpha / 2)
 
 
-def bootstrap_by(rows: DataFrame, key: str, value: str, order: str, samples: int, alpha: float, seed: int) -> DataFrame:
-    """One interval for each key over its cases; cases of a comparison are bounded by the policy, so a key is one task's work."""
-    import pandas as pd
+def _step(x: int) -> int:
+    x ^= (x << 13) & 0xFFFFFFFF
+    x ^= x >> 17
+    return x ^ ((x << 5) & 0xFFFFFFFF)
 
-    kind = dict(rows.dtypes)[key]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        mean, low, high = bootstrap(pdf[value].tolist(), samples, alpha, seed)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "mean": [mean], "low": [low], "high": [high]})
+def _apply(columns: list[int], x: int) -> int:
+    out = 0
+    for i in range(32):
+        if x >> i & 1:
+            out ^= columns[i]
+    return out
+
+
+def jump(steps: int) -> list[int]:
+    """So many steps of the generator at once: it is linear over bits, so this is a power of its matrix, given by its columns."""
+    out, power = [1 << i for i in range(32)], [_step(1 << i) for i in range(32)]
+    while steps:
+        if steps & 1:
+            out = [_apply(power, c) for c in out]
+        power = [_apply(power, c) for c in power]
+        steps >>= 1
+    return out
+
 
-    return rows.select(key, value, order).groupBy(key).applyInPandas(run, f"{key} {kind}, mean double, low double, high double")
+def sample_means(values: list[float], seed: int, first: int, count: int) -> list[float]:
+    """The means of samples first, first + 1, ... of `bootstrap`, each from where its draws begin in the one sequence."""
+    import numpy as np
+
+    n, at = len(values), (seed & 0xFFFFFFFF) or 1
+    at, onward, starts = _apply(jump(first * n), at), jump(n), []
+    for _ in range(count):
+        starts.append(at)
+        at = _apply(onward, at)
+    x, v, total = np.array(starts, np.uint32), np.array(values), np.zeros(count)
+    for _ in range(n):
+        x ^= x << np.uint32(13)
+        x ^= x >> np.uint32(17)
+        x ^= x << np.uint32(5)
+        total += v[(x / 4294967296 * n).astype(np.int64)]
+    return (total / n).tolist()
+
+
+def bootstrap_by(rows: DataFrame, key: str, value: str, order: str, samples: int, alpha: float, seed: int | str, block: int = 500) -> DataFrame:
+    """(key, mean, low, high): one interval for each key over its cases, as `bootstrap` draws it in one sequence. seed: a number, or an expression over the key's column.
+
+    Samples are dealt into blocks of `block`, and a task jumps to where its block's draws begin, so tasks follow the number of samples and not of keys. What
+    a task holds is one comparison's case means, one number for each case; an end is the sample mean at its place among `samples`.
+    """
+    import pyarrow as pa
+
+    kind = dict(rows.dtypes)[key]
+    of_key = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("vs"))
+    seeded = of_key.withColumn("seed", (F.lit(seed) if isinstance(seed, int) else F.expr(seed)).cast("long"))
+    blocks = seeded.select(key, "vs", "seed", F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(block))).alias("first")).repartition(key, "first")
+
+    def run(batches):
+        for b in batches:
+            for k, vs, s, first in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                means = sample_means(vs, s, first, min(block, samples - first))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(means), b.schema.field(0).type), pa.array(means, pa.float64())], [key, "m"])
+
+    drawn = blocks.mapInArrow(run, f"{key} {kind}, m double").groupBy(key).agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    place = lambda p: min(samples - 1, max(0, math.floor(p * samples)))
+    ends = drawn.select(key, F.col("ms")[place(alpha / 2)].alias("low"), F.col("ms")[place(1 - alpha / 2)].alias("high"))
+    mean = F.aggregate("vs", F.lit(0.0), lambda a, x: a + x) / F.size("vs")
+    return of_key.select(key, mean.alias("mean")).join(ends, key)
+
+
+def paired_cases(observations: DataFrame, keys: list[str], candidate: str, baseline: str, least: int, metrics: dict[str, str], fails: F.Column) -> DataFrame:
+    """A row for each case (keys) with `least` repetitions that both arms have: pairs, the mean difference of each metric, and the hard-gate failures of the two arms
+    in those repetitions alone. metrics: new name to column; fails: whether an observation fails a hard gate."""
+    arm = lambda a, c: F.avg(F.when(F.col("arm") == a, F.col(c)))
+    failures = lambda a: F.count(F.when((F.col("arm") == a) & fails, 1))
+    there = lambda a: F.count(F.when(F.col("arm") == a, 1)) > 0
+    pairs = observations.where(F.col("arm").isin(candidate, baseline)).groupBy(*keys, "repetition").agg(
+        *((arm(candidate, c) - arm(baseline, c)).alias(m) for m, c in metrics.items()), failures(baseline).alias("baseline_failures"), failures(candidate).alias("candidate_failures"), (there(candidate) & there(baseline)).alias("both"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("baseline_failures", "candidate_failures")]
+    return pairs.where("both").groupBy(*keys).agg(F.count("*").alias("pairs"), *(F.avg(m).alias(m) for m in metrics), *sums).where(F.col("pairs") >= least)
+
+
+#: What is added to the seed of a capability's place for each of the three intervals (fixed values).
+SEED_OFFSETS = {"primary": 1, "evidence": 18, "false_positive": 32}
+
+
+def compared_arms(cases: DataFrame, capability: str, declared: list[str], samples: int, seed: int, family_alpha: float, evidence_margin: float, false_positive_margin: float, least_cases: int) -> DataFrame:
+    """The claim for each declared capability from paired_cases with metrics primary, evidence and false_positive and a column `case` that orders them. A capability without
+    cases gets intervals of 0. The family's alpha is shared by all declared capabilities and their three contrasts."""
+    spark, alpha = cases.sparkSession, family_alpha / (3 * len(declared))
+    place = "case " + " ".join(f"when {capability} = '{c}' then {i}" for i, c in enumerate(declared)) + " end"
+    out = spark.createDataFrame([(c,) for c in declared], f"{capability} string")
+    totals = cases.groupBy(capability).agg(F.count("*").alias("cases"), F.sum("pairs").alias("pairs"), F.sum("baseline_failures").alias("baseline_failures"), F.sum("candidate_failures").alias("candidate_failures"))
+    out = out.join(totals, capability, "left").fillna(0)
+    known = cases.where(F.col(capability).isin(*declared))
+    for metric, offset in SEED_OFFSETS.items():
+        ends = bootstrap_by(known, capability, metric, "case", samples, alpha, f"{seed} + {place} + {offset}")
+        out = out.join(ends.select(capability, *(F.col(c).alias(f"{metric}_{c}") for c in ("mean", "low", "high"))), capability, "left").fillna(0)
+    return claim(out, evidence_margin, false_positive_margin, least_cases)
 
 
 def claim(rows: DataFrame, evidence_margin: float, false_positive_margin: float, least_cases: int) -> DataFrame:

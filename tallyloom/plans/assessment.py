@@ -204,11 +204,20 @@ def x29(spark, d):
 _PLAIN = "case when ends_with({0}, chr(10)) then left({0}, length({0}) - 1) else {0} end"
 
 
-@query("x37_change_kind", f"""with {cte('revised')}, p as (select doc_id, before, after, replace(before, chr(13) || chr(10), chr(10)) as b, replace(after, chr(13) || chr(10), chr(10)) as a from revised)
+#: Each revision as a file of some language; every sixth holds JSON, whose line ends are what changes in every second of them.
+_X37 = {
+    "path": "case doc_id % 3 when 0 then 'a' || cast(doc_id as string) || '.json' when 1 then 'b.ts' else 'c.md' end", "before": "case when doc_id % 6 = 0 then '[' || chr(10) || cast(doc_id as string) || ']' || chr(10) else before end",
+    "after": "case when doc_id % 12 = 0 then '[' || chr(13) || chr(10) || cast(doc_id as string) || ']' when doc_id % 6 = 0 then '[' || chr(10) || cast(doc_id as string) || ']' else after end",
+}
+
+
+@query("x37_change_kind", f"""with {cte('revised')}, r as (select doc_id, {", ".join(f"{e} as {c}" for c, e in _X37.items())} from revised), p as (select doc_id, path, before, after, replace(before, chr(13) || chr(10), chr(10)) as b, replace(after, chr(13) || chr(10), chr(10)) as a from r)
     select doc_id, case when before is null or after is null then 'unknown' when before = after then 'identical' when {_PLAIN.format('b')} <> {_PLAIN.format('a')} then 'analysis-relevant'
-        when contains(a || chr(10) || b, chr(13)) or contains(a || chr(10) || b, chr(65279)) or contains(a || chr(10) || b, '`') or contains(a || chr(10) || b, chr(92) || chr(10)) then 'unknown' else 'supported-format-only' end as kind from p""")
+        when contains(a || chr(10) || b, chr(13)) or contains(a || chr(10) || b, chr(65279)) or contains(a || chr(10) || b, '`') or contains(a || chr(10) || b, chr(92) || chr(10)) then 'unknown'
+        when ends_with(path, '.json') and json_valid(before) and json_valid(after) then 'supported-format-only' else 'unknown' end as kind from p""")
 def x37(spark, d):
-    return view(spark, d, "revised").select("doc_id", V.change_kind(F.col("before"), F.col("after")).alias("kind"))
+    r = view(spark, d, "revised").select("doc_id", *(F.expr(e).alias(c) for c, e in _X37.items()))
+    return r.select("doc_id", V.change_kind(F.col("path"), F.col("before"), F.col("after")).alias("kind"))
 
 
 @query("x44_obligations", "with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as no from documents), s as (select * from (values ('licence', '[Ll]icense'), ('mail', '@'), ('secret', 'password|AKIA')) as t(seed, pattern)) select doc_id, seed, no as line from l join s on regexp_matches(line, pattern) qualify row_number() over (partition by doc_id, seed order by no) <= 3")

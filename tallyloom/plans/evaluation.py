@@ -44,24 +44,25 @@ def a10(spark, d):
     return J.paired(view(spark, d, "observations"), "A", "N", 3).agg(F.count("*").alias("cases"), F.round(F.avg("difference"), 8).alias("mean"))
 
 
+_DECLARED = ["c0", "c1", "c2"]
+
+
+def _cases(spark, d):
+    """Observations by corpus as capabilities; the seventh line of an order fails a hard gate, if it is of corpus 1."""
+    seen = view(spark, d, "observations").withColumn("capability", F.concat(F.lit("c"), "corpus"))
+    metrics = {"primary": "value", "evidence": "evidence", "false_positive": "fpr"}
+    return E.paired_cases(seen, ["capability", "case_id"], "A", "N", 3, metrics, (F.col("gate") == 0) & (F.col("corpus") == 1)).withColumn("case", F.col("case_id").cast("string"))
+
+
 @query("a11_bootstrap_interval")
 def a11(spark, d):
-    pairs = J.paired(view(spark, d, "observations"), "A", "N", 3).withColumn("capability", F.lit("recall"))
-    return E.bootstrap_by(pairs, "capability", "difference", "case_id", 500, 0.05 / 3, 17)
+    return E.bootstrap_by(_cases(spark, d), "capability", "primary", "case", 10_000, 0.05 / 9, "17 + cast(substr(capability, 2) as bigint)")
 
 
 @query("a12_claim_decision")
 def a12(spark, d):
-    seen = view(spark, d, "observations")
-    out = None
-    for metric, column in (("primary", "value"), ("evidence", "evidence"), ("false_positive", "fpr")):
-        pairs = J.paired(seen, "A", "N", 3, column).withColumn("capability", F.lit("recall"))
-        ends = E.bootstrap_by(pairs, "capability", "difference", "case_id", 500, 0.05 / 3, 17).select("capability", F.col("low").alias(f"{metric}_low"), F.col("high").alias(f"{metric}_high"))
-        cases = pairs.groupBy("capability").agg(F.count("*").alias("cases"))
-        out = ends.join(cases, "capability") if out is None else out.join(ends, "capability")
-    failures = lambda arm: F.count(F.when((F.col("arm") == arm) & (F.col("gate") != 0), 1))
-    gates = seen.agg(failures("N").alias("baseline_failures"), failures("A").alias("candidate_failures")).withColumn("capability", F.lit("recall"))
-    return E.claim(out.join(gates, "capability"), 0.02, 0.02, 10).select("capability", "cases", "baseline_failures", "candidate_failures", "decision")
+    out = E.compared_arms(_cases(spark, d), "capability", _DECLARED, 10_000, 17, 0.05, 0.02, 0.02, 10)
+    return out.select("capability", "cases", "pairs", "baseline_failures", "candidate_failures", *(f"{m}_{e}" for m in E.SEED_OFFSETS for e in ("mean", "low", "high")), "decision")
 
 
 @query("a13_arm_averages", f"with {cte('observations')} select arm, round(avg(value), 8) as value, round(avg(fpr), 8) as fpr, round(avg(case when gate = 0 then 1e0 else 0e0 end), 8) as gate_rate, count(*) as n from observations group by 1")

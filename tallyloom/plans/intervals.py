@@ -87,11 +87,12 @@ def iv03(spark, d):
     return calls.join(of_call, "call", "left").select("doc_id", "source_hash", "total_bytes", "total_lines", "status", F.coalesce("ranges", F.lit("")).alias("ranges"))
 
 
-@query("iv04_line_remap", f"""with {cte('revised')}, s as (select *, string_split(replace(before, chr(13) || chr(10), chr(10)), chr(10)) as o, string_split(replace(after, chr(13) || chr(10), chr(10)), chr(10)) as n from revised),
+@query("iv04_line_remap", f"""with {cte('revised')}, s as (select *, string_split(replace(before, chr(13) || chr(10), chr(10)), chr(10)) as o, string_split(replace(after, chr(13) || chr(10), chr(10)), chr(10)) as n,
+        string_split(before, chr(10)) as ro, string_split(after, chr(10)) as rn from revised),
     h as (select *, coalesce(line_to <= len(o) and line_to <= len(n) and o[line_from:line_to] = n[line_from:line_to], false) as holds,
-        strlen(array_to_string(o[1:line_from - 1], '')) + line_from - 1 as x, strlen(array_to_string(n[1:line_from - 1], '')) + line_from - 1 as y,
-        strlen(array_to_string(o[line_from:line_to], chr(10))) as size from s)
-    select doc_id, line_from, line_to, case when holds then x end as previous_from, case when holds then x + size end as previous_to, case when holds then y end as current_from, case when holds then y + size end as current_to from h""")
+        strlen(array_to_string(ro[1:line_from - 1], '')) + line_from - 1 as x, strlen(array_to_string(rn[1:line_from - 1], '')) + line_from - 1 as y,
+        strlen(array_to_string(ro[line_from:line_to], chr(10))) as xs, strlen(array_to_string(rn[line_from:line_to], chr(10))) as ys from s)
+    select doc_id, line_from, line_to, case when holds then x end as previous_from, case when holds then x + xs end as previous_to, case when holds then y end as current_from, case when holds then y + ys end as current_to from h""")
 def iv04(spark, d):
     return V.remapped_lines(view(spark, d, "revised")).select("doc_id", "line_from", "line_to", "previous_from", "previous_to", "current_from", "current_to")
 

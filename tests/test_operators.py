@@ -71,6 +71,48 @@ def test_bootstrap_repeats_and_percentile_is_not_interpolated():
     assert sorted(E.shuffled(list("abcd"), 3)) == list("abcd")
 
 
+def test_blocks_of_samples_are_those_of_one_sequence(spark):
+    values = {"a": [0.1, -0.3, 0.25, 0.0, 0.7], "b": [1.0], "c": [0.01 * i for i in range(40)]}
+    rows = spark.createDataFrame([(k, f"{i:03d}", v) for k, vs in values.items() for i, v in enumerate(vs)], "k string, case string, v double").repartition(4)
+    got = {r["k"]: (r["mean"], r["low"], r["high"]) for r in E.bootstrap_by(rows, "k", "v", "case", 230, 0.1, "5 + ascii(k)", 50).collect()}
+    for k, vs in values.items():
+        assert all(abs(x - y) < 1e-12 for x, y in zip(got[k], E.bootstrap(vs, 230, 0.1, 5 + ord(k)), strict=True))
+
+
+def test_arms_are_compared_as_a_loop_does(spark):
+    """Observations in, claims out: pairs, gates of the paired set alone, three intervals with seeds of their own."""
+    rnd = random.Random(8)
+    seen = [(cap, case, rep, arm, rnd.random() + (0.3 if arm == "new" and cap == "good" else 0), 0.9, rnd.random() / 50, rnd.random() < (0.02 if cap == "bad" else 0))
+            for cap in ("good", "bad", "other") for case in range(14) for rep in range(6) for arm in ("new", "old", "x") if rnd.random() < 0.9 and (case != 3 or rep > 3)]
+    df = spark.createDataFrame(seen, "cap string, id long, repetition long, arm string, v double, e double, f double, bad boolean").repartition(5)
+    metrics = {"primary": "v", "evidence": "e", "false_positive": "f"}
+    cases = E.paired_cases(df, ["cap", "id"], "new", "old", 4, metrics, F.col("bad")).withColumn("case", F.col("id").cast("string"))
+    declared = ["bad", "good", "none"]
+    got = {r["cap"]: r for r in E.compared_arms(cases, "cap", declared, 300, 99, 0.05, 0.02, 0.02, 10).collect()}
+    for i, cap in enumerate(declared):
+        diffs, base, cand, pairs = {m: [] for m in metrics}, 0, 0, 0
+        for case in sorted({str(o[1]) for o in seen}):
+            arms = {a: {o[2]: o for o in seen if o[0] == cap and str(o[1]) == case and o[3] == a} for a in ("new", "old")}
+            both = sorted(arms["new"].keys() & arms["old"].keys())
+            if len(both) < 4:
+                continue
+            pairs += len(both)
+            base += sum(arms["old"][r][7] for r in both)
+            cand += sum(arms["new"][r][7] for r in both)
+            for m, at in (("primary", 4), ("evidence", 5), ("false_positive", 6)):
+                diffs[m].append(sum(arms["new"][r][at] - arms["old"][r][at] for r in both) / len(both))
+        assert (got[cap]["cases"], got[cap]["pairs"], got[cap]["baseline_failures"], got[cap]["candidate_failures"]) == (len(diffs["primary"]), pairs, base, cand)
+        for m, offset in (("primary", 0), ("evidence", 17), ("false_positive", 31)):
+            want = E.bootstrap(diffs[m], 300, 0.05 / 9, 99 + i + 1 + offset)
+            assert all(abs(x - y) < 1e-9 for x, y in zip(want, (got[cap][f"{m}_mean"], got[cap][f"{m}_low"], got[cap][f"{m}_high"]), strict=True)), (cap, m)
+    assert got["none"]["decision"] == "inconclusive" and got["good"]["decision"] == "superior"
+
+
+def test_pressure_ignores_case(spark):
+    rows = spark.createDataFrame([("enomem",), ("got Eagain",), ("Rate limit",), ("xenomem",), ("4290",)], "m string")
+    assert [r[0] for r in rows.select(X.pressure(F.lit(None).cast("int"), F.col("m"))).collect()] == [True, True, True, False, False]
+
+
 def test_confusion_is_null_without_denominator(spark):
     r = spark.createDataFrame([(0, 0)], "decided int, truth int")
     assert tuple(E.confusion(r).first()) == (0, 0, 0, None, None, None)
@@ -260,12 +302,15 @@ def test_revisions(spark):
     from tallyloom.operators import revisions as V
 
     rows = [
-        ("a\nb\n", "a\nb\n", 1, 2, "identical", (0, 3, 0, 3)), ("a\nbé\nc", "a\r\nbé\r\nc\n", 2, 2, "supported-format-only", (2, 5, 2, 5)), ("a\nb", "x\nb", 2, 2, "analysis-relevant", (2, 3, 2, 3)),
+        ("a\nb\n", "a\nb\n", 1, 2, "identical", (0, 3, 0, 3)), ("a\nbé\nc", "a\r\nbé\r\nc\n", 2, 2, "unknown", (2, 5, 3, 7)), ("a\nb", "x\nb", 2, 2, "analysis-relevant", (2, 3, 2, 3)),
         ("aa\nb", "x\nb", 2, 2, "analysis-relevant", (3, 4, 2, 3)), ("a\nb", "x\nb", 1, 2, "analysis-relevant", None), ("`a\n", "`a", 1, 1, "unknown", (0, 2, 0, 2)), ("a", None, 1, 1, "unknown", None),
         ("a", "a", 2, 2, "identical", None), ("a", "a", 1, 0, "identical", None), ("a", "a", 0, 1, "identical", None), ("", "", 1, 1, "identical", (0, 0, 0, 0)),
+        ("[1,\n2]\n", "[1,\r\n2]", 2, 2, "supported-format-only", (4, 6, 5, 7)), ("[1,\n", "[1,\r\n", 2, 2, "unknown", (4, 4, 5, 5)), ("[1]\n", "[1]", 1, 1, "unknown", (0, 3, 0, 3)),
     ]
-    df = spark.createDataFrame([(i, *r[:4]) for i, r in enumerate(rows)], "i int, before string, after string, line_from int, line_to int")
-    got = V.remapped_lines(df.withColumn("kind", V.change_kind(F.col("before"), F.col("after")))).orderBy("i").collect()
+    paths = ["x.json"] * len(rows)
+    paths[1], paths[-1] = "x.md", "x.ts"
+    df = spark.createDataFrame([(i, p, *r[:4]) for i, (p, r) in enumerate(zip(paths, rows, strict=True))], "i int, path string, before string, after string, line_from int, line_to int")
+    got = V.remapped_lines(df.withColumn("kind", V.change_kind(F.col("path"), F.col("before"), F.col("after")))).orderBy("i").collect()
     for r, (*_, kind, span) in zip(got, rows, strict=True):
         assert (r.kind, (r.previous_from, r.previous_to, r.current_from, r.current_to)) == (kind, span or (None,) * 4), r
 
