@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tallyloom.functions import text as X
 from tallyloom.operators import graphs as G
 from tallyloom.operators import joins as J
 from tallyloom.operators import revisions as V
+from tallyloom.operators import search as FTS
+from tallyloom.operators.graphs import shared_folder
 from tallyloom.plans.bindings import cte, table, view
 from tallyloom.plans.registry import query
 from tallyloom.sources import files as R
@@ -284,6 +288,21 @@ def z17(spark, d):
     return J.page(m, ["p_partkey"], 0, 5)
 
 
+_WORD = "regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}]){}([^\\p{{L}}\\p{{N}}]|$)')"
+
+
+@query("z17_indexed_page", f"""with m as (select doc_id, text from documents where (({_WORD.format('license')} and not {_WORD.format('mit')}) or {_WORD.format('apache license')} or {_WORD.format('password')}) and source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') and lang in ('en', 'de'))
+    select doc_id, left(text, 60) as summary, (select count(*) from m) as total, case when (select count(*) from m) > 20 then 20 end as next_offset from m order by doc_id limit 20""")
+def z17_indexed(spark, d):
+    """The first page of a search over the documents' index; texts are fetched for the page alone."""
+    docs = table(spark, d, "documents")
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
+    FTS.write_index(docs.withColumn("tags", F.array(F.concat(F.lit("s:"), "source"), F.concat(F.lit("l:"), "lang"))), root, "doc_id", "text", "tags")
+    matches = FTS.search(spark, root, 'license -mit or "apache license" or password', [[f"s:src{i}" for i in range(10)], ["l:en", "l:de"]])
+    shown = FTS.matched_page(spark, root, matches, 0, 20)
+    return docs.join(F.broadcast(shown.withColumnRenamed("id", "doc_id")), "doc_id").select("doc_id", F.left("text", F.lit(60)).alias("summary"), "total", "next_offset")  # 20 rows at most
+
+
 @query("z23_enclosing_function", "with f as (select o_custkey as k, o_orderkey as start, o_orderkey + 500 as stop from orders where o_orderkey % 3 = 0), c as (select o_custkey as k, o_orderkey as line from orders where o_orderkey % 3 = 1) select k, line, min(start) as enclosing from c join f using (k) where line between start and stop group by 1, 2")
 def z23(spark, d):
     o = table(spark, d, "orders")
