@@ -28,7 +28,7 @@ from tallyloom.llm.common import documents, join_facts, key_bitmap, slices_of, s
 from tallyloom.llm.jaccard import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
-#: Nodes of a bucket that a task compares, at most; fingerprints of many rows that are sent to all tasks, at most.
+#: Nodes of a bucket that a task compares, at most; fingerprints of many rows, and components of many fingerprints, that are sent to all tasks, at most.
 MOST, HOT_FINGERPRINTS = 1024, 10_000
 
 
@@ -187,8 +187,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = MOST) ->
     rows = staged(fingerprints(docs), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")), "nodes")
     found = components(links(nodes.select("fp"), radius, most), "near").withColumnRenamed("node", "fp")
-    of_root = found.join(nodes.hint("merge"), "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = found.join(of_root.hint("merge"), "root").select("fp", "component_id")
+    of_root = found.join(nodes.hint("merge"), "fp").groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("linked"))
+    linked = join_facts(found, of_root, "root", "linked", HOT_FINGERPRINTS).select("fp", "component_id")
     facts = nodes.join(linked.hint("merge"), "fp", "left").select("fp", "copies", F.coalesce("component_id", "first_id").alias("component_id"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return join_facts(rows, facts, "fp", "copies", HOT_FINGERPRINTS).select("doc_id", shown, "component_id")
