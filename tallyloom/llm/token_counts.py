@@ -5,7 +5,9 @@ most frequent ones as one small blob; blobs are merged in a tree of tasks, so on
 Tier two is the cache of each worker: units that the table lacks are encoded there by the library. The table decides only how fast a count is found,
 never what it is.
 
-Null and empty texts have no tokens and no bytes. Special strings inside texts count as the library counts them by default. Repeated rows and null ids
+Units of more than KEPT characters are in neither tier; they are encoded where they stand. So the table has 10 MB at most, and a worker's cache some 100 MB.
+
+Null and empty texts have no tokens and no bytes. A text of any length is one value of a batch, which is cut by texts; a text without white space is one unit. Special strings inside texts count as the library counts them by default. Repeated rows and null ids
 are kept as they are; an empty table gives no rows; other columns of the input are not read.
 """
 
@@ -20,9 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.tokens import LengthCache, leading_units, small_batches, tokenizer
+from tallyloom.llm.tokens import KEPT, LengthCache, leading_units, small_batches, tokenizer
 
-#: Units in the broadcast table (about 1 MB), units that a partition hands on, distinct units that its counter holds at most, and blobs merged by one task.
+#: Units in the broadcast table (of KEPT characters at most, so about 1 MB and never over 10), units that a partition hands on, distinct units that its counter holds at most, and blobs merged by one task.
 TABLE_UNITS, PART_UNITS, COUNTER_UNITS, FAN_IN = 32_768, 8_192, 262_144, 32
 
 
@@ -42,7 +44,7 @@ def frequent_units(docs: DataFrame, vocabulary: str, text_col: str = "text") ->
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    counts.update(leading_units(t))
+                    counts.update([u for u in leading_units(t) if len(u) <= KEPT])
             if len(counts) > COUNTER_UNITS:  # units that are rare so far go; frequent ones gain so much more that their rank holds
                 counts = Counter(dict(counts.most_common(COUNTER_UNITS // 2)))
         if counts:

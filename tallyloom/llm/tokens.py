@@ -11,8 +11,9 @@ import unicodedata
 from array import array
 from collections.abc import Iterable
 
-#: Units that a worker keeps; beyond that its cache starts anew. About 200 bytes a unit.
-CACHE_UNITS = 500_000
+#: Units that a worker keeps; beyond that its cache starts anew. Units of more than KEPT characters (text without white space: some scripts, encoded data) are
+#: encoded each time and kept nowhere, so a cache has some 200 bytes a unit, 100 MB in all, whatever the texts are.
+CACHE_UNITS, KEPT = 500_000, 64
 
 _TWO_SPACES = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<!\s)(?=[ \n]\S)")
@@ -74,13 +75,17 @@ class _Known(dict):
 
     def __missing__(self, unit: str) -> bytes:
         if unit[-1] in ".,;:!?" and unit[:-1].isalpha():
-            self[unit] = packed = self[unit[:-1]] + self[unit[-1]]
+            packed = self[unit[:-1]] + self[unit[-1]]
+            if len(unit) <= KEPT:
+                self[unit] = packed
             return packed
         if unit.isalpha() and unit.islower() and max(unit) < "\u0250" and not ("\x80" < max(unit) < "\xc0" or "\xaa" in unit or "\xb5" in unit or "\xba" in unit) and unicodedata.is_normalized("NFC", unit):
             ids = [t.id for t in self.merge(unit if unit.isascii() else unit.translate(self.stands_for))]
         else:
             ids = self.encode(unit, add_special_tokens=False).ids
-        self[unit] = packed = array(self.code, ids).tobytes()
+        packed = array(self.code, ids).tobytes()
+        if len(unit) <= KEPT:
+            self[unit] = packed
         return packed
 
 
@@ -118,19 +123,21 @@ class LengthCache:
         if len(self.own) + len(new) > self.limit:
             self.own.clear()
             new = list(set().union(*units) - self.frequent.keys())
-        self.own.update(zip(new, (len(e.ids) for e in self.tok.encode_batch(new, add_special_tokens=False)), strict=True))
+        lengths = dict(zip(new, (len(e.ids) for e in self.tok.encode_batch(new, add_special_tokens=False)), strict=True))
         both = _Tiers(self.frequent)
-        both.own = self.own
+        both.own, both.once = self.own, {u: lengths.pop(u) for u in new if len(u) > KEPT}
+        self.own.update(lengths)
         return [sum(map(both.__getitem__, u)) for u in units]
 
 
 class _Tiers(dict):
-    """The frequent table, which asks the worker's own cache for what it lacks."""
+    """The frequent table, which asks the worker's own cache for what it lacks, and what isn't kept last."""
 
     own: dict[str, int]
+    once: dict[str, int]
 
     def __missing__(self, unit: str) -> int:
-        return self.own[unit]
+        return self.own[unit] if len(unit) <= KEPT else self.once[unit]
 
 
 def small_batches(values: list, size: int, weight=len) -> Iterable[tuple[int, int]]:
