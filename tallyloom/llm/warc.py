@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 from urllib.parse import urlsplit
 
@@ -108,6 +109,7 @@ _TYPES = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int
 _NAMES = [f.split()[0] for f in _RUN.split(", ")]
 #: What runs are sorted by: URL key, timestamp, page, archive, place.
 _KEY = [0, 1, 3, 2, 4, 5]
+_NUMBER = re.compile(r"-?[0-9]{1,18}")
 
 
 def _name(head: dict, field: str) -> str | None:
@@ -164,7 +166,7 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
             if kind == "response" and hashlib.sha1(block).hexdigest() != digest:
                 raise ValueError(f"{archive} at {offset}: the payload isn't what its digest says")
             page = _name(head, "WARC-Record-ID")
-            order = int(page) if page and page.lstrip("-").isdigit() else -1
+            order = int(page) if page and _NUMBER.fullmatch(page) else -1  # ids that are no numbers of 64 bits are in the order of their texts
             size = len(block) if kind == "response" else int(head["WARC-Payload-Length"])
             rows.append((url_key(head.get("WARC-Target-URI", "")), head["WARC-Date"], page, order, archive, offset, size, digest, kind, _name(head, "WARC-Refers-To")))
             if len(rows) == RUN_ROWS:

@@ -87,6 +87,13 @@ def test_runs_that_do_not_ascend_are_several_leaves():
     assert [r[0] for r in warc.LoserTree(lists, warc._key)] == ["0", "0", "1", "2", "3"]
 
 
+def test_ids_that_look_like_numbers_are_in_the_order_of_their_texts(spark):
+    ids = ["--5", "²", "99999999999999999999", "-7", "12", "x y", "-"]
+    pages = spark.createDataFrame([(i, "http://a.example/", "<p>") for i in ids], "page_id string, url string, html string")
+    got = [r["page"] for r in warc.merged_histories(warc.capture_runs(spark, warc.write_archives(pages))).collect()]
+    assert [x for x in got if x not in ("-7", "12")] == sorted(set(ids) - {"-7", "12"}) and sorted(got) == sorted(ids)
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     folder = warc.write_archives(empty)
