@@ -123,3 +123,50 @@ def test_licences_of_several_blocks_and_within_lines():
     assert ("Apache-2.0-header", 1.0) in licenses.matches(f"{header}\n\n{rest}", t)
     assert licenses.matches("Copyright 2020 Someone. Released under the MIT License. See LICENSE for the whole of it.", t) == [("MIT", 1.0)]
     assert licenses.matches("Released under the MIT License.\nAnd so on, with some more words here", t) == [("MIT", 1.0)]
+
+
+def brute_runs(words, templates):
+    """All runs of words against each template, then the best ones that don't overlap."""
+
+    def greedy(runs, key):
+        out = []
+        for r in sorted(runs, key=key):
+            if all(r[4] <= o[3] or o[4] <= r[3] for o in out):
+                out.append(r)
+        return out
+
+    grams, found = list(itertools.pairwise(words)), []
+    for name, s in templates.sets.items():
+        each = []
+        for i in range(len(grams)):
+            for j in range(i + 1, len(grams) + 1):
+                run = set(grams[i:j])
+                d = 2 * len(run & s) / (len(run) + len(s))
+                trimmed = grams[i] in s and grams[j - 1] in s and grams[i:j].count(grams[i]) == 1 and grams[i:j].count(grams[j - 1]) == 1
+                if trimmed and d >= templates.threshold:
+                    each.append((name, d, len(run & s), i, j + 1))
+        found += greedy(each, lambda m: (-m[1], m[3], m[4]))
+    return greedy(found, lambda m: (-m[2], -m[1], m[0], m[3]))
+
+
+def test_runs_equal_all_runs_of_words():
+    rng = random.Random(8)
+    templates = licenses.Templates({"a": "one two three four five", "b": "three four five six", "c": "one two one three"}, 0.6)
+    hits = 0
+    for _ in range(400):
+        words = []
+        while len(words) < 30:
+            words += rng.choice([[rng.choice(["one", "two", "three", "four", "five", "six", "x"])], ["one", "two", "three", "four", "five"], ["three", "four", "five", "six"]])
+        words = [w.encode() for w in words]
+        got = templates.runs(words)
+        assert got == brute_runs(words, templates)
+        hits += len(got)
+    assert hits > 400
+
+
+def test_repeated_notices_take_linear_time():
+    t = licenses.Templates(licenses.TEMPLATES, 0.8)
+    found = licenses.matches("so Released under the MIT License. and " * 50_000, t)
+    assert found == [("MIT", 1.0)] * 50_000
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "LGPL-2.1-header", "MPL-2.0-header"):
+        assert [n for n, _ in licenses.matches("prose here " * 50 + licenses.TEMPLATES[name] + " more of it" * 50, t)] == [name]
