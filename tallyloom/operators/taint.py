@@ -27,6 +27,32 @@ NO_ROUTERS = (
     "axios", "http", "https", "got", "fetch", "superagent", "request", "client", "window", "document", "navigator", "process", "env", "json", "object", "reflect",
     "headers", "params", "query", "session", "cookies", "db", "database", "model", "repo", "repository", "this", "self", "obj", "options", "opts", "settings", "prefs",
 )
+#: Callees that are sinks, by kind; a name is met by the kinds in this order.
+SINKS = {
+    "sql": ("query", "execute", "raw", "$queryRaw", "createQueryBuilder", "findBySql", "sequelize.query"),
+    "command": ("exec", "execSync", "spawn", "spawnSync", "execFile", "system", "popen", "shell_exec", "passthru", "check_output", "check_call", "Popen"),
+    "file": ("readFile", "writeFile", "appendFile", "createReadStream", "createWriteStream", "open", "unlink", "rm", "rename"),
+    "response": ("send", "write", "end", "render"),
+    "deserialize": ("JSON.parse", "yaml.load", "deserialize", "unserialize", "pickle.loads"),
+    "redirect": ("redirect", "location.assign", "location.replace"),
+    "eval": ("eval", "Function", "setTimeout", "setInterval", "execScript"),
+    "ssrf": (
+        "axios.get", "axios.post", "axios.put", "axios.delete", "axios.request", "http.get", "http.request", "https.get", "https.request", "fetch", "got.get", "got.post",
+        "superagent.get", "requests.get", "requests.post", "requests.request", "urllib.request.urlopen", "urlopen",
+    ),
+    "nosql": ("findOne", "findOneAndUpdate", "findOneAndDelete", "findOneAndReplace", "aggregate", "mapReduce"),
+}
+#: The weakness of each kind of sink, and entries that aren't reached from outside.
+WEAKNESSES = {
+    "sql": "CWE-89", "command": "CWE-78", "file": "CWE-22", "response": "CWE-79", "deserialize": "CWE-502", "redirect": "CWE-601", "eval": "CWE-94", "ssrf": "CWE-918",
+    "nosql": "CWE-943",
+}
+INNER_ENTRIES = ("sdk_export", "angular_component", "react_route", "react_component")
+#: The least confidence of a reported path, and how many lines around a path in a file a sanitizer may stand.
+LEAST_CONFIDENCE = 0.1
+NEAR_LINES = 50
+#: Lines of a bin in the join of paths with sanitizers.
+BIN = 64
 #: Fixed value: kinds of sinks that raise the confidence.
 GRAVE = ("sql", "command", "eval", "deserialize", "ssrf", "nosql")
 
@@ -93,3 +119,79 @@ def tainted(assignments: DataFrame, calls: DataFrame, functions: DataFrame, roun
         if k % 8 == 0:  # one table again, so that the plan stays short
             seen = cut(seen.groupBy("file", "name").agg(F.min("time").alias("time")), "times")
     return seen.groupBy("file", "name").agg(F.min("time.round").alias("round"))
+
+
+def sink_category(callee: Column) -> Column:
+    """The first kind of sink that a callee, or what stands behind one of its points, is named as in any case; null if none, and for null."""
+    kind = F.lit(None).cast("string")
+    for name, names in reversed(SINKS.items()):
+        kind = F.when(callee.rlike(rf"(?i)(?:^|\.)(?:{'|'.join(n.replace('.', '[.]').replace('$', '[$]') for n in names)})\z"), name).otherwise(kind)
+    return kind
+
+
+def weakness(category: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in WEAKNESSES.items() for x in pair)), category)
+
+
+def path_sanitizers(flows: DataFrame, calls: DataFrame) -> DataFrame:
+    """(ord, sanitizers): the sanitizing calls (file, line, function) beside each flow, sorted, repeats once; flows without one aren't there.
+
+    A flow's lines in a file are those of its entry, its terminal and its steps ("file:line what"); a sanitizer counts from 50 lines before the first to 50
+    behind the last, and anywhere in a file of which the flow names no line. Lines and calls meet in bins of 64 lines, so a file that holds a third of all
+    flows and calls is many keys; lines begin at 1.
+    """
+    step = lambda s: F.struct(F.regexp_extract(s, r"^(.+):(\d+)\s", 1).alias("file"), F.try_to_number(F.regexp_extract(s, r"^(.+):(\d+)\s", 2), F.lit("9999999999")).cast("long").alias("line"))
+    ends = [F.struct(F.col(f"{e}_file").alias("file"), F.col(f"{e}_line").cast("long").alias("line")) for e in ("entry", "terminal")]
+    via = F.transform(F.filter(F.coalesce("via", F.array().cast("array<string>")), lambda s: s.rlike(r"^(.+):(\d+)\s")), step)
+    spans = flows.select("ord", F.explode(F.concat(F.array(*ends), via)).alias("at")).where("at.file <> ''").groupBy("ord", F.col("at.file").alias("file"))
+    spans = spans.agg(F.when(F.min("at.line").isNotNull(), F.greatest(F.min("at.line") - NEAR_LINES, F.lit(1))).alias("lo"), (F.max("at.line") + NEAR_LINES).alias("hi"))
+    found = calls.where(is_sanitizer(F.col("callee"))).select("file", F.col("line").cast("long").alias("line"), F.col("callee").alias("function")).distinct()
+    binned = spans.where("lo is not null").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
+    near = binned.join(found.withColumn("bin", F.floor(F.col("line") / BIN)), ["file", "bin"]).where("line between lo and hi")
+    anywhere = spans.where("lo is null").join(found, "file")
+    both = near.select("ord", "file", "line", "function").unionByName(anywhere.select("ord", "file", "line", "function"))
+    return both.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("file", "line", "function"))).alias("sanitizers"))
+
+
+def taint_paths(flows: DataFrame, calls: DataFrame, reached: DataFrame, most: int | None = None) -> DataFrame:
+    """The flows from outside into a sink, with their class, weakness, sanitizers, tainted arguments and confidence; those below 0.1 are left out.
+
+    flows (ord, entry_type, entry_file, entry_line, entry_method, route, handler, terminal_file, terminal_line, callee, args, via, hops): ord is a flow's place;
+    of several rows with one ord the least counts. calls (file, line, callee) are all calls, reached (file, name) the variables that input reaches (`tainted`).
+    Tainted arguments are those that read input; if none does, those that name a reached variable of the terminal's file; if none does and a step reads
+    input, all. Of flows with the same entry place, sink place, callee and steps the first counts. most is a report's limit: so many flows in order,
+    before repeats are taken out, as a reader of the first ones expects; None for all. Null args, via and hops are empty and 0; a null callee is no sink.
+
+    Columns: ord, source_file, source_line, source_expr, sink_file, sink_line, sink_function, category, potential_cwe, via, hops, sanitizers,
+    tainted_arguments, source_reaches_sink, confidence.
+    """
+    texts = F.array().cast("array<string>")
+    names = [c for c in flows.columns if c != "ord"]
+    f = flows.where("ord is not null").groupBy("ord").agg(F.min(F.struct(*names)).alias("f")).select("ord", "f.*")
+    f = f.withColumns({"args": F.coalesce("args", texts), "via": F.coalesce("via", texts), "hops": F.coalesce("hops", F.lit(0)).cast("int"), "category": sink_category(F.col("callee"))})
+    f = cut(f.where("category is not null").where(~F.coalesce(F.col("entry_type").isin(*INNER_ENTRIES), F.lit(False))), "flows")
+    direct = F.filter("args", X.is_source_expression)
+    ids = f.where(F.size(direct) == 0).select("ord", F.col("terminal_file").alias("file"), F.posexplode("args").alias("i", "arg"))
+    ids = ids.select("ord", "file", "i", "arg", F.explode(F.array_distinct(F.regexp_extract_all("arg", F.lit(f"({IDENTIFIER})"), F.lit(1)))).alias("name"))
+    by_name = ids.join(reached.select("file", "name").distinct(), ["file", "name"]).groupBy("ord").agg(F.array_sort(F.collect_set(F.struct("i", "arg"))).alias("hit"))
+    by_name = by_name.select("ord", F.col("hit.arg").alias("by_name"))
+    all_ = f.join(by_name, "ord", "left").join(path_sanitizers(f, calls), "ord", "left")
+    args = F.when(F.size(direct) > 0, direct).when(F.col("by_name").isNotNull(), F.col("by_name"))
+    args = args.when(X.is_source_expression(F.array_join("via", " ")), F.col("args")).otherwise(texts)
+    all_ = all_.withColumn("sanitizers", F.coalesce("sanitizers", F.array().cast("array<struct<file:string,line:bigint,function:string>>"))).withColumn("tainted_arguments", args)
+    reaches = F.size("tainted_arguments") > 0
+    all_ = all_.withColumns({"source_reaches_sink": reaches, "confidence": confidence(F.col("hops"), F.size("sanitizers"), F.lit(False), F.col("category"), reaches)})
+    all_ = all_.where(F.col("confidence") >= LEAST_CONFIDENCE)
+    if most is not None:
+        all_ = all_.orderBy("ord").limit(most)
+    word = lambda before, c: F.when(F.col(c) != "", F.concat(F.lit(before), c)).otherwise("")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    source = F.concat(F.coalesce(filled("entry_method"), filled("entry_type"), F.lit("entry")), word(" ", "route"), word(" -> ", "handler"))
+    out = all_.select(
+        "ord", F.col("entry_file").alias("source_file"), F.col("entry_line").alias("source_line"), source.alias("source_expr"), F.col("terminal_file").alias("sink_file"),
+        F.col("terminal_line").alias("sink_line"), F.col("callee").alias("sink_function"), "category", weakness(F.col("category")).alias("potential_cwe"), "via", "hops", "sanitizers",
+        "tainted_arguments", "source_reaches_sink", "confidence",
+    )
+    key = ["source_file", "source_line", "sink_file", "sink_line", "sink_function", "via"]
+    rest = [c for c in out.columns if c not in key]
+    return out.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first")).select(*(F.col(f"first.{c}") if c in rest else F.col(c) for c in out.columns))

@@ -32,8 +32,8 @@ _CALLEES = ("lib.sanitizeInput", "unescape", "cleanup", "a.b.clean", "VALIDATE",
 _ROUTES = ("app.get", "config.get", "authRouter.use", "myApp.all", "app.listen", "this.post", "svc.api.Delete", "mux.HandleFunc", "get", "wrap.get", "a.fs.put", "x.Get", "happ.Get", "app.get.x")
 
 
-def _pick(names: tuple[str, ...]) -> str:
-    return f"case p_partkey % {len(names)} {' '.join(f'''when {i} then '{n}' ''' for i, n in enumerate(names))} end"
+def _pick(names: tuple[str, ...], key: str = "p_partkey") -> str:
+    return f"case {key} % {len(names)} {' '.join(f'''when {i} then '{n}' ''' for i, n in enumerate(names))} end"
 
 
 _LAST = f"regexp_replace({_pick(_CALLEES)}, '^.*[.]', '')"
@@ -64,3 +64,56 @@ select l_orderkey, l_linenumber, greatest(0e0, least(1e0, case p when 0.045e0 th
 def x21(spark, d):
     score = T.confidence(F.col("l_linenumber"), F.expr("cast(l_quantity as bigint) % 5"), F.col("l_returnflag") == "A", F.expr(_CATEGORY), F.col("l_partkey") % 2 == 0)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("confidence"))
+
+
+#: Made callees of the last calls of flows, and the kinds that they are by the rule.
+_ENDS = ("db.query", "JSON.parse", "url.parse", "EXEC", "x.eval", "http.get", "map.get", "a.$queryRaw", "myquery", "res.send", "cursor.findOne", "fs.rename", "location.assign")
+_KINDS = ("sql", "deserialize", "", "command", "eval", "ssrf", "", "sql", "", "response", "nosql", "file", "redirect")
+#: A line of an order is a flow from its supplier's file into another; orders are the calls that may clean, parts the variables that input reaches.
+_LINES = "select l_orderkey as o, l_linenumber as n, min(l_suppkey) as s, min(l_partkey) as p, cast(min(l_quantity) as bigint) as q from lineitem group by 1, 2"
+_FLOW = {
+    "ord": "cast(o * 10 + n as bigint)",
+    "entry_type": "case when p % 6 = 0 then 'sdk_export' else 'http' end",
+    "entry_file": "'s' || cast(s as string)",
+    "entry_line": "(o * 13 + n * 400) % 40000 + 1",
+    "terminal_file": "'s' || cast(p % 97 as string)",
+    "terminal_line": "(o * 31 + p) % 40000 + 1",
+    "callee": _pick(_ENDS, "(s + n)"),
+    "arg": "case q % 4 when 0 then 'req.query.id' when 1 then 'wrap(v' || cast(q as string) || ', 1)' else 'x' end",
+    "step": "'s' || cast(s + 1 as string) || ':' || cast(p % 40000 + 1 as string) || ' f -> g'",
+    "read": "case when q % 7 = 0 then 'req.body.z' else 'plain' end",
+    "hops": "cast(n as int)",
+}
+_CALL = {"file": "'s' || cast(floor(o_custkey / 15) as int)", "line": "o_orderkey * 7 % 40000 + 1", "callee": _pick(_CALLEES, "o_orderkey")}
+_CLEANS = ("lib.sanitizeInput", "a.b.clean", "VALIDATE", "escape_html", "parseInt2", "dompurify", "encodeuri", "prepare-all")
+_columns = lambda c: ", ".join(f"{e} as {n}" for n, e in c.items())
+_G10 = f"""with l as ({_LINES}), f0 as (select {_columns(_FLOW)}, {_pick(_KINDS, "(s + n)")} as category, p % 40000 + 1 as step_line, 's' || cast(s + 1 as string) as step_file from l),
+f as (select * from f0 where category <> '' and entry_type <> 'sdk_export'),
+c as (select distinct {_columns(_CALL)} from orders where {_CALL['callee']} in {_CLEANS}),
+ends as (select ord, entry_file as file, entry_line as line from f union all select ord, terminal_file, terminal_line from f union all select ord, step_file, step_line from f),
+spans as (select ord, file, greatest(min(line) - 50, 1) as lo, max(line) + 50 as hi from ends group by 1, 2),
+san as (select ord, count(*) as n, string_agg(file || ':' || line || ' ' || callee, ',' order by file, line, callee) as names from spans join c using (file) where line between lo and hi group by 1),
+r as (select distinct 's' || cast(p_partkey % 97 as string) as file, 'v' || cast(p_size as string) as name from part),
+a as (select f.*, coalesce(san.n, 0) as n_sanitizers, coalesce(names, '') as sanitizers, case when arg like 'req%' or r.name is not null or read like 'req%' then arg else '' end as tainted
+  from f left join san using (ord) left join r on r.file = terminal_file and arg = 'wrap(' || r.name || ', 1)'),
+s as (select *, (0.85e0 - 0.08e0 * least(hops, 5) - 0.25e0 * least(n_sanitizers, 3) + case when category in {T.GRAVE} then 0.1e0 else 0e0 end) * case when tainted = '' then 0.45e0 else 1e0 end as p from a),
+z as (select *, greatest(0e0, least(1e0, case p when 0.045e0 then 0.04e0 when 0.135e0 then 0.14e0 when 0.315e0 then 0.32e0 else floor(p * 100 + 0.5e0) / 100 end)) as confidence from s)
+select ord, category, case category {' '.join(f"when '{k}' then '{w}'" for k, w in T.WEAKNESSES.items())} end as potential_cwe, hops, n_sanitizers, sanitizers, tainted, confidence from z where confidence >= 0.1e0
+qualify row_number() over (partition by entry_file, entry_line, terminal_file, terminal_line, callee, step, read order by ord) = 1"""
+
+
+@query("g10_taint_paths", _G10)
+def g10(spark, d):
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"))
+    lines = lines.agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"), F.min("l_quantity").cast("long").alias("q"))
+    flows = lines.selectExpr(*(f"{e} as {n}" for n, e in _FLOW.items())).selectExpr(
+        "ord", "entry_type", "entry_file", "entry_line", "'GET' as entry_method", "'/o' as route", "'' as handler", "terminal_file", "terminal_line", "callee",
+        "array(arg) as args", "array(step, read) as via", "hops",
+    )
+    calls = table(spark, d, "orders").selectExpr(*(f"{e} as {n}" for n, e in _CALL.items()))
+    reached = table(spark, d, "part").selectExpr("'s' || cast(p_partkey % 97 as string) as file", "'v' || cast(p_size as string) as name")
+    names = F.transform("sanitizers", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"), F.lit(" "), x["function"]))
+    return T.taint_paths(flows, calls, reached).select(
+        "ord", "category", "potential_cwe", "hops", F.size("sanitizers").cast("long").alias("n_sanitizers"), F.array_join(names, ",").alias("sanitizers"),
+        F.array_join("tainted_arguments", ",").alias("tainted"), "confidence",
+    )
