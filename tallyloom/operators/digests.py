@@ -29,3 +29,8 @@ def digest_of(**tables: DataFrame) -> str:
 
     found = [(n, t.agg(table_digest(t).alias("d")).first()["d"]) for n, t in sorted(tables.items())]
     return hashlib.sha256("\n".join(f"{n}:{d}" for n, d in found).encode()).hexdigest()
+
+
+def structural_digest(*columns: Column) -> Column:
+    """A SHA-256 of nested values as one JSON list: order of lists counts, names and order of fields are those of the schema, nulls are there."""
+    return F.sha2(F.to_json(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(columns))), {"ignoreNullFields": "false"}), 256)
