@@ -9,7 +9,7 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Modules that register queries when they are imported.
-MODULES = ("ledger", "joining", "windows", "intervals", "graphs", "imports", "taint", "evaluation", "text", "states", "files", "trees", "workplan", "reuse", "assessment")
+MODULES = ("ledger", "joining", "windows", "intervals", "graphs", "imports", "taint", "evaluation", "text", "states", "files", "trees", "workplan", "reuse", "review", "assessment")
 
 
 def query(name: str, sql: str | None = None):
