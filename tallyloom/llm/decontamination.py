@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import documents, fresh, staged, words_of
 
 #: Words in a window; words of documents in a shard; benchmark words in a block that is broadcast (larger benchmarks take more passes).
-WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE_EVERY = 13, 2_000_000, 4_000_000, 4
+WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE_EVERY = 13, 2_000_000, 500_000, 4
 
 
 class Bits:
@@ -199,11 +199,21 @@ def search_shard(texts: list[np.ndarray], windows: Windows) -> tuple[list[int],
     return [sum(y - x for x, y in s) for s in spans], spans, items
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """The benchmark in blocks of about block_words words, each collected only when its turn comes."""
-    table = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    size = table.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * block_words)))
+def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW):
+    """The benchmark in blocks of about block_words words, each collected only when its turn comes.
+
+    Items that are longer than a tenth of a block come in pieces which share window - 1 words, so that no window is lost and no item fills a block; equal rows count once.
+    """
+    upper = "".join(map(chr, range(65, 91)))
+    words = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), upper, upper.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    piece = max(block_words // 10, 2 * window)
+    table = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("words")).distinct()
+    starts = F.sequence(F.lit(1), F.size("words") - (window - 1), F.lit(piece - window + 1))
+    pieces = F.when(F.size("words") > piece, F.transform(starts, lambda i: F.slice("words", i, piece))).otherwise(F.array("words"))
+    table = table.select("item", F.explode(pieces).alias("words")).select("item", F.size("words").alias("n"), F.array_join("words", " ").alias("text"))
+    blocks = max(1, -(-(table.agg(F.sum("n")).first()[0] or 0) // block_words))
+    if blocks > 1:
+        table = staged(table, "benchmark-pieces")
     for k in range(blocks):
         yield [(r.item, r.text) for r in table.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()]
 
@@ -247,7 +257,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
         own = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
         return rows.mapInArrow(run, ", ".join([*own, f"{n_words} long, {n_hit} long, {items} array<string>, {spans} array<struct<start:long,end:long>>"]))
 
-    blocks = benchmark_blocks(benchmark, block_words)
+    blocks = benchmark_blocks(benchmark, block_words, window)
     first = next(blocks)
     second = next(blocks, None)
     if second is None:

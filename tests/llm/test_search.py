@@ -1,8 +1,10 @@
+import random
+
 import numpy as np
 import pytest
 
 from tallyloom.llm.common import words_of
-from tallyloom.llm.decontamination import SAMPLE_EVERY, FMIndex, WaveletMatrix, Windows, find_spans, search_shard, without_contaminated
+from tallyloom.llm.decontamination import SAMPLE_EVERY, FMIndex, WaveletMatrix, Windows, benchmark_blocks, find_spans, search_shard, without_contaminated
 
 
 def brute(text, items, window=13):
@@ -82,3 +84,17 @@ def test_shards_of_any_size_and_clashing_columns(spark, odd, shard_words, block_
     assert sorted((r["n_words_"], r["n_hit_"], r["items_"]) for r in rows) == sorted(brute(r.text, items) for r in odd.collect())
     kept = without_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in odd.collect() if not (h := brute(r.text, items))[1] or 20 * h[1] < h[0])
+
+
+def test_long_items_come_in_pieces_that_lose_no_window(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(300)}" for _ in range(900)]
+    bench = spark.createDataFrame([("long", " ".join(words).upper()), ("long", " ".join(words).upper()), ("short", "one, two")], "item_id string, text string")
+    blocks = list(benchmark_blocks(bench, 400, 13))
+    assert len(blocks) > 1 and max(len(t.split()) for b in blocks for _, t in b) <= 40
+    windows = lambda ws: {tuple(ws[i : i + 13]) for i in range(len(ws) - 12)}
+    assert set().union(*(windows(t.split()) for b in blocks for i, t in b if i == "long")) == windows(words)
+    assert [t for b in blocks for i, t in b if i == "short"] == ["one two"]
+    docs = spark.createDataFrame([(1, " ".join(words[400:460])), (2, "so one two"), (3, "none of it")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in find_spans(docs, bench, block_words=400).collect()}
+    assert got == {1: (60, ["long"]), 2: (2, ["short"]), 3: (0, [])}
