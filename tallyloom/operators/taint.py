@@ -100,10 +100,11 @@ def tainted(assignments: DataFrame, calls: DataFrame, functions: DataFrame, roun
     Rows without a file or name, and empty expressions, taint nothing.
     """
     ids = lambda e: F.array_distinct(F.regexp_extract_all(e, F.lit(f"({IDENTIFIER})"), F.lit(1)))
-    by_assignment = assignments.where("name <> ''").select("file", "expr", F.col("file").alias("to_file"), F.col("name").alias("to"), F.struct(F.lit(0).alias("phase"), F.col("ord").cast("long").alias("place")).alias("at"))
+    place = lambda phase, i: F.struct(F.lit(phase).alias("phase"), F.col("ord").cast("long").alias("ord"), i.cast("long").alias("i"))
+    by_assignment = assignments.where("name <> ''").select("file", "expr", F.col("file").alias("to_file"), F.col("name").alias("to"), place(0, F.lit(0)).alias("at"))
     args = calls.select("file", "ord", F.substring_index("callee", ".", -1).alias("name"), F.posexplode("args").alias("i", "expr"))
     named = functions.select("name", F.col("file").alias("to_file"), F.posexplode("params").alias("i", "to")).where(F.col("to").rlike(f"^{IDENTIFIER}$"))
-    by_call = args.join(named, ["name", "i"]).select("file", "expr", "to_file", "to", F.struct(F.lit(1).alias("phase"), (F.col("ord") * 1000 + F.col("i")).cast("long").alias("place")).alias("at"))
+    by_call = args.join(named, ["name", "i"]).select("file", "expr", "to_file", "to", place(1, F.col("i")).alias("at"))
     ways = cut(by_assignment.unionByName(by_call).where("file is not null and to_file is not null and expr <> ''"), "ways")
     arrows = cut(ways.select("file", F.explode(ids(F.col("expr"))).alias("name"), "to_file", "to", "at").distinct(), "arrows")
     first = lambda df: df.groupBy(F.col("to_file").alias("file"), F.col("to").alias("name")).agg(F.min("time").alias("time"))

@@ -55,6 +55,13 @@ def test_confidence_and_names(spark):
     assert all(r.hit == r.want and abs(r.got - r.score) < 1e-9 for r in got.collect())
 
 
+def test_a_call_with_many_arguments_comes_before_the_next_call(spark):
+    a = spark.createDataFrame([], "file string, ord long, name string, expr string")
+    c = spark.createDataFrame([("f", 1, "g", ["1"] * 1400 + ["req.body.x"]), ("f2", 2, "h", ["p1400"])], "file string, ord long, callee string, args array<string>")
+    f = spark.createDataFrame([("g", "f2", [f"p{i}" for i in range(1401)]), ("h", "f3", ["z"])], "name string, file string, params array<string>")
+    assert {(x.file, x.name): x.round for x in T.tainted(a, c, f).collect()} == {("f2", "p1400"): 1, ("f3", "z"): 1}
+
+
 def paths_by_loop(flows, calls, reached, most=None):
     """The rows of taint_paths, flow by flow."""
     is_source = lambda e: any(re.search(p, e) for p in X.SOURCE_EXPRESSIONS)
