@@ -107,3 +107,14 @@ def backoff(base_ms: int, attempt: Column) -> Column:
 def ratio(a: Column, b: Column, empty=None) -> Column:
     """a / b; `empty` where b is 0."""
     return F.when(b == 0, F.lit(empty).cast("double")).otherwise(a / b)
+
+
+def valid_json(text: Column) -> Column:
+    """Whether all of the text is one JSON value; false for null.
+
+    Spark's parsers stop behind the first value, so the text is read as the first of a list's two elements: whatever follows its value breaks the list or takes the
+    second place, in which the text's own digest has to stand.
+    """
+    digest = F.sha2(text, 256)
+    read = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')), "array<string>", {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"})
+    return F.coalesce((F.size(read) == 2) & (F.get(read, F.lit(1)) == digest), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions import scalars as S
 from tallyloom.operators.delivery import SPACE
 
 
@@ -21,7 +22,7 @@ def change_kind(path: Column, before: Column, after: Column) -> Column:
     """
     unclear = F.concat(before, F.lit("\n"), after).rlike("\ufeff|\r(?!\n)|`|\\\\\r?\n")
     kind = F.when(before.isNull() | after.isNull(), "unknown").when(before == after, "identical").when(plain(before) != plain(after), "analysis-relevant")
-    valid = F.lower(path).endswith(".json") & path.rlike(r"[^/]\.[^./]*\z") & F.try_parse_json(before).isNotNull() & F.try_parse_json(after).isNotNull()
+    valid = F.lower(path).endswith(".json") & path.rlike(r"[^/]\.[^./]*\z") & S.valid_json(before) & S.valid_json(after)
     return kind.when(unclear | ~F.coalesce(valid, F.lit(False)), "unknown").otherwise("supported-format-only")
 
 

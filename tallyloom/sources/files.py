@@ -20,7 +20,7 @@ def scan(spark: SparkSession, root: str, glob: str | None = None, skip: str = r"
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines; a last line that a crash has torn is left out, any other bad line stays as a row with _bad set."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line", "text"), F.col("content").cast("string").endswith("\n").alias("whole"), F.size(F.split(F.col("content").cast("string"), "\n")).alias("n"))
-    rows = raw.where("text <> ''").withColumn("row", F.from_json("text", schema)).withColumn("_bad", F.expr("try_parse_json(text)").isNull())
+    rows = raw.where("text <> ''").withColumn("row", F.from_json("text", schema)).withColumn("_bad", ~S.valid_json(F.col("text")))
     return rows.where(~(F.col("_bad") & ~F.col("whole") & (F.col("line") == F.col("n") - 1))).select("path", "line", "row.*", "_bad")
 
 

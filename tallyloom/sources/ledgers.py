@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
 
+from tallyloom.functions import scalars as S
 from tallyloom.sources.trees import local
 
 
@@ -122,7 +123,7 @@ def ledger_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("_size"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("at"))
     ends = lines.groupBy("file", "_size").agg(F.max("at").alias("_last"), F.sum(F.octet_length("value") + 1).alias("_bytes")).select("file", "_last", (F.col("_bytes") > F.col("_size")).alias("_open"))
     said = lines.where(F.trim("value") != "").join(ends, "file")
-    state = F.when(F.expr("try_parse_json(value)").isNotNull(), "good").when(F.col("_open") & (F.col("at") == F.col("_last")), "torn").otherwise("bad")
+    state = F.when(S.valid_json(F.col("value")), "good").when(F.col("_open") & (F.col("at") == F.col("_last")), "torn").otherwise("bad")
     return said.select("file", "at", F.from_json("value", schema).alias("row"), state.alias("state"))
 
 

@@ -26,3 +26,23 @@ def test_ranks_with_ids_over_a_million(spark, tmp_path, name):
     duckdb.execute(f"copy (select * from (values {rows}) t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet'")
     found, said = both(spark, tmp_path, name)
     assert found == said
+
+
+def test_json_is_all_of_a_text(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.functions import scalars as S
+
+    bad = ["4798 Lyer", "1],[2", "1] xx", "1, 2", "", "  ", "[1", "01", "'a'", '"a\tb"', "{a:1}", "[1]//c", "1}", "tru", "[NaN]", '{"a":1}{"b":2}', '"a" "b"', '["\\u12"]']
+    good = ["1", " 1 ", "[1]\r\n", '{"a":1,"a":2}', "null", '"x"', "[]", '{"a":{"b":[1,{"c":null}]}}', "123456789012345678901234567890", "1e999"]
+    rows = spark.createDataFrame([(t,) for t in bad + good] + [(None,)], "t string").select("t", S.valid_json(F.col("t")).alias("v")).collect()
+    assert {r.t for r in rows if r.v} == set(good)
+
+
+def test_change_kind_of_a_text_that_begins_with_a_value(spark, tmp_path):
+    texts = ["4798 words\nmore", "12\n", "plain\ntext", "\"a\" b\n"]  # ids that end in 21 of 30: .json, with other line ends
+    rows = ", ".join(f"({21 + 30 * i}, '{t}')" for i, t in enumerate(texts))
+    duckdb.execute(f"copy (select * from (values {rows}) t(doc_id, text)) to '{tmp_path}/documents.parquet'")
+    found, said = both(spark, tmp_path, "x37_change_kind")
+    assert found == said
+    assert [k for _, k in found] == ["unknown", "supported-format-only", "unknown", "unknown"]
