@@ -46,3 +46,22 @@ def test_change_kind_of_a_text_that_begins_with_a_value(spark, tmp_path):
     found, said = both(spark, tmp_path, "x37_change_kind")
     assert found == said
     assert [k for _, k in found] == ["unknown", "supported-format-only", "unknown", "unknown"]
+
+
+def test_paths_are_written_for_sinks_and_new_nodes_alone(spark, monkeypatch):
+    from tallyloom.operators import graphs as G
+
+    n, written = 20, []
+
+    def counted(df, name, cut=G.cut):
+        out = cut(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(a, b) for a in range(n) for b in range(n) if a != b], "src long, dst long")
+    found = G.first_paths(edges, nodes, nodes.where("node = 7")).count()
+    # Each edge twice, each pair of start and node twice at most, and what is found; the steps that lead back are about n ** 3.
+    assert found == (n - 1) ** 2
+    assert sum(written) <= 6 * n * n + found
