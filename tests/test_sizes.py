@@ -65,3 +65,16 @@ def test_paths_are_written_for_sinks_and_new_nodes_alone(spark, monkeypatch):
     # Each edge twice, each pair of start and node twice at most, and what is found; the steps that lead back are about n ** 3.
     assert found == (n - 1) ** 2
     assert sum(written) <= 6 * n * n + found
+
+
+def test_a_tree_is_read_in_no_more_tasks_than_wanted(tmp_path):
+    from tallyloom.sources import trees
+
+    for i in range(300):
+        (tmp_path / "src" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "src" / f"d{i}" / "a.ts").write_text(str(i))
+    for content in ("none", "whole"):
+        reader = trees._Reader({"path": str(tmp_path), "content": content, "partitions": "8"})
+        parts = reader.partitions()
+        assert len(parts) <= 16
+        assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"src/d{i}/a.ts" for i in range(300))
