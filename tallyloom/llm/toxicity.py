@@ -40,6 +40,14 @@ DISCOUNT, EVIDENCE = 0.75, 20.0
 SLOPE, RIDGE = 2.0, 1.0
 
 
+def _columns(rows: DataFrame, *order: str) -> dict[str, np.ndarray]:
+    """A bounded table's columns, in the given order of its rows: as Arrow columns, since rows as objects would take the driver many times their bytes."""
+    table = rows.toArrow()
+    if order:
+        table = table.sort_by([(c, "ascending") for c in order])
+    return {c: table.column(c).to_numpy() for c in table.column_names}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
     """(toxic, text, fits) of the sampled labelled rows, once for each text, and the share of toxic ones among all training labels."""
     labelled = labels.where("doc_id is not null and toxic in (0, 1)").where(fold_of(F.col("doc_id")) % 5 != 0)
@@ -184,34 +192,33 @@ class Models:
 def train_models(rows: DataFrame) -> Models | None:
     """Models from the counted rows (toxic, text); None where they have too little."""
     words = _counted(rows, lambda w: [x.decode("utf-8", "surrogatepass") for x in set(w)], pa.string(), "string")
-    top = words.where(F.col("tox") + F.col("ord") >= WORD_COUNT).orderBy((F.col("tox") + F.col("ord")).desc(), "key").limit(VOCABULARY).select("key").toPandas()
-    numbers = Numbers([w for w in top.key])
+    top = words.where(F.col("tox") + F.col("ord") >= WORD_COUNT).orderBy((F.col("tox") + F.col("ord")).desc(), "key").limit(VOCABULARY).select("key").toArrow()
+    numbers = Numbers(top.column("key").to_pylist())
     known = rows.sparkSession.sparkContext.broadcast(numbers)  # VOCABULARY words at most
     size = numbers.size
     pairs = staged(_counted(rows, lambda w: np.unique(known.value.pairs(known.value.of(w))).tolist(), pa.int64(), "long"), "toxic-pairs")
     types = lambda c: F.sum((F.col(c) > 0).cast("long"))
     both = [F.sum("tox").alias("tox"), F.sum("ord").alias("ord")]
-    after = pairs.groupBy(F.expr(f"key % {size}").alias("w")).agg(F.count("*").alias("cont"), *both).toPandas()
+    after = _columns(pairs.groupBy(F.expr(f"key % {size}").alias("w")).agg(F.count("*").alias("cont"), *both))
     heads = staged(pairs.groupBy(F.expr(f"key div {size}").alias("h")).agg(*both, types("tox").alias("t_tox"), types("ord").alias("t_ord")), "toxic-heads")
-    before = heads.toPandas()
-    if not after.tox.sum() or not after.ord.sum():
+    before = _columns(heads)
+    if not after["tox"].sum() or not after["ord"].sum():
         return None
     n = F.col("tox") + F.col("ord")
-    most = pairs.where(n >= PAIR_COUNT).orderBy(n.desc(), "key").limit(PAIRS).select("key", n.alias("n")).toPandas().sort_values("key")
+    most = _columns(pairs.where(n >= PAIR_COUNT).orderBy(n.desc(), "key").limit(PAIRS).select("key", n.alias("n")), "key")
     # The G statistic in SQL, so that only pairs with evidence come to the driver; heads are as many as words at most.
     g = lambda a, na: f"case when {a} > 0 then {a} * ln({a} * (na + nb) / (cast(tox + ord as double) * {na})) else 0 end"
     of_heads = F.broadcast(heads.select("h", F.col("tox").alias("na"), F.col("ord").alias("nb")))
     candidates = pairs.where(n >= PAIR_COUNT).where(f"key div {size} > 0 and key % {size} > 0").withColumn("h", F.expr(f"key div {size}")).join(of_heads, "h")
-    telling = candidates.where(f"na > 0 and nb > 0 and 2 * ({g('tox', 'na')} + {g('ord', 'nb')}) >= {EVIDENCE}").select("key", "tox", "ord").toPandas().sort_values("key")
+    telling = _columns(candidates.where(f"na > 0 and nb > 0 and 2 * ({g('tox', 'na')} + {g('ord', 'nb')}) >= {EVIDENCE}").select("key", "tox", "ord"), "key")
 
     def by_number(table, key: str, columns: list[str]) -> dict:
         out = {c: np.zeros(size) for c in columns}
         for c in columns:
-            out[c][table[key].to_numpy(np.int64)] = table[c].to_numpy(float)
+            out[c][table[key].astype(np.int64)] = table[c]
         return out
 
-    arrays = lambda t: tuple(t[c].to_numpy() for c in t.columns)
-    return Models(numbers, by_number(after, "w", ["cont", "tox", "ord"]), by_number(before, "h", ["tox", "ord", "t_tox", "t_ord"]), arrays(most), arrays(telling))
+    return Models(numbers, by_number(after, "w", ["cont", "tox", "ord"]), by_number(before, "h", ["tox", "ord", "t_tox", "t_ord"]), tuple(most.values()), tuple(telling.values()))
 
 
 def features(difference: float, n: int) -> tuple[float, float, float]:
@@ -236,14 +243,14 @@ def fit_curve(rows: DataFrame, models, base: float) -> tuple[float, ...]:
                 out.append(features(tox - ordinary, len(w)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.float64()) for x in (zip(*out, strict=True) if out else ((), (), ())))], ["toxic", "a", "b", "c"])
 
-    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double").toPandas()  # 2 * SAMPLE rows at most
-    got = got.sort_values(["toxic", "a", "b", "c"])
-    y = got.toxic.to_numpy(float)
+    got = rows.select("toxic", "text").mapInArrow(run, "toxic int, a double, b double, c double")  # 2 * SAMPLE rows at most
+    got = _columns(got, "toxic", "a", "b", "c")
+    y = got["toxic"].astype(float)
     beta = np.array([log(max(base, 1e-6) / max(1 - base, 1e-6)), 0.0, 0.0, SLOPE])
     if len(y) == 0 or y.min() == y.max():
         return tuple(beta.tolist())
     centre, ridge, floor = beta.copy(), np.full(4, RIDGE), np.array([-np.inf, 0, 0, 0])
-    x = np.column_stack([np.ones(len(y)), got[["a", "b", "c"]].to_numpy(float)])
+    x = np.column_stack([np.ones(len(y)), got["a"], got["b"], got["c"]])
     weight = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
