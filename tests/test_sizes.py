@@ -78,3 +78,20 @@ def test_a_tree_is_read_in_no_more_tasks_than_wanted(tmp_path):
         parts = reader.partitions()
         assert len(parts) <= 16
         assert sorted(r[0] for p in parts for r in reader.read(p)) == sorted(f"src/d{i}/a.ts" for i in range(300))
+
+
+def test_model_tables_come_as_columns(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tallyloom.llm import toxicity as T
+
+    def rows(*_):
+        raise AssertionError("rows as objects")
+
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, rows)
+    train = spark.createDataFrame([(i % 2, f"{'bad vile word' if i % 2 else 'good kind word'} number {i % 5}") for i in range(60)], "toxic int, text string")
+    model = T.train_models(train)
+    assert (model.keys[1:] > model.keys[:-1]).all() and (model.telling[1:] > model.telling[:-1]).all()
+    tox, ordinary = model.log_likelihoods([b"bad", b"vile", b"word"])
+    assert tox > ordinary
