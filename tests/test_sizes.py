@@ -95,3 +95,22 @@ def test_model_tables_come_as_columns(spark, monkeypatch):
     assert (model.keys[1:] > model.keys[:-1]).all() and (model.telling[1:] > model.telling[:-1]).all()
     tox, ordinary = model.log_likelihoods([b"bad", b"vile", b"word"])
     assert tox > ordinary
+
+
+def test_labels_are_guessed_for_nodes_that_lead_others_alone(spark, monkeypatch):
+    from tallyloom.operators import graphs as G
+
+    hubs, n, written = 6, 200, {}
+
+    def counted(df, name, cut=G.cut):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(G, "cut", counted)
+    pairs = {(i, i + 1) for i in range(hubs - 1)} | {(hubs + i, i % hubs) for i in range(n)} | {(hubs + i, (i * 7 + 1) % hubs) for i in range(n)}
+    found = {r.node: r.label for r in G.communities(spark.createDataFrame([("g", a, b) for a, b in pairs], "repo string, src long, dst long"), "repo").collect()}
+    near = {x: sorted(b for a, b in pairs if a == x) + sorted(a for a, b in pairs if b == x) for x in range(hubs + n)}
+    assert found == G.propagate_labels(near)
+    # All labels once at the start and once a sweep; in a sweep's rounds, one for each hub at most, those of hubs alone.
+    assert written["labels"] <= 6 * (hubs + n) + 5 * (hubs + 2) * hubs
