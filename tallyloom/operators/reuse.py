@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.digests import structural_digest
-from tallyloom.operators.graphs import cut, reach
+from tallyloom.operators.graphs import reach
 from tallyloom.operators.revisions import change_kind
 
 REUSABLE = ("identical", "supported-format-only")
@@ -44,21 +44,30 @@ def logical_offset(text: Column, offset: Column) -> Column:
     return offset - (F.size(F.split(F.left(raw, offset), "\r\n")) - 1)
 
 
-def _identities(tasks: DataFrame, texts: DataFrame) -> DataFrame:
-    """tasks with `identity`: a digest of kind, ranges in logical places in their order, and flows; null where a file isn't in texts."""
-    ranges = tasks.select("task_id", F.posexplode("owned").alias("i", "r"))
-    at = ranges.select(F.col("r.path").alias("path"), F.explode(F.array("r.byte_from", "r.byte_to")).alias("byte")).where("path is not null and byte is not null").distinct()
+def _identities(tasks: DataFrame, texts: DataFrame, keep: list, affected: DataFrame | None = None) -> DataFrame:
+    """task_id and what is kept of tasks, with `identity`: a digest of kind, ranges in logical places in their order, and flows; null where a file isn't in texts.
+    owned_hit: whether the files of a task with an identity have one of affected (path).
+
+    A range is looked up once, by its file and both of its byte places. Only places come back to its task, of which a digest stands for the rest.
+    """
+    ranges = tasks.select("task_id", F.posexplode("owned").alias("i", "r")).select("task_id", "i", "r.path", "r.byte_from", "r.byte_to")
+    key = ["path", "byte_from", "byte_to"]
     text = texts.select("path", "text")
-    place = F.when(F.col("byte") == F.octet_length("text"), F.lit("EOF")).otherwise(logical_offset(F.col("text"), F.col("byte")).cast("string"))
-    places = cut(at.join(text, "path").select("path", "byte", place.alias("to"), logical_offset(F.col("text"), F.col("byte")).cast("string").alias("from")), "places")
-    begin = places.select(F.col("path").alias("p"), F.col("byte").alias("b"), "from")
-    end = places.select(F.col("path").alias("q"), F.col("byte").alias("e"), "to")
-    r = ranges.join(begin, (F.col("r.path") == F.col("p")) & (F.col("r.byte_from") == F.col("b")), "left").join(end, (F.col("r.path") == F.col("q")) & (F.col("r.byte_to") == F.col("e")), "left")
-    one = F.struct("i", F.struct("r.path", "r.line_from", "r.line_to", "from", "to").alias("v"), (F.col("from").isNotNull() & F.col("to").isNotNull()).alias("known"))
-    lists = r.groupBy("task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    out = tasks.join(lists, "task_id", "left")
-    whole = F.when(F.forall("all", lambda x: x["known"]), structural_digest(F.col("kind"), F.col("all.v"), F.col("flows")))
-    return out.withColumn("identity", whole).drop("all")
+    if affected is not None:
+        text = text.join(affected.select("path", F.lit(True).alias("hit")), "path", "left")
+    else:
+        text = text.withColumn("hit", F.lit(None).cast("boolean"))
+    place = lambda byte: logical_offset(F.col("text"), F.col(byte)).cast("string")
+    end = F.when(F.col("byte_to") == F.octet_length("text"), F.lit("EOF")).otherwise(place("byte_to"))
+    asked = ranges.select(*key).where("path is not null and byte_from is not null and byte_to is not null").distinct()
+    places = asked.join(text, "path").select(*key, place("byte_from").alias("from"), end.alias("to"), "hit")
+    one = F.struct("i", "from", "to", "hit")
+    lists = ranges.join(places, key, "left").groupBy("task_id").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    rest = F.transform("owned", lambda r: F.struct(*(r[c].alias(c) for c in ("path", "line_from", "line_to"))))
+    out = tasks.select("task_id", F.unhex(structural_digest(F.col("kind"), rest, F.col("flows"))).alias("said"), *keep).join(lists, "task_id", "left")
+    known = F.forall("all", lambda x: x["from"].isNotNull() & x["to"].isNotNull())
+    digest = F.when(known, F.unhex(structural_digest(F.col("said"), F.transform("all", lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"))))))
+    return out.withColumns({"identity": digest, "owned_hit": F.coalesce(F.exists("all", lambda x: x["hit"]), F.lit(False))}).drop("all", "said")
 
 
 def reusable_tasks(old: DataFrame, new: DataFrame, before: DataFrame, after: DataFrame, sealed: DataFrame, attempts: DataFrame, affected: DataFrame) -> DataFrame:
@@ -74,21 +83,22 @@ def reusable_tasks(old: DataFrame, new: DataFrame, before: DataFrame, after: Dat
     reuse. A list of a task's ranges is as long as a task is; files, flows and attempts of any number are joins by key. Null lists count as empty.
     """
     empty = lambda df, *names: df.withColumns({n: F.coalesce(n, F.array().cast(df.schema[n].dataType)) for n in names})
-    o = _identities(empty(old, "owned", "flows", "obligations"), before)
-    n = _identities(empty(new, "owned", "flows", "obligations", "dependencies"), after)
-    prior = o.where("identity is not null").groupBy("identity").agg(F.min_by(F.struct("task_id", "owned", "obligations"), F.struct("ord", "task_id")).alias("o"))
-    n = cut(n.join(prior, "identity", "left").select("task_id", "kind", "owned", "obligations", "dependencies", F.col("o.task_id").alias("prior"), F.col("o.owned").alias("prior_owned"), F.col("o.obligations").alias("prior_obligations")), "tasks")
     hit = affected.select("path").distinct()
-    paths = n.select("task_id", F.explode(F.array_distinct(F.concat("owned.path", "dependencies"))).alias("path"))
-    touched = paths.join(hit, "path").select("task_id").distinct().withColumn("touched", F.lit(True))
-    closed = sealed.select(F.col("task_id").alias("prior"), structural_digest(F.col("owned")).alias("seal")).distinct()
-    closed = n.select("task_id", "prior", structural_digest(F.col("prior_owned")).alias("seal")).join(closed, ["prior", "seal"]).select("task_id").withColumn("closed", F.lit(True))
-    done = attempts.where("status = 'completed' and not coalesce(superseded, false)").groupBy(F.col("task_id").alias("prior")).agg(F.min_by(F.coalesce("observed", F.array().cast("array<string>")), "ord").alias("observed"))
-    read = done.select("prior", F.explode("observed").alias("path")).join(hit, "path").select("prior").distinct().withColumn("read", F.lit(True))
-    all_ = n.join(touched, "task_id", "left").join(closed, "task_id", "left").join(done.select("prior", F.lit(True).alias("done")), "prior", "left").join(read, "prior", "left")
+    seals = sealed.select("task_id", F.unhex(structural_digest(F.col("owned"))).alias("seal")).groupBy("task_id").agg(F.collect_set("seal").alias("seals"))
+    done = attempts.where("status = 'completed' and not coalesce(superseded, false)").groupBy("task_id").agg(F.min_by(F.coalesce("observed", F.array().cast("array<string>")), "ord").alias("observed"))
+    read = done.select("task_id", F.explode("observed").alias("path")).join(hit, "path").select("task_id").distinct().withColumn("read", F.lit(True))
+    # What is known of an old task meets it by its id, before it is looked for; so its ranges don't move on.
+    seal = F.unhex(structural_digest(F.col("owned")))
+    o = _identities(empty(old, "owned", "flows", "obligations"), before, ["ord", "obligations", seal.alias("seal")]).join(seals, "task_id", "left").join(done.select("task_id", F.lit(True).alias("done")), "task_id", "left").join(read, "task_id", "left")
+    closed = F.coalesce(F.array_contains("seals", F.col("seal")), F.lit(False))
+    prior = o.where("identity is not null").select("identity", "ord", "task_id", "obligations", closed.alias("closed"), "done", "read")
+    prior = prior.groupBy("identity").agg(F.min_by(F.struct("task_id", "obligations", "closed", "done", "read"), F.struct("ord", "task_id")).alias("o"))
+    new = empty(new, "owned", "flows", "obligations", "dependencies")
+    needs = new.select("task_id", F.explode(F.array_distinct("dependencies")).alias("path")).join(hit, "path").select("task_id").distinct().withColumn("needs_hit", F.lit(True))
+    other = F.coalesce(F.col("kind") != "source", F.lit(True)) | (F.size("owned") == 0)
+    n = _identities(new, after, [other.alias("other"), "obligations"], hit).join(needs, "task_id", "left").select("task_id", "other", "obligations", "identity", (F.col("owned_hit") | F.col("needs_hit").isNotNull()).alias("touched"))
     status = (
-        F.when((F.col("kind") != "source") | F.col("kind").isNull() | (F.size("owned") == 0), "not-source").when(F.col("prior").isNull(), "no-match").when(F.col("closed").isNull(), "unsealed")
-        .when(F.col("touched"), "affected").when(structural_digest(F.col("obligations")) != structural_digest(F.col("prior_obligations")), "obligations")
-        .when(F.col("done").isNull(), "unfinished").when(F.col("read"), "observed").otherwise("reuse")
+        F.when(F.col("other"), "not-source").when(F.col("o").isNull(), "no-match").when(~F.col("o.closed"), "unsealed").when(F.col("touched"), "affected")
+        .when(structural_digest(F.col("obligations")) != structural_digest(F.col("o.obligations")), "obligations").when(F.col("o.done").isNull(), "unfinished").when(F.col("o.read"), "observed").otherwise("reuse")
     )
-    return all_.select("task_id", status.alias("status"), F.when(status == "reuse", F.col("prior")).alias("prior"))
+    return n.join(prior, "identity", "left").select("task_id", status.alias("status"), F.when(status == "reuse", F.col("o.task_id")).alias("prior"))

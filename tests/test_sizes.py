@@ -114,3 +114,17 @@ def test_labels_are_guessed_for_nodes_that_lead_others_alone(spark, monkeypatch)
     assert found == G.propagate_labels(near)
     # All labels once at the start and once a sweep; in a sweep's rounds, one for each hub at most, those of hubs alone.
     assert written["labels"] <= 6 * (hubs + n) + 5 * (hubs + 2) * hubs
+
+
+def test_task_tables_come_from_one_that_is_written(spark, tiny):
+    from tallyloom.operators import reuse as R
+
+    found = registry.QUERIES["z07_reusable_tasks"](spark, tiny)
+    assert not any("lineitem" in f for f in found.inputFiles())  # four task tables come from one that is written
+    r = "struct('a' as path, 1 as line_from, 1 as line_to, 0 as byte_from, 2 as byte_to)"
+    t = spark.sql(f"select 1 as ord, 't' as task_id, 'source' as kind, array({r}) as owned, array(1) as flows, array(1) as obligations, array('b') as dependencies")
+    texts = spark.sql("select 'a' as path, 'x\ny\n' as text")
+    runs = spark.sql("select 1 as ord, 't' as task_id, 'completed' as status, false as superseded, array('c') as observed")
+    status = lambda path, sealed=t: R.reusable_tasks(t.drop("dependencies"), t, texts, texts, sealed.select("task_id", "owned"), runs, spark.sql(f"select '{path}' as path")).first().status
+    assert [status(p) for p in "abcd"] == ["affected", "affected", "observed", "reuse"]
+    assert status("d", t.where("false")) == "unsealed"
