@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.graphs import cut
+
 #: Endings that a module's name may leave out, in the order in which they are tried.
 SCRIPT_ENDINGS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 #: Languages by ending.
@@ -271,15 +273,17 @@ def resolved(files: DataFrame, configs: DataFrame | None = None, manifests: Data
     manifests (repo, root, text): the packages of the repository itself. crates (repo, dir), modules (repo, dir, module): folders with a manifest of that language.
     languages: only the specifiers of these; targets are looked for among all files. A classification is local-resolved, local-unresolved or external. Repeated files count once; without files there are no rows.
     """
-    specs = extracted(files).drop_duplicates(["repo", "path", "specifier"])
     if languages is not None:
-        specs = specs.where(F.col("language").isin(*languages))
+        read = files.where(language(F.col("path")).isin(*languages))
+    else:
+        read = files
+    specs = cut(extracted(read).drop_duplicates(["repo", "path", "specifier"]), "specifiers")  # texts are read once, whatever the number of ways
     of = lambda *names: specs.where(F.col("language").isin(*names)).drop("language")
     ways = {
         ("typescript", "javascript"): lambda s: scripts(s, configs, None if manifests is None else package_entries(manifests, files)),
         ("python",): python, ("rust",): lambda s: rust(s, crates), ("go",): lambda s: go(s, modules),
     }
-    tried = reduce(DataFrame.unionByName, (way(of(*names)) for names, way in ways.items() if languages is None or set(names) & set(languages)))
+    tried = cut(reduce(DataFrame.unionByName, (way(of(*names)) for names, way in ways.items() if languages is None or set(names) & set(languages))), "candidates")
     who = ["repo", "path", "specifier", "kind"]
     settled = tried.where("size(candidates) = 0").select(*who, F.col("otherwise").alias("classification"), F.col("how").alias("resolution"), F.array().cast("array<string>").alias("targets"))
     local = F.when(F.col("top").isNull(), F.array().cast(CANDIDATE)).otherwise(candidates(F.array(F.concat("top", F.lit("/__init__.py")), F.concat("top", F.lit(".py"))), "top", 2**40, same_tier=True))

@@ -128,3 +128,21 @@ def test_task_tables_come_from_one_that_is_written(spark, tiny):
     status = lambda path, sealed=t: R.reusable_tasks(t.drop("dependencies"), t, texts, texts, sealed.select("task_id", "owned"), runs, spark.sql(f"select '{path}' as path")).first().status
     assert [status(p) for p in "abcd"] == ["affected", "affected", "observed", "reuse"]
     assert status("d", t.where("false")) == "unsealed"
+
+
+def test_texts_are_read_once_for_all_languages(spark):
+    from pyspark.sql import functions as F
+
+    from tallyloom.operators import imports as M
+
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        met.add(1)
+        return text
+
+    rows = [("r", "a.ts", "import './b'"), ("r", "b.ts", ""), ("r", "c.py", "import os"), ("r", "d.rs", "use std::fmt;"), ("r", "e.go", 'import "fmt"')]
+    files = spark.createDataFrame(rows, "repo string, path string, text string").withColumn("text", F.udf(seen, "string").asNondeterministic()("text"))
+    found = {(r.path, r.specifier): r.classification for r in M.resolved(files).collect()}
+    assert found == {("a.ts", "./b"): "local-resolved", ("c.py", "os"): "external", ("d.rs", "std::fmt"): "external", ("e.go", "fmt"): "external"}
+    assert met.value == len(rows)
