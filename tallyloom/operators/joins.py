@@ -33,7 +33,8 @@ def ancestors(path: Column) -> Column:
 def longest_prefix(files: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
     """The nearest root above each path; '.' where there is none. A path has as many candidates as it has directories."""
     up = files.select(path, F.posexplode(ancestors(F.col(path))).alias("d", root))
-    hit = up.join(roots.select(root).distinct(), root).groupBy(path).agg(F.min_by(root, "d").alias(root))
+    # A semi-join, so that no task ever holds the exploded paths, which look small when they are compressed: only roots can be its table.
+    hit = up.join(roots.select(root).distinct(), root, "left_semi").groupBy(path).agg(F.min_by(root, "d").alias(root))
     return files.select(path).join(hit, path, "left").select(path, F.coalesce(root, F.lit(".")).alias(root))
 
 

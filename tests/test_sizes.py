@@ -146,3 +146,13 @@ def test_texts_are_read_once_for_all_languages(spark):
     found = {(r.path, r.specifier): r.classification for r in M.resolved(files).collect()}
     assert found == {("a.ts", "./b"): "local-resolved", ("c.py", "os"): "external", ("d.rs", "std::fmt"): "external", ("e.go", "fmt"): "external"}
     assert met.value == len(rows)
+
+
+def test_paths_are_never_the_table_of_the_join_with_roots(spark):
+    from tallyloom.operators import joins as J
+
+    f = spark.sql("select * from values ('a/b/c.ts'), ('a/x.ts'), ('y.ts') as t(path)")
+    found = J.longest_prefix(f, spark.sql("select * from values ('a'), ('a/b'), ('a') as t(root)"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join Inner" not in plan
+    assert sorted(map(tuple, found.collect())) == [("a/b/c.ts", "a/b"), ("a/x.ts", "a"), ("y.ts", ".")]
