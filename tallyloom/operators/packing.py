@@ -1,10 +1,15 @@
-"""Packing of ordered items: chunks by successor pointers and selections by rounds, without a list of a unit's items anywhere."""
+"""Packing of ordered items: chunks by successor pointers and selections by folds and rounds, without a list of a unit's items anywhere."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallyloom.operators import scans
 from tallyloom.operators.graphs import cut
 from tallyloom.operators.scans import prefix_scan
 
@@ -50,20 +55,66 @@ def chunk_summary(chunks: DataFrame, unit: str, size: DataFrame | None = None) -
     return of_chunk.join(last, unit).select(unit, "chunk", named.alias("id"), "items", "oversized")
 
 
-def budget_selection(candidates: DataFrame, unit: str, order: list[str], item: str, size: str, max_items: int, max_size: int) -> DataFrame:
+def budget_selection(candidates: DataFrame, unit: str, order: list[str], item: str, size: str, max_items: int, max_size: int, keep: tuple[str, ...] = (), misfits: str | None = None) -> DataFrame:
     """unit, item, outcome: candidates of each unit by rank; one is taken if both caps hold, and misfits are passed over.
 
-    outcome: selected, file-cap (as many as allowed were taken before it) or token-cap (its size is over what is left at its turn). What doesn't fit what is left now never
-    will. So in a round the candidates behind the last one taken that fit by themselves are summed in their order, and all up to the first whose sum is
-    over what is left are taken; that one is then larger than what is left. Every round takes one of a unit at least, so there are max_items rounds at
-    most and usually few, and a unit's candidates are never in one place. Null sizes are 0.
+    outcome: selected, file-cap (as many as allowed were taken before it) or token-cap (its size is over what is left at its turn). Null sizes are 0; candidates without a
+    unit are left out. keep: columns that come along; misfits: a column more, the number of candidates of the unit before this one that weren't taken.
+
+    Candidates are sorted by unit and rank over all machines and each partition folds its own, once; only units that go on from one partition in the next (a row
+    for each partition tells which) are selected by rounds. So most candidates move and are written once, and a unit of any size is rows of a table throughout.
+    """
+    ranks = [f"_o{k}" for k in range(len(order))]
+    rows = candidates.where(F.col(unit).isNotNull()).select(unit, item, *keep, *(F.expr(o).alias(r) for o, r in zip(order, ranks, strict=True)), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_z"))
+    by, sizes = [unit, *ranks, item], len(rows.columns) - 1
+    own = [T.StructField("_outcome", T.StringType()), T.StructField("_misfits", T.LongType()), T.StructField("_part", T.LongType()), T.StructField("_place", T.LongType())]
+
+    def run(batches):
+        part, place, key, n, left, missed = TaskContext.get().partitionId(), 0, None, 0, max_size, 0
+        for b in batches:
+            if not len(b):
+                continue
+            units = b.column(0)
+            new = [key is None or units[0] != key, *scans.changes([units]).tolist()]
+            outcomes, before = [], []
+            for fresh, z in zip(new, b.column(sizes).to_pylist(), strict=True):
+                if fresh:
+                    n, left, missed = 0, max_size, 0
+                before.append(missed)
+                if n < max_items and z <= left:
+                    n, left = n + 1, left - z
+                    outcomes.append("selected")
+                else:
+                    missed += 1
+                    outcomes.append("token-cap" if n < max_items else "file-cap")
+            key = units[-1]
+            found = [pa.array(outcomes, pa.string()), pa.array(before, pa.int64()), pa.array(np.full(len(b), part, np.int64)), pa.array(np.arange(place, place + len(b)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *found], [*b.schema.names, *(f.name for f in own)])
+            place += len(b)
+
+    done = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, T.StructType([*rows.schema.fields, *own])), "selection")
+    ends = sorted(done.groupBy("_part").agg(F.min_by(unit, "_place").alias("first"), F.max_by(unit, "_place").alias("last")).collect())  # a row for each partition
+    across = {b["first"] for a, b in zip(ends, ends[1:], strict=False) if a["last"] == b["first"]}
+    out = [unit, item, F.col("_outcome").alias("outcome"), *keep, *([F.col("_misfits").alias(misfits)] if misfits else [])]
+    if not across:
+        return done.select(*out)
+    split = F.broadcast(done.sparkSession.createDataFrame([(u,) for u in sorted(across)], T.StructType([T.StructField(unit, rows.schema[unit].dataType)])))  # fewer than partitions
+    again = _selection_by_rounds(done.join(split, unit, "left_semi").drop(*(f.name for f in own)), unit, ranks, item, max_items, max_size)
+    return done.join(split, unit, "left_anti").select(*out).unionByName(again.select(*out))
+
+
+def _selection_by_rounds(rows: DataFrame, unit: str, ranks: list[str], item: str, max_items: int, max_size: int) -> DataFrame:
+    """rows with _outcome and _misfits, for units that may fill many partitions.
+
+    What doesn't fit what is left now never will. So in a round the candidates behind the last one taken that fit by themselves are summed in their order, and all up to the
+    first whose sum is over what is left are taken; that one is then larger than what is left. Every round takes one of a unit at least, so there are max_items rounds at
+    most and usually few, and a unit's candidates are never in one place.
     """
-    rank = F.struct(*(F.expr(o).alias(f"o{k}") for k, o in enumerate(order)), F.col(item).alias("i"))
-    ranked = cut(candidates.select(unit, item, rank.alias("_rank"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_z"), F.lit(1).cast("long").alias("_one")), "ranked")
+    ranked = cut(rows.withColumns({"_rank": F.struct(*ranks, F.col(item).alias("i")), "_one": F.lit(1).cast("long")}), "ranked")
     state = cut(ranked.select(unit).distinct().select(unit, F.lit(0).cast("long").alias("_n"), F.lit(max_size).cast("long").alias("_left"), F.lit(None).cast(ranked.schema["_rank"].dataType).alias("_last")), "state")
     taken = None
     while True:
-        fits = ranked.join(state, unit).where((F.col("_n") < max_items) & (F.col("_z") <= F.col("_left")) & (F.col("_last").isNull() | (F.col("_rank") > F.col("_last"))))
+        fits = ranked.select(unit, "_rank", "_z", "_one").join(state, unit).where((F.col("_n") < max_items) & (F.col("_z") <= F.col("_left")) & (F.col("_last").isNull() | (F.col("_rank") > F.col("_last"))))
         summed = prefix_scan(fits, [unit], ["_rank"], total={"_before": "_one", "_sum": "_z"}, name="sums")
         new = cut(summed.where((F.col("_n") + F.col("_before") < max_items) & (F.col("_sum") + F.col("_z") <= F.col("_left"))).select(unit, "_rank", "_z"), "taken")
         if new.isEmpty():
@@ -71,9 +122,9 @@ def budget_selection(candidates: DataFrame, unit: str, order: list[str], item: s
         taken = new if taken is None else taken.unionByName(new)
         step = new.groupBy(unit).agg(F.count("*").alias("_more"), F.sum("_z").alias("_size"), F.max("_rank").alias("_new"))
         state = cut(state.join(step, unit, "left").select(unit, (F.col("_n") + F.coalesce("_more", F.lit(0))).alias("_n"), (F.col("_left") - F.coalesce("_size", F.lit(0))).alias("_left"), F.coalesce("_new", "_last").alias("_last")), "state")
-    if taken is None:
-        return ranked.select(unit, item, F.lit("file-cap" if max_items <= 0 else "token-cap").alias("outcome"))
-    picked = taken.select(unit, F.col("_rank.i").alias(item), F.lit(True).alias("_taken"))
-    full = (F.col("_n") >= max_items) & (F.col("_rank") > F.col("_last"))
+    picked = (ranked.limit(0) if taken is None else taken).select(unit, F.col("_rank.i").alias(item), F.lit(True).alias("_taken"))
+    full = (F.col("_n") >= max_items) & (F.col("_last").isNull() | (F.col("_rank") > F.col("_last")))
     outcome = F.when(F.col("_taken"), "selected").when(full, "file-cap").otherwise("token-cap")
-    return ranked.join(state, unit).join(picked, [unit, item], "left").select(unit, item, outcome.alias("outcome"))
+    told = ranked.join(state, unit).join(picked, [unit, item], "left").withColumn("_outcome", outcome).drop("_n", "_left", "_last", "_taken")
+    told = told.withColumn("_missed", F.when(F.col("_outcome") == "selected", 0).otherwise(1))
+    return prefix_scan(told, [unit], ["_rank"], total={"_misfits": "_missed"}, name="misfits").drop("_missed", "_rank", "_one")

@@ -21,7 +21,7 @@ from tallyloom.operators.graphs import cut
 _NOTHING = -(1 << 63)
 
 
-def _changes(columns: list[pa.Array]) -> np.ndarray:
+def changes(columns: list[pa.Array]) -> np.ndarray:
     """For each place but the first, whether some column differs from the place before it; nulls equal each other."""
     out = np.zeros(max(0, len(columns[0]) - 1), bool) if columns else np.zeros(0, bool)
     for c in columns:
@@ -45,9 +45,9 @@ class _Fold:
         n = len(b)
         own = [b.column(i) for i in keys]
         new = np.ones(n, bool)
-        new[1:] = _changes(own) if keys else False
+        new[1:] = changes(own) if keys else False
         if self.key is not None:
-            new[0] = bool(_changes([pa.concat_arrays([k, o.slice(0, 1)]) for k, o in zip(self.key, own, strict=True)])[0]) if keys else False
+            new[0] = bool(changes([pa.concat_arrays([k, o.slice(0, 1)]) for k, o in zip(self.key, own, strict=True)])[0]) if keys else False
         starts = np.maximum.accumulate(np.where(new, np.arange(n), -1))
         segment = self.segments + np.cumsum(new)
         out = []

@@ -87,3 +87,18 @@ def test_selection_equals_the_loop(spark):
                 n, z = (n + 1, z + (size or 0)) if fits else (n, z)
         got = packing.budget_selection(df, "unit", ["-score"], "item", "size", max_items, max_size).collect()
         assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_selection_of_units_over_partitions_equals_the_loop(spark, small_batches):
+    rnd = random.Random(5)
+    rows = [(f"u{u:02d}", rnd.randrange(5), i, rnd.choice([None, 1, 3, 8, 30])) for u, n in enumerate([1, 200, 3, 4, 2, 90, 5]) for i in range(n)]
+    df = spark.createDataFrame(rows, "unit string, score long, item long, size long").repartition(5)
+    for max_items, max_size in ((4, 20), (100, 250), (0, 5)):
+        want, place = [], {}
+        for u, score, i, size in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+            n, z, missed = place.get(u, (0, 0, 0))
+            fits = n < max_items and z + (size or 0) <= max_size
+            want.append((u, i, "selected" if fits else "file-cap" if n >= max_items else "token-cap", score, missed))
+            place[u] = (n + 1, z + (size or 0), missed) if fits else (n, z, missed + 1)
+        got = packing.budget_selection(df, "unit", ["-score"], "item", "size", max_items, max_size, keep=("score",), misfits="missed").collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)

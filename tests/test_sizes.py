@@ -156,3 +156,34 @@ def test_paths_are_never_the_table_of_the_join_with_roots(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftSemi" in plan and "Join Inner" not in plan
     assert sorted(map(tuple, found.collect())) == [("a/b/c.ts", "a/b"), ("a/x.ts", "a"), ("y.ts", ".")]
+
+
+def test_candidates_and_edges_of_a_plan_are_written_once(spark, monkeypatch):
+    from tallyloom.operators import packing, scans
+    from tallyloom.operators import workplan as P
+
+    written = {}
+
+    def counted(df, name, cut=P.cut):
+        out = cut(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    for module in (P, packing, scans):
+        monkeypatch.setattr(module, "cut", counted)
+    files = spark.range(60).selectExpr("'u' || id % 3 as unit", "'f' || lpad(id, 3, '0') as path", "id as bytes", "'s' || id as sha256", "10 + id as tokens")
+    kinds = "element_at(array('local-resolved', 'local-unresolved', 'external', 'external'), cast(1 + id % 4 as int))"
+    edges = spark.range(4000).selectExpr("'f' || lpad(id % 60, 3, '0') as src", "id as ord", "'./' || id as specifier", f"{kinds} as kind", "array('f' || lpad(id * 7 % 60, 3, '0')) as targets")
+    P.derived(files.selectExpr("unit as unit_key", "path"), files, edges, P.Policy(5, 200))
+    # Edges inside once, candidates of three units once, unresolved edges once.
+    assert sum(written.values()) <= 2000 + 3 * 60 + 1000 + 60
+
+
+def test_equal_tables_of_plans_arent_held_against_each_other_row_by_row(spark):
+    from tallyloom.operators import workplan as P
+
+    have = spark.range(900).selectExpr("'u' || id % 3 as unit_key", "id as n", "case when id % 2 = 0 then 'a' end as target", "case when id % 2 = 1 then 'a' end as cap")
+    swapped = have.selectExpr("unit_key", "n", "if(n = 4, cap, target) as target", "if(n = 4, target, cap) as cap")  # a null changes places
+    twice = have.where("n <> 5").unionByName(have.where("n = 8"))
+    differ = lambda want: sorted(r[0] for r in P._units_that_differ(have, want).collect())
+    assert [differ(have.repartition(5)), differ(swapped), differ(twice), differ(have.where("n < 0"))] == [[], ["u1"], ["u2"], ["u0", "u1", "u2"]]
