@@ -11,6 +11,8 @@ Null texts, tags and lists have no terms; null ids come first. Repeated ids are
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -18,19 +20,19 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Records of a block; folders that terms are dealt into.
-BLOCK, FOLDERS = 1024, 16
+#: Records of a block; folders that terms are dealt into; words after which a block closes with fewer records.
+BLOCK, FOLDERS, WORDS = 1024, 16, 1 << 22
 #: The term that stands in every record; what is put before a tag.
 ALL, TAG = "", "\x01"
 
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"\w+")
 
 Clause = tuple[bool, tuple[str, ...]]
 
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters and digits."""
-    return _WORDS.findall((text or "").lower())
+    return _WORDS.findall((text or "").lower().replace("_", " "))
 
 
 def web_query(query: str) -> list[list[Clause]]:
@@ -52,15 +54,31 @@ def _folder(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(FOLDERS)).cast("int")
 
 
-def _differences(sorted_lists: list[list[int]]) -> np.ndarray:
-    """Each list as its first value and the steps to the others, one after the other."""
-    flat = np.array([x for xs in sorted_lists for x in xs], np.int64)
-    steps = np.diff(flat, prepend=0)
-    starts = np.cumsum([0] + [len(xs) for xs in sorted_lists[:-1]])
-    steps[starts] = flat[starts]
+def _differences(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of lists that stand one after the other, each as its first value and the steps to the others."""
+    steps = np.diff(values, prepend=0)
+    steps[starts] = values[starts]
     return steps
 
 
+def _postings(codes: np.ndarray, docs: np.ndarray, places: np.ndarray, n_terms: int) -> list[pa.Array]:
+    """docs, counts and places of terms 0, 1, ... from the block's words in order of records and places: all lists at once, as parts of three buffers."""
+    by = np.argsort(codes, kind="stable")
+    codes, docs, places = codes[by], docs[by], places[by]
+    new_term = np.diff(codes, prepend=-1) != 0
+    pairs = np.flatnonzero(new_term | (np.diff(docs, prepend=-1) != 0))  # where a record's places of a term begin
+    per_pair = np.diff(pairs, append=len(codes))
+    first_pairs = np.flatnonzero(new_term[pairs])
+    pairs_of, words_of_term = np.bincount(codes[pairs], minlength=n_terms), np.bincount(codes, minlength=n_terms)
+
+    def lists(values: np.ndarray, kind: str, lengths: np.ndarray) -> pa.Array:
+        data = values.astype(kind)
+        offsets = np.concatenate(([0], np.cumsum(lengths))) * data.itemsize
+        return pa.BinaryArray.from_buffers(pa.binary(), n_terms, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+    return [lists(_differences(docs[pairs], first_pairs), "<u2", pairs_of), lists(per_pair, "<u4", pairs_of), lists(_differences(places, pairs), "<u4", words_of_term)]
+
+
 def _restored(steps: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """What _differences was given, flat."""
     sums = np.cumsum(steps)
@@ -74,36 +92,38 @@ def write_index(records: DataFrame, root: str, key: str, text: str, tags: str |
     tag_column = F.coalesce(F.col(tags).cast("array<string>"), F.array().cast("array<string>")) if tags else F.array().cast("array<string>")
     ordered = records.select(F.col(key).alias("id"), F.col(text).alias("text"), tag_column.alias("tags")).repartitionByRange("id").sortWithinPartitions("id")
 
-    def rows(block: int, ids: list, found: dict[str, list[tuple[int, list[int]]]], kind: pa.DataType) -> pa.RecordBatch:
-        terms = sorted(found)
-        docs = [_differences([[p for p, _ in found[t]]]).astype("<u2").tobytes() for t in terms]
-        counts = [np.array([len(at) for _, at in found[t]], "<u4").tobytes() for t in terms]
-        places = [_differences([at for _, at in found[t]]).astype("<u4").tobytes() for t in terms]
+    names = ["term", "block", "docs", "counts", "places", "ids"]
+
+    def rows(block: int, ids: list, vocabulary: dict[str, int], found: list[np.ndarray], at: list[np.ndarray], kind: pa.DataType):
         every = np.ones(len(ids), "<u2")
         every[0] = 0
-        columns = [
-            pa.array([ALL, *terms], pa.string()), pa.array([block] * (len(terms) + 1), pa.int64()), pa.array([every.tobytes(), *docs], pa.binary()), pa.array([None, *counts], pa.binary()), pa.array([None, *places], pa.binary()),
-            pa.array([ids] + [None] * len(terms), pa.list_(kind)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["term", "block", "docs", "counts", "places", "ids"])
+        nothing = pa.nulls(1, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([ALL]), pa.array([block], pa.int64()), pa.array([every.tobytes()], pa.binary()), nothing, nothing, pa.array([ids], pa.list_(kind))], names)
+        terms = sorted(vocabulary)
+        if not terms:
+            return
+        rank = np.empty(len(terms), np.int64)
+        rank[[vocabulary[t] for t in terms]] = np.arange(len(terms))
+        docs = np.repeat(np.arange(len(ids)), [len(x) for x in found])
+        lists = _postings(rank[np.concatenate(found)], docs, np.concatenate(at), len(terms))
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(np.full(len(terms), block, np.int64)), *lists, pa.nulls(len(terms), pa.list_(kind))], names)
 
     def run(batches):
-        block, ids, found, kind = TaskContext.get().partitionId() << 32, [], {}, None
+        block, kind, vocabulary, ids, found, at, words = TaskContext.get().partitionId() << 32, None, defaultdict(count().__next__), [], [], [], 0
         for b in batches:
             kind = b.schema.field(0).type
             for i, t, tag in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-                own: dict[str, list[int]] = {}
-                for at, word in enumerate(words_of(t)):
-                    own.setdefault(word, []).append(at)
-                own |= {TAG + x: [0] for x in tag if x is not None}
-                for word, at in own.items():
-                    found.setdefault(word, []).append((len(ids), at))
+                own = words_of(t)
+                tagged = {TAG + x for x in tag if x is not None}
                 ids.append(i)
-                if len(ids) == size:
-                    yield rows(block, ids, found, kind)
-                    block, ids, found = block + 1, [], {}
+                found.append(np.fromiter(map(vocabulary.__getitem__, chain(own, tagged)), np.int64, len(own) + len(tagged)))
+                at.append(np.concatenate((np.arange(len(own)), np.zeros(len(tagged), np.int64))))
+                words += len(own)
+                if len(ids) == size or words >= WORDS:
+                    yield from rows(block, ids, vocabulary, found, at, kind)
+                    block, vocabulary, ids, found, at, words = block + 1, defaultdict(count().__next__), [], [], [], 0
         if ids:
-            yield rows(block, ids, found, kind)
+            yield from rows(block, ids, vocabulary, found, at, kind)
 
     schema = f"term string, block long, docs binary, counts binary, places binary, ids array<{id_type}>"
     ordered.mapInArrow(run, schema).withColumn("folder", _folder(F.col("term"))).write.partitionBy("folder").option("compression", "zstd").parquet(root)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tallyloom.operators import search as S
@@ -54,3 +55,25 @@ def test_search_reads_its_terms_alone(spark, indexed, tmp_path):
     S.write_index(spark.createDataFrame([], "n long, body string"), str(tmp_path / "none"), "n", "body")
     with pytest.raises(ValueError):
         S.matched_page(spark, indexed[1], S.search(spark, indexed[1], "red"), 0, 21)
+
+
+def test_postings_of_a_block_are_made_at_once(monkeypatch):
+    rnd = random.Random(4)
+    block = [[rnd.randrange(30) for _ in range(rnd.choice([0, 1, 5, 60]))] for _ in range(50)]
+    calls = []
+
+    def counted(values, starts, differences=S._differences):
+        calls.append(1)
+        return differences(values, starts)
+
+    monkeypatch.setattr(S, "_differences", counted)
+    at = [np.arange(len(words)) for words in block]
+    docs, counts, places = S._postings(np.concatenate([np.array(w, np.int64) for w in block]), np.repeat(np.arange(50), [len(w) for w in block]), np.concatenate(at), 31)
+    assert len(calls) == 2  # not two for each term
+    for term in range(31):
+        want = [(d, [i for i, w in enumerate(words) if w == term]) for d, words in enumerate(block) if term in words]
+        n = np.frombuffer(counts[term].as_py(), "<u4").astype(np.int64)
+        assert np.cumsum(np.frombuffer(docs[term].as_py(), "<u2")).tolist() == [d for d, _ in want] and n.tolist() == [len(p) for _, p in want]
+        if want:
+            assert S._restored(np.frombuffer(places[term].as_py(), "<u4").astype(np.int64), n).tolist() == [i for _, p in want for i in p]
+    assert S.words_of("A_b __ c1_") == ["a", "b", "c1"]
