@@ -67,7 +67,7 @@ def unreadable() -> F.Column:
 
 def _with_attempts(events: DataFrame) -> DataFrame:
     """events with what each has to know of its attempt (a_*), and for revisions of the attempts that they name (n_*)."""
-    own = events.where(_is(*ATTEMPT_TYPES, *BUDGET_TYPES)).withColumn("named", F.lit(0))
+    own = events.where(_is(*ATTEMPT_TYPES, *BUDGET_TYPES)).select("log", "pos", "run_id", "seq", "type", "key", "unreadable", "phase", "round", "cost", "complete", "receipt_id", "resources", "recovered", F.lit(0).alias("named"))
     named = events.where(_is(*REVISION_TYPES)).select("log", "pos", "type", F.explode(F.array_distinct("invalidated")).alias("key"), F.lit(1).alias("named"))
     when = lambda types, value: F.when(_is(*types) & (F.col("named") == 0), value)
     sets = {
@@ -180,12 +180,32 @@ def _code(publishing: tuple[str, ...]) -> F.Column:
     return code
 
 
+#: Parts of events that only some types need.
+_PARTS = {
+    "domain": ("run.created",), "budget": ("run.created", "run.budget-increased"), "previous_budget": ("run.budget-increased",), "input_revision": ("input.recorded", "input.revised"), "manifest_sha": ("input.recorded", "input.revised"),
+    "parent_manifest_sha": ("input.recorded", "input.revised"), "parent_trigger_sha": ("input.revised",), "stage": ("analysis.checkpoint",), "revision": REVISION_TYPES, "invalidated": REVISION_TYPES, "preserve": ("analysis.revised",),
+    "reason": ("run.blocked", "run.incomplete"), "artifact_sha": ("run.awaiting-input",), "role": ("publication.completed",), "phase": ("phase.started",), "round": ("phase.started",), "cost": ("attempt.received", "usage.reconciled"),
+    "complete": ("attempt.received", "usage.reconciled"), "receipt_id": ("usage.reconciled",), "resources": ("phase.started", "phase.completed"), "recovered": ("budget.reserved",),
+}
+#: What _code asks of an event itself; all else is known by what it sets and adds.
+_ASKED = (
+    "log", "pos", "type", "run_id", "seq", "unreadable", "budget", "previous_budget", "recovered", "cost", "complete", "revision", "input_revision", "parent_manifest_sha", "parent_trigger_sha", "resources", "role",
+    "a_status", "a_cost", "a_complete", "a_resources", "a_reserved", "a_settled", "r_seen", "n_unknown", "n_other", "n_gone",
+)
+
+
 def judged(events: DataFrame, publishing: tuple[str, ...] = ()) -> DataFrame:
-    """events with `code`, why it is illegal if all before it are legal, and the run's state before it (p_*) and after it (s_* or p_*, d_* to be added)."""
+    """log, pos and `code`, why an event is illegal if all before it are legal, with the run's state before it (p_*) and after it (s_* or p_*, d_* to be added).
+
+    Events are written once, without the parts that their types don't need; a scan takes only what it or the rules ask for.
+    """
     key = F.when(_is(*BUDGET_TYPES), F.col("attempt_key")).otherwise(F.concat_ws(":", "phase", F.coalesce("round", F.lit("-")), F.col("attempt").cast("string")))
-    keyed = prefix_scan(events.withColumn("key", key).withColumn("unreadable", unreadable()), ["log", "event_id"], ["pos"], last={"id_seen": "pos"}, name="ids")
+    parts = [F.when(_is(*types), F.col(c)).alias(c) for c, types in _PARTS.items()]
+    events = cut(events.select("log", "pos", "run_id", "seq", "event_id", "type", *parts, key.alias("key"), unreadable().alias("unreadable")), "events")
+    seen = prefix_scan(events.select("log", "event_id", "pos"), ["log", "event_id"], ["pos"], last={"id_seen": "pos"}, name="ids").where("id_seen is not null").select(F.col("log").alias("_log"), F.col("pos").alias("_pos"), "id_seen")
     sets, sums = _run_sets(), _run_sums()
-    marked = _with_attempts(keyed).withColumns(sets | sums | {"s_seq": F.col("seq")})
+    marked = _with_attempts(events).withColumns(sets | sums | {"s_seq": F.col("seq")}).select(*_ASKED, *sets, *sums, "s_seq")
+    marked = marked.join(seen, F.col("log").eqNullSafe(F.col("_log")) & (F.col("pos") == F.col("_pos")), "left").drop("_log", "_pos")
     last = {"p_" + c[2:]: c for c in (*sets, "s_seq")}
     return prefix_scan(marked, ["log"], ["pos"], last=last, total={"p_" + c[2:]: c for c in sums}, name="runs").withColumn("code", _code(publishing))
 
@@ -193,8 +213,7 @@ def judged(events: DataFrame, publishing: tuple[str, ...] = ()) -> DataFrame:
 def replayed(events: DataFrame, publishing: tuple[str, ...] = ()) -> DataFrame:
     """A row for each log: its first illegal event (error, error_pos), or the state after its last event, rounded costs included. publishing: domains whose
     runs can't be completed without a publication."""
-    told = cut(judged(events, publishing), "judged")
-    wrong = told.where("code is not null").groupBy("log").agg(F.min(F.struct((F.col("code") != "unreadable").alias("later"), "pos", "code")).alias("first"))
+    told = judged(events, publishing)
     after = lambda c: F.coalesce(f"s_{c}", f"p_{c}")
     state = {
         "run_id": after("created")["run_id"], "domain": after("created")["domain"], "status": after("status"), "last_seq": after("seq"), "max_budget": after("budget")["v"], "input_revision": after("input")["revision"],
@@ -202,9 +221,10 @@ def replayed(events: DataFrame, publishing: tuple[str, ...] = ()) -> DataFrame:
         "attempts": F.col("p_attempts") + F.col("d_attempts"), "active": F.col("p_active") + F.col("d_active"), "evaluations": F.col("p_evaluations") + F.col("d_evaluations"),
         "receipts": F.col("p_receipts") + F.col("d_receipts"), "unsettled": F.col("p_unsettled") + F.col("d_unsettled"), "total_cost": F.round(F.col("p_spent") + F.col("d_spent"), 6),
     }
-    ends = told.groupBy("log").agg(F.max_by(F.struct(*(v.alias(n) for n, v in state.items())), "pos").alias("s"))
+    wrong = F.when(F.col("code").isNotNull(), F.struct((F.col("code") != "unreadable").alias("later"), "pos", "code"))
+    rows = told.select("log", "pos", wrong.alias("wrong"), F.struct(*(v.alias(n) for n, v in state.items())).alias("s"))
     ok = F.col("first").isNull()
-    return ends.join(wrong, "log", "left").select("log", F.col("first.code").alias("error"), F.col("first.pos").alias("error_pos"), *(F.when(ok, F.col(f"s.{n}")).alias(n) for n in state))
+    return rows.groupBy("log").agg(F.min("wrong").alias("first"), F.max_by("s", "pos").alias("s")).select("log", F.col("first.code").alias("error"), F.col("first.pos").alias("error_pos"), *(F.when(ok, F.col(f"s.{n}")).alias(n) for n in state))
 
 
 def completed_phases(events: DataFrame) -> DataFrame:
