@@ -111,18 +111,22 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], last: dict[s
     places, key_places = (at(last), at(total), at(most)), [names.index(k) for k in keys]
     kind = {f.name: f.dataType for f in rows.schema}
     added = [T.StructField(n, kind[c]) for n, c in {**last, **total}.items()] + [T.StructField(n, T.LongType()) for n in most]
-    own = [T.StructField("_scan_part", T.LongType()), T.StructField("_scan_place", T.LongType()), T.StructField("_scan_first", T.BooleanType())]
+    own = [T.StructField("_scan_part", T.LongType()), T.StructField("_scan_place", T.LongType()), T.StructField("_scan_first", T.BooleanType()), T.StructField("_scan_end", T.BooleanType())]
     fields = [T.StructField(f.name, f.dataType) for f in rows.schema] + added + own
 
     def run(batches):
-        part, place, fold = TaskContext.get().partitionId(), 0, _Fold(*places)
+        part, place, fold, held = TaskContext.get().partitionId(), 0, _Fold(*places), None
         for b in batches:
             if not len(b):
                 continue
             found, first = fold.step(b, key_places)
-            facts = [pa.array(np.full(len(b), part, np.int64)), pa.array(np.arange(place, place + len(b))), pa.array(first)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *found, *facts], [f.name for f in fields])
+            facts = [pa.array(np.full(len(b), part, np.int64)), pa.array(np.arange(place, place + len(b))), pa.array(first), pa.array(np.zeros(len(b), bool))]
+            if held is not None:
+                yield held
+            held = pa.RecordBatch.from_arrays([*b.columns, *found, *facts], [f.name for f in fields])
             place += len(b)
+        if held is not None:  # the last batch, whose last row is marked
+            yield held.set_column(held.num_columns - 1, "_scan_end", pa.array(np.arange(len(held)) == len(held) - 1))
 
     by = [*keys, *order]
     done = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, T.StructType(fields)), name)
@@ -130,7 +134,7 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list[str], last: dict[s
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     ends = [F.min_by(key, "_scan_place").alias("first"), F.max_by(key, "_scan_place").alias("last"), F.max_by("_scan_first", "_scan_place").alias("single")]
     folds = [F.max_by(F.struct(v.alias("v")), "_scan_place").alias(f"now_{n}") for n, v in now.items()]
-    carried = _composed(done.groupBy("_scan_part").agg(*ends, *folds).collect(), last, total, most)  # a row for each partition
+    carried = _composed(done.where("_scan_end or _scan_place = 0").groupBy("_scan_part").agg(*ends, *folds).collect(), last, total, most)  # a row for each partition
     out = done
     if carried:
         schema = T.StructType([own[0], *(T.StructField(f"_scan_came_{f.name}", f.dataType) for f in added)])

@@ -187,3 +187,31 @@ def test_equal_tables_of_plans_arent_held_against_each_other_row_by_row(spark):
     twice = have.where("n <> 5").unionByName(have.where("n = 8"))
     differ = lambda want: sorted(r[0] for r in P._units_that_differ(have, want).collect())
     assert [differ(have.repartition(5)), differ(swapped), differ(twice), differ(have.where("n < 0"))] == [[], ["u1"], ["u2"], ["u0", "u1", "u2"]]
+
+
+def test_events_are_replayed_without_parts_that_their_types_dont_need(spark, monkeypatch):
+    from tallyloom.operators import replay as P
+
+    written = {}
+
+    def counted(df, name, cut=P.cut):
+        out = cut(df, name)
+        written[name] = (len(out.columns), out.where("invalidated is not null").count() if "invalidated" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(P, "cut", counted)
+    made = {"log": "'a'", "pos": "id", "run_id": "'r'", "seq": "id + 1", "event_id": "'e' || id", "type": "if(id = 0, 'run.created', 'coverage.finalized')", "domain": "'d'", "artifact_sha": "'x'", "invalidated": "array('k')", "complete": "true", "preserve": "true", "recovered": "true"}
+    kinds = dict(c.strip().split(" ") for c in P.EVENT.split(","))
+    events = spark.range(50).selectExpr(*(f"cast({made.get(c, 'null')} as {k}) as {c}" for c, k in kinds.items()))
+    found = P.replayed(events).collect()
+    assert [(r.error, r.last_seq, r.covered) for r in found] == [(None, 50, True)]
+    assert "judged" not in written and written["events"][1] == 0
+
+
+def test_ends_of_a_scan_are_taken_from_marked_rows(spark):
+    from tallyloom.operators.scans import prefix_scan
+
+    found = prefix_scan(spark.range(5000).repartition(7), [], ["id"], total={"t": "id"})
+    ends = spark.read.parquet(*found.inputFiles()).where("_scan_end").collect()
+    assert sorted(r["_scan_part"] for r in ends) == sorted({r["_scan_part"] for r in ends}) and max(r["id"] for r in ends) == 4999
+    assert found.where("t <> id * (id - 1) / 2").count() == 0
