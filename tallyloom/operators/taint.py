@@ -51,8 +51,8 @@ INNER_ENTRIES = ("sdk_export", "angular_component", "react_route", "react_compon
 #: The least confidence of a reported path, and how many lines around a path in a file a sanitizer may stand.
 LEAST_CONFIDENCE = 0.1
 NEAR_LINES = 50
-#: Lines of a bin in the join of paths with sanitizers.
-BIN = 64
+#: Lines of a bin in the join of paths with sanitizers; a span of one line, with those around it, is in two bins at most.
+BIN = 128
 #: Fixed value: kinds of sinks that raise the confidence.
 GRAVE = ("sql", "command", "eval", "deserialize", "ssrf", "nosql")
 
@@ -138,19 +138,25 @@ def path_sanitizers(flows: DataFrame, calls: DataFrame) -> DataFrame:
     """(ord, sanitizers): the sanitizing calls (file, line, function) beside each flow, sorted, repeats once; flows without one aren't there.
 
     A flow's lines in a file are those of its entry, its terminal and its steps ("file:line what"); a sanitizer counts from 50 lines before the first to 50
-    behind the last, and anywhere in a file of which the flow names no line. Lines and calls meet in bins of 64 lines, so a file that holds a third of all
-    flows and calls is many keys; lines begin at 1.
+    behind the last, and anywhere in a file of which the flow names no line. Lines and calls meet in bins of 128 lines, so a file that holds a third of all
+    flows and calls is many keys; lines begin at 1. A flow's files are told apart within its row, so that lines needn't move to be gathered.
     """
     step = lambda s: F.struct(F.regexp_extract(s, r"^(.+):(\d+)\s", 1).alias("file"), F.try_to_number(F.regexp_extract(s, r"^(.+):(\d+)\s", 2), F.lit("9999999999")).cast("long").alias("line"))
     ends = [F.struct(F.col(f"{e}_file").alias("file"), F.col(f"{e}_line").cast("long").alias("line")) for e in ("entry", "terminal")]
     via = F.transform(F.filter(F.coalesce("via", F.array().cast("array<string>")), lambda s: s.rlike(r"^(.+):(\d+)\s")), step)
-    spans = flows.select("ord", F.explode(F.concat(F.array(*ends), via)).alias("at")).where("at.file <> ''").groupBy("ord", F.col("at.file").alias("file"))
-    spans = spans.agg(F.when(F.min("at.line").isNotNull(), F.greatest(F.min("at.line") - NEAR_LINES, F.lit(1))).alias("lo"), (F.max("at.line") + NEAR_LINES).alias("hi"))
+    named = flows.select("ord", F.filter(F.concat(F.array(*ends), via), lambda x: x["file"] != "").alias("ats"))
+    of_file = lambda file: F.transform(F.filter("ats", lambda x: x["file"] == file), lambda x: x["line"])
+    files = F.transform(F.array_distinct(F.transform("ats", lambda x: x["file"])), lambda file: F.struct(file.alias("file"), F.array_min(of_file(file)).alias("first"), F.array_max(of_file(file)).alias("last")))
+    spans = named.select("ord", F.inline(files)).select("ord", "file", F.when(F.col("first").isNotNull(), F.greatest(F.col("first") - NEAR_LINES, F.lit(1))).alias("lo"), (F.col("last") + NEAR_LINES).alias("hi"))
     found = calls.where(is_sanitizer(F.col("callee"))).select("file", F.col("line").cast("long").alias("line"), F.col("callee").alias("function")).distinct()
-    binned = spans.where("lo is not null").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / BIN), F.floor(F.col("hi") / BIN))))
-    near = binned.join(found.withColumn("bin", F.floor(F.col("line") / BIN)), ["file", "bin"]).where("line between lo and hi")
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    # A span over two bins at most is one row, in the bin of its first line; a call is met there from its own bin and the one before. Longer spans are in all their bins.
+    short = bin_of("hi") - bin_of("lo") <= 1
+    met = lambda s, f: s.join(f, ["file", "bin"]).where("line between lo and hi").select("ord", "file", "line", "function")
+    near = met(spans.where(short).withColumn("bin", bin_of("lo")), found.withColumn("bin", F.explode(F.array(bin_of("line") - 1, bin_of("line")))))
+    near = near.unionByName(met(spans.where(~short).withColumn("bin", F.explode(F.sequence(bin_of("lo"), bin_of("hi")))), found.withColumn("bin", bin_of("line"))))
     anywhere = spans.where("lo is null").join(found, "file")
-    both = near.select("ord", "file", "line", "function").unionByName(anywhere.select("ord", "file", "line", "function"))
+    both = near.unionByName(anywhere.select("ord", "file", "line", "function"))
     return both.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("file", "line", "function"))).alias("sanitizers"))
 
 

@@ -215,3 +215,25 @@ def test_ends_of_a_scan_are_taken_from_marked_rows(spark):
     ends = spark.read.parquet(*found.inputFiles()).where("_scan_end").collect()
     assert sorted(r["_scan_part"] for r in ends) == sorted({r["_scan_part"] for r in ends}) and max(r["id"] for r in ends) == 4999
     assert found.where("t <> id * (id - 1) / 2").count() == 0
+
+
+def test_lines_of_a_flow_are_gathered_in_its_row(spark):
+    import random
+    import re
+
+    from tallyloom.operators import taint as T
+
+    rnd = random.Random(8)
+    line = lambda: rnd.choice([None, rnd.randrange(1, 700)])
+    file = lambda: rnd.choice("ab")
+    flows = [(i, file(), line(), rnd.choice(["a", "b", "", None]), line(), [f"{file()}:{rnd.randrange(1, 700)} x" for _ in range(rnd.randrange(3))] + ["no place"]) for i in range(80)]
+    calls = [(file(), rnd.randrange(1, 800), rnd.choice(["escape", "lib.parseInt", "other"])) for _ in range(60)]
+    found = T.path_sanitizers(spark.createDataFrame(flows, "ord long, entry_file string, entry_line int, terminal_file string, terminal_line int, via array<string>"), spark.createDataFrame(calls, "file string, line int, callee string"))
+    want = {}
+    for i, ef, el, tf, tl, via in flows:
+        at = [(ef, el), (tf, tl), *((v[0], int(v[2:-2])) for v in via if v != "no place")]
+        for f in {f for f, _ in at if f}:
+            lines = [x for g, x in at if g == f and x is not None]
+            want.setdefault(i, set()).update(c for c in calls if c[2] != "other" and c[0] == f and (not lines or min(lines) - 50 <= c[1] <= max(lines) + 50))
+    assert {r.ord: [tuple(s) for s in r.sanitizers] for r in found.collect()} == {i: sorted(s) for i, s in want.items() if s}
+    assert not re.search(r"Aggregate \[ord#\d+L?, ", found._jdf.queryExecution().optimizedPlan().toString())
