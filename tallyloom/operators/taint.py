@@ -90,36 +90,85 @@ def confidence(hops: Column, sanitizers: Column, argument: Column, category: Col
     return F.get(cases, at.cast("int"))
 
 
+#: A place in a round: assignments before calls, in order, arguments by position.
+PLACE = ("phase", "ord", "i")
+#: A way back to the same variable comes later than it was reached.
+AHEAD = "not (file = to_file and name = to)"
+
+
+def _joined(before: DataFrame, after: DataFrame, rounds: int) -> DataFrame:
+    """Paths along `before` and then along `after`, whole if the former is. Between them a round begins unless the latter enters behind where the former leaves.
+
+    An empty path, which leads from a variable to itself, enters nowhere. Paths that take all rounds or lead back come too late and are left out.
+    """
+    turn = F.when(F.col("p.leave") < F.col("q.enter"), 0).otherwise(1)
+    cost = F.when(F.col("p.enter").isNull(), F.col("q.cost")).otherwise(F.col("p.cost") + turn + F.col("q.cost")).alias("cost")
+    met = before.alias("p").join(after.alias("q"), (F.col("p.to_file") == F.col("q.file")) & (F.col("p.to") == F.col("q.name")))
+    met = met.select("p.file", "p.name", F.coalesce("p.enter", "q.enter").alias("enter"), cost, "q.leave", "q.to_file", "q.to", "p.whole")
+    return met.where(F.col("cost") < rounds).where(AHEAD)
+
+
+def _contracted(arrows: DataFrame, starts: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(paths, arrows): to each variable that one arrow alone leads to a path from the last one before it that several lead to or input starts in (a head), and
+    paths of one arrow to a head that come from one. What no head leads to within the rounds is left out.
+
+    An arrow is a row from (file, name) to (to_file, to) at a place; a path has the place where it enters, the rounds that begin on it and the place where it
+    leaves. Paths are doubled until they are whole, that is begin at a head: the turns are the logarithm of the longest one, a variable has one path at any time,
+    and a circle of single arrows ends where a path leads back or takes all rounds.
+    """
+    to = [F.col("to_file").alias("file"), F.col("to").alias("name")]
+    counts = arrows.groupBy(*to).agg(F.count(F.lit(1)).alias("n")).join(starts.select("file", "name", F.lit(True).alias("start")), ["file", "name"], "left")
+    counts = counts.select(F.col("file").alias("to_file"), F.col("name").alias("to"), F.expr("n = 1 and start is null").alias("alone"))
+    arrows = cut(arrows.join(counts, ["to_file", "to"]), "arrows")
+    steps = arrows.select("file", "name", F.struct(*PLACE).alias("enter"), F.lit(0).alias("cost"), F.struct(*PLACE).alias("leave"), "to_file", "to", F.lit(False).alias("whole"), "alone")
+    short, several = steps.where("alone").drop("alone"), steps.where("not alone").drop("alone")
+    heads = cut(several.select(*to).unionByName(starts.select("file", "name")).distinct(), "heads")
+    none = F.lit(None).cast(steps.schema["enter"].dataType)
+    paths = heads.select("file", "name", none.alias("enter"), F.lit(0).alias("cost"), none.alias("leave"), F.col("file").alias("to_file"), F.col("name").alias("to"), F.lit(True).alias("whole"))
+    while not short.isEmpty():
+        longer = cut(_joined(paths.unionByName(short), short, rounds), "paths")
+        paths, short = paths.unionByName(longer.where("whole")), longer.where("not whole")
+    return paths.where("enter is not null"), cut(_joined(paths, several, rounds), "arrows")
+
+
 def tainted(assignments: DataFrame, calls: DataFrame, functions: DataFrame, rounds: int = 8) -> DataFrame:
     """(file, name, round): variables that user input reaches within so many rounds, and the first round in which it does.
 
     assignments (file, ord, name, expr), calls (file, ord, callee, args), functions (name, file, params). A round goes through the assignments in order, each
     seeing what those before it found in its file, then through the calls, which taint the parameters of all functions of the callee's last name by position.
-    So a variable is reached at a time (round, calls or not, place), and earlier is never worse: the least times are found by joins of what last improved;
-    there are as many of them as steps on the longest chain.
+    So a variable is reached at a time (round, calls or not, place), and earlier is never worse: the least times are found by joins of what last improved.
+    Arrows from names that nothing is assigned to are left out, and variables that one arrow alone leads to are passed over by paths (`_contracted`) and get their
+    times by one join at the end. So the turns are as many as heads on the longest chain, each over arrows between heads alone.
     Rows without a file or name, and empty expressions, taint nothing.
     """
     ids = lambda e: F.array_distinct(F.regexp_extract_all(e, F.lit(f"({IDENTIFIER})"), F.lit(1)))
-    place = lambda phase, i: F.struct(F.lit(phase).alias("phase"), F.col("ord").cast("long").alias("ord"), i.cast("long").alias("i"))
-    by_assignment = assignments.where("name <> ''").select("file", "expr", F.col("file").alias("to_file"), F.col("name").alias("to"), place(0, F.lit(0)).alias("at"))
-    args = calls.select("file", "ord", F.substring_index("callee", ".", -1).alias("name"), F.posexplode("args").alias("i", "expr"))
-    named = functions.select("name", F.col("file").alias("to_file"), F.posexplode("params").alias("i", "to")).where(F.col("to").rlike(f"^{IDENTIFIER}$"))
-    by_call = args.join(named, ["name", "i"]).select("file", "expr", "to_file", "to", place(1, F.col("i")).alias("at"))
-    ways = cut(by_assignment.unionByName(by_call).where("file is not null and to_file is not null and expr <> ''"), "ways")
-    arrows = cut(ways.select("file", F.explode(ids(F.col("expr"))).alias("name"), "to_file", "to", "at").distinct(), "arrows")
+    place = lambda phase, i: (F.lit(phase).alias("phase"), F.col("ord").cast("long").alias("ord"), i.cast("long").alias("i"))
+    # What reads input is reached in the first round at its place, so that its arrows would come no earlier; without a letter there is neither input nor a name.
+    read = lambda df: df.where("file is not null").where(F.col("expr").rlike("[A-Za-z_$]")).withColumn("source", X.is_source_expression(F.col("expr"))).withColumn("names", F.when(~F.col("source"), ids(F.col("expr")))).drop("expr")
+    by_assignment = read(assignments.where("name <> ''").select("file", "expr", F.col("file").alias("to_file"), F.col("name").alias("to"), *place(0, F.lit(0))))
+    args = read(calls.select("file", "ord", F.substring_index("callee", ".", -1).alias("callee"), F.posexplode("args").alias("i", "expr")))
+    named = functions.where("file is not null").select(F.col("name").alias("callee"), F.col("file").alias("to_file"), F.posexplode("params").alias("i", "to")).where(F.col("to").rlike(f"^{IDENTIFIER}$"))
+    by_call = args.join(named, ["callee", "i"]).select("file", "to_file", "to", *place(1, F.col("i")), "source", "names")
+    ways = cut(by_assignment.unionByName(by_call), "ways")
     first = lambda df: df.groupBy(F.col("to_file").alias("file"), F.col("to").alias("name")).agg(F.min("time").alias("time"))
-    new = cut(first(ways.where(X.is_source_expression(F.col("expr"))).withColumn("time", F.struct(F.lit(1).alias("round"), "at"))), "times")
+    new = cut(first(ways.where("source").withColumn("time", F.struct(F.lit(1).alias("round"), F.struct(*PLACE).alias("at")))), "times")
+    arrows = ways.select("file", F.explode("names").alias("name"), *PLACE, "to_file", "to").where(AHEAD)
+    arrows = cut(arrows.join(ways.select(F.col("to_file").alias("file"), F.col("to").alias("name")).distinct(), ["file", "name"], "left_semi"), "arrows")
+    paths, arrows = _contracted(arrows, new, rounds)
+    turn = F.when(F.col("time.at") < F.col("enter"), 0).otherwise(1)
+    along = lambda df, by: df.join(by, ["file", "name"]).withColumn("round", F.col("time.round") + turn + F.col("cost")).where(F.col("round") <= rounds)
     seen, k = new, 0
     while not new.isEmpty():
         k += 1
-        step = new.join(arrows, ["file", "name"]).withColumn("round", F.col("time.round") + F.when(F.col("time.at") < F.col("at"), 0).otherwise(1)).where(F.col("round") <= rounds)
-        best = first(step.select("to_file", "to", F.struct("round", "at").alias("time")))
+        best = first(along(new, arrows).select("to_file", "to", F.struct("round", F.col("leave").alias("at")).alias("time")))
         known = seen.groupBy("file", "name").agg(F.min("time").alias("known"))
         new = cut(best.join(known, ["file", "name"], "left").where("known is null or time < known").drop("known"), "times")
         seen = seen.unionByName(new)
         if k % 8 == 0:  # one table again, so that the plan stays short
             seen = cut(seen.groupBy("file", "name").agg(F.min("time").alias("time")), "times")
-    return seen.groupBy("file", "name").agg(F.min("time.round").alias("round"))
+    times = cut(seen.groupBy("file", "name").agg(F.min("time").alias("time")), "times")
+    passed = along(times, paths).select(F.col("to_file").alias("file"), F.col("to").alias("name"), "round")
+    return times.select("file", "name", "time.round").unionByName(passed)
 
 
 def sink_category(callee: Column) -> Column:

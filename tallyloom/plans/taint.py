@@ -21,7 +21,8 @@ select file, name, min(round) as round from t group by 1, 2"""
 @query("g09_taint_fixpoint", _G09)
 def g09(spark, d):
     rows, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    a = rows.selectExpr("l_orderkey as file", "l_linenumber as ord", "'v' || cast(l_linenumber as string) as name", f"{_READS} as expr").distinct()
+    a = rows.selectExpr("l_orderkey as file", "l_linenumber as ord", "coalesce(l_returnflag = if(l_linenumber = 1, 'A', 'R'), false) as other").distinct()  # numbers alone, no texts
+    a = a.selectExpr("file", "ord", "'v' || cast(ord as string) as name", "case when ord = 1 then if(other, 'req.body.x', 'p') else 'v' || cast(ord + if(other, 1, -1) as string) end as expr")
     calls = rows.where("l_orderkey % 12 > 0").groupBy(F.col("l_orderkey").alias("file")).agg(F.max("l_linenumber").alias("n"))
     calls = calls.selectExpr("file", "0 as ord", "'lib.g' || cast(file + 1 as string) as callee", "array('1', 'wrap(v' || cast(n as string) || ')') as args")
     return T.tainted(a, calls, o.selectExpr("'g' || cast(o_orderkey as string) as name", "o_orderkey as file", "array('q', 'p') as params"))

@@ -237,3 +237,22 @@ def test_lines_of_a_flow_are_gathered_in_its_row(spark):
             want.setdefault(i, set()).update(c for c in calls if c[2] != "other" and c[0] == f and (not lines or min(lines) - 50 <= c[1] <= max(lines) + 50))
     assert {r.ord: [tuple(s) for s in r.sanitizers] for r in found.collect()} == {i: sorted(s) for i, s in want.items() if s}
     assert not re.search(r"Aggregate \[ord#\d+L?, ", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_variables_with_one_arrow_are_no_turns_of_taint(spark, monkeypatch):
+    from tallyloom.operators import taint as T
+
+    written = []
+
+    def counted(df, name, cut=T.cut):
+        written.append(name)
+        return cut(df, name)
+
+    monkeypatch.setattr(T, "cut", counted)
+    n = 40
+    rows = [("f", 0, "v0", "req.body.x")] + [("f", k, f"v{k}", f"wrap(v{k - 1})") for k in range(1, n)] + [("f", n, "a", "b"), ("f", n + 1, "b", "a"), ("f", n + 2, "c", "c + b")]
+    calls = spark.createDataFrame([], "file string, ord long, callee string, args array<string>")
+    functions = spark.createDataFrame([], "name string, file string, params array<string>")
+    found = T.tainted(spark.createDataFrame(rows, "file string, ord long, name string, expr string"), calls, functions)
+    assert {r.name: r.round for r in found.collect()} == {f"v{k}": 1 for k in range(n)}
+    assert len(written) <= 16  # the doublings of a chain of 40, no table for each of its steps
